@@ -99,3 +99,142 @@ SELECT d.doc_id, round(CASE WHEN coalesce(k.nnz, 0) > 0 THEN 1.0 ELSE 0.0 END, 6
        CAST(coalesce(k.nnz, 0) AS BIGINT) AS nnz
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+
+# --------------------------------------------------------------------------
+# Annotation (A1–A5) and stylistics
+# --------------------------------------------------------------------------
+
+_LEX = values(lexicon_rows())
+_RULES = values([(i, *r) for i, r in enumerate(suffix_rules(), start=1)])
+_NOUN_CAP = lst(NOUN_CAPITALISING_LANGS)
+
+TOKENS_CTE = f"""
+lex(lang, form, lpos, llemma, lmorph) AS (VALUES {_LEX}),
+rules(idx, rlang, suffix, rpos, rmorph) AS (VALUES {_RULES}),
+s0 AS (SELECT doc_id, lang, list_filter(regexp_extract_all(text, {q(SENT_RE)}), lambda s: regexp_matches(s, {q(r"\S")})) AS sl
+       FROM documents),
+s1 AS (SELECT doc_id, lang, unnest(sl) AS sentence, generate_subscripts(sl, 1) - 1 AS sent_id FROM s0),
+s2 AS (SELECT doc_id, lang, sent_id, regexp_extract_all(sentence, {q(TOKEN_RE)}) AS toks FROM s1),
+s3 AS (SELECT *, coalesce(sum(len(toks)) OVER (PARTITION BY doc_id ORDER BY sent_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM s2),
+t0 AS (SELECT doc_id, lang, sent_id, off, unnest(toks) AS text, generate_subscripts(toks, 1) - 1 AS j FROM s3),
+t1 AS (SELECT *, lower(text) AS low, NOT regexp_matches(text, {q(WORD_CHAR_RE)}) AS is_punct,
+              regexp_matches(text, {q(NUMBER_RE)}) AS is_num,
+              substr(text, 1, 1) <> lower(substr(text, 1, 1)) AS is_cap FROM t0),
+t2 AS (SELECT t1.*, lex.lpos, lex.llemma, lex.lmorph, lex.form IS NOT NULL AS has_lex
+       FROM t1 LEFT JOIN lex ON lex.lang = t1.lang AND lex.form = t1.low),
+t3 AS (SELECT t2.*, (SELECT min(idx) FROM rules WHERE rlang = t2.lang AND ends_with(t2.low, suffix)
+                     AND length(t2.low) >= length(suffix) + 2) AS rule FROM t2),
+t4 AS (SELECT t3.*, rules.rpos, rules.rmorph FROM t3 LEFT JOIN rules ON rules.idx = t3.rule),
+t5 AS (SELECT doc_id, sent_id, CAST(off + j AS BIGINT) AS token_i, j, text AS token_text,
+              coalesce(llemma, low) AS lemma, is_punct, has_lex AS is_stop,
+              CASE WHEN is_punct THEN 'PUNCT' WHEN is_num THEN 'NUM' WHEN has_lex THEN lpos
+                   WHEN is_cap AND lang IN {_NOUN_CAP} THEN 'NOUN' WHEN is_cap AND j > 0 THEN 'PROPN'
+                   WHEN rule IS NOT NULL THEN rpos ELSE 'NOUN' END AS pos,
+              CASE WHEN is_punct OR is_num THEN NULL WHEN has_lex THEN lmorph
+                   WHEN is_cap AND (lang IN {_NOUN_CAP} OR j > 0) THEN NULL
+                   WHEN rule IS NOT NULL THEN rmorph ELSE NULL END AS morph
+       FROM t4),
+t6 AS (SELECT *, coalesce(min(CASE WHEN pos = 'VERB' THEN j END) OVER w,
+                          min(CASE WHEN NOT is_punct THEN j END) OVER w, 0) AS r
+       FROM t5 WINDOW w AS (PARTITION BY doc_id, sent_id)),
+tokens AS (SELECT doc_id, sent_id, token_i, token_text, lemma, is_punct, is_stop, morph, pos, pos AS tag,
+                  CASE WHEN j = r THEN 'ROOT' WHEN is_punct THEN 'punct' ELSE 'dep' END AS dep,
+                  max(CASE WHEN j = r THEN token_text END) OVER (PARTITION BY doc_id, sent_id) AS head,
+                  CAST(token_i - j + r AS BIGINT) AS head_i
+           FROM t6),
+tk AS (SELECT *, coalesce(morph, '') AS m, pos NOT IN {lst(NON_WORD_POS)} AS is_word FROM tokens)
+"""
+
+ORACLE["segment_sentences"] = f"WITH {TOKENS_CTE} SELECT doc_id, sent_id, sentence FROM s1"
+ORACLE["token_table"] = f"WITH {TOKENS_CTE} SELECT doc_id, sent_id, token_i, token_text, is_punct FROM tokens"
+ORACLE["tag_tokens"] = f"WITH {TOKENS_CTE} SELECT doc_id, token_i, pos, tag, lemma, morph, is_stop FROM tokens"
+ORACLE["attach_heads"] = f"WITH {TOKENS_CTE} SELECT doc_id, token_i, dep, head, head_i FROM tokens"
+ORACLE["annotate"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, {q(r"\S+")}) AS ws FROM documents)
+SELECT doc_id, generate_subscripts(ws, 1) - 1 AS token_i, unnest(ws) AS token_text, lower(unnest(ws)) AS lemma FROM w
+"""
+
+ORACLE["token_predicates"] = f"""
+WITH {TOKENS_CTE}
+SELECT doc_id, sent_id, token_i, is_word, pos IN {lst(NOMINAL_POS)} AS is_nominal,
+       pos IN {lst(FUNCTION_WORD_POS)} AS is_function_word,
+       pos = 'PRON' AND contains(m, 'PronType=Prs') AS is_personal_pronoun,
+       pos = 'VERB' AND contains(m, 'Tense=Past') AS is_past, pos = 'VERB' AND contains(m, 'Tense=Pres') AS is_present,
+       pos = 'VERB' AND contains(m, 'Voice=Act') AS is_active, pos = 'VERB' AND contains(m, 'Voice=Pass') AS is_passive,
+       pos = 'ADP' AND lower(token_text) IN {lst(OF_WORDS)} AS is_of_like,
+       pos = 'SCONJ' AND lower(token_text) IN {lst(THAT_WORDS)} AS is_that_like
+FROM tk
+"""
+
+STYL_CTE = f"""
+pm AS (SELECT doc_id, count(*) AS n_tokens, count_if(is_word) AS n_words, count_if(pos = 'NOUN') AS n_noun,
+              count_if(pos = 'VERB') AS n_verb, count_if(pos = 'ADJ') AS n_adj, count_if(pos = 'ADV') AS n_adv,
+              count_if(pos IN {lst(NOMINAL_POS)}) AS n_nominal,
+              count_if(pos = 'VERB' AND (contains(m, 'Voice=Act') OR contains(m, 'Voice=Pass'))) AS n_voiced,
+              count_if(pos = 'VERB' AND contains(m, 'Voice=Pass')) AS n_passive,
+              count_if(pos = 'VERB' AND contains(m, 'Voice=Act')) AS n_active,
+              count_if(pos = 'VERB' AND contains(m, 'Tense=Past')) AS n_past,
+              count_if(pos = 'VERB' AND contains(m, 'Tense=Pres')) AS n_present,
+              count_if(pos = 'PRON' AND contains(m, 'PronType=Prs')) AS n_prs,
+              count_if(pos IN {lst(FUNCTION_WORD_POS)}) AS n_function,
+              count_if(pos = 'ADP' AND lower(token_text) IN {lst(OF_WORDS)}) AS n_of,
+              count_if(pos = 'SCONJ' AND lower(token_text) IN {lst(THAT_WORDS)}) AS n_that,
+              sum(CASE WHEN is_word THEN length(token_text) END) AS word_chars,
+              count(DISTINCT CASE WHEN pos = 'NOUN' THEN lemma END) AS noun_lemmas,
+              count(DISTINCT CASE WHEN pos = 'VERB' THEN lemma END) AS verb_lemmas
+       FROM tk GROUP BY doc_id),
+pmx AS (SELECT doc_id,
+              (n_nominal + n_noun) / nullif(n_verb, 0) AS nominal_verb_ratio,
+              noun_lemmas / nullif(n_noun, 0) AS noun_ttr,
+              verb_lemmas / nullif(n_verb, 0) AS verb_ttr,
+              n_prs / nullif(n_tokens, 0) AS personal_pronoun_ratio,
+              n_function / nullif(n_tokens, 0) AS function_word_ratio,
+              n_of / nullif(n_tokens, 0) AS of_ratio,
+              n_that / nullif(n_tokens, 0) AS that_ratio,
+              CASE WHEN n_past > 0 THEN n_past / n_verb END AS past_tense_ratio,
+              CASE WHEN n_present > 0 THEN n_present / n_verb END AS present_tense_ratio,
+              n_passive / nullif(n_voiced, 0) AS passive_ratio,
+              n_active / nullif(n_voiced, 0) AS active_ratio,
+              (n_adj + n_adv) / nullif(n_words, 0) AS adjective_adverb_ratio,
+              word_chars / nullif(n_words, 0) AS avg_wordlen
+       FROM pm),
+wd AS (SELECT doc_id, token_text, row_number() OVER (PARTITION BY doc_id ORDER BY token_i) - 1 AS word_i
+       FROM tk WHERE is_word),
+sg AS (SELECT doc_id, floor(word_i / 100) AS seg, count(*) AS n, count(DISTINCT token_text) AS types
+       FROM wd GROUP BY doc_id, floor(word_i / 100)),
+ms0 AS (SELECT doc_id, CASE WHEN sum(n) <= 100 THEN max(CASE WHEN seg = 0 THEN types / n END)
+                            ELSE avg(CASE WHEN n = 100 THEN types / n END) END AS msttr FROM sg GROUP BY doc_id),
+ms AS (SELECT d.doc_id, coalesce(ms0.msttr, 0.0) AS msttr FROM (SELECT DISTINCT doc_id FROM tokens) d
+       LEFT JOIN ms0 USING (doc_id)),
+ps AS (SELECT doc_id, sent_id, count(*) AS n_all, count_if(NOT is_punct AND pos <> 'SPACE') AS n_kept,
+              sum(CASE WHEN NOT is_punct AND pos <> 'SPACE' THEN abs(token_i - head_i) END) AS dd_sum,
+              min(CASE WHEN NOT is_punct AND pos <> 'SPACE' AND dep = 'ROOT' THEN token_i END) AS root_i,
+              min(CASE WHEN NOT is_punct AND pos <> 'SPACE' THEN token_i END) AS start_i
+       FROM tokens GROUP BY doc_id, sent_id),
+ps2 AS (SELECT doc_id, n_all, n_kept, root_i - start_i AS root_dist,
+               CASE WHEN n_kept > 0 AND root_i IS NOT NULL THEN dd_sum / n_kept END AS mdd FROM ps),
+ps3 AS (SELECT *, CASE WHEN mdd > 0 AND root_dist >= 0 THEN abs(ln(mdd / sqrt((root_dist + 1) * n_kept))) END AS ndd
+        FROM ps2),
+sm AS (SELECT doc_id, avg(n_all) AS avg_sentlen, count(*) AS num_sents, avg(ndd) AS avg_ndd,
+              stddev_pop(ndd) AS std_ndd, avg(mdd) AS avg_mdd, stddev_pop(mdd) AS std_mdd FROM ps3 GROUP BY doc_id),
+st AS (SELECT doc_id, sent_id, string_agg(token_text, ' ' ORDER BY token_i) AS sentence FROM tokens GROUP BY doc_id, sent_id),
+styl AS (SELECT * FROM pmx JOIN ms USING (doc_id) JOIN sm USING (doc_id))
+"""
+
+POS_MEASURES = ["nominal_verb_ratio", "noun_ttr", "verb_ttr", "personal_pronoun_ratio", "function_word_ratio",
+                "of_ratio", "that_ratio", "past_tense_ratio", "present_tense_ratio", "passive_ratio",
+                "active_ratio", "adjective_adverb_ratio", "avg_wordlen"]
+SENT_MEASURES = ["avg_sentlen", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd"]
+for _m in POS_MEASURES + ["msttr"] + SENT_MEASURES:
+    ORACLE[_m] = f"WITH {TOKENS_CTE}, {STYL_CTE} SELECT doc_id, round({_m}, 6) AS {_m} FROM styl"
+ORACLE["num_sents"] = f"WITH {TOKENS_CTE}, {STYL_CTE} SELECT doc_id, num_sents FROM styl"
+ORACLE["sentence_text"] = f"WITH {TOKENS_CTE}, {STYL_CTE} SELECT doc_id, sent_id, sentence FROM st"
+ORACLE["compression_selection"] = f"""
+WITH {TOKENS_CTE}, {STYL_CTE},
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn,
+              count(*) OVER (PARTITION BY doc_id) AS n FROM st)
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent_id) AS selected_text FROM rk
+WHERE CASE WHEN n > 50 THEN rn > 10 AND rn <= 50 ELSE rn <= 40 END GROUP BY doc_id
+"""
