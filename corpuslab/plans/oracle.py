@@ -238,3 +238,93 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn,
 SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent_id) AS selected_text FROM rk
 WHERE CASE WHEN n > 50 THEN rn > 10 AND rn <= 50 ELSE rn <= 40 END GROUP BY doc_id
 """
+
+
+# --------------------------------------------------------------------------
+# Corpus binding, cleaning (P1–P17), joins
+# --------------------------------------------------------------------------
+
+CORPUS_CTE = """
+corpus AS (SELECT d.doc_id, d.text, d.lang, d.source,
+                  CASE l.quality WHEN 1 THEN 'a' WHEN 0 THEN 'b' END AS label,
+                  CASE WHEN d.doc_id % 7 <> 0
+                       THEN d.source || '_' || substr('abc', CAST(d.doc_id % 3 + 1 AS INTEGER), 1) END AS group_id
+           FROM documents d LEFT JOIN labels l USING (doc_id))
+"""
+_CODES = "[" + ", ".join(q(c) for c in ANNOTATION_CODES) + "]"
+RAW_CTE = f"raw AS (SELECT doc_id, {_CODES}[CAST(doc_id % 7 + 1 AS INTEGER)] AS code FROM documents)"
+_RECODE = "CASE " + " ".join(f"WHEN code = {q(k)} THEN {q(v)}" for k, v in ANNOTATION_RECODE.items()) + " END"
+WORDS = f"len(regexp_extract_all(text, {q(r'\S+')}))"
+
+ORACLE["normalize_text"] = f"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '', 'g'), {q(r'\s+')}, ' ', 'g')) AS text_norm
+FROM documents
+"""
+ORACLE["drop_unusable"] = f"WITH {RAW_CTE} SELECT doc_id, code FROM raw WHERE code IS NOT NULL AND code NOT IN ('NA', 'mixed', 'usikker')"
+ORACLE["recode_labels"] = f"""
+WITH {RAW_CTE}, r AS (SELECT doc_id, code, {_RECODE} AS label FROM raw WHERE code IS NOT NULL AND code NOT IN ('NA', 'mixed', 'usikker'))
+SELECT * FROM r WHERE label IS NOT NULL
+"""
+ORACLE["select_columns"] = f"WITH {CORPUS_CTE} SELECT doc_id, label, group_id FROM corpus"
+ORACLE["drop_columns_by_prefix"] = "SELECT doc_id, lang, source FROM documents"
+ORACLE["word_count"] = f"SELECT doc_id, {WORDS} AS n_words FROM documents"
+ORACLE["filter_min_words"] = f"SELECT doc_id, {WORDS} AS n_words FROM documents WHERE text IS NOT NULL AND {WORDS} >= 100"
+ORACLE["dedupe"] = f"""
+WITH {CORPUS_CTE}
+SELECT group_id, doc_id, lang, label FROM corpus
+QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY doc_id) = 1
+"""
+ORACLE["valid_vectors"] = """
+SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+"""
+ORACLE["require_not_null"] = f"WITH {CORPUS_CTE} SELECT doc_id FROM corpus WHERE label IS NOT NULL AND group_id IS NOT NULL"
+ORACLE["strip_part_suffix"] = f"WITH {CORPUS_CTE} SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id FROM corpus"
+ORACLE["fill_surrogate_group"] = f"WITH {CORPUS_CTE} SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id FROM corpus"
+ORACLE["filter_outliers"] = f"""
+WITH {TOKENS_CTE}, {STYL_CTE}
+SELECT doc_id FROM styl WHERE avg_sentlen < 100 AND noun_ttr < 6 AND nominal_verb_ratio < 12
+"""
+ORACLE["quarantine_empty"] = "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'rejected' ELSE 'ok' END AS status FROM documents"
+ORACLE["removal_report"] = f"""
+WITH {CORPUS_CTE}, c AS (SELECT *, {WORDS} AS n_words FROM corpus),
+n AS (SELECT count(*) AS n0, count_if(text IS NOT NULL) AS n1,
+             count_if(text IS NOT NULL AND label IS NOT NULL) AS n2,
+             count_if(text IS NOT NULL AND label IS NOT NULL AND n_words >= 100) AS n3 FROM c)
+SELECT 1::BIGINT AS step_no, 'has_text' AS step, n0 AS n_before, n1 AS n_after, n0 - n1 AS removed FROM n
+UNION ALL SELECT 2, 'labelled', n1, n2, n1 - n2 FROM n
+UNION ALL SELECT 3, 'min_words_100', n2, n3, n2 - n3 FROM n
+"""
+ORACLE["missing_profile"] = f"""
+WITH {CORPUS_CTE}
+SELECT 'doc_id' AS "column", count_if(doc_id IS NULL) AS n_null FROM corpus
+UNION ALL SELECT 'text', count_if(text IS NULL) FROM corpus
+UNION ALL SELECT 'lang', count_if(lang IS NULL) FROM corpus
+UNION ALL SELECT 'source', count_if(source IS NULL) FROM corpus
+UNION ALL SELECT 'label', count_if(label IS NULL) FROM corpus
+UNION ALL SELECT 'group_id', count_if(group_id IS NULL) FROM corpus
+"""
+ORACLE["attach_text"] = f"SELECT l.doc_id, l.quality, l.toxic, {WORDS} AS n_words FROM labels l LEFT JOIN documents d USING (doc_id)"
+ORACLE["label_embeddings_left"] = f"""
+WITH {CORPUS_CTE}
+SELECT e.vec_id AS doc_id, c.label, c.group_id, e.label AS emb_label FROM embeddings e
+LEFT JOIN corpus c ON c.doc_id = e.vec_id WHERE c.label IS NOT NULL
+"""
+ORACLE["label_embeddings"] = f"""
+WITH {CORPUS_CTE}
+SELECT e.vec_id AS doc_id, c.label, c.group_id, e.label AS emb_label FROM embeddings e JOIN corpus c ON c.doc_id = e.vec_id
+"""
+ORACLE["restrict_to_groups"] = f"""
+WITH {CORPUS_CTE}
+SELECT doc_id, group_id FROM corpus WHERE group_id IN (SELECT group_id FROM corpus WHERE label = 'b')
+"""
+ORACLE["attach_metadata"] = f"""
+WITH {D_TERMS}, {vocab_cte(100)}, {CORPUS_CTE},
+h AS (SELECT doc_id, term, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id, term)
+SELECT h.doc_id, h.term, round(h.n / len(d.terms), 6) AS rel_freq, c.label, c.group_id
+FROM h JOIN d USING (doc_id) LEFT JOIN corpus c ON c.doc_id = h.doc_id
+"""
+ORACLE["null_safe_join"] = f"""
+WITH {CORPUS_CTE}, s AS (SELECT group_id, count(*) AS group_size FROM corpus GROUP BY group_id)
+SELECT c.doc_id, c.group_id, s.group_size FROM corpus c JOIN s ON c.group_id IS NOT DISTINCT FROM s.group_id
+"""
