@@ -328,3 +328,66 @@ ORACLE["null_safe_join"] = f"""
 WITH {CORPUS_CTE}, s AS (SELECT group_id, count(*) AS group_size FROM corpus GROUP BY group_id)
 SELECT c.doc_id, c.group_id, s.group_size FROM corpus c JOIN s ON c.group_id IS NOT DISTINCT FROM s.group_id
 """
+
+
+# --------------------------------------------------------------------------
+# Sentiment (N1–N7) and the stylistics table
+# --------------------------------------------------------------------------
+
+_COST = "CAST(2 + ceil(length(w) / 4) AS BIGINT)"
+_PW = polarity_words()
+_LABEL_NORM = """CASE WHEN lower(trim(label)) IN ('positive', 'positiv', 'pos') THEN 'positive'
+                      WHEN lower(trim(label)) IN ('neutral', 'neutr', 'neut') THEN 'neutral'
+                      WHEN lower(trim(label)) IN ('negative', 'negativ', 'neg') THEN 'negative' END"""
+SENTI_CTE = f"""
+ch AS (SELECT doc_id, sent_id, sentence, regexp_extract_all(sentence, {q(r'\S+')}) AS ws FROM st),
+ch1 AS (SELECT doc_id, sent_id, sentence,
+               list_reduce(ws, lambda acc, w: CASE WHEN acc.cost_sum + {_COST} > 512
+                   THEN {{'done': list_append(acc.done, acc.cur), 'cur': w, 'cost_sum': {_COST}, 'nw': CAST(1 AS BIGINT)}}
+                   ELSE {{'done': acc.done, 'cur': CASE WHEN acc.nw = 0 THEN w ELSE acc.cur || ' ' || w END,
+                          'cost_sum': acc.cost_sum + {_COST}, 'nw': acc.nw + 1}} END,
+                   {{'done': CAST([] AS VARCHAR[]), 'cur': '', 'cost_sum': CAST(0 AS BIGINT), 'nw': CAST(0 AS BIGINT)}}) AS acc
+        FROM ch),
+ch2 AS (SELECT doc_id, sent_id, sentence,
+               list_filter(CASE WHEN acc.nw > 0 THEN list_append(acc.done, acc.cur) ELSE acc.done END, lambda x: x <> '') AS cl
+        FROM ch1),
+ch3 AS (SELECT doc_id, sent_id, CASE WHEN len(cl) = 1 THEN [sentence] ELSE cl END AS cl FROM ch2),
+chunks AS (SELECT doc_id, sent_id, generate_subscripts(cl, 1) - 1 AS chunk_id, unnest(cl) AS chunk FROM ch3),
+sc AS (SELECT doc_id, sent_id, chunk_id, regexp_extract_all(lower(chunk), {q(r'[\p{L}\p{N}_]+')}) AS toks FROM chunks),
+sc1 AS (SELECT doc_id, sent_id, chunk_id, len(list_filter(toks, lambda w: w IN {lst(_PW['positive'])})) AS p,
+               len(list_filter(toks, lambda w: w IN {lst(_PW['negative'])})) AS n FROM sc),
+scored AS (SELECT doc_id, sent_id, chunk_id,
+                  CASE WHEN p > n THEN 'positive' WHEN n > p THEN 'negative' ELSE 'neutral' END AS label,
+                  CASE WHEN p + n > 0 THEN abs(p - n) / (p + n) ELSE 0.0 END AS score FROM sc1),
+signed AS (SELECT doc_id, sent_id, chunk_id, {_LABEL_NORM} AS label_norm,
+                  CASE {_LABEL_NORM} WHEN 'positive' THEN score WHEN 'neutral' THEN 0.0 WHEN 'negative' THEN -score END AS signed
+           FROM scored),
+summ AS (SELECT doc_id, count(signed) AS n_scores,
+                CASE WHEN count(signed) > 1 THEN avg(signed) END AS sentiment_mean,
+                CASE WHEN count(signed) > 1 THEN stddev_pop(signed) END AS sentiment_std,
+                CASE WHEN count(signed) > 1 THEN avg(abs(signed)) END AS sentiment_abs
+         FROM signed GROUP BY doc_id)
+"""
+_S = f"WITH {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}"
+ORACLE["chunk_words"] = f"{_S} SELECT doc_id, sent_id, chunk_id, chunk FROM chunks"
+ORACLE["cap_max_len"] = "SELECT doc_id, n_chars, CASE WHEN n_chars > 2000 THEN 512 ELSE n_chars END AS max_len FROM documents"
+ORACLE["score_chunks"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label, round(score, 6) AS score FROM scored"
+ORACLE["normalize_sentiment_label"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label_norm FROM signed"
+ORACLE["signed_score"] = f"{_S} SELECT doc_id, sent_id, chunk_id, round(signed, 6) AS signed FROM signed"
+ORACLE["sentiment_series"] = f"""{_S}
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, chunk_id) - 1 AS pos, round(signed, 6) AS score
+FROM signed
+"""
+ORACLE["sentiment_summary"] = f"""{_S}
+SELECT doc_id, n_scores, round(sentiment_mean, 6) AS sentiment_mean, round(sentiment_std, 6) AS sentiment_std,
+       round(sentiment_abs, 6) AS sentiment_abs FROM summ
+"""
+_F23 = ["nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun_ratio", "function_word_ratio",
+        "of_ratio", "that_ratio", "past_tense_ratio", "present_tense_ratio", "passive_ratio", "active_ratio",
+        "adjective_adverb_ratio", "avg_wordlen", "avg_sentlen", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd",
+        "sentiment_mean", "sentiment_std", "sentiment_abs"]
+STYLISTICS_TABLE_SQL = f"""{_S}, {CORPUS_CTE}
+SELECT s.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents, c.group_id, c.label
+FROM styl s LEFT JOIN summ USING (doc_id) LEFT JOIN corpus c ON c.doc_id = s.doc_id
+"""
+ORACLE["stylistics_table"] = STYLISTICS_TABLE_SQL

@@ -1 +1,76 @@
-"""Queries (placeholder, filled below)."""
+"""Queries for N1–N7 (sentiment) on sentences rebuilt from the token table, and F23."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import sentiment as sn, stylistics as st
+from ..sources import bindings
+from .q_stylistics import tokens
+from .registry import finish, register
+
+
+def _sentences(spark, sf):
+    return st.sentence_text(tokens(spark, sf))
+
+
+def _signed(spark, sf):
+    return sn.signed_scores(sn.score_chunks(sn.chunk_table(_sentences(spark, sf))))
+
+
+@register("chunk_words")
+def q_chunk_words(spark, sf):
+    """Chunks of at most 512 estimated subword tokens per sentence."""
+    return finish(sn.chunk_table(_sentences(spark, sf)))
+
+
+@register("cap_max_len")
+def q_cap_max_len(spark, sf):
+    """The model-limit cap applied to a length column."""
+    d = bindings.table(spark, sf, "documents").select("doc_id", "n_chars")
+    return finish(d.select("doc_id", "n_chars", sn.model_max_len("n_chars").alias("max_len")))
+
+
+@register("score_chunks")
+def q_score_chunks(spark, sf):
+    """Built-in lexicon scorer per chunk."""
+    return finish(sn.score_chunks(sn.chunk_table(_sentences(spark, sf))))
+
+
+@register("normalize_sentiment_label")
+def q_normalize_sentiment_label(spark, sf):
+    """Normalised chunk labels."""
+    return finish(_signed(spark, sf).select("doc_id", "sent_id", "chunk_id", "label_norm"))
+
+
+@register("signed_score")
+def q_signed_score(spark, sf):
+    """Signed chunk scores."""
+    return finish(_signed(spark, sf).select("doc_id", "sent_id", "chunk_id", "signed"))
+
+
+@register("sentiment_series")
+def q_sentiment_series(spark, sf):
+    """The ordered series per document, listed as (doc_id, pos, score)."""
+    s = sn.sentiment_series(_signed(spark, sf))
+    return finish(s.select("doc_id", F.posexplode("sentiment").alias("pos", "score")))
+
+
+@register("sentiment_summary")
+def q_sentiment_summary(spark, sf):
+    """Mean / population std / mean absolute score, null below two scores."""
+    s = sn.sentiment_summary(_signed(spark, sf))
+    return finish(s.select("doc_id", "n_scores", "sentiment_mean", "sentiment_std", "sentiment_abs"))
+
+
+@register("stylistics_table")
+def q_stylistics_table(spark, sf):
+    """all SQL-checkable measures + sentiment summary + corpus group and label.
+
+    (The compression ratio is checked by its own query; the series by N6.)
+    """
+    tok = tokens(spark, sf)
+    senti = sn.sentiment_summary(sn.signed_scores(sn.score_chunks(sn.chunk_table(st.sentence_text(tok)))))
+    corpus = bindings.corpus(spark, sf, with_text=False)
+    t = st.stylistics_table(tok, corpus=corpus, sentiment=senti.drop("n_scores"), with_compression=False)
+    return finish(t.drop("sentiment", "compression_ratio"))
