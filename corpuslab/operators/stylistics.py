@@ -14,6 +14,7 @@ import bz2
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexicon import (FUNCTION_WORD_POS, NOMINAL_POS, NON_WORD_POS, OF_WORDS,
                                  THAT_WORDS)
@@ -213,7 +214,7 @@ def compression_selection(sentences: DataFrame, skip: int = 10, take: int = 40,
                                           lambda x: x["sentence"]), " ").alias("selected_text")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def bz2_ratio(texts: pd.Series) -> pd.Series:
     """UTF-8 bytes / bz2 (level 9) bytes, per row of an Arrow batch."""
     out = []
@@ -233,28 +234,149 @@ def compression_ratio(sentences: DataFrame, **kw) -> DataFrame:
     return sel.select("doc_id", bz2_ratio("selected_text").alias("compression_ratio"))
 
 
-# --- F23: the stylistics table --------------------------------------------------
+# --- F23: the stylistics table (one pass over the token table) ----------------------
 
-def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None,
-                     sentiment: DataFrame | None = None, legacy_swap: bool = False,
-                     with_compression: bool = True) -> DataFrame:
-    """all measures per document, plus sentiment and corpus metadata.
+def _signed_chunk_scores(sentence, max_len, cost):
+    """Signed lexicon scores of the chunks of one sentence (array<double>)."""
+    from .sentiment import chunk_words, lexicon_score
+    from ..functions.text import signed_score
 
-    ``sentiment`` is the output of ``sentiment.sentiment_summary`` (optional);
-    ``corpus`` supplies ``group_id`` and ``label`` (optional, joined on doc_id).
+    scored = F.transform(chunk_words(sentence, max_len, cost), lambda c: lexicon_score(c))
+    return F.transform(scored, lambda x: signed_score(x["label"], x["score"]))
+
+
+def sentence_summary(tokens: DataFrame, of_words=OF_WORDS, that_words=THAT_WORDS,
+                     sentiment: bool = True, max_len: int = 512, cost: str = "subword") -> DataFrame:
+    """Per-sentence counts, dependency sums, ordered word list, lemma sets, text and chunk scores.
+
+    One aggregate keyed (doc_id, sent_id): no exchange when tokens are partitioned by doc_id.
+    """
+    kept = ~F.col("is_punct") & (F.col("pos") != "SPACE")
+    c = F.count_if
+    ss = tokens.groupBy("doc_id", "sent_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        c(is_word()).alias("n_words"),
+        c(F.col("pos") == "NOUN").alias("n_noun"),
+        c(is_verb()).alias("n_verb"),
+        c(F.col("pos") == "ADJ").alias("n_adj"),
+        c(F.col("pos") == "ADV").alias("n_adv"),
+        c(is_nominal()).alias("n_nominal"),
+        c(is_verb() & (_morph().contains("Voice=Act") | _morph().contains("Voice=Pass"))).alias("n_voiced"),
+        c(verb_with("Voice=Pass")).alias("n_passive"),
+        c(verb_with("Voice=Act")).alias("n_active"),
+        c(verb_with("Tense=Past")).alias("n_past"),
+        c(verb_with("Tense=Pres")).alias("n_present"),
+        c(is_personal_pronoun()).alias("n_prs"),
+        c(is_function_word()).alias("n_function"),
+        c(is_of_like(of_words)).alias("n_of"),
+        c(is_that_like(that_words)).alias("n_that"),
+        F.sum(F.when(is_word(), F.length("token_text"))).alias("word_chars"),
+        c(kept).alias("n_kept"),
+        F.sum(F.when(kept, F.abs(F.col("token_i") - F.col("head_i")))).alias("dd_sum"),
+        F.min(F.when(kept & (F.col("dep") == "ROOT"), F.col("token_i"))).alias("root_i"),
+        F.min(F.when(kept, F.col("token_i"))).alias("start_i"),
+        F.array_sort(F.collect_list(F.struct("token_i", "token_text", is_word().alias("w"), "pos", "lemma")))
+        .alias("toks"),
+    )
+    valid = (F.col("n_kept") > 0) & F.col("root_i").isNotNull()
+    mdd = F.when(valid, F.col("dd_sum") / F.col("n_kept"))
+    root_dist = F.col("root_i") - F.col("start_i")
+    ndd = F.when((mdd > 0) & (root_dist >= 0), F.abs(F.log(mdd / F.sqrt((root_dist + 1) * F.col("n_kept")))))
+    sentence = F.array_join(F.transform("toks", lambda x: x["token_text"]), " ")
+    lemmas = lambda p: F.array_distinct(F.transform(F.filter("toks", lambda x: x["pos"] == p),
+                                                    lambda x: x["lemma"]))
+    counts = [f for f in ss.columns if f.startswith("n_") or f == "word_chars"]
+    out = ss.select("doc_id", "sent_id", *counts, mdd.alias("mdd"), ndd.alias("ndd"), sentence.alias("sentence"),
+                    F.transform(F.filter("toks", lambda x: x["w"]), lambda x: x["token_text"]).alias("words"),
+                    lemmas("NOUN").alias("noun_lemmas"), lemmas("VERB").alias("verb_lemmas"))
+    if sentiment:
+        out = out.withColumn("signed", _signed_chunk_scores(F.col("sentence"), max_len, cost))
+    return out
+
+
+def _msttr_expr(words, window: int = 100):
+    n = F.size(words)
+    nseg = F.floor(n / F.lit(window)).cast("int")
+    seg_sum = F.aggregate(F.sequence(F.lit(0), F.greatest(nseg - 1, F.lit(0))), F.lit(0.0),
+                          lambda acc, k: acc + F.size(F.array_distinct(F.slice(words, k * window + 1, window)))
+                          / F.lit(float(window)))
+    return (F.when(n == 0, F.lit(0.0))
+            .when(n <= window, F.size(F.array_distinct(words)) / n)
+            .otherwise(seg_sum / nseg))
+
+
+def document_measures(sent: DataFrame, legacy_swap: bool = False, sentiment: bool = True,
+                      skip: int = 10, take: int = 40, long_doc: int = 50) -> DataFrame:
+    """All per-document measures from ``sentence_summary`` (one aggregate keyed doc_id)."""
+    counts = [f for f in sent.columns if f.startswith("n_") or f == "word_chars"]
+    fields = ["sent_id", "sentence", "words", "noun_lemmas", "verb_lemmas"] + (["signed"] if sentiment else [])
+    d = sent.groupBy("doc_id").agg(
+        *[F.sum(c).alias(c) for c in counts],
+        F.avg(F.col("n_tokens").cast("double")).alias("avg_sentlen"),
+        F.count(F.lit(1)).alias("num_sents"),
+        F.avg("ndd").alias("avg_ndd"), F.stddev_pop("ndd").alias("std_ndd"),
+        F.avg("mdd").alias("avg_mdd"), F.stddev_pop("mdd").alias("std_mdd"),
+        F.array_sort(F.collect_list(F.struct(*fields))).alias("sents"))
+    words = F.flatten(F.transform("sents", lambda x: x["words"]))
+    nl = F.size(F.array_distinct(F.flatten(F.transform("sents", lambda x: x["noun_lemmas"]))))
+    vl = F.size(F.array_distinct(F.flatten(F.transform("sents", lambda x: x["verb_lemmas"]))))
+    texts = F.transform("sents", lambda x: x["sentence"])
+    selected = F.array_join(F.when(F.size(texts) > long_doc, F.slice(texts, skip + 1, take))
+                            .otherwise(F.slice(texts, 1, take)), " ")
+    act, pas = ("n_passive", "n_active") if legacy_swap else ("n_active", "n_passive")
+    cols = [
+        _ratio(F.col("n_nominal") + F.col("n_noun"), F.col("n_verb")).alias("nominal_verb_ratio"),
+        _msttr_expr(words).alias("msttr"),
+        _ratio(nl, F.col("n_noun")).alias("noun_ttr"),
+        _ratio(vl, F.col("n_verb")).alias("verb_ttr"),
+        _ratio(F.col("n_prs"), F.col("n_tokens")).alias("personal_pronoun_ratio"),
+        _ratio(F.col("n_function"), F.col("n_tokens")).alias("function_word_ratio"),
+        _ratio(F.col("n_of"), F.col("n_tokens")).alias("of_ratio"),
+        _ratio(F.col("n_that"), F.col("n_tokens")).alias("that_ratio"),
+        F.when(F.col("n_past") > 0, _ratio(F.col("n_past"), F.col("n_verb"))).alias("past_tense_ratio"),
+        F.when(F.col("n_present") > 0, _ratio(F.col("n_present"), F.col("n_verb"))).alias("present_tense_ratio"),
+        _ratio(F.col(pas), F.col("n_voiced")).alias("passive_ratio"),
+        _ratio(F.col(act), F.col("n_voiced")).alias("active_ratio"),
+        _ratio(F.col("n_adj") + F.col("n_adv"), F.col("n_words")).alias("adjective_adverb_ratio"),
+        _ratio(F.col("word_chars"), F.col("n_words")).alias("avg_wordlen"),
+        "avg_sentlen", "num_sents", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd",
+        selected.alias("selected_text"),
+    ]
+    if sentiment:
+        series = F.flatten(F.transform("sents", lambda x: x["signed"]))
+        cols.append(series.alias("sentiment"))
+    out = d.select("doc_id", *cols)
+    if sentiment:
+        n = F.size("sentiment")
+        mean = F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + x) / n
+        many = n > 1
+        out = out.select("*", F.when(many, mean).alias("sentiment_mean")) \
+            .select("*", F.when(many, F.sqrt(F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + (x - F.col(
+                "sentiment_mean")) * (x - F.col("sentiment_mean"))) / n)).alias("sentiment_std"),
+                F.when(many, F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + F.abs(x)) / n)
+                .alias("sentiment_abs"))
+    return out
+
+
+def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None, sentiment: bool = True,
+                     legacy_swap: bool = False, with_compression: bool = True,
+                     max_len: int = 512, cost: str = "subword") -> DataFrame:
+    """all measures per document, plus the sentiment series/summary and corpus metadata.
+
+    The token table is read once: one sentence-level and one document-level
+    aggregate (both without exchange on a doc_id-partitioned token table), then
+    the Arrow bz2 UDF on the selected text and a join with the corpus metadata.
     """
-    out = (pos_measures(tokens, legacy_swap=legacy_swap)
-           .join(msttr(tokens), "doc_id")
-           .join(sentence_measures(tokens), "doc_id"))
+    sent = sentence_summary(tokens, sentiment=sentiment, max_len=max_len, cost=cost)
+    out = document_measures(sent, legacy_swap=legacy_swap, sentiment=sentiment)
     if with_compression:
-        out = out.join(compression_ratio(sentence_text(tokens)), "doc_id", "left")
+        out = out.withColumn("compression_ratio", bz2_ratio("selected_text"))
     else:
         out = out.withColumn("compression_ratio", F.lit(None).cast("double"))
     cols = ["doc_id"] + MEASURES
-    if sentiment is not None:
-        out = out.join(sentiment, "doc_id", "left")
+    if sentiment:
         cols += ["sentiment", "sentiment_mean", "sentiment_std", "sentiment_abs"]
+    out = out.select(*cols)
     if corpus is not None:
         out = out.join(corpus.select("doc_id", "group_id", "label"), "doc_id", "left")
-        cols += ["group_id", "label"]
-    return out.select(*cols)
+    return out

@@ -391,3 +391,87 @@ SELECT s.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents
 FROM styl s LEFT JOIN summ USING (doc_id) LEFT JOIN corpus c ON c.doc_id = s.doc_id
 """
 ORACLE["stylistics_table"] = STYLISTICS_TABLE_SQL
+
+
+# --------------------------------------------------------------------------
+# Descriptive statistics
+# --------------------------------------------------------------------------
+
+DESC_FEATURES = [
+    "nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun_ratio", "function_word_ratio",
+    "of_ratio", "that_ratio", "passive_ratio", "active_ratio", "adjective_adverb_ratio", "avg_wordlen",
+    "avg_sentlen", "avg_ndd", "std_ndd", "sentiment_mean", "sentiment_std", "sentiment_abs",
+]
+_UNPIVOT = " UNION ALL ".join(
+    f"SELECT doc_id, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM dsc" for f in DESC_FEATURES)
+DESC_CTE = f"""{TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {CORPUS_CTE},
+dsc AS (SELECT s.*, summ.sentiment_mean, summ.sentiment_std, summ.sentiment_abs, c.label
+        FROM styl s LEFT JOIN summ USING (doc_id) LEFT JOIN corpus c ON c.doc_id = s.doc_id
+        JOIN documents d ON d.doc_id = s.doc_id
+        WHERE CASE WHEN d.text IS NULL THEN 1 ELSE {WORDS.replace('text', 'd.text')} END > 100),
+lg AS ({_UNPIVOT}),
+cs AS (SELECT feature,
+              count(CASE WHEN label = 'a' THEN value END) AS n_a, avg(CASE WHEN label = 'a' THEN value END) AS mean_a,
+              stddev_samp(CASE WHEN label = 'a' THEN value END) AS std_a, var_samp(CASE WHEN label = 'a' THEN value END) AS var_a,
+              count(CASE WHEN label = 'b' THEN value END) AS n_b, avg(CASE WHEN label = 'b' THEN value END) AS mean_b,
+              stddev_samp(CASE WHEN label = 'b' THEN value END) AS std_b, var_samp(CASE WHEN label = 'b' THEN value END) AS var_b
+       FROM lg WHERE label IN ('a', 'b') GROUP BY feature)
+"""
+ORACLE["class_counts"] = f"WITH {CORPUS_CTE} SELECT label, count(*) AS n FROM corpus GROUP BY label"
+ORACLE["text_length_by_class"] = f"""
+WITH {CORPUS_CTE}, c AS (SELECT label, CASE WHEN text IS NULL THEN 1 ELSE {WORDS} END AS n_words FROM corpus)
+SELECT label, count(*) AS n, round(avg(n_words), 6) AS mean_len, round(stddev_samp(n_words), 6) AS std_len
+FROM c WHERE n_words > 100 AND label IS NOT NULL GROUP BY label
+"""
+ORACLE["feature_stats_by_class"] = f"""WITH {DESC_CTE}
+SELECT feature, n_a, round(mean_a, 6) AS mean_a, round(std_a, 6) AS std_a, n_b, round(mean_b, 6) AS mean_b,
+       round(std_b, 6) AS std_b FROM cs
+"""
+ORACLE["join_stat_frames"] = f"""WITH {DESC_CTE}
+SELECT feature, round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(std_a, 6) AS std_a,
+       round(std_b, 6) AS std_b FROM cs
+"""
+ORACLE["pooled_t_test"] = f"""WITH {DESC_CTE}
+SELECT feature, round((mean_a - mean_b) / nullif(sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / nullif(n_a + n_b - 2, 0)
+                       * (1.0 / n_a + 1.0 / n_b)), 0), 6) AS t_stat,
+       CAST(n_a + n_b - 2 AS BIGINT) AS df FROM cs
+"""
+ORACLE["histogram"] = f"""WITH {DESC_CTE},
+l2 AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL),
+rng AS (SELECT feature, min(value) AS lo_all, max(value) AS hi_all FROM l2 GROUP BY feature),
+j AS (SELECT l2.*, rng.lo_all, (rng.hi_all - rng.lo_all) / 10 AS width FROM l2 JOIN rng USING (feature)),
+b AS (SELECT feature, label, lo_all, width,
+             CAST(CASE WHEN width > 0 THEN least(floor((value - lo_all) / width), 9) ELSE 0 END AS BIGINT) AS bin FROM j),
+h AS (SELECT feature, label, bin, lo_all, width, count(*) AS n FROM b GROUP BY ALL)
+SELECT feature, label, bin, round(lo_all + bin * width, 6) AS lo, round(lo_all + (bin + 1) * width, 6) AS hi, n,
+       round(n / (sum(n) OVER (PARTITION BY feature, label) * nullif(width, 0)), 6) AS density FROM h
+"""
+ORACLE["kde"] = f"""WITH {DESC_CTE},
+l2 AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL),
+rng AS (SELECT feature, min(value) AS lo_all, max(value) AS hi_all FROM l2 GROUP BY feature),
+j AS (SELECT l2.*, rng.lo_all, rng.hi_all, (rng.hi_all - rng.lo_all) / 256 AS fw FROM l2 JOIN rng USING (feature)),
+bn AS (SELECT feature, label, lo_all, hi_all, fw,
+              CAST(CASE WHEN fw > 0 THEN least(floor((value - lo_all) / fw), 255) ELSE 0 END AS BIGINT) AS fbin FROM j),
+binned AS (SELECT feature, label, fbin, lo_all, hi_all, fw, count(*) AS cnt FROM bn GROUP BY ALL),
+kst AS (SELECT feature, label, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS bw FROM l2 GROUP BY ALL),
+bs AS (SELECT b.*, kst.n, kst.bw, b.lo_all + (b.fbin + 0.5) * b.fw AS c, (b.hi_all - b.lo_all) / 63 AS step
+       FROM binned b JOIN kst USING (feature, label) WHERE kst.bw > 0),
+ex AS (SELECT bs.*, g.g FROM bs, range(0, 64) AS g(g))
+SELECT feature, label, g, round(lo_all + g * step, 6) AS x,
+       round(sum(cnt * exp(-0.5 * pow((lo_all + g * step - c) / bw, 2))) / (n * bw * sqrt(2 * pi())), 6) AS density
+FROM ex GROUP BY feature, label, g, n, bw, lo_all, step
+"""
+ORACLE["describe_numeric"] = f"""WITH {DESC_CTE},
+l2 AS (SELECT feature, CASE WHEN NOT isnan(value) THEN value END AS value FROM lg)
+SELECT feature, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
+FROM l2 GROUP BY feature
+"""
+ORACLE["describe_categorical"] = f"""WITH {CORPUS_CTE},
+lg AS (SELECT 'lang' AS "column", lang AS value FROM corpus UNION ALL SELECT 'source', source FROM corpus
+       UNION ALL SELECT 'label', label FROM corpus UNION ALL SELECT 'group_id', group_id FROM corpus),
+vc AS (SELECT "column", value, count(*) AS n FROM lg WHERE value IS NOT NULL GROUP BY ALL)
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS unique, arg_min(value, (-n, value)) AS top, max(n) AS freq
+FROM vc GROUP BY "column"
+"""

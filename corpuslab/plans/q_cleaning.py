@@ -98,7 +98,7 @@ def q_fill_surrogate_group(spark, sf):
 def q_filter_outliers(spark, sf):
     """Sentence length < 100, noun TTR < 6, nominal/verb ratio < 12 on the stylistics table."""
     tok = annotate.token_table(bindings.table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    styl = st.stylistics_table(tok, with_compression=False)
+    styl = st.stylistics_table(tok, sentiment=False, with_compression=False)
     return finish(cl.filter_outliers(styl, {"avg_sentlen": 100, "noun_ttr": 6, "nominal_verb_ratio": 12})
                   .select("doc_id"))
 

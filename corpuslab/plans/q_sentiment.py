@@ -69,8 +69,6 @@ def q_stylistics_table(spark, sf):
 
     (The compression ratio is checked by its own query; the series by N6.)
     """
-    tok = tokens(spark, sf)
-    senti = sn.sentiment_summary(sn.signed_scores(sn.score_chunks(sn.chunk_table(st.sentence_text(tok)))))
     corpus = bindings.corpus(spark, sf, with_text=False)
-    t = st.stylistics_table(tok, corpus=corpus, sentiment=senti.drop("n_scores"), with_compression=False)
+    t = st.stylistics_table(tokens(spark, sf), corpus=corpus, with_compression=False)
     return finish(t.drop("sentiment", "compression_ratio"))

@@ -63,3 +63,10 @@ def q_compression_selection(spark, sf):
 def q_compression_ratio(spark, sf):
     """UTF-8 bytes / bz2 bytes of the selected sentences (Arrow UDF)."""
     return finish(st.compression_ratio(st.sentence_text(tokens(spark, sf))))
+
+
+@register("compression_ratio_fused", oracle=False)
+def q_compression_ratio_fused(spark, sf):
+    """F21 through the one-pass stylistics table (must equal ``compression_ratio``)."""
+    t = st.stylistics_table(tokens(spark, sf), sentiment=False)
+    return finish(t.select("doc_id", "compression_ratio"))
