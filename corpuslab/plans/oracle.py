@@ -475,3 +475,115 @@ vc AS (SELECT "column", value, count(*) AS n FROM lg WHERE value IS NOT NULL GRO
 SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS unique, arg_min(value, (-n, value)) AS top, max(n) AS freq
 FROM vc GROUP BY "column"
 """
+
+
+# --------------------------------------------------------------------------
+# Splits (B1–B7) and evaluation
+# --------------------------------------------------------------------------
+
+SPLITS_CTE = f"""{CORPUS_CTE},
+c0 AS (SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id, label FROM corpus WHERE label IS NOT NULL),
+bal AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'))
+        <= (SELECT min(n) FROM (SELECT count(*) AS n FROM c0 GROUP BY label))),
+sg AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal),
+per AS (SELECT group_id, label, count(*) AS n FROM sg GROUP BY ALL),
+grp AS (SELECT group_id, sum(n) AS size, arg_min(label, (-n, label)) AS stratum FROM per GROUP BY group_id),
+rk AS (SELECT group_id, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5(group_id || '-group-42')) - 1 AS r
+       FROM grp),
+gf AS (SELECT group_id, CAST(CASE WHEN floor(r / 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold FROM rk),
+folds AS (SELECT sg.doc_id, sg.group_id, sg.label, gf.fold FROM sg JOIN gf USING (group_id)),
+preds AS (SELECT f.fold, f.doc_id, f.label, CASE WHEN l.toxic = 1 THEN 'b' ELSE 'a' END AS prediction
+          FROM folds f JOIN labels l USING (doc_id))
+"""
+ORACLE["balance_classes"] = f"WITH {SPLITS_CTE} SELECT doc_id, label FROM bal"
+ORACLE["shuffle"] = f"WITH {SPLITS_CTE} SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '-shuffle-42') AS shuffle_key FROM c0"
+ORACLE["stratified_group_folds"] = f"WITH {SPLITS_CTE} SELECT doc_id, group_id, label, fold FROM folds"
+ORACLE["fold_balance"] = f"""WITH {SPLITS_CTE}, t AS (SELECT fold, label, count(*) AS n_test FROM folds GROUP BY ALL)
+SELECT fold, label, n_test, CAST(sum(n_test) OVER (PARTITION BY label) - n_test AS BIGINT) AS n_train FROM t
+"""
+ORACLE["sample_groups"] = f"""WITH {CORPUS_CTE},
+c AS (SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id FROM corpus),
+ids AS (SELECT group_id FROM (SELECT DISTINCT group_id FROM c WHERE group_id IS NOT NULL)
+        ORDER BY md5(group_id || '-sample-42') LIMIT 5)
+SELECT doc_id, group_id FROM c WHERE group_id IN (SELECT group_id FROM ids)
+"""
+ORACLE["concat_classes"] = f"WITH {SPLITS_CTE} SELECT doc_id, label FROM c0 WHERE label IN ('a', 'b')"
+ORACLE["distinct_groups"] = f"WITH {CORPUS_CTE} SELECT count(DISTINCT group_id) AS n_groups FROM corpus"
+ORACLE["accuracy"] = f"""WITH {SPLITS_CTE}
+SELECT fold, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM preds GROUP BY fold
+"""
+CLASS_REPORT_CTE = f"""{SPLITS_CTE},
+conf AS (SELECT fold, label, prediction, count(*) AS n FROM preds GROUP BY ALL),
+parts AS (SELECT fold, label AS cls, CASE WHEN label = prediction THEN n ELSE 0 END AS tp, n AS n_true, 0 AS n_pred FROM conf
+          UNION ALL SELECT fold, prediction, 0, 0, n FROM conf),
+perc AS (SELECT fold, cls, sum(tp) AS tp, sum(n_true) AS support, sum(n_pred) AS n_pred FROM parts GROUP BY ALL),
+rep AS (SELECT fold, cls AS class, coalesce(tp / nullif(n_pred, 0), 0.0) AS precision,
+               coalesce(tp / nullif(support, 0), 0.0) AS recall, CAST(support AS BIGINT) AS support FROM perc),
+rep2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM rep)
+"""
+ORACLE["class_report"] = f"""WITH {CLASS_REPORT_CTE}
+SELECT fold, class, round(precision, 6) AS precision, round(recall, 6) AS recall, support, round(f1, 6) AS f1 FROM rep2
+"""
+ORACLE["cv_summary"] = f"""WITH {CLASS_REPORT_CTE},
+acc AS (SELECT fold, 'accuracy' AS metric, CAST(NULL AS VARCHAR) AS class,
+               avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM preds GROUP BY fold),
+lg AS (SELECT fold, 'precision' AS metric, class, precision AS value FROM rep2
+       UNION ALL SELECT fold, 'recall', class, recall FROM rep2 UNION ALL SELECT fold, 'f1', class, f1 FROM rep2
+       UNION ALL SELECT * FROM acc)
+SELECT metric, class, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(*) AS n_folds
+FROM lg GROUP BY metric, class
+"""
+ORACLE["contingency"] = "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source"
+
+
+def _ari_sql(src: str, u: str, v: str, by: str = "") -> str:
+    g = f"{by}, " if by else ""
+    gb = f"GROUP BY {by}" if by else ""
+    j = f"USING ({by})" if by else "ON TRUE"
+    return f"""
+c AS (SELECT {g}{u} AS u, {v} AS v, count(*) AS n FROM {src} GROUP BY ALL),
+s AS (SELECT {g}CAST(sum(n) AS DOUBLE) AS N, CAST(sum(n * n) AS DOUBLE) AS S FROM c {gb}),
+a AS (SELECT {g}CAST(sum(x * x) AS DOUBLE) AS A FROM (SELECT {g}sum(n) AS x FROM c GROUP BY {g}u) {gb}),
+b AS (SELECT {g}CAST(sum(x * x) AS DOUBLE) AS B FROM (SELECT {g}sum(n) AS x FROM c GROUP BY {g}v) {gb}),
+t AS (SELECT {g}S - N AS tp, B - S AS fp, A - S AS fn, N * N - A - B + S AS tn FROM s JOIN a {j} JOIN b {j}),
+ari AS (SELECT {g}CASE WHEN fn = 0 AND fp = 0 THEN 1.0
+                  ELSE 2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)) END AS ari FROM t),
+rows_ AS (SELECT {g}u, sum(n) AS a FROM c GROUP BY {g}u),
+cols_ AS (SELECT {g}v, sum(n) AS b FROM c GROUP BY {g}v),
+tot AS (SELECT {g}sum(n) AS nt FROM c {gb}),
+mi AS (SELECT {g}sum(n / nt * ln(nt * n / (a * b))) AS mi FROM c JOIN rows_ USING ({g}u) JOIN cols_ USING ({g}v)
+       JOIN tot {j} {gb}),
+hu AS (SELECT {g}-sum(a / nt * ln(a / nt)) AS hu FROM rows_ JOIN tot {j} {gb}),
+hv AS (SELECT {g}-sum(b / nt * ln(b / nt)) AS hv FROM cols_ JOIN tot {j} {gb}),
+hc AS (SELECT {g}CASE WHEN hu > 0 THEN mi / hu ELSE 1.0 END AS homogeneity,
+              CASE WHEN hv > 0 THEN mi / hv ELSE 1.0 END AS completeness FROM mi JOIN hu {j} JOIN hv {j}),
+vm AS (SELECT *, CASE WHEN homogeneity + completeness > 0
+                      THEN 2.0 * homogeneity * completeness / (homogeneity + completeness) ELSE 0.0 END AS v_measure FROM hc),
+cnt AS (SELECT {g}count(DISTINCT {v}) AS n_clusters, count(DISTINCT {u}) AS n_groups FROM {src} {gb})
+"""
+
+
+ORACLE["adjusted_rand_index"] = f"""WITH {_ari_sql('documents', 'lang', 'source')}
+SELECT round(ari, 6) AS ari, round(ari, 3) AS ari_rounded FROM ari
+"""
+ORACLE["v_measure"] = f"""WITH {_ari_sql('documents', 'lang', 'source')}
+SELECT round(homogeneity, 6) AS homogeneity, round(completeness, 6) AS completeness,
+       round(v_measure, 6) AS v_measure, round(v_measure, 3) AS v_rounded FROM vm
+"""
+ORACLE["cluster_count_check"] = """
+WITH e AS (SELECT label, list_position(embedding, list_max(embedding)) AS cluster FROM embeddings)
+SELECT count(DISTINCT cluster) AS n_clusters, count(DISTINCT label) AS n_groups,
+       count(DISTINCT cluster) = count(DISTINCT label) AS same FROM e
+"""
+_MODELS = """
+ms AS (SELECT * FROM (VALUES ('m0', 1), ('m1', 17), ('m2', 33), ('m3', 49)) AS m(model, start)),
+asg AS (SELECT ms.model, e.vec_id AS doc_id, e.label AS emb_label,
+               list_position(e.embedding[ms.start:ms.start + 15], list_max(e.embedding[ms.start:ms.start + 15])) AS cluster
+        FROM embeddings e, ms)
+"""
+ORACLE["compare_embeddings"] = f"""WITH {_MODELS}, {_ari_sql('asg', 'emb_label', 'cluster', 'model')}
+SELECT model, round(ari, 6) AS ari, round(ari, 3) AS ari_rounded, round(homogeneity, 6) AS homogeneity,
+       round(completeness, 6) AS completeness, round(v_measure, 6) AS v_measure, round(v_measure, 3) AS v_rounded,
+       n_clusters, n_groups, n_clusters = n_groups AS same
+FROM ari JOIN vm USING (model) JOIN cnt USING (model)
+"""
