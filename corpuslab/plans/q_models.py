@@ -1 +1,76 @@
-"""Queries (placeholder, filled below)."""
+"""Queries for M1–M6 and the classification / clustering jobs (not SQL-expressible: rows-only)."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import models
+from .classification import classification_input, run_classification
+from .clustering import embedding_input, run_clustering, run_projection
+from .registry import finish, register
+
+
+@register("feature_vector", oracle=False)
+def q_feature_vector(spark, sf):
+    """M1: imputed + assembled stylistic vectors of the balanced rows."""
+    data, featurizer, names, _ = classification_input(spark, sf, "stylistics")
+    v = featurizer.fit(data)(data)
+    arr = vector_to_array("features")
+    return finish(v.select("doc_id", F.size(arr).alias("dim"),
+                           F.size(F.filter(arr, lambda x: F.isnan(x))).alias("n_nan")))
+
+
+@register("train_forest", oracle=False)
+def q_train_forest(spark, sf):
+    """M2: one forest on all balanced stylistic rows; tree count and total nodes."""
+    data, featurizer, names, classes = classification_input(spark, sf, "stylistics")
+    d = data.withColumn("_y", models.label_index("label", classes))
+    m = models.train_forest(featurizer.fit(d)(d))
+    return spark.createDataFrame([(len(m.trees), int(m.totalNumNodes), int(m.numFeatures))],
+                                 "n_trees bigint, total_nodes bigint, n_features bigint")
+
+
+@register("cross_validate", oracle=False)
+def q_cross_validate(spark, sf):
+    """M3: five-fold predictions on the stylistic features."""
+    preds, _summary, _imp = run_classification(spark, sf, "stylistics")
+    return finish(preds)
+
+
+@register("mean_importances", oracle=False)
+def q_mean_importances(spark, sf):
+    """M4: top-20 mean importances over folds (stylistic features)."""
+    _p, _s, imp = run_classification(spark, sf, "stylistics")
+    return finish(imp)
+
+
+@register("kmeans_by_truth", oracle=False)
+def q_kmeans_by_truth(spark, sf):
+    """M5: KMeans assignments per embedding model."""
+    return finish(run_clustering(spark, sf)[0])
+
+
+@register("project_2d", oracle=False)
+def q_project_2d(spark, sf):
+    """M6: 2-D map of a seeded sample of five groups."""
+    return finish(run_projection(spark, sf))
+
+
+@register("cluster_scores", oracle=False)
+def q_cluster_scores(spark, sf):
+    """E-3 job: ARI / V-measure / counts per embedding model after KMeans."""
+    return finish(run_clustering(spark, sf)[1])
+
+
+def _classify(feature_set, min_words=None):
+    def fn(spark, sf):
+        return finish(run_classification(spark, sf, feature_set, min_words)[1])
+    fn.__doc__ = f"E-2 job: CV summary for {feature_set}" + (f", >= {min_words} words" if min_words else "")
+    return fn
+
+
+for _fs in ("stylistics", "mfw_100", "mfw_500", "tfidf_5000", "embeddings"):
+    register(f"classify_{_fs}", oracle=False)(_classify(_fs))
+register("classify_stylistics_min100", oracle=False)(_classify("stylistics", 100))
+register("classify_embeddings_min100", oracle=False)(_classify("embeddings", 100))
