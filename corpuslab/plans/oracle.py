@@ -587,3 +587,40 @@ SELECT model, round(ari, 6) AS ari, round(ari, 3) AS ari_rounded, round(homogene
        n_clusters, n_groups, n_clusters = n_groups AS same
 FROM ari JOIN vm USING (model) JOIN cnt USING (model)
 """
+
+
+# --------------------------------------------------------------------------
+# Sources and sinks (S1–S8): round trips compared with the direct computation
+# --------------------------------------------------------------------------
+
+ORACLE["read_corpus"] = f"WITH {CORPUS_CTE} SELECT doc_id, text, label, group_id FROM corpus"
+_SENT_LENS = f"""
+sl AS (SELECT doc_id, list_filter(regexp_extract_all(text, {q(SENT_RE)}), lambda s: regexp_matches(s, {q(r"\S")})) AS ss
+       FROM documents),
+ln AS (SELECT doc_id, CASE WHEN len(ss) > 0 THEN to_json(list_transform(ss, lambda s: length(s)))::VARCHAR END AS sent_lengths
+       FROM sl)
+"""
+ORACLE["write_tsv"] = f"""WITH {_SENT_LENS}
+SELECT d.doc_id, d.lang, d.n_chars, ln.sent_lengths FROM documents d LEFT JOIN ln USING (doc_id)
+"""
+ORACLE["read_features_tsv"] = "SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang"
+ORACLE["write_tokens"] = f"WITH {TOKENS_CTE} SELECT doc_id, sent_id, token_i, token_text FROM tokens"
+ORACLE["read_tokens"] = f"""WITH {TOKENS_CTE}
+SELECT doc_id, count(*) AS n_tokens, max(sent_id) AS last_sent FROM tokens GROUP BY doc_id
+"""
+ORACLE["read_embeddings"] = """
+SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS dim, label AS emb_label,
+       round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda a, b: a + b, 0.0), 6) AS total
+FROM embeddings
+"""
+ORACLE["write_embeddings"] = f"""WITH {CORPUS_CTE}
+SELECT e.vec_id AS doc_id, c.label, CAST(len(e.embedding) AS BIGINT) AS dim FROM embeddings e
+JOIN corpus c ON c.doc_id = e.vec_id WHERE c.label IS NOT NULL
+"""
+ORACLE["read_embedding_sets"] = """
+WITH ms AS (SELECT * FROM (VALUES ('m0', 1), ('m1', 17), ('m2', 33), ('m3', 49)) AS m(model, start))
+SELECT ms.model, e.vec_id AS doc_id, CAST(len(e.embedding[ms.start:ms.start + 15]) AS BIGINT) AS dim,
+       round(list_reduce(list_transform(e.embedding[ms.start:ms.start + 15], lambda x: CAST(x AS DOUBLE)),
+                         lambda a, b: a + b, 0.0), 6) AS total
+FROM embeddings e, ms
+"""
