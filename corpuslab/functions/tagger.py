@@ -28,13 +28,28 @@ def lexicon_map() -> Column:
     return F.create_map(*args)
 
 
-def rule_index(lang: Column, low: Column) -> Column:
-    """1-based index of the first matching suffix rule, or null."""
-    expr = None
+def rule_index(lang: Column, low: Column, n_chars: Column | None = None) -> Column:
+    """1-based index of the first matching suffix rule, or null.
+
+    Dispatches on the language first, so a token only tries its own language's
+    rules. ``low`` / ``n_chars`` should be precomputed columns (struct fields).
+    """
+    n = F.length(low) if n_chars is None else n_chars
+    by_lang: dict[str, list] = {}
     for i, (rl, suf, _pos, _morph) in enumerate(suffix_rules(), start=1):
-        cond = (lang == F.lit(rl)) & low.endswith(suf) & (F.length(low) >= len(suf) + 2)
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+        by_lang.setdefault(rl, []).append((i, suf))
+    outer = None
+    for rl, rules in by_lang.items():
+        inner = None
+        for i, suf in rules:
+            cond = low.endswith(suf) & (n >= len(suf) + 2)
+            inner = F.when(cond, F.lit(i)) if inner is None else inner.when(cond, F.lit(i))
+        outer = F.when(lang == F.lit(rl), inner) if outer is None else outer.when(lang == F.lit(rl), inner)
+    return outer
+
+
+def lexicon_keys() -> list[str]:
+    return [f"{r[0]}\t{r[1]}" for r in lexicon_rows()]
 
 
 def _rule_arrays() -> tuple[Column, Column]:
@@ -43,14 +58,24 @@ def _rule_arrays() -> tuple[Column, Column]:
             F.array(*[F.lit(r[3]).cast("string") for r in rules]))
 
 
-def token_features(lang: Column, text: Column, j: Column, lex_map: Column) -> Column:
-    """Stage 1: struct of the raw facts about one token (computed once per token)."""
+def token_basics(text: Column, j: Column) -> Column:
+    """Stage 0: lower-case form and length, computed once per token."""
     low = F.lower(text)
+    return F.struct(text.alias("text"), low.alias("low"), F.length(low).alias("n"), j.alias("j"))
+
+
+def token_features(lang: Column, b: Column, lex_map: Column, lex_keys: list[str]) -> Column:
+    """Stage 1: struct of the raw facts about one token from its stage-0 struct ``b``.
+
+    The lexicon map is only probed when the key is in the (hashed) key set, so
+    the common open-class token costs one hash lookup, not a scan of the map.
+    """
+    text, low = b["text"], b["low"]
     first = F.substring(text, 1, 1)
+    key = F.concat(lang, F.lit("\t"), low)
     return F.struct(
-        text.alias("text"), low.alias("low"), j.alias("j"),
-        F.try_element_at(lex_map, F.concat(lang, F.lit("\t"), low)).alias("lex"),
-        rule_index(lang, low).alias("rule"),
+        text.alias("text"), low.alias("low"), b["n"].alias("n"), b["j"].alias("j"),
+        F.when(key.isin(*lex_keys), F.try_element_at(lex_map, key)).alias("lex"),
         (~text.rlike(WORD_CHAR_RE)).alias("is_punct"),
         text.rlike(NUMBER_RE).alias("is_num"),
         (first != F.lower(first)).alias("is_cap"),
@@ -58,35 +83,48 @@ def token_features(lang: Column, text: Column, j: Column, lex_map: Column) -> Co
 
 
 def tag_struct(lang: Column, x: Column, rule_pos: Column, rule_morph: Column) -> Column:
-    """Stage 2: POS, lemma, morph and stop flag from the stage-1 struct ``x``."""
+    """Stage 2: POS, lemma, morph and stop flag from the stage-1 struct ``x``.
+
+    The suffix rules are evaluated lazily (only for open-class tokens) and once:
+    the CASE returns the rule index, looked up in the small pos/morph arrays.
+    """
     cap_noun = x["is_cap"] & lang.isin(*NOUN_CAPITALISING_LANGS)
     cap_propn = x["is_cap"] & (x["j"] > 0)
     has_lex = x["lex"].isNotNull()
-    pos = (F.when(x["is_punct"], F.lit("PUNCT"))
-           .when(x["is_num"], F.lit("NUM"))
-           .when(has_lex, x["lex"]["pos"])
-           .when(cap_noun, F.lit("NOUN"))
-           .when(cap_propn, F.lit("PROPN"))
-           .when(x["rule"].isNotNull(), F.element_at(rule_pos, x["rule"]))
-           .otherwise(F.lit("NOUN")))
-    morph = (F.when(x["is_punct"] | x["is_num"], F.lit(None).cast("string"))
-             .when(has_lex, x["lex"]["morph"])
-             .when(cap_noun | cap_propn, F.lit(None).cast("string"))
-             .when(x["rule"].isNotNull(), F.element_at(rule_morph, x["rule"]))
-             .otherwise(F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+    pos0 = (F.when(x["is_punct"], F.lit("PUNCT")).when(x["is_num"], F.lit("NUM"))
+            .when(has_lex, x["lex"]["pos"]).when(cap_noun, F.lit("NOUN")).when(cap_propn, F.lit("PROPN"))
+            .otherwise(none))
+    morph0 = F.when(has_lex, x["lex"]["morph"]).otherwise(none)
+    rule = F.when(~x["is_punct"] & ~x["is_num"] & ~has_lex & ~F.coalesce(cap_noun | cap_propn, F.lit(False)),
+                  rule_index(lang, x["low"], x["n"]))
     return F.struct(
         x["text"].alias("text"), x["j"].alias("j"),
         F.coalesce(x["lex"]["lemma"], x["low"]).alias("lemma"),
-        pos.alias("pos"), morph.alias("morph"),
+        pos0.alias("pos0"), morph0.alias("morph0"), rule.alias("rule"),
         has_lex.alias("is_stop"), x["is_punct"].alias("is_punct"),
     )
 
 
+def finish_tag(x: Column, rule_pos: Column, rule_morph: Column) -> Column:
+    """Stage 3: resolve the rule index into POS / morph (default NOUN)."""
+    has_rule = x["rule"].isNotNull()  # element_at under ANSI is declared non-null: guard the null index
+    return F.struct(
+        x["text"].alias("text"), x["j"].alias("j"), x["lemma"].alias("lemma"),
+        F.when(x["pos0"].isNotNull(), x["pos0"]).when(has_rule, F.element_at(rule_pos, x["rule"]))
+        .otherwise(F.lit("NOUN")).alias("pos"),
+        F.when(x["pos0"].isNotNull(), x["morph0"]).when(has_rule, F.element_at(rule_morph, x["rule"]))
+        .otherwise(F.lit(None).cast("string")).alias("morph"),
+        x["is_stop"].alias("is_stop"), x["is_punct"].alias("is_punct"),
+    )
+
+
 def root_index(toks: Column) -> Column:
     """Baseline head rule: root = first VERB, else first non-punctuation token, else first token."""
     vp = F.array_position(F.transform(toks, lambda x: x["pos"] == F.lit("VERB")), True)
     npos = F.array_position(F.transform(toks, lambda x: ~x["is_punct"]), True)
-    return (F.when(vp > 0, vp - 1).when(npos > 0, npos - 1).otherwise(F.lit(0))).cast("int")
+    # positions are 1-based with 0 = absent: take the first present one
+    return (F.coalesce(F.nullif(vp, F.lit(0)), F.nullif(npos, F.lit(0)), F.lit(1)) - 1).cast("int")
 
 
 def rule_tables() -> tuple[Column, Column]:

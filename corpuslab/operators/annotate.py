@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tagger import lexicon_map, root_index, rule_tables, tag_struct, token_features
+from ..functions.tagger import (finish_tag, lexicon_keys, lexicon_map, root_index, rule_tables, tag_struct,
+                                token_basics, token_features)
 from ..functions.text import SENT_RE, TOKEN_RE, extract_all
 
 TOKEN_SCHEMA = T.StructType([
@@ -60,15 +61,20 @@ def segment_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       partition_by_doc: bool = False) -> DataFrame:
     """A1: (doc_id, sent_id, sentence) with a dense running sent_id from 0."""
     base = _slim(docs, id_col, text_col, None, partition_by_doc, None)
-    return base.select("doc_id", F.posexplode(_sentences(F.col("text"))).alias("sent_id", "sentence"))
+    # *_outer + null filter: a plain generator makes Catalyst infer size(array) > 0 and push it
+    # below the exchange, which evaluates the array expression twice.
+    return (base.select("doc_id", F.posexplode_outer(_sentences(F.col("text"))).alias("sent_id", "sentence"))
+            .where(F.col("sentence").isNotNull()))
 
 
 def _tagged_sentences(lang, text):
-    lex = lexicon_map()
+    lex, keys = lexicon_map(), lexicon_keys()
     rule_pos, rule_morph = rule_tables()
     raw = F.transform(_sentences(text), lambda s: extract_all(s, TOKEN_RE))
-    feats = F.transform(raw, lambda a: F.transform(a, lambda t, j: token_features(lang, t, j, lex)))
-    tagged = F.transform(feats, lambda a: F.transform(a, lambda x: tag_struct(lang, x, rule_pos, rule_morph)))
+    basics = F.transform(raw, lambda a: F.transform(a, lambda t, j: token_basics(t, j)))
+    feats = F.transform(basics, lambda a: F.transform(a, lambda b: token_features(lang, b, lex, keys)))
+    staged = F.transform(feats, lambda a: F.transform(a, lambda x: tag_struct(lang, x, rule_pos, rule_morph)))
+    tagged = F.transform(staged, lambda a: F.transform(a, lambda x: finish_tag(x, rule_pos, rule_morph)))
     return F.transform(tagged, lambda a: F.struct(a.alias("toks"), root_index(a).alias("r")))
 
 
@@ -88,7 +94,7 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.element_at(s["toks"], s["r"] + 1)["text"].alias("root_text"),
         x["text"].alias("text"), x["lemma"].alias("lemma"), x["pos"].alias("pos"),
         x["morph"].alias("morph"), x["is_stop"].alias("is_stop"), x["is_punct"].alias("is_punct")))))
-    ex = base.select("doc_id", F.posexplode(flat).alias("token_i", "t"))
+    ex = base.select("doc_id", F.posexplode_outer(flat).alias("token_i", "t")).where(F.col("t").isNotNull())
     is_root = F.col("t.j") == F.col("t.r")
     return ex.select(
         "doc_id",

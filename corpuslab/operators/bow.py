@@ -13,24 +13,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import vectorizer_terms
+from ..session import ensure_parallelism
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, terms array, n_terms) — the vectoriser view of each document."""
     terms = vectorizer_terms(F.col(text_col))
+    docs = ensure_parallelism(docs.select(id_col, text_col), id_col)
     return docs.select(F.col(id_col).alias("doc_id"), terms.alias("terms")) \
         .select("doc_id", "terms", F.size("terms").cast("bigint").alias("n_terms"))
 
 
+def _explode_terms(dt: DataFrame, *keep: str) -> DataFrame:
+    """One row per term occurrence.
+
+    ``explode_outer`` + a null filter: with a plain ``explode`` Catalyst infers
+    ``size(terms) > 0`` and pushes it below the exchange, evaluating the regex twice.
+    """
+    return (dt.select("doc_id", *keep, F.explode_outer("terms").alias("term"))
+            .where(F.col("term").isNotNull()))
+
+
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """V1: one row per (doc_id, position, term)."""
     return doc_terms(docs, id_col, text_col).select(
-        "doc_id", F.posexplode("terms").alias("pos", "term"))
+        "doc_id", F.posexplode_outer("terms").alias("pos", "term")).where(F.col("term").isNotNull())
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """V2: (doc_id, term, n) document-term counts."""
-    return (doc_terms(docs, id_col, text_col).select("doc_id", F.explode("terms").alias("term"))
+    return (_explode_terms(doc_terms(docs, id_col, text_col))
             .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -55,7 +67,7 @@ def mfw_relative(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
     rates are listed (sparse); a document without terms has no rows.
     """
     dt = doc_terms(docs, id_col, text_col)
-    ex = dt.select("doc_id", "n_terms", F.explode("terms").alias("term"))
+    ex = _explode_terms(dt, "n_terms")
     hits = ex.join(F.broadcast(vocab.select("term", "rank")), "term")
     return (hits.groupBy("doc_id", "term", "rank", "n_terms")
             .agg(F.count(F.lit(1)).alias("n"))
@@ -87,7 +99,7 @@ def tfidf(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: s
     """
     dt = doc_terms(docs, id_col, text_col)
     n_docs = dt.agg(F.count(F.lit(1)).alias("n_docs"))
-    ex = dt.select("doc_id", F.explode("terms").alias("term"))
+    ex = _explode_terms(dt)
     tf = (ex.join(F.broadcast(vocab.select("term")), "term")
           .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -125,7 +137,7 @@ def idf_table(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_co
     """(term, rank, idf) for a vocabulary (bounded by its size)."""
     dt = doc_terms(docs, id_col, text_col)
     n_docs = dt.agg(F.count(F.lit(1)).alias("n_docs"))
-    present = (dt.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+    present = (_explode_terms(dt.select("doc_id", F.array_distinct("terms").alias("terms")))
                .join(F.broadcast(vocab.select("term")), "term")
                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     return (vocab.select("term", "rank").join(present, "term", "left")

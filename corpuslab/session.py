@@ -64,3 +64,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def ensure_parallelism(df, key: str | None = None, min_partitions: int | None = None):
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A table stored as one large row group (as the test tables are) scans in a
+    single task; on a cluster the input already has many splits and this is a
+    no-op. With ``key`` the spread is a hash partitioning on it, so later
+    aggregates / windows keyed by it need no further exchange.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
