@@ -1,8 +1,17 @@
-"""Baseline part-of-speech tagger as Spark column expressions.
+"""Baseline part-of-speech tagger as Spark SQL expressions.
 
-Works on plain columns and on lambda variables inside ``transform``, so the
-annotator can tag a whole document inside one projection. Lexicon lookups use a
-small literal map (about 180 entries) that travels inside the plan.
+The tagger runs inside the annotator's higher-order functions (one projection
+per document). The expression is generated as Spark SQL text from the fixed
+tables in ``lexicon`` and handed to ``F.expr`` once: building the same tree
+through the Column API costs thousands of Py4J round trips per query plan.
+
+Stages per token (each stage materialises a struct so nothing is recomputed):
+0. text, lower-case form, its length, position in sentence;
+1. lexicon entry (the literal map is probed only if the hashed key set contains
+   the key), punctuation / number / capitalisation flags;
+2. POS / morph from the closed classes and capitalisation, else the index of the
+   first matching suffix rule of the token's language (evaluated lazily);
+3. the rule index resolved into POS / morph, default NOUN.
 
 This is a structural baseline (closed-class lexicon + suffix rules), not a
 statistical tagger; measures computed from it are exact for the token table it
@@ -11,121 +20,86 @@ produces, not linguistically validated.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from .lexicon import NOUN_CAPITALISING_LANGS, lexicon_rows, suffix_rules
 from .text import NUMBER_RE, WORD_CHAR_RE
 
 
-def lexicon_map() -> Column:
+def sql_str(s: str | None) -> str:
+    """Spark SQL string literal (backslash escapes on, the default parser mode)."""
+    if s is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\t", "\\t") + "'"
+
+
+def sql_list(items) -> str:
+    return "(" + ", ".join(sql_str(x) for x in items) + ")"
+
+
+def lexicon_map_sql() -> str:
     """map<'lang\\tform', struct<pos, lemma, morph>> literal."""
-    args = []
+    parts = []
     for lang, form, pos, lemma, morph in lexicon_rows():
-        args.append(F.lit(f"{lang}\t{form}"))
-        args.append(F.struct(F.lit(pos).alias("pos"), F.lit(lemma).alias("lemma"),
-                             F.lit(morph).cast("string").alias("morph")))
-    return F.create_map(*args)
+        parts.append(f"{sql_str(lang + chr(9) + form)}, named_struct('pos', {sql_str(pos)}, "
+                     f"'lemma', {sql_str(lemma)}, 'morph', {sql_str(morph)})")
+    return "map(" + ", ".join(parts) + ")"
+
 
+def lexicon_keys_sql() -> str:
+    return sql_list([f"{r[0]}\t{r[1]}" for r in lexicon_rows()])
 
-def rule_index(lang: Column, low: Column, n_chars: Column | None = None) -> Column:
-    """1-based index of the first matching suffix rule, or null.
 
-    Dispatches on the language first, so a token only tries its own language's
-    rules. ``low`` / ``n_chars`` should be precomputed columns (struct fields).
-    """
-    n = F.length(low) if n_chars is None else n_chars
+def rule_index_sql(lang: str, low: str, n: str) -> str:
+    """1-based index of the first matching suffix rule of the token's language, or NULL."""
     by_lang: dict[str, list] = {}
     for i, (rl, suf, _pos, _morph) in enumerate(suffix_rules(), start=1):
         by_lang.setdefault(rl, []).append((i, suf))
-    outer = None
+    outer = []
     for rl, rules in by_lang.items():
-        inner = None
-        for i, suf in rules:
-            cond = low.endswith(suf) & (n >= len(suf) + 2)
-            inner = F.when(cond, F.lit(i)) if inner is None else inner.when(cond, F.lit(i))
-        outer = F.when(lang == F.lit(rl), inner) if outer is None else outer.when(lang == F.lit(rl), inner)
-    return outer
-
-
-def lexicon_keys() -> list[str]:
-    return [f"{r[0]}\t{r[1]}" for r in lexicon_rows()]
+        inner = " ".join(f"WHEN endswith({low}, {sql_str(suf)}) AND {n} >= {len(suf) + 2} THEN {i}"
+                         for i, suf in rules)
+        outer.append(f"WHEN {lang} = {sql_str(rl)} THEN CASE {inner} END")
+    return "CASE " + " ".join(outer) + " END"
 
 
-def _rule_arrays() -> tuple[Column, Column]:
+def rule_arrays_sql() -> tuple[str, str]:
     rules = suffix_rules()
-    return (F.array(*[F.lit(r[2]) for r in rules]),
-            F.array(*[F.lit(r[3]).cast("string") for r in rules]))
-
-
-def token_basics(text: Column, j: Column) -> Column:
-    """Stage 0: lower-case form and length, computed once per token."""
-    low = F.lower(text)
-    return F.struct(text.alias("text"), low.alias("low"), F.length(low).alias("n"), j.alias("j"))
-
-
-def token_features(lang: Column, b: Column, lex_map: Column, lex_keys: list[str]) -> Column:
-    """Stage 1: struct of the raw facts about one token from its stage-0 struct ``b``.
-
-    The lexicon map is only probed when the key is in the (hashed) key set, so
-    the common open-class token costs one hash lookup, not a scan of the map.
-    """
-    text, low = b["text"], b["low"]
-    first = F.substring(text, 1, 1)
-    key = F.concat(lang, F.lit("\t"), low)
-    return F.struct(
-        text.alias("text"), low.alias("low"), b["n"].alias("n"), b["j"].alias("j"),
-        F.when(key.isin(*lex_keys), F.try_element_at(lex_map, key)).alias("lex"),
-        (~text.rlike(WORD_CHAR_RE)).alias("is_punct"),
-        text.rlike(NUMBER_RE).alias("is_num"),
-        (first != F.lower(first)).alias("is_cap"),
-    )
-
-
-def tag_struct(lang: Column, x: Column, rule_pos: Column, rule_morph: Column) -> Column:
-    """Stage 2: POS, lemma, morph and stop flag from the stage-1 struct ``x``.
-
-    The suffix rules are evaluated lazily (only for open-class tokens) and once:
-    the CASE returns the rule index, looked up in the small pos/morph arrays.
-    """
-    cap_noun = x["is_cap"] & lang.isin(*NOUN_CAPITALISING_LANGS)
-    cap_propn = x["is_cap"] & (x["j"] > 0)
-    has_lex = x["lex"].isNotNull()
-    none = F.lit(None).cast("string")
-    pos0 = (F.when(x["is_punct"], F.lit("PUNCT")).when(x["is_num"], F.lit("NUM"))
-            .when(has_lex, x["lex"]["pos"]).when(cap_noun, F.lit("NOUN")).when(cap_propn, F.lit("PROPN"))
-            .otherwise(none))
-    morph0 = F.when(has_lex, x["lex"]["morph"]).otherwise(none)
-    rule = F.when(~x["is_punct"] & ~x["is_num"] & ~has_lex & ~F.coalesce(cap_noun | cap_propn, F.lit(False)),
-                  rule_index(lang, x["low"], x["n"]))
-    return F.struct(
-        x["text"].alias("text"), x["j"].alias("j"),
-        F.coalesce(x["lex"]["lemma"], x["low"]).alias("lemma"),
-        pos0.alias("pos0"), morph0.alias("morph0"), rule.alias("rule"),
-        has_lex.alias("is_stop"), x["is_punct"].alias("is_punct"),
-    )
-
-
-def finish_tag(x: Column, rule_pos: Column, rule_morph: Column) -> Column:
-    """Stage 3: resolve the rule index into POS / morph (default NOUN)."""
-    has_rule = x["rule"].isNotNull()  # element_at under ANSI is declared non-null: guard the null index
-    return F.struct(
-        x["text"].alias("text"), x["j"].alias("j"), x["lemma"].alias("lemma"),
-        F.when(x["pos0"].isNotNull(), x["pos0"]).when(has_rule, F.element_at(rule_pos, x["rule"]))
-        .otherwise(F.lit("NOUN")).alias("pos"),
-        F.when(x["pos0"].isNotNull(), x["morph0"]).when(has_rule, F.element_at(rule_morph, x["rule"]))
-        .otherwise(F.lit(None).cast("string")).alias("morph"),
-        x["is_stop"].alias("is_stop"), x["is_punct"].alias("is_punct"),
-    )
-
-
-def root_index(toks: Column) -> Column:
-    """Baseline head rule: root = first VERB, else first non-punctuation token, else first token."""
-    vp = F.array_position(F.transform(toks, lambda x: x["pos"] == F.lit("VERB")), True)
-    npos = F.array_position(F.transform(toks, lambda x: ~x["is_punct"]), True)
-    # positions are 1-based with 0 = absent: take the first present one
-    return (F.coalesce(F.nullif(vp, F.lit(0)), F.nullif(npos, F.lit(0)), F.lit(1)) - 1).cast("int")
-
-
-def rule_tables() -> tuple[Column, Column]:
-    return _rule_arrays()
+    return ("array(" + ", ".join(sql_str(r[2]) for r in rules) + ")",
+            "array(" + ", ".join(sql_str(r[3]) for r in rules) + ")")
+
+
+def tagged_sentences_sql(lang: str, sentences: str, token_re: str) -> str:
+    """array<struct<toks: array<tagged token>, r: root index>> for an array of sentence strings."""
+    lex, keys = lexicon_map_sql(), lexicon_keys_sql()
+    rpos, rmorph = rule_arrays_sql()
+    capl = sql_list(NOUN_CAPITALISING_LANGS)
+    s0 = (f"transform(transform({sentences}, s -> regexp_extract_all(s, {sql_str(token_re)}, 0)), "
+          f"a0 -> transform(a0, (t, j) -> named_struct('text', t, 'low', lower(t), 'n', length(lower(t)), 'j', j)))")
+    key = f"concat({lang}, '\\t', b.low)"
+    s1 = (f"transform({s0}, a1 -> transform(a1, b -> named_struct("
+          f"'text', b.text, 'low', b.low, 'n', b.n, 'j', b.j, "
+          f"'lex', CASE WHEN {key} IN {keys} THEN try_element_at({lex}, {key}) END, "
+          f"'is_punct', NOT (b.text RLIKE {sql_str(WORD_CHAR_RE)}), "
+          f"'is_num', b.text RLIKE {sql_str(NUMBER_RE)}, "
+          f"'is_cap', substring(b.text, 1, 1) <> lower(substring(b.text, 1, 1)))))")
+    cap_noun = f"(x.is_cap AND {lang} IN {capl})"
+    cap_propn = "(x.is_cap AND x.j > 0)"
+    pos0 = (f"CASE WHEN x.is_punct THEN 'PUNCT' WHEN x.is_num THEN 'NUM' WHEN x.lex IS NOT NULL THEN x.lex.pos "
+            f"WHEN {cap_noun} THEN 'NOUN' WHEN {cap_propn} THEN 'PROPN' END")
+    open_class = (f"NOT x.is_punct AND NOT x.is_num AND x.lex IS NULL "
+                  f"AND NOT coalesce({cap_noun} OR {cap_propn}, false)")
+    s2 = (f"transform({s1}, a2 -> transform(a2, x -> named_struct("
+          f"'text', x.text, 'j', x.j, 'lemma', coalesce(x.lex.lemma, x.low), "
+          f"'pos0', {pos0}, 'morph0', CASE WHEN x.lex IS NOT NULL THEN x.lex.morph END, "
+          f"'rule', CASE WHEN {open_class} THEN {rule_index_sql(lang, 'x.low', 'x.n')} END, "
+          f"'is_stop', x.lex IS NOT NULL, 'is_punct', x.is_punct)))")
+    s3 = (f"transform({s2}, a3 -> transform(a3, y -> named_struct("
+          f"'text', y.text, 'j', y.j, 'lemma', y.lemma, "
+          f"'pos', CASE WHEN y.pos0 IS NOT NULL THEN y.pos0 WHEN y.rule IS NOT NULL THEN element_at({rpos}, y.rule) "
+          f"ELSE 'NOUN' END, "
+          f"'morph', CASE WHEN y.pos0 IS NOT NULL THEN y.morph0 WHEN y.rule IS NOT NULL "
+          f"THEN element_at({rmorph}, y.rule) END, "
+          f"'is_stop', y.is_stop, 'is_punct', y.is_punct)))")
+    # root: first VERB, else first non-punctuation token, else the first token (0-based)
+    root = ("CAST(coalesce(nullif(array_position(transform(a4, z -> z.pos = 'VERB'), true), 0), "
+            "nullif(array_position(transform(a4, z -> NOT z.is_punct), true), 0), 1) - 1 AS INT)")
+    return f"transform({s3}, a4 -> named_struct('toks', a4, 'r', {root}))"

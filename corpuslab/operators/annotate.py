@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tagger import (finish_tag, lexicon_keys, lexicon_map, root_index, rule_tables, tag_struct,
-                                token_basics, token_features)
-from ..functions.text import SENT_RE, TOKEN_RE, extract_all
+from ..functions.tagger import sql_str, tagged_sentences_sql
+from ..functions.text import SENT_RE, TOKEN_RE
 
 TOKEN_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -52,9 +51,9 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None,
     return base
 
 
-def _sentences(text):
-    """Non-empty sentence strings of a document (array<string>)."""
-    return F.filter(extract_all(text, SENT_RE), lambda s: s.rlike(r"\S"))
+def _sentences_sql(text: str = "text") -> str:
+    """Non-empty sentence strings of a document (array<string>), as SQL."""
+    return f"filter(regexp_extract_all({text}, {sql_str(SENT_RE)}, 0), s0 -> s0 RLIKE {sql_str(chr(92) + 'S')})"
 
 
 def segment_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -63,19 +62,17 @@ def segment_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = _slim(docs, id_col, text_col, None, partition_by_doc, None)
     # *_outer + null filter: a plain generator makes Catalyst infer size(array) > 0 and push it
     # below the exchange, which evaluates the array expression twice.
-    return (base.select("doc_id", F.posexplode_outer(_sentences(F.col("text"))).alias("sent_id", "sentence"))
+    return (base.select("doc_id", F.posexplode_outer(F.expr(_sentences_sql())).alias("sent_id", "sentence"))
             .where(F.col("sentence").isNotNull()))
 
 
-def _tagged_sentences(lang, text):
-    lex, keys = lexicon_map(), lexicon_keys()
-    rule_pos, rule_morph = rule_tables()
-    raw = F.transform(_sentences(text), lambda s: extract_all(s, TOKEN_RE))
-    basics = F.transform(raw, lambda a: F.transform(a, lambda t, j: token_basics(t, j)))
-    feats = F.transform(basics, lambda a: F.transform(a, lambda b: token_features(lang, b, lex, keys)))
-    staged = F.transform(feats, lambda a: F.transform(a, lambda x: tag_struct(lang, x, rule_pos, rule_morph)))
-    tagged = F.transform(staged, lambda a: F.transform(a, lambda x: finish_tag(x, rule_pos, rule_morph)))
-    return F.transform(tagged, lambda a: F.struct(a.alias("toks"), root_index(a).alias("r")))
+def _token_array_sql() -> str:
+    """All tagged tokens of a document in order, with sentence id, root and head text (SQL)."""
+    sents = tagged_sentences_sql("lang", _sentences_sql(), TOKEN_RE)
+    return (f"flatten(transform({sents}, (sv, i) -> transform(sv.toks, w -> named_struct("
+            "'sent_id', i, 'j', w.j, 'r', sv.r, 'root_text', element_at(sv.toks, sv.r + 1).text, "
+            "'text', w.text, 'lemma', w.lemma, 'pos', w.pos, 'morph', w.morph, "
+            "'is_stop', w.is_stop, 'is_punct', w.is_punct))))")
 
 
 def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -88,12 +85,7 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (dep 'punct' for punctuation, 'dep' otherwise).
     """
     base = _slim(docs, id_col, text_col, lang_col, partition_by_doc, num_partitions)
-    sents = _tagged_sentences(F.col("lang"), F.col("text"))
-    flat = F.flatten(F.transform(sents, lambda s, i: F.transform(s["toks"], lambda x: F.struct(
-        i.alias("sent_id"), x["j"].alias("j"), s["r"].alias("r"),
-        F.element_at(s["toks"], s["r"] + 1)["text"].alias("root_text"),
-        x["text"].alias("text"), x["lemma"].alias("lemma"), x["pos"].alias("pos"),
-        x["morph"].alias("morph"), x["is_stop"].alias("is_stop"), x["is_punct"].alias("is_punct")))))
+    flat = F.expr(_token_array_sql())
     ex = base.select("doc_id", F.posexplode_outer(flat).alias("token_i", "t")).where(F.col("t").isNotNull())
     is_root = F.col("t.j") == F.col("t.r")
     return ex.select(

@@ -17,6 +17,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import right_size
+
 # The 19 stylistic features the reference's classifier uses.
 CLASSIFY_STYLISTICS = [
     "nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun_ratio", "function_word_ratio",
@@ -72,10 +74,15 @@ class VectorFeaturizer:
 
 
 def train_forest(train: DataFrame, label_col: str = "_y", num_trees: int = 100, max_depth: int = 20,
-                 seed: int = 42, max_bins: int = 32):
-    """M2: random forest (sqrt features per split, bootstrap) fitted with MLlib."""
+                 seed: int = 42, max_bins: int = 32, max_memory_mb: int = 1024):
+    """M2: random forest (sqrt features per split, bootstrap) fitted with MLlib.
+
+    ``max_memory_mb`` bounds the per-pass node statistics; a larger value lets
+    one pass over the data split more nodes (fewer jobs per tree level).
+    """
     rf = RandomForestClassifier(featuresCol="features", labelCol=label_col, numTrees=num_trees,
-                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=max_bins)
+                                maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt", maxBins=max_bins,
+                                maxMemoryInMB=max_memory_mb)
     return rf.fit(train)
 
 
@@ -117,22 +124,27 @@ def mean_importances(spark: SparkSession, models, names: Sequence[str], top: int
 
 
 def kmeans_by_truth(df: DataFrame, truth: str, vec_col: str = "embedding", by: str = "model",
-                    seed: int = 42, max_iter: int = 300, tol: float = 1e-4) -> DataFrame:
+                    seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
     """M5: per ``by`` value, KMeans with k = number of distinct ``truth`` values.
 
     Returns (by, doc_id, truth, cluster). The driver loops over the (bounded)
-    distinct model names; each fit is distributed (MLlib caches its own vector
-    RDD for the iterations).
+    distinct model names and submits the fits concurrently; each fit is
+    distributed (MLlib caches its own vector RDD for the iterations).
     """
-    models = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
-    out = None
-    for m in models:
-        part = vector_from_array(df.where(F.col(by) == m), vec_col)
+    names = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
+
+    def one(m):
+        part = right_size(vector_from_array(df.where(F.col(by) == m), vec_col))
         k = part.select(F.count_distinct(truth)).first()[0]
         km = KMeans(k=max(int(k), 2), seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
                     predictionCol="cluster").fit(part)
-        res = km.transform(part).select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"))
-        out = res if out is None else out.unionByName(res)
+        return km.transform(part).select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(names)))) as pool:
+        parts = list(pool.map(one, names))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 

@@ -5,9 +5,10 @@ embeddings) -> valid rows -> part suffix stripped -> exact class balance ->
 surrogate groups -> five stratified group folds -> five concurrent MLlib fits ->
 one predictions table -> CV summary + mean importances.
 
-The model input (one row per document) is checkpointed once to the session's
-checkpoint folder, so the five fits and their test predictions do not re-run
-the feature extraction and the lineage stays short if an executor is lost.
+The model input (one row per document) is written once as a parquet table in
+the session's checkpoint folder, so the five fits and their test predictions do
+not re-run the feature extraction and the lineage stays short if an executor is
+lost.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import annotate, bow, cleaning, evaluation, models, splits, stylistics
-from ..session import ensure_checkpoint_dir
+from ..session import materialize, right_size
 from ..sources import bindings
 
 FEATURE_SETS = ("stylistics", "mfw_100", "mfw_500", "tfidf_5000", "embeddings")
@@ -62,11 +63,11 @@ def classification_input(spark: SparkSession, sf: str, feature_set: str, min_wor
         corpus = cleaning.filter_min_words(corpus, min_words, strict=False)
     corpus = cleaning.strip_part_suffix(corpus.where(F.col("label").isNotNull())).select("doc_id", "label", "group_id")
     feats, featurizer, names = feature_table(spark, sf, feature_set)
-    data = feats.join(corpus, "doc_id")
+    # one row per document: materialise once, balancing and fold assignment read it several times
+    data = right_size(materialize(feats.join(corpus, "doc_id"), f"features-{feature_set}"))
     bal = splits.balance_classes(data, seed=seed)
     folded = splits.stratified_group_folds(cleaning.fill_surrogate_group(bal), k=k, seed=seed)
-    ensure_checkpoint_dir(spark)
-    folded = folded.checkpoint(eager=True)
+    folded = right_size(materialize(folded, f"folds-{feature_set}"))
     classes = sorted(r[0] for r in folded.select("label").distinct().collect())  # bounded: classes
     return folded, featurizer, names, classes
 

@@ -78,3 +78,28 @@ def ensure_parallelism(df, key: str | None = None, min_partitions: int | None =
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def right_size(df, rows_per_partition: int = 500_000):
+    """Coalesce a materialised (checkpointed) frame to about ``rows_per_partition`` rows per task.
+
+    Iterative MLlib fits run one job per iteration / tree level; on a small
+    model input, dozens of near-empty tasks per job dominate the run time. The
+    count is one scalar; on a large input this keeps (or only merges) partitions.
+    """
+    n = df.count()
+    target = max(1, -(-n // rows_per_partition))
+    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Cuts the lineage (a lost executor re-reads the table instead of recomputing
+    feature extraction) and computes the plan exactly once — an eager
+    ``checkpoint()`` of an uncached plan computes it twice (count, then write).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
