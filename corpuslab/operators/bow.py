@@ -41,9 +41,15 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """V2: (doc_id, term, n) document-term counts."""
-    return (_explode_terms(doc_terms(docs, id_col, text_col))
-            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+    """V2: (doc_id, term, n, n_terms) document-term counts.
+
+    ``n_terms`` (all terms of the document, computed map-side from the array
+    size) rides along as a grouping key — it is a function of doc_id, so it adds
+    no groups — and lets MFW rates be computed from the counts alone.
+    """
+    return (_explode_terms(doc_terms(docs, id_col, text_col), "n_terms")
+            .groupBy("doc_id", "term", "n_terms").agg(F.count(F.lit(1)).alias("n"))
+            .select("doc_id", "term", "n", "n_terms"))
 
 
 def top_vocabulary(counts: DataFrame, n: int) -> DataFrame:
@@ -59,19 +65,17 @@ def top_vocabulary(counts: DataFrame, n: int) -> DataFrame:
                       F.row_number().over(Window.orderBy(F.desc("total"), F.asc("term"))).alias("rank"))
 
 
-def mfw_relative(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
+def mfw_relative(docs: DataFrame | None, vocab: DataFrame, id_col: str = "doc_id",
+                 text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """V4: (doc_id, term, rank, rel_freq) = count / all terms of the document.
 
     The denominator counts the full vocabulary, not just the top N. Only non-zero
-    rates are listed (sparse); a document without terms has no rows.
+    rates are listed (sparse); a document without terms has no rows. Pass
+    ``counts`` (from ``term_counts``) to reuse one count table for several N.
     """
-    dt = doc_terms(docs, id_col, text_col)
-    ex = _explode_terms(dt, "n_terms")
-    hits = ex.join(F.broadcast(vocab.select("term", "rank")), "term")
-    return (hits.groupBy("doc_id", "term", "rank", "n_terms")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .select("doc_id", "term", "rank", (F.col("n") / F.col("n_terms")).alias("rel_freq")))
+    c = counts if counts is not None else term_counts(docs, id_col, text_col)
+    hits = c.join(F.broadcast(vocab.select("term", "rank")), "term")
+    return hits.select("doc_id", "term", "rank", (F.col("n") / F.col("n_terms")).alias("rel_freq"))
 
 
 def mfw_wide(docs: DataFrame, long: DataFrame, vocab_terms: list[str], id_col: str = "doc_id",
@@ -90,18 +94,17 @@ def mfw_wide(docs: DataFrame, long: DataFrame, vocab_terms: list[str], id_col: s
     return j.select("doc_id", *cols)
 
 
-def tfidf(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tfidf(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          counts: DataFrame | None = None) -> DataFrame:
     """V6: (doc_id, term, weight) with raw tf × smoothed idf, L2-normalised per document.
 
     idf = ln((1 + n) / (1 + df)) + 1 where n counts every document (also empty
     ones). The norm is taken over the vocabulary terms only. The per-document
     norm uses a window on ``doc_id``; the idf table is bounded by the vocabulary.
     """
-    dt = doc_terms(docs, id_col, text_col)
-    n_docs = dt.agg(F.count(F.lit(1)).alias("n_docs"))
-    ex = _explode_terms(dt)
-    tf = (ex.join(F.broadcast(vocab.select("term")), "term")
-          .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    c = counts if counts is not None else term_counts(docs, id_col, text_col)
+    tf = c.join(F.broadcast(vocab.select("term")), "term").select("doc_id", "term", F.col("n").alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("term", (F.log((1.0 + n_docs.scalar()) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     w = tf.join(F.broadcast(idf), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
