@@ -236,13 +236,40 @@ def compression_ratio(sentences: DataFrame, **kw) -> DataFrame:
 
 # --- F23: the stylistics table (one pass over the token table) ----------------------
 
-def _signed_chunk_scores(sentence, max_len, cost):
-    """Signed lexicon scores of the chunks of one sentence (array<double>)."""
-    from .sentiment import chunk_words, lexicon_score
-    from ..functions.text import signed_score
+def _signed_chunk_scores_sql(sentence: str, max_len: int, cost: str) -> str:
+    """Signed lexicon scores of the chunks of one sentence (array<double>), as SQL.
 
-    scored = F.transform(chunk_words(sentence, max_len, cost), lambda c: lexicon_score(c))
-    return F.transform(scored, lambda x: signed_score(x["label"], x["score"]))
+    Same definition as ``sentiment.chunk_words`` -> ``lexicon_score`` ->
+    ``signed_score`` (checked against the oracle through the stylistics table).
+    """
+    from ..functions.lexicon import polarity_words
+    from ..functions.tagger import sql_list, sql_str
+
+    costs = {"subword": "CAST(2 + ceil(length(w) / 4) AS BIGINT)", "chars": "CAST(length(w) AS BIGINT)",
+             "words": "CAST(1 AS BIGINT)"}
+    c = costs[cost]
+    fold = (f"aggregate(regexp_extract_all({sentence}, {sql_str(chr(92) + 'S+')}, 0), "
+            "named_struct('done', CAST(array() AS ARRAY<STRING>), 'cur', '', 'cost_sum', CAST(0 AS BIGINT), "
+            "'nw', CAST(0 AS BIGINT)), "
+            f"(acc, w) -> CASE WHEN acc.cost_sum + {c} > {int(max_len)} "
+            f"THEN named_struct('done', array_append(acc.done, acc.cur), 'cur', w, 'cost_sum', {c}, "
+            "'nw', CAST(1 AS BIGINT)) "
+            "ELSE named_struct('done', acc.done, 'cur', CASE WHEN acc.nw = 0 THEN w ELSE concat(acc.cur, ' ', w) END, "
+            f"'cost_sum', acc.cost_sum + {c}, 'nw', acc.nw + 1) END, "
+            "acc -> filter(CASE WHEN acc.nw > 0 THEN array_append(acc.done, acc.cur) ELSE acc.done END, "
+            "x -> x <> ''))")
+    # bind the fold to a lambda variable so it is evaluated once per sentence
+    chunks = f"element_at(transform(array({fold}), f -> CASE WHEN size(f) = 1 THEN array({sentence}) ELSE f END), 1)"
+    pw = polarity_words()
+    toks = "regexp_extract_all(lower(ch), " + sql_str("[" + chr(92) + "p{L}" + chr(92) + "p{N}_]+") + ", 0)"
+    pn = (f"transform({chunks}, ch -> named_struct('p', size(filter({toks}, t -> t IN {sql_list(pw['positive'])})), "
+          f"'n', size(filter({toks}, t -> t IN {sql_list(pw['negative'])}))))")
+    return (f"transform({pn}, q -> CASE WHEN q.p > q.n THEN abs(q.p - q.n) / (q.p + q.n) "
+            "WHEN q.n > q.p THEN -(abs(q.p - q.n) / (q.p + q.n)) ELSE CAST(0.0 AS DOUBLE) END)")
+
+
+def _sql_in(items) -> str:
+    return "(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in items) + ")"
 
 
 def sentence_summary(tokens: DataFrame, of_words=OF_WORDS, that_words=THAT_WORDS,
@@ -250,59 +277,65 @@ def sentence_summary(tokens: DataFrame, of_words=OF_WORDS, that_words=THAT_WORDS
     """Per-sentence counts, dependency sums, ordered word list, lemma sets, text and chunk scores.
 
     One aggregate keyed (doc_id, sent_id): no exchange when tokens are partitioned by doc_id.
+    Written as SQL expressions (one Py4J call each) — the Column-builder form of
+    these ~25 aggregates costs seconds of plan construction per query.
     """
-    kept = ~F.col("is_punct") & (F.col("pos") != "SPACE")
-    c = F.count_if
-    ss = tokens.groupBy("doc_id", "sent_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        c(is_word()).alias("n_words"),
-        c(F.col("pos") == "NOUN").alias("n_noun"),
-        c(is_verb()).alias("n_verb"),
-        c(F.col("pos") == "ADJ").alias("n_adj"),
-        c(F.col("pos") == "ADV").alias("n_adv"),
-        c(is_nominal()).alias("n_nominal"),
-        c(is_verb() & (_morph().contains("Voice=Act") | _morph().contains("Voice=Pass"))).alias("n_voiced"),
-        c(verb_with("Voice=Pass")).alias("n_passive"),
-        c(verb_with("Voice=Act")).alias("n_active"),
-        c(verb_with("Tense=Past")).alias("n_past"),
-        c(verb_with("Tense=Pres")).alias("n_present"),
-        c(is_personal_pronoun()).alias("n_prs"),
-        c(is_function_word()).alias("n_function"),
-        c(is_of_like(of_words)).alias("n_of"),
-        c(is_that_like(that_words)).alias("n_that"),
-        F.sum(F.when(is_word(), F.length("token_text"))).alias("word_chars"),
-        c(kept).alias("n_kept"),
-        F.sum(F.when(kept, F.abs(F.col("token_i") - F.col("head_i")))).alias("dd_sum"),
-        F.min(F.when(kept & (F.col("dep") == "ROOT"), F.col("token_i"))).alias("root_i"),
-        F.min(F.when(kept, F.col("token_i"))).alias("start_i"),
-        F.array_sort(F.collect_list(F.struct("token_i", "token_text", is_word().alias("w"), "pos", "lemma")))
-        .alias("toks"),
-    )
-    valid = (F.col("n_kept") > 0) & F.col("root_i").isNotNull()
-    mdd = F.when(valid, F.col("dd_sum") / F.col("n_kept"))
-    root_dist = F.col("root_i") - F.col("start_i")
-    ndd = F.when((mdd > 0) & (root_dist >= 0), F.abs(F.log(mdd / F.sqrt((root_dist + 1) * F.col("n_kept")))))
-    sentence = F.array_join(F.transform("toks", lambda x: x["token_text"]), " ")
-    lemmas = lambda p: F.array_distinct(F.transform(F.filter("toks", lambda x: x["pos"] == p),
-                                                    lambda x: x["lemma"]))
-    counts = [f for f in ss.columns if f.startswith("n_") or f == "word_chars"]
-    out = ss.select("doc_id", "sent_id", *counts, mdd.alias("mdd"), ndd.alias("ndd"), sentence.alias("sentence"),
-                    F.transform(F.filter("toks", lambda x: x["w"]), lambda x: x["token_text"]).alias("words"),
-                    lemmas("NOUN").alias("noun_lemmas"), lemmas("VERB").alias("verb_lemmas"))
+    word = f"pos NOT IN {_sql_in(NON_WORD_POS)}"
+    m = "coalesce(morph, '')"
+    kept = "(NOT is_punct AND pos <> 'SPACE')"
+    verb = "pos = 'VERB'"
+    aggs = [
+        "count(1) AS n_tokens",
+        f"count_if({word}) AS n_words",
+        "count_if(pos = 'NOUN') AS n_noun",
+        f"count_if({verb}) AS n_verb",
+        "count_if(pos = 'ADJ') AS n_adj",
+        "count_if(pos = 'ADV') AS n_adv",
+        f"count_if(pos IN {_sql_in(NOMINAL_POS)}) AS n_nominal",
+        f"count_if({verb} AND (contains({m}, 'Voice=Act') OR contains({m}, 'Voice=Pass'))) AS n_voiced",
+        f"count_if({verb} AND contains({m}, 'Voice=Pass')) AS n_passive",
+        f"count_if({verb} AND contains({m}, 'Voice=Act')) AS n_active",
+        f"count_if({verb} AND contains({m}, 'Tense=Past')) AS n_past",
+        f"count_if({verb} AND contains({m}, 'Tense=Pres')) AS n_present",
+        f"count_if(pos = 'PRON' AND contains({m}, 'PronType=Prs')) AS n_prs",
+        f"count_if(pos IN {_sql_in(FUNCTION_WORD_POS)}) AS n_function",
+        f"count_if(pos = 'ADP' AND lower(token_text) IN {_sql_in(of_words)}) AS n_of",
+        f"count_if(pos = 'SCONJ' AND lower(token_text) IN {_sql_in(that_words)}) AS n_that",
+        f"sum(CASE WHEN {word} THEN length(token_text) END) AS word_chars",
+        f"count_if({kept}) AS n_kept",
+        f"sum(CASE WHEN {kept} THEN abs(token_i - head_i) END) AS dd_sum",
+        f"min(CASE WHEN {kept} AND dep = 'ROOT' THEN token_i END) AS root_i",
+        f"min(CASE WHEN {kept} THEN token_i END) AS start_i",
+        f"array_sort(collect_list(named_struct('token_i', token_i, 'token_text', token_text, 'w', {word}, "
+        "'pos', pos, 'lemma', lemma))) AS toks",
+    ]
+    ss = tokens.groupBy("doc_id", "sent_id").agg(*[F.expr(a) for a in aggs])
+    counts = [a.rsplit(" AS ", 1)[1] for a in aggs if a.rsplit(" AS ", 1)[1].startswith("n_")] + ["word_chars"]
+    mdd = "CASE WHEN n_kept > 0 AND root_i IS NOT NULL THEN dd_sum / n_kept END"
+    proj = ["doc_id", "sent_id", *counts, f"{mdd} AS mdd",
+            f"CASE WHEN ({mdd}) > 0 AND root_i - start_i >= 0 "
+            f"THEN abs(ln(({mdd}) / sqrt((root_i - start_i + 1) * n_kept))) END AS ndd",
+            "array_join(transform(toks, x -> x.token_text), ' ') AS sentence",
+            "transform(filter(toks, x -> x.w), x -> x.token_text) AS words",
+            "array_distinct(transform(filter(toks, x -> x.pos = 'NOUN'), x -> x.lemma)) AS noun_lemmas",
+            "array_distinct(transform(filter(toks, x -> x.pos = 'VERB'), x -> x.lemma)) AS verb_lemmas"]
+    out = ss.selectExpr(*proj)
     if sentiment:
-        out = out.withColumn("signed", _signed_chunk_scores(F.col("sentence"), max_len, cost))
+        out = out.withColumn("signed", F.expr(_signed_chunk_scores_sql("sentence", max_len, cost)))
     return out
 
 
-def _msttr_expr(words, window: int = 100):
-    n = F.size(words)
-    nseg = F.floor(n / F.lit(window)).cast("int")
-    seg_sum = F.aggregate(F.sequence(F.lit(0), F.greatest(nseg - 1, F.lit(0))), F.lit(0.0),
-                          lambda acc, k: acc + F.size(F.array_distinct(F.slice(words, k * window + 1, window)))
-                          / F.lit(float(window)))
-    return (F.when(n == 0, F.lit(0.0))
-            .when(n <= window, F.size(F.array_distinct(words)) / n)
-            .otherwise(seg_sum / nseg))
+def _msttr_sql(words: str, window: int = 100) -> str:
+    n = f"size({words})"
+    nseg = f"CAST(floor({n} / {window}) AS INT)"
+    seg_sum = (f"aggregate(sequence(0, greatest({nseg} - 1, 0)), CAST(0.0 AS DOUBLE), "
+               f"(acc, k) -> acc + size(array_distinct(slice({words}, k * {window} + 1, {window}))) / {float(window)})")
+    return (f"CASE WHEN {n} = 0 THEN CAST(0.0 AS DOUBLE) WHEN {n} <= {window} "
+            f"THEN size(array_distinct({words})) / {n} ELSE {seg_sum} / {nseg} END")
+
+
+def _ratio_sql(num: str, den: str) -> str:
+    return f"CAST({num} AS DOUBLE) / CAST(nullif({den}, 0) AS DOUBLE)"
 
 
 def document_measures(sent: DataFrame, legacy_swap: bool = False, sentiment: bool = True,
@@ -310,51 +343,46 @@ def document_measures(sent: DataFrame, legacy_swap: bool = False, sentiment: boo
     """All per-document measures from ``sentence_summary`` (one aggregate keyed doc_id)."""
     counts = [f for f in sent.columns if f.startswith("n_") or f == "word_chars"]
     fields = ["sent_id", "sentence", "words", "noun_lemmas", "verb_lemmas"] + (["signed"] if sentiment else [])
-    d = sent.groupBy("doc_id").agg(
-        *[F.sum(c).alias(c) for c in counts],
-        F.avg(F.col("n_tokens").cast("double")).alias("avg_sentlen"),
-        F.count(F.lit(1)).alias("num_sents"),
-        F.avg("ndd").alias("avg_ndd"), F.stddev_pop("ndd").alias("std_ndd"),
-        F.avg("mdd").alias("avg_mdd"), F.stddev_pop("mdd").alias("std_mdd"),
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("sents"))
-    words = F.flatten(F.transform("sents", lambda x: x["words"]))
-    nl = F.size(F.array_distinct(F.flatten(F.transform("sents", lambda x: x["noun_lemmas"]))))
-    vl = F.size(F.array_distinct(F.flatten(F.transform("sents", lambda x: x["verb_lemmas"]))))
-    texts = F.transform("sents", lambda x: x["sentence"])
-    selected = F.array_join(F.when(F.size(texts) > long_doc, F.slice(texts, skip + 1, take))
-                            .otherwise(F.slice(texts, 1, take)), " ")
+    aggs = [f"sum({c}) AS {c}" for c in counts] + [
+        "avg(CAST(n_tokens AS DOUBLE)) AS avg_sentlen", "count(1) AS num_sents",
+        "avg(ndd) AS avg_ndd", "stddev_pop(ndd) AS std_ndd", "avg(mdd) AS avg_mdd", "stddev_pop(mdd) AS std_mdd",
+        "array_sort(collect_list(named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + "))) AS sents"]
+    d = sent.groupBy("doc_id").agg(*[F.expr(a) for a in aggs])
+    words = "flatten(transform(sents, x -> x.words))"
+    texts = "transform(sents, x -> x.sentence)"
     act, pas = ("n_passive", "n_active") if legacy_swap else ("n_active", "n_passive")
-    cols = [
-        _ratio(F.col("n_nominal") + F.col("n_noun"), F.col("n_verb")).alias("nominal_verb_ratio"),
-        _msttr_expr(words).alias("msttr"),
-        _ratio(nl, F.col("n_noun")).alias("noun_ttr"),
-        _ratio(vl, F.col("n_verb")).alias("verb_ttr"),
-        _ratio(F.col("n_prs"), F.col("n_tokens")).alias("personal_pronoun_ratio"),
-        _ratio(F.col("n_function"), F.col("n_tokens")).alias("function_word_ratio"),
-        _ratio(F.col("n_of"), F.col("n_tokens")).alias("of_ratio"),
-        _ratio(F.col("n_that"), F.col("n_tokens")).alias("that_ratio"),
-        F.when(F.col("n_past") > 0, _ratio(F.col("n_past"), F.col("n_verb"))).alias("past_tense_ratio"),
-        F.when(F.col("n_present") > 0, _ratio(F.col("n_present"), F.col("n_verb"))).alias("present_tense_ratio"),
-        _ratio(F.col(pas), F.col("n_voiced")).alias("passive_ratio"),
-        _ratio(F.col(act), F.col("n_voiced")).alias("active_ratio"),
-        _ratio(F.col("n_adj") + F.col("n_adv"), F.col("n_words")).alias("adjective_adverb_ratio"),
-        _ratio(F.col("word_chars"), F.col("n_words")).alias("avg_wordlen"),
+    proj = [
+        "doc_id",
+        f"{_ratio_sql('n_nominal + n_noun', 'n_verb')} AS nominal_verb_ratio",
+        f"{_msttr_sql(words)} AS msttr",
+        f"{_ratio_sql('size(array_distinct(flatten(transform(sents, x -> x.noun_lemmas))))', 'n_noun')} AS noun_ttr",
+        f"{_ratio_sql('size(array_distinct(flatten(transform(sents, x -> x.verb_lemmas))))', 'n_verb')} AS verb_ttr",
+        f"{_ratio_sql('n_prs', 'n_tokens')} AS personal_pronoun_ratio",
+        f"{_ratio_sql('n_function', 'n_tokens')} AS function_word_ratio",
+        f"{_ratio_sql('n_of', 'n_tokens')} AS of_ratio",
+        f"{_ratio_sql('n_that', 'n_tokens')} AS that_ratio",
+        f"CASE WHEN n_past > 0 THEN {_ratio_sql('n_past', 'n_verb')} END AS past_tense_ratio",
+        f"CASE WHEN n_present > 0 THEN {_ratio_sql('n_present', 'n_verb')} END AS present_tense_ratio",
+        f"{_ratio_sql(pas, 'n_voiced')} AS passive_ratio",
+        f"{_ratio_sql(act, 'n_voiced')} AS active_ratio",
+        f"{_ratio_sql('n_adj + n_adv', 'n_words')} AS adjective_adverb_ratio",
+        f"{_ratio_sql('word_chars', 'n_words')} AS avg_wordlen",
         "avg_sentlen", "num_sents", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd",
-        selected.alias("selected_text"),
+        f"array_join(CASE WHEN size({texts}) > {long_doc} THEN slice({texts}, {skip + 1}, {take}) "
+        f"ELSE slice({texts}, 1, {take}) END, ' ') AS selected_text",
     ]
     if sentiment:
-        series = F.flatten(F.transform("sents", lambda x: x["signed"]))
-        cols.append(series.alias("sentiment"))
-    out = d.select("doc_id", *cols)
+        proj.append("flatten(transform(sents, x -> x.signed)) AS sentiment")
+    out = d.selectExpr(*proj)
     if sentiment:
-        n = F.size("sentiment")
-        mean = F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + x) / n
-        many = n > 1
-        out = out.select("*", F.when(many, mean).alias("sentiment_mean")) \
-            .select("*", F.when(many, F.sqrt(F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + (x - F.col(
-                "sentiment_mean")) * (x - F.col("sentiment_mean"))) / n)).alias("sentiment_std"),
-                F.when(many, F.aggregate("sentiment", F.lit(0.0), lambda a, x: a + F.abs(x)) / n)
-                .alias("sentiment_abs"))
+        n = "size(sentiment)"
+        mean = f"aggregate(sentiment, CAST(0.0 AS DOUBLE), (a, x) -> a + x) / {n}"
+        out = out.selectExpr("*", f"CASE WHEN {n} > 1 THEN {mean} END AS sentiment_mean").selectExpr(
+            "*",
+            f"CASE WHEN {n} > 1 THEN sqrt(aggregate(sentiment, CAST(0.0 AS DOUBLE), "
+            f"(a, x) -> a + (x - sentiment_mean) * (x - sentiment_mean)) / {n}) END AS sentiment_std",
+            f"CASE WHEN {n} > 1 THEN aggregate(sentiment, CAST(0.0 AS DOUBLE), (a, x) -> a + abs(x)) / {n} END "
+            "AS sentiment_abs")
     return out
 
 
