@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 
 def unpivot_features(df: DataFrame, features: Sequence[str], label_col: str = "label",
                      id_col: str = "doc_id") -> DataFrame:
@@ -182,23 +184,72 @@ def kde(df: DataFrame, features: Sequence[str], grid: int = 64, kde_bins: int =
 
 # --- D8 / D9: describe ------------------------------------------------------------
 
+def exact_quantiles(long: DataFrame, probs=(0.25, 0.5, 0.75), group_col: str = "feature",
+                    value_col: str = "value", buckets: int = 1024) -> DataFrame:
+    """Exact quantiles (linear interpolation, like numpy / ``quantile_cont``) per group, at any scale.
+
+    No task ever holds all values of a group:
+    1. approximate bucket edges per group (``percentile_approx``: bounded sketch);
+    2. row counts per (group, bucket) and cumulative offsets on that small table;
+    3. the buckets containing the needed ranks floor/ceil(p·(n−1)) are found;
+    4. only rows of those buckets are counted per distinct value (ties collapse in
+       the partial aggregate) and a cumulative sum picks the values at the ranks.
+    Output: (group, p, q).
+    """
+    g, v = group_col, value_col
+    d = long.where(F.col(v).isNotNull()).select(g, F.col(v).cast("double").alias("v"))
+    fr = [i / buckets for i in range(1, buckets)]
+    edges = d.groupBy(g).agg(F.percentile_approx("v", fr, 10 * buckets).alias("edges"),
+                             F.count(F.lit(1)).alias("n"))  # bounded: groups × buckets
+    b = F.size(F.filter(F.col("edges"), lambda e: e < F.col("v"))).alias("b")
+    db = d.join(F.broadcast(edges.select(g, "edges")), g).select(g, "v", b)
+    bc = db.groupBy(g, "b").agg(F.count(F.lit(1)).alias("nb"))
+    w = Window.partitionBy(g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    off = bc.select(g, "b", "nb", F.coalesce(F.sum("nb").over(w), F.lit(0)).alias("start"))
+    tg = edges.select(g, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
+    tg = tg.select(g, "p", (F.col("p") * (F.col("n") - 1)).alias("pos"))
+    tg = tg.select(g, "p", "pos", F.explode(F.array(F.floor("pos"), F.ceil("pos"))).alias("r"))
+    hit = tg.join(off, (tg[g] == off[g]) & (off["start"] <= tg["r"]) & (tg["r"] < off["start"] + off["nb"])) \
+        .select(tg[g].alias(g), "p", "pos", "r", "b", "start")
+    need = hit.select(g, "b").distinct()  # bounded: groups × 2·len(probs)
+    vc = (db.join(F.broadcast(need), [g, "b"]).groupBy(g, "b", "v").agg(F.count(F.lit(1)).alias("c")))
+    wv = Window.partitionBy(g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    vc = vc.select(g, "b", "v", "c", F.coalesce(F.sum("c").over(wv), F.lit(0)).alias("before"))
+    at = hit.join(vc, [g, "b"]).where((F.col("start") + F.col("before") <= F.col("r"))
+                                      & (F.col("r") < F.col("start") + F.col("before") + F.col("c")))
+    lohi = at.groupBy(g, "p", "pos").agg(F.min("v").alias("v_lo"), F.max("v").alias("v_hi"),
+                                          F.min("r").alias("r_lo"))
+    q = F.col("v_lo") + (F.col("pos") - F.col("r_lo")) * (F.col("v_hi") - F.col("v_lo"))
+    return lohi.select(g, "p", q.alias("q"))
+
+
 def describe_numeric(df: DataFrame, features: Sequence[str], exact: bool = True,
                      accuracy: int = 100000) -> DataFrame:
     """Count, mean, sample std, min, quartiles (linear interpolation), max per feature.
 
-    ``exact=True`` uses ``percentile`` (exact, linear interpolation). Its buffer
-    holds the distinct values of a feature, so for very large tables use
-    ``exact=False`` (``percentile_approx`` with bounded memory, returns data values).
+    ``exact=True`` computes the quartiles with ``exact_quantiles`` (bounded
+    memory per task at any size); ``exact=False`` uses ``percentile_approx``.
     """
     long = unpivot_features(df.withColumn("_lbl", F.lit(None).cast("string")), features, "_lbl")
     v = F.col("value")
-    q = (F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-         else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy))
-    return long.groupBy("feature").agg(
+    base = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")
-    ).select("feature", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-             F.col("_q")[2].alias("p75"), "max")
+        F.min(v).alias("min"), F.max(v).alias("max"))
+    if exact:
+        # the exact algorithm reads the values several times: materialise them once
+        long = materialize(long.where(v.isNotNull()), "describe-values")
+        base = long.groupBy("feature").agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"))
+        qs = exact_quantiles(long, (0.25, 0.5, 0.75))
+        piv = qs.groupBy("feature").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
+                                          for p, n in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+        out = base.join(piv, "feature", "left")
+    else:
+        q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        out = base.join(long.groupBy("feature").agg(q.alias("_q")), "feature").select(
+            "*", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"))
+    return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:

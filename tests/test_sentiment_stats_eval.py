@@ -107,3 +107,16 @@ def test_balance_and_folds(spark, sf):
     assert folds.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     assert folds.select("fold").distinct().count() == 5
     assert folds.count() == bal.count()
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    vals = np.concatenate([rnd.normal(size=3000), np.full(2000, 0.5), rnd.integers(0, 5, 1000).astype(float)])
+    rows = [("f", float(x)) for x in vals] + [("g", float(x)) for x in vals[:7]]
+    df = spark.createDataFrame(rows, "feature string, value double")
+    got = {(r["feature"], r["p"]): r["q"] for r in stats.exact_quantiles(df, (0.0, 0.25, 0.5, 0.75, 1.0),
+                                                                             buckets=16).collect()}
+    for p in (0.0, 0.25, 0.5, 0.75, 1.0):
+        assert got[("f", p)] == pytest.approx(np.quantile(vals, p), abs=1e-12)
+        assert got[("g", p)] == pytest.approx(np.quantile(vals[:7], p), abs=1e-12)
