@@ -83,6 +83,11 @@ def write_embeddings(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_run_results(df: DataFrame, path: str, run_id: str) -> None:
-    """Append one block of scores per run, tagged with ``run_id`` and a timestamp."""
-    (df.withColumn("run_id", F.lit(run_id)).withColumn("written_at", F.current_timestamp())
-     .write.mode("append").parquet(path))
+    """Add one block of scores per run to a results table.
+
+    Each run is its own ``run_id=<id>`` partition written with overwrite, so a
+    retried or re-run job replaces its block instead of appending a duplicate.
+    Reading ``path`` returns all runs with a ``run_id`` column.
+    """
+    (df.withColumn("written_at", F.current_timestamp())
+     .write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}"))

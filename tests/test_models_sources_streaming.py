@@ -48,3 +48,13 @@ def test_streaming_featurizer_matches_batch(spark, sf):
     a = {r["doc_id"]: r["msttr"] for r in got.select("doc_id", "msttr").collect()}
     b = {r["doc_id"]: r["msttr"] for r in batch.select("doc_id", "msttr").collect()}
     assert a == b
+
+
+def test_run_results_idempotent(spark):
+    path = os.path.join(tempfile.mkdtemp(), "runs")
+    df = spark.createDataFrame([("a", 1)], "k string, v long")
+    io.append_run_results(df, path, "r1")
+    io.append_run_results(df, path, "r1")  # a retried run replaces its block
+    io.append_run_results(df, path, "r2")
+    got = sorted((r["run_id"], r["k"]) for r in spark.read.parquet(path).collect())
+    assert got == [("r1", "a"), ("r2", "a")]
