@@ -126,13 +126,22 @@ def _ranges(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.min("value").alias("lo_all"), F.max("value").alias("hi_all"))
 
 
-def histogram(df: DataFrame, features: Sequence[str], bins: int = 10, label_col: str = "label") -> DataFrame:
+def _values(df: DataFrame, features, label_col: str, per_feature_max: dict | None) -> DataFrame:
+    long = unpivot_features(df, features, label_col).where(F.col("value").isNotNull())
+    for f, lim in (per_feature_max or {}).items():
+        long = long.where(~((F.col("feature") == f) & (F.col("value") >= lim)))
+    return long
+
+
+def histogram(df: DataFrame, features: Sequence[str], bins: int = 10, label_col: str = "label",
+              per_feature_max: dict | None = None) -> DataFrame:
     """Density histogram per feature and class over a common per-feature range.
 
     Output (feature, label, bin, lo, hi, n, density) for non-empty bins; the last
     bin is closed; density = n / (class count of the feature × bin width).
+    ``per_feature_max`` drops values >= the limit for that feature only.
     """
-    long = unpivot_features(df, features, label_col).where(F.col("value").isNotNull())
+    long = _values(df, features, label_col, per_feature_max)
     rng = _ranges(long)
     width = (F.col("hi_all") - F.col("lo_all")) / F.lit(bins)
     j = long.join(F.broadcast(rng), "feature").withColumn("width", width)
@@ -148,7 +157,7 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 10, label_col:
 
 
 def kde(df: DataFrame, features: Sequence[str], grid: int = 64, kde_bins: int = 256,
-        label_col: str = "label") -> DataFrame:
+        label_col: str = "label", per_feature_max: dict | None = None) -> DataFrame:
     """Gaussian kernel density per feature and class on a ``grid``-point grid.
 
     Linear-binned: values are first counted into ``kde_bins`` fine bins, then
@@ -156,7 +165,7 @@ def kde(df: DataFrame, features: Sequence[str], grid: int = 64, kde_bins: int =
     features × classes × bins × grid, not on the number of rows. Bandwidth by
     Scott's rule (sample std × n^(-1/5)).
     """
-    long = unpivot_features(df, features, label_col).where(F.col("value").isNotNull())
+    long = _values(df, features, label_col, per_feature_max)
     rng = _ranges(long)
     j = long.join(F.broadcast(rng), "feature").withColumn(
         "fw", (F.col("hi_all") - F.col("lo_all")) / F.lit(kde_bins))

@@ -18,7 +18,17 @@ DESC_FEATURES = [
     "of_ratio", "that_ratio", "passive_ratio", "active_ratio", "adjective_adverb_ratio", "avg_wordlen",
     "avg_sentlen", "avg_ndd", "std_ndd", "sentiment_mean", "sentiment_std", "sentiment_abs",
 ]
-OUTLIER_LIMITS = {"avg_sentlen": 100, "noun_ttr": 6, "nominal_verb_ratio": 12}
+# Outlier limits applied before the distribution plots (strict <; missing values drop too):
+# rows with sentence length >= 100 or noun TTR >= 6 leave every plot; nominal/verb >= 12 only
+# leaves that feature's plot.
+ROW_OUTLIER_LIMITS = {"avg_sentlen": 100, "noun_ttr": 6}
+FEATURE_OUTLIER_LIMITS = {"nominal_verb_ratio": 12}
+
+
+def distribution_frame(spark: SparkSession, sf_dir: str, with_compression: bool = False) -> DataFrame:
+    """Labelled rows of the descriptive frame after the row-level outlier limits."""
+    df = descriptive_frame(spark, sf_dir, with_compression=with_compression)
+    return cleaning.filter_outliers(df.where(F.col("label").isNotNull()), ROW_OUTLIER_LIMITS)
 
 
 def descriptive_frame(spark: SparkSession, sf_dir: str, with_compression: bool = True,

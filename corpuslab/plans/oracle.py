@@ -436,8 +436,12 @@ SELECT feature, round((mean_a - mean_b) / nullif(sqrt(((n_a - 1) * var_a + (n_b
                        * (1.0 / n_a + 1.0 / n_b)), 0), 6) AS t_stat,
        CAST(n_a + n_b - 2 AS BIGINT) AS df FROM cs
 """
+_DIST = """l2 AS (SELECT lg.* FROM lg JOIN dsc USING (doc_id)
+       WHERE lg.value IS NOT NULL AND NOT isnan(lg.value) AND lg.label IS NOT NULL
+         AND dsc.avg_sentlen < 100 AND dsc.noun_ttr < 6
+         AND NOT (lg.feature = 'nominal_verb_ratio' AND lg.value >= 12)),"""
 ORACLE["histogram"] = f"""WITH {DESC_CTE},
-l2 AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL),
+{_DIST}
 rng AS (SELECT feature, min(value) AS lo_all, max(value) AS hi_all FROM l2 GROUP BY feature),
 j AS (SELECT l2.*, rng.lo_all, (rng.hi_all - rng.lo_all) / 10 AS width FROM l2 JOIN rng USING (feature)),
 b AS (SELECT feature, label, lo_all, width,
@@ -447,7 +451,7 @@ SELECT feature, label, bin, round(lo_all + bin * width, 6) AS lo, round(lo_all +
        round(n / (sum(n) OVER (PARTITION BY feature, label) * nullif(width, 0)), 6) AS density FROM h
 """
 ORACLE["kde"] = f"""WITH {DESC_CTE},
-l2 AS (SELECT * FROM lg WHERE value IS NOT NULL AND NOT isnan(value) AND label IS NOT NULL),
+{_DIST}
 rng AS (SELECT feature, min(value) AS lo_all, max(value) AS hi_all FROM l2 GROUP BY feature),
 j AS (SELECT l2.*, rng.lo_all, rng.hi_all, (rng.hi_all - rng.lo_all) / 256 AS fw FROM l2 JOIN rng USING (feature)),
 bn AS (SELECT feature, label, lo_all, hi_all, fw,
