@@ -57,7 +57,8 @@ class ColumnsFeaturizer:
 
     def fit(self, train: DataFrame) -> Callable[[DataFrame], DataFrame]:
         tmp = [f"_imp_{i}" for i in range(len(self.cols))]
-        cast = lambda d: d.select("*", *[F.col(c).cast("double").alias(t) for c, t in zip(self.cols, tmp)])  # noqa
+        exprs = [f"CAST(`{c}` AS DOUBLE) AS {t}" for c, t in zip(self.cols, tmp)]
+        cast = lambda d: d.selectExpr("*", *exprs)
         imp = Imputer(strategy="median", inputCols=tmp, outputCols=tmp).fit(cast(train))
         va = VectorAssembler(inputCols=tmp, outputCol=self.out)
         return lambda d: va.transform(imp.transform(cast(d))).drop(*tmp)

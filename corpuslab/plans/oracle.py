@@ -76,9 +76,10 @@ ORACLE["mfw_wide"] = f"""
 WITH {D_TERMS}, {vocab_cte(100)},
 h AS (SELECT doc_id, term, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id, term),
 r AS (SELECT h.doc_id, v.rank, h.n / len(d.terms) AS rate FROM h JOIN v USING (term) JOIN d USING (doc_id)),
-agg AS (SELECT doc_id, sum(rate) AS s, count(*) AS hits, max(CASE WHEN rank = 1 THEN rate END) AS top1 FROM r GROUP BY doc_id)
+agg AS (SELECT r.doc_id, sum(h.n) AS s, count(*) AS hits, max(CASE WHEN rank = 1 THEN rate END) AS top1
+        FROM r JOIN h ON h.doc_id = r.doc_id AND h.term = (SELECT term FROM v WHERE v.rank = r.rank) GROUP BY r.doc_id)
 SELECT d.doc_id,
-       round(CASE WHEN len(d.terms) > 0 THEN coalesce(agg.s, 0) END, 6) AS mfw_sum,
+       CAST(CASE WHEN len(d.terms) > 0 THEN coalesce(agg.s, 0) END AS BIGINT) AS mfw_hits,
        CAST(CASE WHEN len(d.terms) > 0 THEN 100 - coalesce(agg.hits, 0) ELSE 0 END AS BIGINT) AS n_zero,
        round(CASE WHEN len(d.terms) > 0 THEN coalesce(agg.top1, 0) END, 6) AS top1_rate
 FROM d LEFT JOIN agg USING (doc_id)
