@@ -269,7 +269,9 @@ def _signed_chunk_scores_sql(sentence: str, max_len: int, cost: str) -> str:
 
 
 def _sql_in(items) -> str:
-    return "(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in items) + ")"
+    from ..functions.tagger import sql_list
+
+    return sql_list(items)
 
 
 def sentence_summary(tokens: DataFrame, of_words=OF_WORDS, that_words=THAT_WORDS,

@@ -74,3 +74,22 @@ for _fs in ("stylistics", "mfw_100", "mfw_500", "tfidf_5000", "embeddings"):
     register(f"classify_{_fs}", oracle=False)(_classify(_fs))
 register("classify_stylistics_min100", oracle=False)(_classify("stylistics", 100))
 register("classify_embeddings_min100", oracle=False)(_classify("embeddings", 100))
+
+
+@register("feature_tables", oracle=False)
+def q_feature_tables(spark, sf):
+    """E-1 job: every feature table written once (parquet) and counted back."""
+    from ..session import scratch_path
+    from .features import build_feature_tables
+
+    paths = build_feature_tables(spark, sf, scratch_path(spark, "features"))
+    rows = [(name, spark.read.parquet(p).count()) for name, p in sorted(paths.items())]  # one count per table
+    return spark.createDataFrame(rows, "table string, n_rows bigint")
+
+
+@register("class_comparison", oracle=False)
+def q_class_comparison(spark, sf):
+    """E-4 job (flagship): per-feature class statistics, pooled t, df and two-sided p."""
+    from .descriptives import class_comparison_report
+
+    return finish(class_comparison_report(spark, sf))
