@@ -159,3 +159,42 @@ def project_2d(df: DataFrame, vec_col: str = "embedding", seed: int = 42) -> Dat
     p = PCA(k=2, inputCol="_n", outputCol="_p").fit(n).transform(n)
     arr = vector_to_array("_p")
     return p.withColumn("x", arr[0]).withColumn("y", arr[1]).drop("_v", "_n", "_p")
+
+
+class BowFeaturizer:
+    """M1 for bag-of-words with the vocabulary fitted on the training rows only.
+
+    Input rows carry ``terms`` (array) and ``n_terms``. ``fit(train)`` takes the
+    top-N terms of the training documents (distributed count, N names collected)
+    and returns a transform: ``mfw`` -> dense relative frequencies over the N
+    terms (0/0 -> 0); ``tfidf`` -> smoothed idf of the training documents,
+    L2-normalised sparse vectors.
+    """
+
+    def __init__(self, kind: str, n: int):
+        if kind not in ("mfw", "tfidf"):
+            raise ValueError(kind)
+        self.kind, self.n = kind, n
+
+    def fit(self, train: DataFrame):
+        from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
+
+        counts = (train.select("doc_id", F.explode_outer("terms").alias("term")).where(F.col("term").isNotNull())
+                  .groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")))
+        top = (counts.groupBy("term").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
+               .orderBy(F.desc("total"), F.asc("term")).limit(self.n).collect())  # bounded: N rows
+        terms = [r["term"] for r in top]
+        cv = CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf")
+        if self.kind == "mfw":
+            def transform(d: DataFrame) -> DataFrame:
+                rel = F.transform(vector_to_array("_tf"),
+                                  lambda x: F.when(F.col("n_terms") > 0, x / F.col("n_terms")).otherwise(F.lit(0.0)))
+                return cv.transform(d).withColumn("features", array_to_vector(rel)).drop("_tf")
+            return transform
+        import math
+        n_docs = train.count()
+        idf = [math.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in top]
+        ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_w")
+        nz = Normalizer(p=2.0, inputCol="_w", outputCol="features")
+        return lambda d: nz.transform(ep.transform(cv.transform(d))).drop("_tf", "_w")

@@ -27,9 +27,17 @@ def _docs(spark, sf):
     return bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
 
 
-def feature_table(spark: SparkSession, sf: str, feature_set: str):
-    """(doc_id, feature columns or vector) + (featurizer, feature names)."""
+def feature_table(spark: SparkSession, sf: str, feature_set: str, vocab_from: str = "all"):
+    """(doc_id, feature columns or vector) + (featurizer, feature names).
+
+    ``vocab_from="train"`` (MFW / TF-IDF only): the table holds the term arrays
+    and the vocabulary / idf are fitted per fold on the training rows.
+    """
     docs = _docs(spark, sf)
+    if vocab_from == "train" and feature_set.split("_")[0] in ("mfw", "tfidf"):
+        kind, n = feature_set.split("_")
+        dt = bow.doc_terms(docs.select("doc_id", "text"))
+        return dt, models.BowFeaturizer(kind, int(n)), None
     if feature_set == "stylistics":
         t = stylistics.stylistics_table(annotate.token_table(docs))
         return t.select("doc_id", *models.CLASSIFY_STYLISTICS), models.ColumnsFeaturizer(models.CLASSIFY_STYLISTICS), \
@@ -57,12 +65,12 @@ def feature_table(spark: SparkSession, sf: str, feature_set: str):
 
 
 def classification_input(spark: SparkSession, sf: str, feature_set: str, min_words: int | None = None,
-                         k: int = 5, seed: int = 42) -> tuple[DataFrame, object, list | None, list]:
+                         k: int = 5, seed: int = 42, vocab_from: str = "all") -> tuple[DataFrame, object, list | None, list]:
     corpus = bindings.corpus(spark, sf, with_text=min_words is not None)
     if min_words is not None:
         corpus = cleaning.filter_min_words(corpus, min_words, strict=False)
     corpus = cleaning.strip_part_suffix(corpus.where(F.col("label").isNotNull())).select("doc_id", "label", "group_id")
-    feats, featurizer, names = feature_table(spark, sf, feature_set)
+    feats, featurizer, names = feature_table(spark, sf, feature_set, vocab_from)
     # one row per document: materialise once, balancing and fold assignment read it several times
     data = right_size(materialize(feats.join(corpus, "doc_id"), f"features-{feature_set}"))
     bal = splits.balance_classes(data, seed=seed)
@@ -73,9 +81,10 @@ def classification_input(spark: SparkSession, sf: str, feature_set: str, min_wor
 
 
 def run_classification(spark: SparkSession, sf: str, feature_set: str, min_words: int | None = None,
-                       k: int = 5, **forest_kw):
+                       k: int = 5, vocab_from: str = "all", **forest_kw):
     """Returns (predictions, cv summary, mean importances or None)."""
-    data, featurizer, names, classes = classification_input(spark, sf, feature_set, min_words, k)
+    data, featurizer, names, classes = classification_input(spark, sf, feature_set, min_words, k,
+                                                            vocab_from=vocab_from)
     preds, fitted = models.cross_validate(data, featurizer, classes, k=k, **forest_kw)
     summary = evaluation.cv_summary(preds)
     imp = models.mean_importances(spark, fitted, names) if names is not None and feature_set != "embeddings" else None

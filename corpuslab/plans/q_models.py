@@ -63,10 +63,11 @@ def q_cluster_scores(spark, sf):
     return finish(run_clustering(spark, sf)[1])
 
 
-def _classify(feature_set, min_words=None):
+def _classify(feature_set, min_words=None, vocab_from="all"):
     def fn(spark, sf):
-        return finish(run_classification(spark, sf, feature_set, min_words)[1])
-    fn.__doc__ = f"E-2 job: CV summary for {feature_set}" + (f", >= {min_words} words" if min_words else "")
+        return finish(run_classification(spark, sf, feature_set, min_words, vocab_from=vocab_from)[1])
+    fn.__doc__ = (f"E-2 job: CV summary for {feature_set}" + (f", >= {min_words} words" if min_words else "")
+                  + (", vocabulary fitted on training folds" if vocab_from == "train" else ""))
     return fn
 
 
@@ -74,6 +75,8 @@ for _fs in ("stylistics", "mfw_100", "mfw_500", "tfidf_5000", "embeddings"):
     register(f"classify_{_fs}", oracle=False)(_classify(_fs))
 register("classify_stylistics_min100", oracle=False)(_classify("stylistics", 100))
 register("classify_embeddings_min100", oracle=False)(_classify("embeddings", 100))
+register("classify_tfidf_5000_train_vocab", oracle=False)(_classify("tfidf_5000", vocab_from="train"))
+register("classify_mfw_100_train_vocab", oracle=False)(_classify("mfw_100", vocab_from="train"))
 
 
 @register("feature_tables", oracle=False)

@@ -58,3 +58,14 @@ def test_run_results_idempotent(spark):
     io.append_run_results(df, path, "r2")
     got = sorted((r["run_id"], r["k"]) for r in spark.read.parquet(path).collect())
     assert got == [("r1", "a"), ("r2", "a")]
+
+
+def test_bow_featurizer_fits_on_train_only(spark):
+    from corpuslab.operators import bow
+
+    docs = spark.createDataFrame([(1, "aa aa bb"), (2, "cc cc cc")], "doc_id long, text string")
+    dt = bow.doc_terms(docs)
+    f = models.BowFeaturizer("mfw", 2).fit(dt.where("doc_id = 1"))
+    out = {r["doc_id"]: r["features"].toArray().tolist() for r in f(dt).collect()}
+    assert out[1] == pytest.approx([2 / 3, 1 / 3])
+    assert out[2] == [0.0, 0.0]  # 'cc' exists only outside the training rows
