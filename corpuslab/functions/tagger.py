@@ -9,9 +9,9 @@ Stages per token (each stage materialises a struct so nothing is recomputed):
 0. text, lower-case form, its length, position in sentence;
 1. lexicon entry (the literal map is probed only if the hashed key set contains
    the key), punctuation / number / capitalisation flags;
-2. POS / morph from the closed classes and capitalisation, else the index of the
-   first matching suffix rule of the token's language (evaluated lazily);
-3. the rule index resolved into POS / morph, default NOUN.
+2. POS / morph from the closed classes and capitalisation, else from the first
+   matching suffix rule of the token's language (evaluated only for open-class
+   tokens), default NOUN.
 
 This is a structural baseline (closed-class lexicon + suffix rules), not a
 statistical tagger; measures computed from it are exact for the token table it
@@ -83,22 +83,17 @@ def tagged_sentences_sql(lang: str, sentences: str, token_re: str) -> str:
           f"'is_cap', substring(b.text, 1, 1) <> lower(substring(b.text, 1, 1)))))")
     cap_noun = f"(x.is_cap AND {lang} IN {capl})"
     cap_propn = "(x.is_cap AND x.j > 0)"
-    pos0 = (f"CASE WHEN x.is_punct THEN 'PUNCT' WHEN x.is_num THEN 'NUM' WHEN x.lex IS NOT NULL THEN x.lex.pos "
-            f"WHEN {cap_noun} THEN 'NOUN' WHEN {cap_propn} THEN 'PROPN' END")
-    open_class = (f"NOT x.is_punct AND NOT x.is_num AND x.lex IS NULL "
-                  f"AND NOT coalesce({cap_noun} OR {cap_propn}, false)")
-    s2 = (f"transform({s1}, a2 -> transform(a2, x -> named_struct("
-          f"'text', x.text, 'j', x.j, 'lemma', coalesce(x.lex.lemma, x.low), "
-          f"'pos0', {pos0}, 'morph0', CASE WHEN x.lex IS NOT NULL THEN x.lex.morph END, "
-          f"'rule', CASE WHEN {open_class} THEN {rule_index_sql(lang, 'x.low', 'x.n')} END, "
+    # the suffix rules only run for open-class tokens (last CASE branch); try_element_at keeps a
+    # NULL rule index NULL (element_at under ANSI would be declared non-null)
+    rule = rule_index_sql(lang, "x.low", "x.n")
+    pos = (f"CASE WHEN x.is_punct THEN 'PUNCT' WHEN x.is_num THEN 'NUM' WHEN x.lex IS NOT NULL THEN x.lex.pos "
+           f"WHEN {cap_noun} THEN 'NOUN' WHEN {cap_propn} THEN 'PROPN' "
+           f"ELSE coalesce(try_element_at({rpos}, {rule}), 'NOUN') END")
+    morph = (f"CASE WHEN x.is_punct OR x.is_num THEN NULL WHEN x.lex IS NOT NULL THEN x.lex.morph "
+             f"WHEN coalesce({cap_noun} OR {cap_propn}, false) THEN NULL ELSE try_element_at({rmorph}, {rule}) END")
+    s3 = (f"transform({s1}, a2 -> transform(a2, x -> named_struct("
+          f"'text', x.text, 'j', x.j, 'lemma', coalesce(x.lex.lemma, x.low), 'pos', {pos}, 'morph', {morph}, "
           f"'is_stop', x.lex IS NOT NULL, 'is_punct', x.is_punct)))")
-    s3 = (f"transform({s2}, a3 -> transform(a3, y -> named_struct("
-          f"'text', y.text, 'j', y.j, 'lemma', y.lemma, "
-          f"'pos', CASE WHEN y.pos0 IS NOT NULL THEN y.pos0 WHEN y.rule IS NOT NULL THEN element_at({rpos}, y.rule) "
-          f"ELSE 'NOUN' END, "
-          f"'morph', CASE WHEN y.pos0 IS NOT NULL THEN y.morph0 WHEN y.rule IS NOT NULL "
-          f"THEN element_at({rmorph}, y.rule) END, "
-          f"'is_stop', y.is_stop, 'is_punct', y.is_punct)))")
     # root: first VERB, else first non-punctuation token, else the first token (0-based)
     root = ("CAST(coalesce(nullif(array_position(transform(a4, z -> z.pos = 'VERB'), true), 0), "
             "nullif(array_position(transform(a4, z -> NOT z.is_punct), true), 0), 1) - 1 AS INT)")
