@@ -73,3 +73,11 @@ def test_removal_report_and_missing(spark):
     assert [(r["n_before"], r["n_after"]) for r in rep] == [(3, 2), (2, 1)]
     miss = {r["column"]: r["n_null"] for r in cleaning.missing_profile(df).collect()}
     assert miss == {"id": 0, "text": 1, "label": 1}
+
+
+def test_term_counts_plan_has_no_exchange_after_spread(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    plan = bow.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    # the only exchange is the doc_id spread of a single-row-group scan; the count needs none
+    assert plan.count("Exchange") <= 1, plan
+    assert "partial_count" in plan
