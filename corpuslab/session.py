@@ -7,6 +7,7 @@ settings except where a setting is missing.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -103,3 +105,26 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpuslab`` importable in Python workers (Arrow UDFs, mapInPandas hooks).
+
+    Functions defined in this package are pickled by reference, so executors must
+    be able to import it. The package is zipped once on the driver and added with
+    ``SparkContext.addPyFile`` (Spark distributes it to every executor); repeated
+    calls for the same context are no-ops.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="corpuslab-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "corpuslab"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
