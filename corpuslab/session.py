@@ -40,12 +40,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def is_single_process(master: str) -> bool:
+    """True for ``local`` and ``local[...]``: driver and tasks share one machine's folders."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
-    it is read from the session and never replaced. Only when it is missing
-    (local tests) a fresh temporary folder is used.
+    it is read from the session and never replaced. Where it is missing, a
+    single-process session (``local[...]``, as in tests) gets a fresh temporary
+    folder; any other master raises, as executors would not share one.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -53,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return cur
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not is_single_process(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="corpuslab-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
