@@ -9,16 +9,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslab.llm import bpe, exact_dedup, mixing
+from corpuslab.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from corpuslab.llm.common import prepare, table
 from corpuslab.session import materialize
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return minhash.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     return mixing.mixed_documents(docs)
@@ -29,7 +38,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-STAGES = [("exact dedup", drop_copies), ("mixing", mix_sources), ("byte-level BPE", encode)]
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-duplicates", drop_near_copies),
+          ("mixing", mix_sources), ("byte-level BPE", encode)]
 
 #: Toxicity scores, near-duplicate links and token ids have no SQL form.
 ORACLE_SQL = None

@@ -1,8 +1,9 @@
 """Operator 4: exact deduplication by content sort.
 
 Texts are normalised (each run of space and 0x09-0x0D becomes one space; null is empty) and
-range-partitioned by the normalised bytes and then the id, with splitters that Spark samples;
-each partition is sorted (spilling if need be), so equal texts lie side by side and the
+range-partitioned by their first ``HEAD`` characters, a 64-bit hash and the id, with splitters
+that Spark samples (so the driver gets short keys, not whole texts). Each partition is sorted
+by these, with the whole normalised bytes before the id (spilling if need be): equal texts lie side by side and the
 smallest id comes first. One pass compares each row with the one before it, whole text with
 whole text. As the id is a part of the range key, a group of any size spreads over
 partitions. Only the first and last group of a partition can go on in another one: these two
@@ -36,9 +37,15 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), NOT_NORMAL, " ")
 
 
+#: Characters of a text in the range key.
+HEAD = 16
+
+
 def _by_content(docs: DataFrame, id_col: str) -> DataFrame:
-    order = [F.col("_x_norm"), F.col(id_col).asc_nulls_last()]
-    return docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    d = docs.withColumns({"_x_head": F.substring("_x_norm", 1, HEAD), "_x_hash": F.xxhash64("_x_norm")})
+    last = F.col(id_col).asc_nulls_last()
+    d = d.repartitionByRange("_x_head", "_x_hash", last)
+    return d.sortWithinPartitions("_x_head", "_x_hash", "_x_norm", last).drop("_x_head", "_x_hash")
 
 
 def _starts(texts: pa.Array, before: str | None) -> np.ndarray:

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, quality, sharding
-from .common import table
+from . import bpe, exact_dedup, minhash, mixing, quality, sharding, toxicity
+from .common import is_held_out, table
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).drop("text")
+    return scored.select("doc_id", is_held_out("doc_id", 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +41,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
 
 ORACLE = {
     "op4_exact_dedup": r"""
