@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, minhash, mixing, quality, sharding, toxicity
+from . import bpe, exact_dedup, html_extract, langid, minhash, mixing, quality, sharding, toxicity
 from .common import is_held_out, table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract(pages, keep_html=False).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -17,6 +22,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    tagged = langid.tag(docs, langid.learn(docs), spans=False)
+    return tagged.select("doc_id", is_held_out("doc_id", 0).alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
@@ -41,7 +52,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op4_exact_dedup, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_langid, op4_exact_dedup, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
 
 ORACLE = {
     "op4_exact_dedup": r"""
