@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_extract, langid, minhash, mixing, quality, sharding, toxicity
+from . import bpe, exact_dedup, html_extract, katz, langid, minhash, mixing, quality, sharding, toxicity
 from .common import is_held_out, table
 
 
@@ -32,6 +32,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_langid, op4_exact_dedup, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_langid, op4_exact_dedup, op5_katz, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
 
 ORACLE = {
     "op4_exact_dedup": r"""
