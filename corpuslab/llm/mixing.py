@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import NOT_WS, n_words
+from .common import NOT_WS, WS, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SHARDS, SEED = 1.5, 2.0, 16, 7
@@ -150,9 +150,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = docs.columns
     d = mix(docs, id_col, text_col=text_col, carry=tuple(names), **options)
     d = d.select(*names, "passes", "cut", "size", "shard_order", F.posexplode("shards").alias("_x_copy", "_x_shard"))
-    words = F.concat(F.lit("^(?:[\\x20\\x09-\\x0D]*" + NOT_WS.replace("\\", "\\") + "+){"), F.col("cut").cast("string"), F.lit("}"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit("(" + WS + "*" + NOT_WS + "+)"))
     is_cut = (F.col("_x_copy") >= F.col("passes")) & (F.col("cut") < F.col("size"))
-    text = F.when(is_cut, F.regexp_substr(F.col(text_col), words)).otherwise(F.col(text_col))
+    text = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("cut").cast("int")), "")).otherwise(F.col(text_col))
     order = F.xxhash64("shard_order", "_x_copy")
     d = d.withColumn(text_col, text)
     if "n_chars" in names:
