@@ -13,8 +13,9 @@ from .lexicon import ANNOTATION_RECODE, SENTIMENT_LABEL_SYNONYMS
 
 # Vectoriser terms: runs of >= 2 Unicode word characters (not \w: ASCII-only in Java).
 TERM_RE = r"[\p{L}\p{N}_]{2,}"
-# Sentences: a run of non-terminators followed by any terminators.
-SENT_RE = r"[^.!?]+[.!?]*"
+# Sentences: a run of non-terminators with the terminators after it; terminators before any other
+# character belong to the first sentence, and a text of terminators only is one sentence.
+SENT_RE = r"^[.!?]+\z|[.!?]*[^.!?]+[.!?]*"
 # Annotator tokens: a word run, or one character that is neither word nor space.
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 WORD_CHAR_RE = r"[\p{L}\p{N}_]"

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.tagger import sql_str, tagged_sentences_sql
 from ..functions.text import SENT_RE, TOKEN_RE
+from ..session import once_per_worker
 
 TOKEN_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -107,30 +108,25 @@ def token_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def annotate(docs: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
              id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
-             schema: T.StructType = TOKEN_SCHEMA, partition_by_doc: bool = True) -> DataFrame:
+             schema: T.StructType | None = None, partition_by_doc: bool = True,
+             factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]] | None = None) -> DataFrame:
     """A5: run an annotator over documents.
 
-    Without ``fn`` the built-in baseline (``token_table``) is used. With ``fn``
-    (pandas frame of ``doc_id, lang, text`` -> token frame in ``schema``) the
-    annotator runs in ``mapInPandas``: one Arrow batch at a time, the model is
-    loaded once per Python worker by ``fn`` itself.
+    Without ``fn`` and ``factory`` the built-in baseline (``token_table``) is used. ``fn``
+    maps a pandas frame of ``doc_id, lang, text`` to a token frame, one Arrow batch
+    at a time (``mapInPandas``). ``factory`` (an importable function) returns such an
+    ``fn``; it is called once per Python worker, so a model loads once there. The
+    output has the id type of the input (``schema`` overrides the whole layout).
     """
-    if fn is None:
+    if fn is None and factory is None:
         return token_table(docs, id_col, text_col, lang_col, partition_by_doc)
     base = _slim(docs, id_col, text_col, lang_col, partition_by_doc, None)
+    if schema is None:
+        schema = T.StructType([base.schema["doc_id"], *TOKEN_SCHEMA.fields[1:]])
 
     def run(batches):
+        own = fn if factory is None else once_per_worker(factory)
         for pdf in batches:
-            yield fn(pdf)
+            yield own(pdf)
 
     return base.mapInPandas(run, schema)
-
-
-def token_table_from_pandas(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Hook example for ``annotate(fn=...)``: a whitespace annotator (tests only)."""
-    rows = []
-    for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-        for i, tok in enumerate((text or "").split()):
-            rows.append((doc_id, 0, i, tok, tok.lower(), False, False, None, "X", "X",
-                         "ROOT" if i == 0 else "dep", None, 0))
-    return pd.DataFrame(rows, columns=[f.name for f in TOKEN_SCHEMA.fields])

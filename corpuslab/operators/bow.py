@@ -1,9 +1,9 @@
 """V1–V7: vectoriser tokens, term counts, top-N vocabulary, MFW rates, TF-IDF.
 
 Long (sparse) layout throughout: ``(doc_id, term, value)``. Term counts are one
-``groupBy(doc_id, term)`` whose partial aggregation collapses a document's
-repeats inside the map task (a document's terms never leave its task before
-that). The vocabulary is bounded by N (100 / 500 / 5000) and is the only thing
+``groupBy(doc_id, term)``: its partial aggregate collapses a document's repeats
+inside the map task, and one exchange brings the partial counts together, at any
+number of input partitions. The vocabulary is bounded by N (100 / 500 / 5000) and is the only thing
 broadcast; the document totals are computed map-side from the same arrays.
 """
 
@@ -13,13 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import vectorizer_terms
-from ..session import ensure_parallelism
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, terms array, n_terms) — the vectoriser view of each document."""
     terms = vectorizer_terms(F.col(text_col))
-    docs = ensure_parallelism(docs.select(id_col, text_col), id_col)
     return docs.select(F.col(id_col).alias("doc_id"), terms.alias("terms")) \
         .select("doc_id", "terms", F.size("terms").cast("bigint").alias("n_terms"))
 
@@ -79,15 +77,20 @@ def mfw_relative(docs: DataFrame | None, vocab: DataFrame, id_col: str = "doc_id
 
 
 def mfw_wide(docs: DataFrame, long: DataFrame, vocab_terms: list[str], id_col: str = "doc_id",
-             text_col: str = "text", prefix: str = "t_") -> DataFrame:
+             text_col: str = "text", prefix: str = "t_", counts: DataFrame | None = None) -> DataFrame:
     """V5: one column per vocabulary term (in frequency order), prefixed ``t_``.
 
     ``vocab_terms`` is the bounded top-N list (N <= 500 for a wide table). A
     document with terms but no hit gets 0; a document without terms gets null
-    (0/0), as in the reference.
+    (0/0), as in the reference. With ``counts`` (from ``term_counts``) the number
+    of terms comes from there and the text isn't read again.
     """
     piv = long.groupBy("doc_id").pivot("term", vocab_terms).agg(F.first("rel_freq"))
-    dt = doc_terms(docs, id_col, text_col).select("doc_id", "n_terms")
+    if counts is None:
+        dt = doc_terms(docs, id_col, text_col).select("doc_id", "n_terms")
+    else:
+        sizes = counts.groupBy("doc_id").agg(F.max("n_terms").alias("n_terms"))
+        dt = docs.select(F.col(id_col).alias("doc_id")).join(sizes, "doc_id", "left")
     j = dt.join(piv, "doc_id", "left")
     # one selectExpr instead of N Column builders (each builder call is a JVM round trip)
     cols = [f"CASE WHEN n_terms > 0 THEN coalesce(`{t}`, 0.0) END AS `{prefix}{t}`" for t in vocab_terms]
@@ -99,17 +102,20 @@ def tfidf(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: s
     """V6: (doc_id, term, weight) with raw tf × smoothed idf, L2-normalised per document.
 
     idf = ln((1 + n) / (1 + df)) + 1 where n counts every document (also empty
-    ones). The norm is taken over the vocabulary terms only. The per-document
-    norm uses a window on ``doc_id``; the idf table is bounded by the vocabulary.
+    ones). The norm is taken over the vocabulary terms only: a document's weights
+    (at most the vocabulary) meet in one array, behind one exchange. The idf table
+    is bounded by the vocabulary.
     """
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     c = counts if counts is not None else term_counts(docs, id_col, text_col)
     tf = c.join(F.broadcast(vocab.select("term")), "term").select("doc_id", "term", F.col("n").alias("tf"))
     dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("term", (F.log((1.0 + n_docs.scalar()) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tf.join(F.broadcast(idf), "term").select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return w.select("doc_id", "term", (F.col("w") / norm).alias("weight"))
+    w = tf.join(F.broadcast(idf), "term").select("doc_id", F.struct("term", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    per_doc = w.groupBy("doc_id").agg(F.collect_list("x").alias("xs"))
+    norm = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    return (per_doc.select("doc_id", norm.alias("norm"), F.explode("xs").alias("x"))
+            .select("doc_id", F.col("x.term").alias("term"), (F.col("x.w") / F.col("norm")).alias("weight")))
 
 
 def term_vectors(docs: DataFrame, vocab_terms: list[str], id_col: str = "doc_id",
@@ -136,12 +142,14 @@ def term_vectors(docs: DataFrame, vocab_terms: list[str], id_col: str = "doc_id"
     return nz.transform(ep.transform(out)).select("doc_id", "features")
 
 
-def idf_table(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, rank, idf) for a vocabulary (bounded by its size)."""
-    dt = doc_terms(docs, id_col, text_col)
-    n_docs = dt.agg(F.count(F.lit(1)).alias("n_docs"))
-    present = (_explode_terms(dt.select("doc_id", F.array_distinct("terms").alias("terms")))
-               .join(F.broadcast(vocab.select("term")), "term")
+def idf_table(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              counts: DataFrame | None = None) -> DataFrame:
+    """(term, rank, idf) for a vocabulary (bounded by its size), from ``counts`` if given."""
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))
+    if counts is None:
+        dt = doc_terms(docs, id_col, text_col)
+        counts = _explode_terms(dt.select("doc_id", F.array_distinct("terms").alias("terms")))
+    present = (counts.join(F.broadcast(vocab.select("term")), "term")
                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     return (vocab.select("term", "rank").join(present, "term", "left")
             .select("term", "rank",

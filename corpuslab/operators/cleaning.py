@@ -58,9 +58,9 @@ def filter_min_words(df: DataFrame, n: int = 100, strict: bool = False, col: str
 def dedupe(df: DataFrame, key: str, order_by: Sequence[str]) -> DataFrame:
     """First row per ``key`` by ``order_by``; null keys count as one key.
 
-    Planned as a hash aggregate of ``min(struct(order..., rest...))`` — partial
-    aggregation runs map-side, so a hot key never gathers in one task (a
-    ``row_number`` window would sort the whole key group in one task).
+    One aggregate of ``min(struct(order..., rest...))``: its partial step runs
+    map-side, so a hot key never gathers in one task (a ``row_number`` window would
+    sort the whole key group in one task). Spark plans the minimum of a struct as a sort aggregate.
     """
     rest = [c for c in df.columns if c != key and c not in order_by]
     packed = F.struct(*[F.col(c) for c in list(order_by) + rest])

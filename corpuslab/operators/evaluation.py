@@ -70,28 +70,58 @@ def _by(df: DataFrame, by: Sequence[str]):
     return df.withColumn(_ALL, F.lit(1)), [_ALL]
 
 
-def adjusted_rand_index(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), digits: int = 3) -> DataFrame:
-    """E5: ARI from pair counts (exact sums in DECIMAL(38,0)); 1.0 when no pair disagrees.
+def _pair_sums(df: DataFrame, truth: str, pred: str, keys: Sequence[str]) -> DataFrame:
+    """One row per key with all sums over the contingency table that the scores need.
 
-    Output: (by..., ari, ari_rounded).
+    The cells, both margins and their sums come from one pass: grouping sets over
+    the cells, no join back to them, and a null label is a class of its own.
     """
-    d, keys = _by(df, by)
-    c = contingency(d, truth, pred, keys).withColumn("n", F.col("n").cast("decimal(38,0)"))
-    s = c.groupBy(*keys).agg(F.sum("n").alias("n_total"), F.sum(F.col("n") * F.col("n")).alias("sum_sq"))
-    a = (c.groupBy(*keys, truth).agg(F.sum("n").alias("a")).groupBy(*keys)
-         .agg(F.sum(F.col("a") * F.col("a")).alias("row_sq")))
-    b = (c.groupBy(*keys, pred).agg(F.sum("n").alias("b")).groupBy(*keys)
-         .agg(F.sum(F.col("b") * F.col("b")).alias("col_sq")))
-    t = s.join(a, keys).join(b, keys)
-    nt, sq, rq, cq = F.col("n_total"), F.col("sum_sq"), F.col("row_sq"), F.col("col_sq")
-    tp = (sq - nt).cast("double")
-    fp = (cq - sq).cast("double")
-    fn = (rq - sq).cast("double")
-    tn = (nt * nt - rq - cq + sq).cast("double")
-    ari = F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
+    c = df.groupBy(*keys, F.col(truth).alias("_u"), F.col(pred).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    sets = [[*keys, "_u", "_v"], [*keys, "_u"], [*keys, "_v"]]
+    g = c.groupingSets(sets, *keys, "_u", "_v").agg(F.sum("_c").alias("n"), F.grouping_id().alias("_g"))
+    n, d = F.col("n"), F.col("n").cast("decimal(38,0)")
+    cell, by_u, by_v = (F.col("_g") == k for k in (0, 1, 2))
+    log = n * F.log(n.cast("double"))
+
+    def total(which, value):
+        return F.sum(F.when(which, value))
+
+    return g.groupBy(*keys).agg(
+        total(cell, d).alias("n_total"), total(cell, d * d).alias("sum_sq"), total(by_u, d * d).alias("row_sq"),
+        total(by_v, d * d).alias("col_sq"), total(cell, log).alias("cell_log"), total(by_u, log).alias("row_log"),
+        total(by_v, log).alias("col_log"), F.count_if(by_v & F.col("_v").isNotNull()).alias("n_clusters"),
+        F.count_if(by_u & F.col("_u").isNotNull()).alias("n_groups"))
+
+
+def _ari():
+    """ARI from pair counts (exact sums in DECIMAL(38,0)); 1.0 when no pair disagrees."""
+    nt, sq, rq, cq = (F.col(k) for k in ("n_total", "sum_sq", "row_sq", "col_sq"))
+    tp, fp, fn, tn = (x.cast("double") for x in (sq - nt, cq - sq, rq - sq, nt * nt - rq - cq + sq))
+    return F.when((fn == 0) & (fp == 0), F.lit(1.0)).otherwise(
         2.0 * (tp * tn - fn * fp) / ((tp + fn) * (fn + tn) + (tp + fp) * (fp + tn)))
-    out = t.select(*keys, ari.alias("ari")).withColumn("ari_rounded", F.round("ari", digits))
-    return out.drop(_ALL)
+
+
+def _homogeneity_completeness():
+    """MI = (sum n ln n - sum a ln a - sum b ln b) / N + ln N over the entropies of both labelings."""
+    nt = F.col("n_total").cast("double")
+    mi = (F.col("cell_log") - F.col("row_log") - F.col("col_log")) / nt + F.log(nt)
+    hu, hv = (F.log(nt) - F.col(k) / nt for k in ("row_log", "col_log"))
+    tiny = 1e-12  # an entropy of 0 within rounding: one class
+    return (F.when(hu > tiny, mi / hu).otherwise(F.lit(1.0)), F.when(hv > tiny, mi / hv).otherwise(F.lit(1.0)))
+
+
+def _scores(sums: DataFrame, keys: Sequence[str], digits: int) -> DataFrame:
+    h, c = _homogeneity_completeness()
+    out = sums.select(*keys, _ari().alias("ari"), h.alias("homogeneity"), c.alias("completeness"), "n_clusters", "n_groups")
+    both = F.col("homogeneity") + F.col("completeness")
+    v = F.when(both > 0, 2.0 * F.col("homogeneity") * F.col("completeness") / both).otherwise(F.lit(0.0))
+    return out.withColumns({"v_measure": v, "ari_rounded": F.round("ari", digits)}).withColumn("v_rounded", F.round("v_measure", digits))
+
+
+def adjusted_rand_index(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """E5: (by..., ari, ari_rounded)."""
+    d, keys = _by(df, by)
+    return _scores(_pair_sums(d, truth, pred, keys), keys, digits).select(*by, "ari", "ari_rounded")
 
 
 def v_measure(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), digits: int = 3) -> DataFrame:
@@ -100,26 +130,8 @@ def v_measure(df: DataFrame, truth: str, pred: str, by: Sequence[str] = (), digi
     Output: (by..., homogeneity, completeness, v_measure, v_rounded).
     """
     d, keys = _by(df, by)
-    c = contingency(d, truth, pred, keys)
-    rows = c.groupBy(*keys, truth).agg(F.sum("n").alias("a"))
-    cols = c.groupBy(*keys, pred).agg(F.sum("n").alias("b"))
-    tot = c.groupBy(*keys).agg(F.sum("n").alias("n_total"))
-    cells = c.join(rows, keys + [truth]).join(cols, keys + [pred]).join(tot, keys)
-    nt = F.col("n_total")
-    mi = cells.groupBy(*keys).agg(F.sum(F.col("n") / nt * F.log(
-        nt * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
-    hu = rows.join(tot, keys).groupBy(*keys).agg(
-        (-F.sum(F.col("a") / nt * F.log(F.col("a") / nt))).alias("hu"))
-    hv = cols.join(tot, keys).groupBy(*keys).agg(
-        (-F.sum(F.col("b") / nt * F.log(F.col("b") / nt))).alias("hv"))
-    t = mi.join(hu, keys).join(hv, keys)
-    h = F.when(F.col("hu") > 0, F.col("mi") / F.col("hu")).otherwise(F.lit(1.0))
-    comp = F.when(F.col("hv") > 0, F.col("mi") / F.col("hv")).otherwise(F.lit(1.0))
-    t = t.select(*keys, h.alias("homogeneity"), comp.alias("completeness"))
-    v = F.when(F.col("homogeneity") + F.col("completeness") > 0,
-               2.0 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness"))
-               ).otherwise(F.lit(0.0))
-    return t.withColumn("v_measure", v).withColumn("v_rounded", F.round("v_measure", digits)).drop(_ALL)
+    out = _scores(_pair_sums(d, truth, pred, keys), keys, digits)
+    return out.select(*by, "homogeneity", "completeness", "v_measure", "v_rounded")
 
 
 def cluster_count_check(df: DataFrame, cluster_col: str, group_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -130,8 +142,7 @@ def cluster_count_check(df: DataFrame, cluster_col: str, group_col: str, by: Seq
 
 
 def compare_clusterings(df: DataFrame, truth: str, pred: str, by: Sequence[str] = ("model",)) -> DataFrame:
-    """One row per clustering (e.g. per embedding model): ARI, V-measure, cluster counts."""
-    ari = adjusted_rand_index(df, truth, pred, by)
-    vm = v_measure(df, truth, pred, by)
-    cnt = cluster_count_check(df, pred, truth, by)
-    return ari.join(vm, list(by)).join(cnt, list(by))
+    """One row per clustering (e.g. per embedding model): ARI, V-measure, cluster counts, from one contingency pass."""
+    d, keys = _by(df, by)
+    out = _scores(_pair_sums(d, truth, pred, keys), keys, 3)
+    return out.withColumn("same", F.col("n_clusters") == F.col("n_groups")).drop(_ALL)

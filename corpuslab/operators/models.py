@@ -12,12 +12,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Imputer, Normalizer, VectorAssembler
+from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import right_size
+from .stats import exact_quantiles
 
 # The 19 stylistic features the reference's classifier uses.
 CLASSIFY_STYLISTICS = [
@@ -49,7 +49,9 @@ class ColumnsFeaturizer:
     """M1 (tables of columns): median imputation fitted on the training rows + VectorAssembler.
 
     ``fit(train)`` returns a function that transforms any frame with the training
-    medians, so test folds never leak into imputation.
+    medians (exact; 0 for a column without any training value), so test folds never
+    leak into imputation. Only columns with missing values are looked at: the driver
+    gets one number each.
     """
 
     def __init__(self, cols: Sequence[str], out: str = "features"):
@@ -59,9 +61,19 @@ class ColumnsFeaturizer:
         tmp = [f"_imp_{i}" for i in range(len(self.cols))]
         exprs = [f"CAST(`{c}` AS DOUBLE) AS {t}" for c, t in zip(self.cols, tmp)]
         cast = lambda d: d.selectExpr("*", *exprs)
-        imp = Imputer(strategy="median", inputCols=tmp, outputCols=tmp).fit(cast(train))
+        missing = cast(train).selectExpr(*[f"count_if({t} IS NULL OR isnan({t})) AS {t}" for t in tmp]).first()
+        holes = [t for t in tmp if missing[t]]
+        fill = dict.fromkeys(holes, 0.0)
+        if holes:
+            long = cast(train).select(*holes).unpivot([], holes, "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
+            fill |= {r["feature"]: r["q"] for r in exact_quantiles(long, (0.5,)).collect()}
+        filled = [f"coalesce(nanvl({t}, NULL), {float(fill[t])!r}D) AS {t}" if t in fill else t for t in tmp]
         va = VectorAssembler(inputCols=tmp, outputCol=self.out)
-        return lambda d: va.transform(imp.transform(cast(d))).drop(*tmp)
+
+        def transform(d: DataFrame) -> DataFrame:
+            return va.transform(cast(d).selectExpr(*[f"`{c}`" for c in d.columns], *filled)).drop(*tmp)
+
+        return transform
 
 
 class VectorFeaturizer:
@@ -74,10 +86,13 @@ class VectorFeaturizer:
         return lambda d: d if self.col == "features" else d.withColumn("features", F.col(self.col))
 
 
-def train_forest(train: DataFrame, label_col: str = "_y", num_trees: int = 100, max_depth: int = 20,
+def train_forest(train: DataFrame, label_col: str = "_y", num_trees: int = 100, max_depth: int = 30,
                  seed: int = 42, max_bins: int = 32, max_memory_mb: int = 1024):
     """M2: random forest (sqrt features per split, bootstrap) fitted with MLlib.
 
+    Trees grow to ``max_depth``, whose default is the library's limit (30); the
+    reference's trees are unlimited.
+
     ``max_memory_mb`` bounds the per-pass node statistics; a larger value lets
     one pass over the data split more nodes (fewer jobs per tree level).
     """
@@ -128,18 +143,27 @@ def kmeans_by_truth(df: DataFrame, truth: str, vec_col: str = "embedding", by: s
                     seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
     """M5: per ``by`` value, KMeans with k = number of distinct ``truth`` values.
 
-    Returns (by, doc_id, truth, cluster). The driver loops over the (bounded)
-    distinct model names and submits the fits concurrently; each fit is
-    distributed (MLlib caches its own vector RDD for the iterations).
+    Returns (by, doc_id, truth, cluster, nearest): ``nearest`` says that no other
+    centre is closer. The driver loops over the (bounded) distinct model names and
+    submits the fits concurrently; each fit is distributed (MLlib caches its own
+    vector RDD for the iterations). One truth value: all rows are cluster 0.
+    The library keeps all k centres on the driver and sends them to every task, so k
+    (the number of truth values) is limited by memory: k x dimension doubles.
     """
     names = [r[0] for r in df.select(by).distinct().orderBy(by).collect()]
 
     def one(m):
-        part = right_size(vector_from_array(df.where(F.col(by) == m), vec_col))
-        k = part.select(F.count_distinct(truth)).first()[0]
-        km = KMeans(k=max(int(k), 2), seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
-                    predictionCol="cluster").fit(part)
-        return km.transform(part).select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"))
+        part = vector_from_array(df.where(F.col(by) == m), vec_col)
+        k = int(part.select(F.count_distinct(truth)).first()[0])
+        if k < 2:
+            return part.select(F.lit(m).alias(by), "doc_id", truth, F.lit(0).cast("bigint").alias("cluster"), F.lit(True).alias("nearest"))
+        km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster").fit(part)
+        centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in km.clusterCenters()])
+        gaps = F.transform(centers, lambda c: F.aggregate(F.zip_with(vector_to_array("features"), c, lambda a, b: (a - b) * (a - b)),
+                                                          F.lit(0.0), lambda s, x: s + x))
+        found = km.transform(part).withColumn("_gaps", gaps)
+        nearest = F.element_at("_gaps", F.col("cluster") + 1) <= F.array_min("_gaps") + 1e-9
+        return found.select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"), nearest.alias("nearest"))
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(names)))) as pool:
         parts = list(pool.map(one, names))

@@ -47,15 +47,17 @@ def two_stage_rank(df: DataFrame, part: Sequence[str], order: Sequence[tuple[str
     return ranked.withColumn(out, F.col("_off") + F.col("_rn")).drop(b, "_rn", "_off")
 
 
-def balance_classes(df: DataFrame, label_col: str = "label", id_col: str = "doc_id", seed: int = 42) -> DataFrame:
+def balance_classes(df: DataFrame, label_col: str = "label", id_col: str = "doc_id", seed: int = 42,
+                    prefix_len: int = 3) -> DataFrame:
     """B1: exact-size undersampling of every larger class to the smallest class size.
 
     Rows kept in a larger class are those with the smallest seeded md5 keys. Rows
     with a null label are dropped. The minimum class size is a scalar subquery.
+    A task ranks about n / 16**``prefix_len`` rows at a time.
     """
     d = df.where(F.col(label_col).isNotNull()).withColumn("_key", seeded_key(id_col, seed))
     m = d.groupBy(label_col).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m"))
-    ranked = two_stage_rank(d, [label_col], [], "_key")
+    ranked = two_stage_rank(d, [label_col], [], "_key", prefix_len)
     return ranked.where(F.col("_rank") <= m.scalar()).drop("_rank", "_key")
 
 

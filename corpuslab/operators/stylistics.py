@@ -350,7 +350,9 @@ def document_measures(sent: DataFrame, legacy_swap: bool = False, sentiment: boo
         "avg(ndd) AS avg_ndd", "stddev_pop(ndd) AS std_ndd", "avg(mdd) AS avg_mdd", "stddev_pop(mdd) AS std_mdd",
         "array_sort(collect_list(named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + "))) AS sents"]
     d = sent.groupBy("doc_id").agg(*[F.expr(a) for a in aggs])
-    words = "flatten(transform(sents, x -> x.words))"
+    # the word list is bound once: pasted into the segment lambda it would be rebuilt for each segment
+    d = d.withColumn("doc_words", F.expr("flatten(transform(sents, x -> x.words))"))
+    words = "doc_words"
     texts = "transform(sents, x -> x.sentence)"
     act, pas = ("n_passive", "n_active") if legacy_swap else ("n_active", "n_passive")
     proj = [
@@ -395,7 +397,8 @@ def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None, sentime
 
     The token table is read once: one sentence-level and one document-level
     aggregate (both without exchange on a doc_id-partitioned token table), then
-    the Arrow bz2 UDF on the selected text and a join with the corpus metadata.
+    the Arrow bz2 UDF on the selected text and a join from the corpus metadata: with
+    ``corpus`` each of its documents has a row, also one without tokens.
     """
     sent = sentence_summary(tokens, sentiment=sentiment, max_len=max_len, cost=cost)
     out = document_measures(sent, legacy_swap=legacy_swap, sentiment=sentiment)
@@ -408,5 +411,7 @@ def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None, sentime
         cols += ["sentiment", "sentiment_mean", "sentiment_std", "sentiment_abs"]
     out = out.select(*cols)
     if corpus is not None:
-        out = out.join(corpus.select("doc_id", "group_id", "label"), "doc_id", "left")
+        # from the corpus, so that a document without tokens keeps its row (measures null)
+        meta = corpus.select("doc_id", "group_id", "label")
+        out = meta.join(out, "doc_id", "left").select(*cols, "group_id", "label")
     return out

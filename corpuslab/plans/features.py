@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import annotate, bow, cleaning, joins, stylistics
+from ..operators import annotate, bow, cleaning, joins, stats, stylistics
 from ..session import materialize
 from ..sources import bindings, io
 
@@ -24,6 +25,22 @@ def bow_features(docs: DataFrame, mfw_sizes=(100, 500), tfidf_n: int = 5000) ->
     return out
 
 
+def stylistics_features(spark: SparkSession, sf: str, with_compression: bool = True) -> DataFrame:
+    """The stylistics table of all documents, with label and group."""
+    docs = bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return stylistics.stylistics_table(annotate.token_table(docs), corpus=bindings.corpus(spark, sf, with_text=False),
+                                       with_compression=with_compression)
+
+
+def feature_profile(table: DataFrame) -> DataFrame:
+    """Per numeric column: missing values (P17) and count, mean, std, quartiles, extremes."""
+    cols = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.DoubleType, T.LongType)) and f.name != "doc_id"]
+    t = materialize(table.select("doc_id", *cols), "profile-values")
+    cols = [c for c in cols if c != "compression_ratio" or t.where(F.col(c).isNotNull()).take(1)]
+    missing = cleaning.missing_profile(t.select(*cols)).withColumnRenamed("column", "feature")
+    return stats.describe_numeric(t, cols).join(missing, "feature")
+
+
 def build_feature_tables(spark: SparkSession, sf: str, out_dir: str) -> dict[str, str]:
     """Write every feature table as parquet under ``out_dir``; returns {name: path}."""
     docs = bindings.table(spark, sf, "documents")
@@ -33,9 +50,10 @@ def build_feature_tables(spark: SparkSession, sf: str, out_dir: str) -> dict[str
         p = f"{out_dir.rstrip('/')}/{name}"
         joins.attach_metadata(df, corpus).write.mode("overwrite").parquet(p)
         paths[name] = p
-    styl = stylistics.stylistics_table(annotate.token_table(docs.select("doc_id", "lang", "text")), corpus=corpus)
     paths["stylistics"] = f"{out_dir.rstrip('/')}/stylistics"
-    styl.write.mode("overwrite").parquet(paths["stylistics"])
+    stylistics_features(spark, sf).write.mode("overwrite").parquet(paths["stylistics"])
+    paths["profile"] = f"{out_dir.rstrip('/')}/profile"
+    feature_profile(spark.read.parquet(paths["stylistics"])).write.mode("overwrite").parquet(paths["profile"])
     embs = joins.label_embeddings_left(cleaning.valid_vectors(bindings.embeddings(spark, sf)), corpus)
     paths["embeddings"] = f"{out_dir.rstrip('/')}/embeddings"
     io.write_embeddings(embs.select("doc_id", "embedding", "label", "group_id"), paths["embeddings"])

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from ..functions.lexicon import (ANNOTATION_CODES, ANNOTATION_RECODE, FUNCTION_WORD_POS, NOMINAL_POS,
                                  NON_WORD_POS, NOUN_CAPITALISING_LANGS, OF_WORDS, THAT_WORDS,
-                                 lexicon_rows, polarity_words, suffix_rules)
-from ..functions.text import NUMBER_RE, SENT_RE, TERM_RE, TOKEN_RE, WORD_CHAR_RE
+                                 SENTIMENT_LABEL_SYNONYMS, lexicon_rows, polarity_words, suffix_rules)
+from ..functions.text import NUMBER_RE, TERM_RE, TOKEN_RE, WORD_CHAR_RE
+from ..operators.models import CLASSIFY_STYLISTICS
+from .descriptives import DESC_FEATURES
 
 ORACLE: dict[str, str] = {}
 
@@ -51,8 +53,7 @@ def vocab_cte(n: int) -> str:
 
 ORACLE["tokenize"] = f"""
 WITH d AS (SELECT doc_id, {TERMS} AS terms FROM documents)
-SELECT doc_id, len(terms) AS n_terms, len(list_distinct(terms)) AS n_types, len(terms) - 1 AS last_pos
-FROM d WHERE len(terms) > 0
+SELECT doc_id, generate_subscripts(terms, 1) - 1 AS pos, unnest(terms) AS term FROM d
 """
 
 ORACLE["term_counts"] = f"""
@@ -65,8 +66,9 @@ WITH {D_TERMS}, {vocab_cte(5000)}
 SELECT term, total, rank FROM v
 """
 
-ORACLE["mfw_relative"] = f"""
-WITH {D_TERMS}, {vocab_cte(100)},
+for _name, _n in (("mfw_relative", 100), ("mfw_relative_500", 500)):
+    ORACLE[_name] = f"""
+WITH {D_TERMS}, {vocab_cte(_n)},
 h AS (SELECT doc_id, term, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id, term)
 SELECT h.doc_id, h.term, v.rank, round(h.n / len(d.terms), 6) AS rel_freq
 FROM h JOIN v USING (term) JOIN d USING (doc_id)
@@ -74,15 +76,9 @@ FROM h JOIN v USING (term) JOIN d USING (doc_id)
 
 ORACLE["mfw_wide"] = f"""
 WITH {D_TERMS}, {vocab_cte(100)},
-h AS (SELECT doc_id, term, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id, term),
-r AS (SELECT h.doc_id, v.rank, h.n / len(d.terms) AS rate FROM h JOIN v USING (term) JOIN d USING (doc_id)),
-agg AS (SELECT r.doc_id, sum(h.n) AS s, count(*) AS hits, max(CASE WHEN rank = 1 THEN rate END) AS top1
-        FROM r JOIN h ON h.doc_id = r.doc_id AND h.term = (SELECT term FROM v WHERE v.rank = r.rank) GROUP BY r.doc_id)
-SELECT d.doc_id,
-       CAST(CASE WHEN len(d.terms) > 0 THEN coalesce(agg.s, 0) END AS BIGINT) AS mfw_hits,
-       CAST(CASE WHEN len(d.terms) > 0 THEN 100 - coalesce(agg.hits, 0) ELSE 0 END AS BIGINT) AS n_zero,
-       round(CASE WHEN len(d.terms) > 0 THEN coalesce(agg.top1, 0) END, 6) AS top1_rate
-FROM d LEFT JOIN agg USING (doc_id)
+h AS (SELECT doc_id, term, count(*) AS n FROM t JOIN v USING (term) GROUP BY doc_id, term)
+SELECT d.doc_id, v.rank, round(CASE WHEN len(d.terms) > 0 THEN coalesce(h.n, 0) / len(d.terms) END, 6) AS rate
+FROM d CROSS JOIN v LEFT JOIN h ON h.doc_id = d.doc_id AND h.term = v.term
 """
 
 ORACLE["tfidf"] = f"""
@@ -93,19 +89,16 @@ w AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN idf USING (term))
 SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w
 """
 
-ORACLE["term_vectors"] = f"""
-WITH {D_TERMS}, {vocab_cte(5000)},
-k AS (SELECT doc_id, count(DISTINCT term) AS nnz FROM t SEMI JOIN v USING (term) GROUP BY doc_id)
-SELECT d.doc_id, round(CASE WHEN coalesce(k.nnz, 0) > 0 THEN 1.0 ELSE 0.0 END, 6)::DOUBLE AS norm,
-       CAST(coalesce(k.nnz, 0) AS BIGINT) AS nnz
-FROM d LEFT JOIN k USING (doc_id)
-"""
+ORACLE["term_vectors"] = ORACLE["tfidf"]
 
 
 # --------------------------------------------------------------------------
 # Annotation (A1–A5) and stylistics
 # --------------------------------------------------------------------------
 
+# a text of terminators only is one sentence; else terminators close the run before them, or open the first one
+_SENTS = """list_filter(CASE WHEN regexp_full_match(text, '[.!?]+') THEN [text]
+            ELSE regexp_extract_all(text, '[.!?]*[^.!?]+[.!?]*') END, lambda s: regexp_matches(s, '\\S'))"""
 _LEX = values(lexicon_rows())
 _RULES = values([(i, *r) for i, r in enumerate(suffix_rules(), start=1)])
 _NOUN_CAP = lst(NOUN_CAPITALISING_LANGS)
@@ -113,7 +106,7 @@ _NOUN_CAP = lst(NOUN_CAPITALISING_LANGS)
 TOKENS_CTE = f"""
 lex(lang, form, lpos, llemma, lmorph) AS (VALUES {_LEX}),
 rules(idx, rlang, suffix, rpos, rmorph) AS (VALUES {_RULES}),
-s0 AS (SELECT doc_id, lang, list_filter(regexp_extract_all(text, {q(SENT_RE)}), lambda s: regexp_matches(s, {q(r"\S")})) AS sl
+s0 AS (SELECT doc_id, lang, {_SENTS} AS sl
        FROM documents),
 s1 AS (SELECT doc_id, lang, unnest(sl) AS sentence, generate_subscripts(sl, 1) - 1 AS sent_id FROM s0),
 s2 AS (SELECT doc_id, lang, sent_id, regexp_extract_all(sentence, {q(TOKEN_RE)}) AS toks FROM s1),
@@ -253,7 +246,8 @@ corpus AS (SELECT d.doc_id, d.text, d.lang, d.source,
            FROM documents d LEFT JOIN labels l USING (doc_id))
 """
 _CODES = "[" + ", ".join(q(c) for c in ANNOTATION_CODES) + "]"
-RAW_CTE = f"raw AS (SELECT doc_id, {_CODES}[CAST(doc_id % 7 + 1 AS INTEGER)] AS code FROM documents)"
+RAW_CTE = (f"raw AS (SELECT doc_id, list_concat({_CODES}, ['NA', 'mixed', 'usikker'])[CAST(doc_id % 11 + 1 AS INTEGER)] AS code "
+           "FROM documents)")
 _RECODE = "CASE " + " ".join(f"WHEN code = {q(k)} THEN {q(v)}" for k, v in ANNOTATION_RECODE.items()) + " END"
 WORDS = f"len(regexp_extract_all(text, {q(r'\S+')}))"
 
@@ -270,6 +264,7 @@ ORACLE["select_columns"] = f"WITH {CORPUS_CTE} SELECT doc_id, label, group_id FR
 ORACLE["drop_columns_by_prefix"] = "SELECT doc_id, lang, source FROM documents"
 ORACLE["word_count"] = f"SELECT doc_id, {WORDS} AS n_words FROM documents"
 ORACLE["filter_min_words"] = f"SELECT doc_id, {WORDS} AS n_words FROM documents WHERE text IS NOT NULL AND {WORDS} >= 100"
+ORACLE["filter_min_words_strict"] = f"SELECT doc_id, {WORDS} AS n_words FROM documents WHERE text IS NOT NULL AND {WORDS} > 100"
 ORACLE["dedupe"] = f"""
 WITH {CORPUS_CTE}
 SELECT group_id, doc_id, lang, label FROM corpus
@@ -277,7 +272,7 @@ QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY doc_id) = 1
 """
 ORACLE["valid_vectors"] = """
 SELECT vec_id AS doc_id, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
-WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
+WHERE vec_id % 13 NOT IN (5, 7) AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0
 """
 ORACLE["require_not_null"] = f"WITH {CORPUS_CTE} SELECT doc_id FROM corpus WHERE label IS NOT NULL AND group_id IS NOT NULL"
 ORACLE["strip_part_suffix"] = f"WITH {CORPUS_CTE} SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id FROM corpus"
@@ -286,7 +281,7 @@ ORACLE["filter_outliers"] = f"""
 WITH {TOKENS_CTE}, {STYL_CTE}
 SELECT doc_id FROM styl WHERE avg_sentlen < 100 AND noun_ttr < 6 AND nominal_verb_ratio < 12
 """
-ORACLE["quarantine_empty"] = "SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'rejected' ELSE 'ok' END AS status FROM documents"
+ORACLE["quarantine_empty"] = "SELECT doc_id, CASE WHEN doc_id % 17 < 2 OR text = '' THEN 'rejected' ELSE 'ok' END AS status FROM documents"
 ORACLE["removal_report"] = f"""
 WITH {CORPUS_CTE}, c AS (SELECT *, {WORDS} AS n_words FROM corpus),
 n AS (SELECT count(*) AS n0, count_if(text IS NOT NULL) AS n1,
@@ -337,9 +332,8 @@ SELECT c.doc_id, c.group_id, s.group_size FROM corpus c JOIN s ON c.group_id IS
 
 _COST = "CAST(2 + ceil(length(w) / 4) AS BIGINT)"
 _PW = polarity_words()
-_LABEL_NORM = """CASE WHEN lower(trim(label)) IN ('positive', 'positiv', 'pos') THEN 'positive'
-                      WHEN lower(trim(label)) IN ('neutral', 'neutr', 'neut') THEN 'neutral'
-                      WHEN lower(trim(label)) IN ('negative', 'negativ', 'neg') THEN 'negative' END"""
+_LABEL_NORM = ("CASE " + " ".join(f"WHEN lower(trim(label)) IN {lst(v)} THEN {q(k)}"
+                                  for k, v in SENTIMENT_LABEL_SYNONYMS.items()) + " END")
 SENTI_CTE = f"""
 ch AS (SELECT doc_id, sent_id, sentence, regexp_extract_all(sentence, {q(r'\S+')}) AS ws FROM st),
 ch1 AS (SELECT doc_id, sent_id, sentence,
@@ -374,6 +368,10 @@ ORACLE["chunk_words"] = f"{_S} SELECT doc_id, sent_id, chunk_id, chunk FROM chun
 ORACLE["cap_max_len"] = "SELECT doc_id, n_chars, CASE WHEN n_chars > 2000 THEN 512 ELSE n_chars END AS max_len FROM documents"
 ORACLE["score_chunks"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label, round(score, 6) AS score FROM scored"
 ORACLE["normalize_sentiment_label"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label_norm FROM signed"
+ORACLE["normalize_sentiment_synonyms"] = """
+SELECT doc_id, CASE WHEN doc_id % 12 < 3 THEN 'positive' WHEN doc_id % 12 < 6 THEN 'neutral'
+                    WHEN doc_id % 12 < 9 THEN 'negative' END AS label_norm FROM documents
+"""
 ORACLE["signed_score"] = f"{_S} SELECT doc_id, sent_id, chunk_id, round(signed, 6) AS signed FROM signed"
 ORACLE["sentiment_series"] = f"""{_S}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, chunk_id) - 1 AS pos, round(signed, 6) AS score
@@ -388,8 +386,8 @@ _F23 = ["nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun
         "adjective_adverb_ratio", "avg_wordlen", "avg_sentlen", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd",
         "sentiment_mean", "sentiment_std", "sentiment_abs"]
 STYLISTICS_TABLE_SQL = f"""{_S}, {CORPUS_CTE}
-SELECT s.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents, c.group_id, c.label
-FROM styl s LEFT JOIN summ USING (doc_id) LEFT JOIN corpus c ON c.doc_id = s.doc_id
+SELECT c.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents, c.group_id, c.label
+FROM corpus c LEFT JOIN styl s ON s.doc_id = c.doc_id LEFT JOIN summ ON summ.doc_id = c.doc_id
 """
 ORACLE["stylistics_table"] = STYLISTICS_TABLE_SQL
 
@@ -398,11 +396,6 @@ ORACLE["stylistics_table"] = STYLISTICS_TABLE_SQL
 # Descriptive statistics
 # --------------------------------------------------------------------------
 
-DESC_FEATURES = [
-    "nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun_ratio", "function_word_ratio",
-    "of_ratio", "that_ratio", "passive_ratio", "active_ratio", "adjective_adverb_ratio", "avg_wordlen",
-    "avg_sentlen", "avg_ndd", "std_ndd", "sentiment_mean", "sentiment_std", "sentiment_abs",
-]
 _UNPIVOT = " UNION ALL ".join(
     f"SELECT doc_id, label, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM dsc" for f in DESC_FEATURES)
 DESC_CTE = f"""{TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {CORPUS_CTE},
@@ -451,15 +444,30 @@ h AS (SELECT feature, label, bin, lo_all, width, count(*) AS n FROM b GROUP BY A
 SELECT feature, label, bin, round(lo_all + bin * width, 6) AS lo, round(lo_all + (bin + 1) * width, 6) AS hi, n,
        round(n / (sum(n) OVER (PARTITION BY feature, label) * nullif(width, 0)), 6) AS density FROM h
 """
+ORACLE["histogram_auto"] = f"""WITH {DESC_CTE},
+{_DIST}
+s AS (SELECT feature, label, min(value) AS lo_all, max(value) - min(value) AS span, count(*) AS n,
+             quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM l2 GROUP BY feature, label),
+r AS (SELECT *, least(CASE WHEN iqr > 0 THEN 2 * iqr / cbrt(n) END, span / (log2(n) + 1)) AS rule FROM s),
+e AS (SELECT *, CASE WHEN span > 0 THEN least(ceil(round(span / rule, 9)), 1000) ELSE 1 END AS bins FROM r),
+j AS (SELECT l2.feature, l2.label, e.lo_all, e.span / e.bins AS width,
+             CAST(CASE WHEN span > 0 THEN least(floor((value - lo_all) / (span / bins)), bins - 1) ELSE 0 END AS BIGINT) AS bin
+      FROM l2 JOIN e USING (feature, label)),
+h AS (SELECT feature, label, bin, lo_all, width, count(*) AS n FROM j GROUP BY ALL)
+SELECT feature, label, bin, round(lo_all + bin * width, 6) AS lo, round(lo_all + (bin + 1) * width, 6) AS hi, n,
+       round(n / (sum(n) OVER (PARTITION BY feature, label) * nullif(width, 0)), 6) AS density FROM h
+"""
 ORACLE["kde"] = f"""WITH {DESC_CTE},
 {_DIST}
 rng AS (SELECT feature, min(value) AS lo_all, max(value) AS hi_all FROM l2 GROUP BY feature),
 j AS (SELECT l2.*, rng.lo_all, rng.hi_all, (rng.hi_all - rng.lo_all) / 256 AS fw FROM l2 JOIN rng USING (feature)),
-bn AS (SELECT feature, label, lo_all, hi_all, fw,
-              CAST(CASE WHEN fw > 0 THEN least(floor((value - lo_all) / fw), 255) ELSE 0 END AS BIGINT) AS fbin FROM j),
-binned AS (SELECT feature, label, fbin, lo_all, hi_all, fw, count(*) AS cnt FROM bn GROUP BY ALL),
+pl AS (SELECT *, CASE WHEN fw > 0 THEN (value - lo_all) / fw ELSE 0.0 END AS place FROM j),
+pk AS (SELECT *, CAST(least(floor(place), 255) AS BIGINT) AS k FROM pl),
+nodes AS (SELECT feature, label, lo_all, hi_all, fw, k AS fbin, 1 - (place - k) AS w FROM pk
+          UNION ALL SELECT feature, label, lo_all, hi_all, fw, k + 1, place - k FROM pk),
+binned AS (SELECT feature, label, fbin, lo_all, hi_all, fw, sum(w) AS cnt FROM nodes GROUP BY ALL),
 kst AS (SELECT feature, label, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS bw FROM l2 GROUP BY ALL),
-bs AS (SELECT b.*, kst.n, kst.bw, b.lo_all + (b.fbin + 0.5) * b.fw AS c, (b.hi_all - b.lo_all) / 63 AS step
+bs AS (SELECT b.*, kst.n, kst.bw, b.lo_all + b.fbin * b.fw AS c, (b.hi_all - b.lo_all) / 63 AS step
        FROM binned b JOIN kst USING (feature, label) WHERE kst.bw > 0),
 ex AS (SELECT bs.*, g.g FROM bs, range(0, 64) AS g(g))
 SELECT feature, label, g, round(lo_all + g * step, 6) AS x,
@@ -490,13 +498,13 @@ SPLITS_CTE = f"""{CORPUS_CTE},
 c0 AS (SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id, label FROM corpus WHERE label IS NOT NULL),
 bal AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'))
         <= (SELECT min(n) FROM (SELECT count(*) AS n FROM c0 GROUP BY label))),
-sg AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal),
-per AS (SELECT group_id, label, count(*) AS n FROM sg GROUP BY ALL),
+sgr AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal),
+per AS (SELECT group_id, label, count(*) AS n FROM sgr GROUP BY ALL),
 grp AS (SELECT group_id, sum(n) AS size, arg_min(label, (-n, label)) AS stratum FROM per GROUP BY group_id),
 rk AS (SELECT group_id, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5(group_id || '-group-42')) - 1 AS r
        FROM grp),
 gf AS (SELECT group_id, CAST(CASE WHEN floor(r / 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold FROM rk),
-folds AS (SELECT sg.doc_id, sg.group_id, sg.label, gf.fold FROM sg JOIN gf USING (group_id)),
+folds AS (SELECT sgr.doc_id, sgr.group_id, sgr.label, gf.fold FROM sgr JOIN gf USING (group_id)),
 preds AS (SELECT f.fold, f.doc_id, f.label, CASE WHEN l.toxic = 1 THEN 'b' ELSE 'a' END AS prediction
           FROM folds f JOIN labels l USING (doc_id))
 """
@@ -600,7 +608,7 @@ FROM ari JOIN vm USING (model) JOIN cnt USING (model)
 
 ORACLE["read_corpus"] = f"WITH {CORPUS_CTE} SELECT doc_id, text, label, group_id FROM corpus"
 _SENT_LENS = f"""
-sl AS (SELECT doc_id, list_filter(regexp_extract_all(text, {q(SENT_RE)}), lambda s: regexp_matches(s, {q(r"\S")})) AS ss
+sl AS (SELECT doc_id, {_SENTS} AS ss
        FROM documents),
 ln AS (SELECT doc_id, CASE WHEN len(ss) > 0 THEN to_json(list_transform(ss, lambda s: length(s)))::VARCHAR END AS sent_lengths
        FROM sl)
@@ -629,3 +637,101 @@ SELECT ms.model, e.vec_id AS doc_id, CAST(len(e.embedding[ms.start:ms.start + 15
                          lambda a, b: a + b, 0.0), 6) AS total
 FROM embeddings e, ms
 """
+ORACLE["append_run_results"] = """
+SELECT r.run_id, lang, count(*) AS n_docs FROM documents, (VALUES ('run-1'), ('run-2')) AS r(run_id) GROUP BY r.run_id, lang
+"""
+
+
+# --------------------------------------------------------------------------
+# Jobs with fitted models: the rows they must cover and what must hold for them
+# --------------------------------------------------------------------------
+
+_M1 = [c for c in _F23 if c in CLASSIFY_STYLISTICS]
+_M1_LONG = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM rowsm" for f in _M1)
+ORACLE["feature_vector"] = f"""WITH {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {SPLITS_CTE},
+rowsm AS (SELECT bal.doc_id, {", ".join(_M1)} FROM bal LEFT JOIN styl USING (doc_id) LEFT JOIN summ USING (doc_id)),
+lgm AS ({_M1_LONG}),
+med AS (SELECT feature, coalesce(quantile_cont(value, 0.5), 0) AS m FROM lgm GROUP BY feature)
+SELECT doc_id, feature, round(coalesce(value, m), 6) AS value FROM lgm JOIN med USING (feature)
+"""
+ORACLE["train_forest"] = f"WITH {SPLITS_CTE} SELECT doc_id, label, CAST(100 AS BIGINT) AS n_trees, true AS known_class FROM bal"
+ORACLE["cross_validate"] = f"WITH {SPLITS_CTE} SELECT fold, doc_id, label, true AS known_class FROM folds"
+ORACLE["mean_importances"] = f"SELECT CAST({len(CLASSIFY_STYLISTICS)} AS BIGINT) AS n_features, 1.0::DOUBLE AS total, true AS none_negative"
+ORACLE["kmeans_by_truth"] = f"WITH {_MODELS} SELECT model, doc_id, emb_label, true AS nearest, true AS within_k FROM asg"
+ORACLE["cluster_scores"] = f"""WITH {_MODELS}
+SELECT model, count(DISTINCT emb_label) AS n_groups, true AS within_k, true AS in_bounds FROM asg GROUP BY model
+"""
+ORACLE["project_2d"] = """
+WITH g AS (SELECT label FROM (SELECT DISTINCT label FROM embeddings) ORDER BY md5(CAST(label AS VARCHAR) || '-sample-42') LIMIT 100)
+SELECT vec_id AS doc_id, label AS emb_label, true AS ordered, true AS placed FROM embeddings WHERE label IN (SELECT label FROM g)
+"""
+
+
+def _cv_rows(condition: str = "") -> str:
+    cte = SPLITS_CTE.replace("FROM corpus WHERE label IS NOT NULL)", f"FROM corpus WHERE label IS NOT NULL{condition})")
+    return f"""WITH {cte}
+SELECT 'accuracy' AS metric, CAST(NULL AS VARCHAR) AS class, count(DISTINCT fold) AS n_folds, true AS in_bounds FROM folds
+UNION ALL SELECT m.metric, label, count(DISTINCT fold), true FROM folds, (VALUES ('precision'), ('recall'), ('f1')) AS m(metric)
+GROUP BY m.metric, label
+"""
+
+
+_LONG_TEXT, _HAS_VECTOR = f" AND {WORDS} >= 100", " AND doc_id IN (SELECT vec_id FROM embeddings)"
+for _fs in ("stylistics", "mfw_100", "mfw_500", "tfidf_5000", "embeddings"):
+    _vec = _HAS_VECTOR if _fs == "embeddings" else ""
+    ORACLE[f"classify_{_fs}"] = ORACLE[f"classify_{_fs}_train_vocab"] = _cv_rows(_vec)
+    ORACLE[f"classify_{_fs}_min100"] = _cv_rows(_LONG_TEXT + _vec)
+
+ORACLE["feature_tables"] = f"""WITH {TOKENS_CTE}, {STYL_CTE}, {CORPUS_CTE}, {D_TERMS},
+tot AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS rank FROM t GROUP BY term),
+cnt AS (SELECT doc_id, term, count(*) AS n FROM t GROUP BY doc_id, term),
+hit AS (SELECT cnt.doc_id, cnt.term, n, rank, n / len(d.terms) AS rate FROM cnt JOIN tot USING (term) JOIN d USING (doc_id) WHERE rank <= 5000),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM hit GROUP BY term),
+w AS (SELECT doc_id, n * idf AS w FROM hit JOIN idf USING (term)),
+wn AS (SELECT w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+SELECT 'mfw_100' AS "table", count(*) AS n_rows, round(sum(rate), 4) AS total FROM hit WHERE rank <= 100
+UNION ALL SELECT 'mfw_500', count(*), round(sum(rate), 4) FROM hit WHERE rank <= 500
+UNION ALL SELECT 'tfidf_5000', count(*), round(sum(weight), 4) FROM wn
+UNION ALL SELECT 'stylistics', count(*), round(sum(msttr), 4) FROM corpus LEFT JOIN styl USING (doc_id)
+UNION ALL SELECT 'embeddings', count(*), round(sum(CAST(e.embedding[1] AS DOUBLE)), 4) FROM embeddings e JOIN corpus c ON c.doc_id = e.vec_id
+          WHERE c.label IS NOT NULL
+"""
+_PROFILE = [*[c for c in _F23], "num_sents"]
+_PROFILE_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM allrows" for f in _PROFILE)
+ORACLE["feature_profile"] = f"""{_S}, {CORPUS_CTE},
+allrows AS (SELECT s.*, summ.sentiment_mean, summ.sentiment_std, summ.sentiment_abs FROM corpus c
+            LEFT JOIN styl s ON s.doc_id = c.doc_id LEFT JOIN summ ON summ.doc_id = c.doc_id),
+lgp AS ({_PROFILE_LONG})
+SELECT feature, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+       round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max, count(*) - count(value) AS n_null
+FROM lgp GROUP BY feature
+"""
+ORACLE["compression_ratio"] = f"""
+WITH {TOKENS_CTE}, {STYL_CTE},
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn,
+              count(*) OVER (PARTITION BY doc_id) AS n FROM st)
+SELECT doc_id, CAST(strlen(string_agg(sentence, ' ' ORDER BY sent_id)) AS BIGINT) AS n_bytes, true AS has_ratio FROM rk
+WHERE CASE WHEN n > 50 THEN rn > 10 AND rn <= 50 ELSE rn <= 40 END GROUP BY doc_id
+"""
+ORACLE["compression_ratio_fused"] = f"WITH {TOKENS_CTE}, {STYL_CTE} SELECT doc_id, true AS has_ratio FROM styl"
+
+# two-sided p: the tail of cos(x) ** (df - 1) above atan(t / sqrt(df)) over its whole, by Simpson's rule on
+# 2000 steps each (the tail is cut where it has vanished)
+_TT = f"""{DESC_CTE},
+tt AS (SELECT *, (mean_a - mean_b) / nullif(sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / nullif(n_a + n_b - 2, 0)
+                       * (1.0 / n_a + 1.0 / n_b)), 0) AS t_stat, CAST(n_a + n_b - 2 AS BIGINT) AS df FROM cs),
+ends AS (SELECT feature, df, atan(abs(t_stat) / sqrt(df)) AS lo FROM tt WHERE t_stat IS NOT NULL AND df > 0),
+parts AS (SELECT feature, df, 'tail' AS part, lo, least(lo + 14 / sqrt(df), pi() / 2) AS hi FROM ends
+          UNION ALL SELECT feature, df, 'whole', 0.0, least(14 / sqrt(df), pi() / 2) FROM ends),
+pts AS (SELECT feature, part, (hi - lo) / 2000 AS h, CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w,
+               pow(greatest(cos(lo + i * (hi - lo) / 2000), 0), df - 1) AS y FROM parts, range(0, 2001) AS r(i)),
+area AS (SELECT feature, part, sum(w * y) * max(h) / 3 AS a FROM pts GROUP BY feature, part),
+pv AS (SELECT feature, max(CASE WHEN part = 'tail' THEN a END) / max(CASE WHEN part = 'whole' THEN a END) AS p FROM area GROUP BY feature)"""
+ORACLE["t_test_p_values"] = f"""WITH {_TT}
+SELECT tt.feature, round(t_stat, 6) AS t_stat, df, round(p, 6) AS p_value FROM tt LEFT JOIN pv USING (feature)
+"""
+ORACLE["class_comparison"] = f"""WITH {_TT}
+SELECT tt.feature, n_a, round(mean_a, 6) AS mean_a, round(std_a, 6) AS std_a, n_b, round(mean_b, 6) AS mean_b,
+       round(std_b, 6) AS std_b, round(t_stat, 6) AS t_stat, df, round(p, 6) AS p_value FROM tt LEFT JOIN pv USING (feature)
+"""

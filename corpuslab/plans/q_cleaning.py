@@ -60,6 +60,13 @@ def q_filter_min_words(spark, sf):
     return finish(cl.filter_min_words(d, 100, strict=False).select("doc_id", "n_words"))
 
 
+@register("filter_min_words_strict")
+def q_filter_min_words_strict(spark, sf):
+    """More than 100 words (descriptives flavour)."""
+    d = bindings.table(spark, sf, "documents").select("doc_id", "text")
+    return finish(cl.filter_min_words(d, 100, strict=True).select("doc_id", "n_words"))
+
+
 @register("dedupe")
 def q_dedupe(spark, sf):
     """First document per group id (null ids form one group), ordered by doc_id."""
@@ -70,7 +77,7 @@ def q_dedupe(spark, sf):
 @register("valid_vectors")
 def q_valid_vectors(spark, sf):
     """P9."""
-    e = bindings.embeddings(spark, sf)
+    e = bindings.embeddings_with_holes(spark, sf)
     return finish(cl.valid_vectors(e).select("doc_id", F.size("embedding").alias("dim")))
 
 
@@ -105,9 +112,10 @@ def q_filter_outliers(spark, sf):
 
 @register("quarantine_empty")
 def q_quarantine_empty(spark, sf):
-    """Ok / rejected status instead of an exception."""
-    d = bindings.table(spark, sf, "documents").select("doc_id", "text")
-    return finish(d.select("doc_id", cl.quarantine_status("text").alias("status")))
+    """Two frames, ok and rejected, instead of an exception."""
+    ok, rejected = cl.quarantine_empty(bindings.texts_with_holes(spark, sf))
+    return finish(ok.select("doc_id", F.lit("ok").alias("status"))
+                  .unionByName(rejected.select("doc_id", F.lit("rejected").alias("status"))))
 
 
 @register("removal_report")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_sentiment_label
 from ..operators import sentiment as sn, stylistics as st
 from ..sources import bindings
 from .q_stylistics import tokens
@@ -43,6 +44,13 @@ def q_normalize_sentiment_label(spark, sf):
     return finish(_signed(spark, sf).select("doc_id", "sent_id", "chunk_id", "label_norm"))
 
 
+@register("normalize_sentiment_synonyms")
+def q_normalize_sentiment_synonyms(spark, sf):
+    """N4 on spellings that a model may give, blanks, an unknown label and null."""
+    d = bindings.raw_sentiment_labels(spark, sf)
+    return finish(d.select("doc_id", normalize_sentiment_label("label").alias("label_norm")))
+
+
 @register("signed_score")
 def q_signed_score(spark, sf):
     """Signed chunk scores."""

@@ -105,7 +105,7 @@ def q_read_embedding_sets(spark, sf):
                            F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total")))
 
 
-@register("append_run_results", oracle=False)
+@register("append_run_results")
 def q_append_run_results(spark, sf):
     """Two runs appended to one results table, read back."""
     path = scratch_path(spark, "runs")

@@ -10,6 +10,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -76,32 +78,6 @@ def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 
 
-def ensure_parallelism(df, key: str | None = None, min_partitions: int | None = None):
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A table stored as one large row group (as the test tables are) scans in a
-    single task; on a cluster the input already has many splits and this is a
-    no-op. With ``key`` the spread is a hash partitioning on it, so later
-    aggregates / windows keyed by it need no further exchange.
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
-def right_size(df, rows_per_partition: int = 500_000):
-    """Coalesce a materialised (checkpointed) frame to about ``rows_per_partition`` rows per task.
-
-    Iterative MLlib fits run one job per iteration / tree level; on a small
-    model input, dozens of near-empty tasks per job dominate the run time. The
-    count is one scalar; on a large input this keeps (or only merges) partitions.
-    """
-    n = df.count()
-    target = max(1, -(-n // rows_per_partition))
-    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
-
-
 def materialize(df, name: str):
     """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
 
@@ -115,6 +91,12 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
+@lru_cache(maxsize=None)
+def once_per_worker(factory: Callable):
+    """What ``factory`` returns, made at its first use in this process (e.g. a model in a Python worker)."""
+    return factory()
+
+
 _SHIPPED: set = set()
 
 

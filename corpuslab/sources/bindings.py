@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import ANNOTATION_CODES
+from ..functions.lexicon import ANNOTATION_CODES, UNUSABLE_CODES
 from ..session import sf_path
 
 EMBEDDING_MODELS = {"m0": (1, 16), "m1": (17, 16), "m2": (33, 16), "m3": (49, 16)}
@@ -34,10 +34,35 @@ def corpus(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFram
 
 
 def raw_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T10 on the test data: (doc_id, code) with the seven codes by doc_id."""
+    """T10 on the test data: (doc_id, code): the seven codes, the three unusable ones and null, by doc_id."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
-    codes = F.array(*[F.lit(c) for c in ANNOTATION_CODES])
-    return docs.select("doc_id", F.element_at(codes, (F.col("doc_id") % 7 + 1).cast("int")).alias("code"))
+    codes = F.array(*[F.lit(c) for c in (*ANNOTATION_CODES, *UNUSABLE_CODES)])
+    return docs.select("doc_id", F.get(codes, (F.col("doc_id") % (len(ANNOTATION_CODES) + len(UNUSABLE_CODES) + 1)).cast("int")).alias("code"))
+
+
+def embeddings_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings, some of them null (ids with remainder 5 by 13) or starting with NaN (remainder 7)."""
+    hole = F.col("doc_id") % 13
+    nan_first = F.concat(F.array(F.lit(float("nan")).cast("float")), F.slice("embedding", 2, 100_000))
+    return embeddings(spark, sf_dir).withColumn(
+        "embedding", F.when(hole == 5, None).when(hole == 7, nan_first).otherwise(F.col("embedding")))
+
+
+def texts_with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text), some texts null (ids divisible by 17) or empty (remainder 1)."""
+    hole = F.col("doc_id") % 17
+    text = F.when(hole == 0, None).when(hole == 1, F.lit("")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+RAW_SENTIMENT_LABELS = (" Positive ", "POS", "positiv", "neutral", "Neut ", "neutr", "negative", "NEG", "negativ", "", "unknown", None)
+
+
+def raw_sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label): spellings of sentiment labels, blanks, an unknown one and null, by doc_id."""
+    labels = F.array(*[F.lit(x).cast("string") for x in RAW_SENTIMENT_LABELS])
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.get(labels, (F.col("doc_id") % len(RAW_SENTIMENT_LABELS)).cast("int")).alias("label"))
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

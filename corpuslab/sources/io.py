@@ -7,16 +7,32 @@ columns are written as JSON text because CSV has no array type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CORPUS_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("group_id", T.StringType()),
-])
+# TSV fields are written without quotes: control characters become two-character escapes, so a row
+# is always one line and the files stay splittable. Null and the empty string have markers of their own.
+NULL_FIELD, EMPTY_FIELD = r"\N", r"\e"
+_ESCAPES = (("\\", r"\b"), ("\n", r"\n"), ("\r", r"\r"), ("\t", r"\t"))
+
+
+def _escaped(c: Column) -> Column:
+    for raw, code in _ESCAPES:
+        c = F.replace(c, F.lit(raw), F.lit(code))
+    return F.when(c == "", F.lit(EMPTY_FIELD)).otherwise(c)
+
+
+def _unescaped(c: Column) -> Column:
+    x = c
+    for raw, code in reversed(_ESCAPES):  # the backslash itself comes last
+        x = F.replace(x, F.lit(code), F.lit(raw))
+    return F.when(c == EMPTY_FIELD, F.lit("")).otherwise(x)
+
+
+def _tsv(options):
+    return (options.option("sep", "\t").option("header", True).option("quote", "").option("nullValue", NULL_FIELD)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", ""))
 
 
 def read_corpus(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
@@ -30,11 +46,16 @@ def read_corpus(spark: SparkSession, path: str, columns: dict[str, str] | None =
 
 
 def read_features_tsv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Tab-separated feature table with a header (explicit schema, no inference)."""
-    r = spark.read.option("sep", "\t").option("header", True)
+    """Tab-separated feature table with a header (explicit schema, no inference).
+
+    Reads back what ``write_tsv`` wrote: line feeds, tabs, quotes, empty strings and nulls.
+    """
+    r = _tsv(spark.read)
     if schema is not None:
         r = r.schema(schema)
-    return r.csv(path)
+    df = r.csv(path)
+    return df.select(*[_unescaped(F.col(f"`{f.name}`")).alias(f.name) if f.dataType == T.StringType() else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -57,14 +78,16 @@ def read_embedding_sets(spark: SparkSession, paths: dict[str, str]) -> DataFrame
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """TSV with header; arrays/structs/maps become JSON text."""
+    """TSV with header; arrays/structs/maps become JSON text, control characters escapes."""
     cols = []
     for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
-            cols.append(F.to_json(F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    df.select(*cols).write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+            c = _escaped(F.to_json(c))
+        elif f.dataType == T.StringType():
+            c = _escaped(c)
+        cols.append(c.alias(f.name))
+    _tsv(df.select(*cols).write.mode(mode)).csv(path)
 
 
 def write_tokens(df: DataFrame, path: str, mode: str = "overwrite", num_partitions: int | None = None) -> None:

@@ -6,7 +6,7 @@ featurised as they arrive: ``readStream`` over the document folder, and for
 each micro-batch the same batch operators as the batch job (``foreachBatch``).
 Each batch is written to its own ``batch_id=<n>`` folder with overwrite, so a
 batch replayed after a failure replaces its own output (exactly-once output);
-progress is tracked in a checkpoint under the session's shared checkpoint folder.
+progress is tracked in a checkpoint named after source and sink in the shared checkpoint folder.
 
 Corpus-level features (vocabulary, TF-IDF idf) depend on all documents and stay
 batch jobs.
@@ -14,11 +14,12 @@ batch jobs.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..operators import annotate, stylistics
-from ..session import ensure_checkpoint_dir
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -46,6 +47,19 @@ def featurize_batch(batch: DataFrame, with_compression: bool = True) -> DataFram
     return stylistics.stylistics_table(tokens, with_compression=with_compression)
 
 
+def stream_checkpoint(spark: SparkSession, source_dir: str, sink_dir: str, glob: str | None = None) -> str:
+    """A folder of its own for this source and sink, the same after a restart.
+
+    ``spark.checkpoint.dir`` itself is the parent: the session's sub-folder of it
+    changes with each session.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("pass checkpoint=, or set spark.checkpoint.dir to a durable folder: a restarted stream needs its log")
+    own = hashlib.sha256("\n".join([source_dir, sink_dir, glob or ""]).encode()).hexdigest()[:16]
+    return f"{base.rstrip('/')}/stream-featurizer-{own}"
+
+
 def start_featurizer(spark: SparkSession, source_dir: str, sink_dir: str, glob: str | None = None,
                      checkpoint: str | None = None, available_now: bool = True,
                      with_compression: bool = True, max_files_per_trigger: int | None = None):
@@ -54,7 +68,7 @@ def start_featurizer(spark: SparkSession, source_dir: str, sink_dir: str, glob:
     ``available_now=True`` processes everything present and stops (a scheduled
     incremental job); otherwise a continuous stream with a 1-minute trigger.
     """
-    ckpt = checkpoint or ensure_checkpoint_dir(spark).rstrip("/") + "/stream-featurizer"
+    ckpt = checkpoint or stream_checkpoint(spark, source_dir, sink_dir, glob)
     stream = document_stream(spark, source_dir, glob, max_files_per_trigger)
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -83,10 +83,55 @@ def test_stylistics_plan_has_single_exchange(spark, sf):
     assert plan.count("Exchange") == 1, plan  # only the doc_id repartition before annotation
 
 
-def test_annotate_hook(spark):
-    docs = spark.createDataFrame([(1, "en", "a b  c")], "doc_id long, lang string, text string")
-    t = annotate.annotate(docs, fn=annotate.token_table_from_pandas).collect()
-    assert [r["token_text"] for r in t] == ["a", "b", "c"]
+def test_annotate_hook_keeps_the_id_type(spark):
+    from corpuslab.plans.q_annotation import whitespace_annotator
+
+    for kind, ids in (("long", (1, 2)), ("string", ("x/1", "x/2"))):
+        docs = spark.createDataFrame([(ids[0], "en", "a b  c"), (ids[1], "en", None)], f"doc_id {kind}, lang string, text string")
+        for how in ({"factory": whitespace_annotator}, {"fn": whitespace_annotator()}):
+            t = annotate.annotate(docs, **how)
+            assert t.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind)
+            assert [(r["doc_id"], r["token_text"]) for r in t.collect()] == [(ids[0], w) for w in "abc"]
+
+
+def test_scorer_hook_keeps_the_id_type(spark):
+    import pandas as pd
+
+    from corpuslab.operators import sentiment
+
+    def predict(chunks):
+        return pd.DataFrame({"label": ["POS" if "good" in c else "NEG" for c in chunks], "score": [0.5] * len(chunks)})
+
+    chunks = spark.createDataFrame([("x", 0, 0, "good"), ("x", 1, 0, "bad")], "doc_id string, sent_id int, chunk_id int, chunk string")
+    scored = sentiment.score_chunks(chunks, predict)
+    assert [tuple(r) for r in sentiment.signed_scores(scored).orderBy("sent_id").collect()] == [
+        ("x", 0, 0, "positive", 0.5), ("x", 1, 0, "negative", -0.5)]
+
+
+def test_no_token_and_no_document_is_lost(spark):
+    rows = [(1, "en", "...Hello there."), (2, "en", "!!!"), (3, "en", ""), (4, "en", None), (5, "en", "One. Two")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    tok = annotate.token_table(docs)
+    got = {}
+    for r in tok.orderBy("doc_id", "token_i").collect():
+        got.setdefault(r["doc_id"], []).append((r["sent_id"], r["token_text"]))
+    assert got == {1: [(0, t) for t in [".", ".", ".", "Hello", "there", "."]], 2: [(0, "!")] * 3,
+                   5: [(0, "One"), (0, "."), (1, "Two")]}
+    corpus = docs.select("doc_id", F.lit("g").alias("group_id"), F.lit("a").alias("label"))
+    table = {r["doc_id"]: r for r in st.stylistics_table(tok, corpus=corpus).collect()}
+    assert sorted(table) == [1, 2, 3, 4, 5]
+    assert table[3]["num_sents"] is None and table[3]["label"] == "a" and table[2]["num_sents"] == 1
+
+
+def test_msttr_is_linear_in_words(spark):
+    import time
+
+    words = " ".join(f"w{i % 997}" for i in range(80_000))
+    docs = spark.createDataFrame([(1, "en", words)], "doc_id long, lang string, text string")
+    tok = annotate.token_table(docs)
+    began = time.time()
+    got = st.stylistics_table(tok, sentiment=False, with_compression=False).first()["msttr"]
+    assert got == pytest.approx(1.0) and time.time() - began < 60
 
 
 def test_determinism_across_partitionings(spark, sf):

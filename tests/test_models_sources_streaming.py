@@ -69,3 +69,71 @@ def test_bow_featurizer_fits_on_train_only(spark):
     out = {r["doc_id"]: r["features"].toArray().tolist() for r in f(dt).collect()}
     assert out[1] == pytest.approx([2 / 3, 1 / 3])
     assert out[2] == [0.0, 0.0]  # 'cc' exists only outside the training rows
+
+
+def test_tsv_round_trip_of_odd_fields(spark):
+    odd = ["line\nfeed", "tab\there", 'quote " here', "back\\slash \\n \\N", "", None, " padded ", "cr\r\n", "\\e", "#x", "'"]
+    df = spark.createDataFrame([(i, x, i if i % 2 else None) for i, x in enumerate(odd)], "doc_id long, s string, n long")
+    path = os.path.join(tempfile.mkdtemp(), "t")
+    io.write_tsv(df, path)
+    back = io.read_features_tsv(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[0]) == sorted(map(tuple, df.collect()), key=lambda r: r[0])
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster():
+    from corpuslab import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        session.ensure_checkpoint_dir(Session())
+    assert session.is_single_process("local[4]") and not session.is_single_process("local-cluster[2,1,1024]")
+
+
+def test_training_input_keeps_its_partitions(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("embedding"),
+                                   (F.col("id") % 3).alias("t"), F.lit("m").alias("model")).repartition(6)
+    out = models.kmeans_by_truth(rows, "t")
+    assert out.rdd.getNumPartitions() == 6
+    assert out.where("not nearest").count() == 0 and out.count() == 400
+
+
+def test_kmeans_with_one_group(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0], "a", "m"), (2, [2.0, 1.0], "a", "m")], "doc_id long, embedding array<float>, t string, model string")
+    assert [r["cluster"] for r in models.kmeans_by_truth(rows, "t").collect()] == [0, 0]
+
+
+def test_imputation_by_exact_median_and_empty_column(spark):
+    rows = [(1, 1.0, None), (2, 4.0, None), (3, None, None), (4, float("nan"), None), (5, 10.0, None)]
+    df = spark.createDataFrame(rows, "doc_id long, x double, y double")
+    f = models.ColumnsFeaturizer(["x", "y"]).fit(df)
+    out = {r["doc_id"]: r["features"].toArray().tolist() for r in f(df).collect()}
+    assert out == {1: [1.0, 0.0], 2: [4.0, 0.0], 3: [4.0, 0.0], 4: [4.0, 0.0], 5: [10.0, 0.0]}
+
+
+def test_repeated_ids_count_once_in_classification(spark):
+    rows = [(i, "a" if i % 2 else "b", f"s{i % 5}") for i in range(40)] + [(1, "a", "s1")] * 30
+    c = spark.createDataFrame(rows, "doc_id long, label string, group_id string")
+    out = classification.labelled_folds(c).collect()
+    assert len(out) == len({r["doc_id"] for r in out}) == 40
+
+
+def test_stream_checkpoints_differ_by_source_and_sink():
+    class Session:
+        conf = {"spark.checkpoint.dir": "hdfs:///shared"}
+
+    a, b, c = (incremental.stream_checkpoint(Session(), *x) for x in (("s", "t"), ("s", "u"), ("s", "t")))
+    assert a == c != b and a.startswith("hdfs:///shared/")
+    Session.conf = {}
+    with pytest.raises(ValueError):
+        incremental.stream_checkpoint(Session(), "s", "t")

@@ -120,3 +120,51 @@ def test_exact_quantiles_match_numpy(spark):
     for p in (0.0, 0.25, 0.5, 0.75, 1.0):
         assert got[("f", p)] == pytest.approx(np.quantile(vals, p), abs=1e-12)
         assert got[("g", p)] == pytest.approx(np.quantile(vals[:7], p), abs=1e-12)
+
+
+def test_v_measure_takes_null_as_a_class(spark):
+    rows = [(None, 0), (None, 0), ("a", 0), ("a", 1), ("b", 1), ("b", None)]
+    got = ev.v_measure(spark.createDataFrame(rows, "u string, v int"), "u", "v").first()
+    named = spark.createDataFrame([(u or "z", 9 if v is None else v) for u, v in rows], "u string, v int")
+    want = ev.v_measure(named, "u", "v").first()
+    assert tuple(got) == pytest.approx(tuple(want)) and 0 < got["homogeneity"] < 1
+
+
+@pytest.mark.parametrize("t, dof, p", [(0.0, 5, 1.0), (1.0, 1, 0.5), (2.0, 2, 0.18350341907), (-2.0, 2, 0.18350341907),
+                                       (2.570581835636314, 5, 0.05), (1.959963984540054, 1e9, 0.05), (3.0, 4, 0.03994196807),
+                                       (1.0, 2, 0.42264973081), (10.0, 1, 0.06345103489), (25.0, 100, 0.0)])
+def test_two_sided_p(t, dof, p):
+    assert stats.t_two_sided_p(t, dof) == pytest.approx(p, abs=2e-9)
+
+
+def test_nan_policy(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (3, "a", None), (4, "b", 2.0), (5, "b", 4.0)], "doc_id long, label string, x double")
+    s = stats.feature_stats_by_class(df, ["x"])
+    assert stats.pooled_t_test(s).first()["t_stat"] is not None
+    assert stats.pooled_t_test(s, nan_policy="propagate").first()["t_stat"] is None
+
+
+def test_automatic_bins_cover_each_class(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i * i % 101)) for i in range(300)], "doc_id long, label string, x double")
+    h = stats.histogram(df, ["x"], bins="auto")
+    for r in h.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.col("density") * (F.col("hi") - F.col("lo"))).alias("area")).collect():
+        assert r["n"] == 150 and r["area"] == pytest.approx(1.0)
+
+
+def test_kde_reads_its_features_once(spark, sf):
+    from corpuslab.plans.descriptives import distribution_frame
+
+    for out in (stats.kde(distribution_frame(spark, sf), ["msttr"]), stats.histogram(distribution_frame(spark, sf), ["msttr"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in plan  # the annotator ran before, into the value table
+
+
+def test_exact_quantiles_against_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000), np.repeat([0.5, 2.0], 700)])
+    df = spark.createDataFrame([("f", float(v)) for v in x], "feature string, value double")
+    got = {r["p"]: r["q"] for r in stats.exact_quantiles(df, (0.0, 0.1, 0.5, 0.9, 1.0)).collect()}
+    for p, q in got.items():
+        assert q == pytest.approx(float(np.quantile(x, p)), abs=1e-12)

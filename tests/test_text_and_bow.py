@@ -75,9 +75,19 @@ def test_removal_report_and_missing(spark):
     assert miss == {"id": 0, "text": 1, "label": 1}
 
 
-def test_term_counts_plan_has_no_exchange_after_spread(spark, sf):
+def test_term_counts_plan_is_the_same_at_any_number_of_partitions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    plan = bow.term_counts(docs)._jdf.queryExecution().executedPlan().toString()
-    # the only exchange is the doc_id spread of a single-row-group scan; the count needs none
-    assert plan.count("Exchange") <= 1, plan
-    assert "partial_count" in plan
+    for d in (docs, docs.union(docs), docs.unionAll(docs).unionAll(docs)):
+        plan = bow.term_counts(d)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1, plan  # partial counts, then one exchange
+        assert "partial_count" in plan
+
+
+def test_wide_rates_from_counts_equal_those_from_texts(spark):
+    docs = spark.createDataFrame([(1, "aa aa bb"), (2, "bb"), (3, ""), (4, None)], "doc_id long, text string")
+    counts = bow.term_counts(docs)
+    vocab = bow.top_vocabulary(counts, 2)
+    long = bow.mfw_relative(docs, vocab)
+    a = bow.mfw_wide(docs, long, ["aa", "bb"]).orderBy("doc_id").collect()
+    b = bow.mfw_wide(docs, long, ["aa", "bb"], counts=counts).orderBy("doc_id").collect()
+    assert [r["t_aa"] for r in a] == [r["t_aa"] for r in b] == [pytest.approx(2 / 3), 0.0, None, None]
