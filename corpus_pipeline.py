@@ -1,5 +1,8 @@
 """The corpus pipeline: filter, deduplicate, mix and encode ``documents``.
 
+Near duplicates here are texts whose sets of five-word shingles have a Jaccard similarity of
+0.8 or more (and what these links connect).
+
 Each stage takes the whole table that the one before it wrote (Parquet in the session's
 checkpoint folder) and acts on it: rejected documents and copies go, and the mix repeats or
 leaves out documents. All but the last return the columns of ``documents``.
@@ -25,7 +28,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 9: near-duplicate components from an inverted index of MinHash coordinates.
 
-A document's set holds its distinct 4-word shingles (64-bit hashes of lower-cased words); two
-documents are linked if their sets' Jaccard similarity is at least 80 %.
+A document's set holds its distinct shingles of ``shingle`` words (default 4; 64-bit hashes of
+lower-cased words); two documents are linked if their sets' Jaccard similarity is at least 80 %.
 
 1. One pass makes each document's set, its hash (``node``: equal sets are one node) and
    ``PERMS`` MinHash coordinates. Sets aren't kept.
@@ -19,7 +19,7 @@ documents are linked if their sets' Jaccard similarity is at least 80 %.
 5. Components of the confirmed links.
 
 Defined cases: null texts and texts without words have size 0 and are linked with nothing; with
-one to three words the whole sequence is the one shingle; repeated rows fall together; a null
+fewer words than a shingle the whole sequence is the one shingle; repeated rows fall together; a null
 id is never the smallest unless all ids of a component are null (then component_id is null and
 kept true); an empty table gives an empty table. Extra columns are ignored or passed through; ``_x_`` names are reserved.
 """
@@ -75,7 +75,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> U(32)).astype(np.uint32)
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _signed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """id, _x_tx (hash of the text), n_shingles, node, sig for each row."""
     slim = docs.select(F.col(id_col), F.xxhash64(F.col(text_col)).alias("_x_tx"), F.col(text_col).alias("_x_text"))
     schema = T.StructType([slim.schema[id_col], slim.schema["_x_tx"], T.StructField("n_shingles", T.LongType()),
@@ -83,7 +83,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "_x_text"):
-            sets = shingle_sets(texts_of(b.column("_x_text")))
+            sets = shingle_sets(texts_of(b.column("_x_text")), shingle)
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if s.size else None for s in sets]
             sig = [signature(s).tobytes() if s.size else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -131,11 +131,11 @@ def _prefixes(nodes: DataFrame) -> DataFrame:
     return ranked.where(F.col("rank") <= F.col("s") - (MATCH - 1)).select("pair", "node")
 
 
-def _confirm(key: tuple, t: pa.Table) -> pa.Table:
+def _confirm(key: tuple, t: pa.Table, shingle: int) -> pa.Table:
     """Confirmed links of one block, or of one pair of blocks; no link between nodes already connected."""
     left, right = key[1].as_py(), key[2].as_py()
     node, block = t.column("node").to_numpy(), t.column("block").to_numpy()
-    sets = shingle_sets(texts_of(t.column("text")))
+    sets = shingle_sets(texts_of(t.column("text")), shingle)
     sig = np.stack([signature(s) for s in sets])
     size = np.array([s.size for s in sets])
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -171,7 +171,7 @@ def _confirm(key: tuple, t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Confirmed links (a, b) between nodes: enough of them to connect whatever is linked."""
     nodes = signed.where("node is not null").groupBy("node").agg(
         F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_x_tx").alias("t"))).alias("r"),
@@ -194,35 +194,35 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str) -> Dat
     own = texts.join(wanted, F.col("_y_tx").eqNullSafe(F.col("_x_tx")) & F.col("_y_id").eqNullSafe(F.col("_x_id")))
     own = own.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows: once
     tasks = member.select("root", "node", "block", "lo", "hi").join(own, "node")
-    found = tasks.groupBy("root", "lo", "hi").applyInArrow(_confirm, "a long, b long")
+    found = tasks.groupBy("root", "lo", "hi").applyInArrow(lambda key, t: _confirm(key, t, shingle), "a long, b long")
     return materialize(found, "minhash-links")
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Per row: id, _x_tx (hash of the text), n_shingles, _x_root (null without words)."""
-    signed = materialize(_signed(docs, id_col, text_col), "minhash-signed")
-    roots = connected(links(docs, signed, id_col, text_col), "minhash-components")
+    signed = materialize(_signed(docs, id_col, text_col, shingle), "minhash-signed")
+    roots = connected(links(docs, signed, id_col, text_col, shingle), "minhash-components")
     rows = signed.drop("sig").join(roots, "node", "left")
     return rows.select(F.col(id_col), "_x_tx", "n_shingles", F.coalesce("root", "node").alias("_x_root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id of its component), kept."""
-    rows = _components(docs, id_col, text_col)
+    rows = _components(docs, id_col, text_col, shingle)
     least = rows.where("_x_root is not null").groupBy("_x_root").agg(F.min(id_col).alias("_x_least"))
     rows = rows.join(least, "_x_root", "left")
     comp = F.when(F.col("_x_root").isNull(), F.col(id_col)).otherwise(F.col("_x_least"))
     return rows.select(F.col(id_col), "n_shingles", comp.alias("component_id"), F.col(id_col).eqNullSafe(comp).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay, with all columns: one of each component, and all rows without words.
 
     It is the row with the smallest id (null last), then the smallest hash of its text.
     """
     names = docs.columns
     first = F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("_x_tx").alias("t")))
-    stay = _components(docs, id_col, text_col).where("_x_root is not null").groupBy("_x_root").agg(first.alias("r"))
+    stay = _components(docs, id_col, text_col, shingle).where("_x_root is not null").groupBy("_x_root").agg(first.alias("r"))
     stay = stay.select(F.col("r.i").alias("_y_id"), F.col("r.t").alias("_y_tx"))
     d = docs.withColumn("_x_tx", F.xxhash64(F.col(text_col)))
     bare = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")

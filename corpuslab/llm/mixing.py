@@ -100,11 +100,11 @@ def _running(d: DataFrame, prefix: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS,
-        seed: int = SEED, prefix: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, ``carry`` columns, size, source_size, target, taken, passes, cut, shards.
+        seed: int = SEED, prefix: int = 3, carry: bool = False) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, passes, cut, shards, shard_order.
 
     ``passes`` copies are whole; ``cut`` words (0: none) are taken from one more. ``shards`` has
-    the output shard of each drawn copy.
+    the output shard of each drawn copy. With ``carry`` the whole row comes along as the struct ``_x_row``.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -130,8 +130,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         [(r["_x_src"], r["s"], float(t), int(p), int(x), r["n"], ends[:, k].tolist())
          for k, (r, t, p, x) in enumerate(zip(rows, want, passes, rest))],
         "_x_src string, source_size long, target double, passes long, _x_rest long, _x_n long, _x_ends array<long>")
-    kept = [F.col(c) for c in carry if c != id_col]
-    d = _running(docs.select(F.col(id_col), *kept, *own) if kept else slim, prefix).join(per_source, "_x_src")
+    kept = ["_x_row"] if carry else []
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_x_row")
+    d = _running(docs.select(F.col(id_col), row, *own) if carry else slim, prefix).join(per_source, "_x_src")
     d = d.withColumns({
         "cut": F.greatest(F.lit(0), F.least(F.col("size"), F.col("_x_rest") - F.col("_x_before"))),
         "_x_copies": F.col("passes") + (F.col("_x_before") < F.col("_x_rest")).cast("long")})
@@ -148,13 +149,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The one cut block of a source keeps its first ``cut`` words; rows lie by shard, locally shuffled.
     """
     names = docs.columns
-    d = mix(docs, id_col, text_col=text_col, carry=tuple(names), **options)
-    d = d.select(*names, "passes", "cut", "size", "shard_order", F.posexplode("shards").alias("_x_copy", "_x_shard"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit("(" + WS + "*" + NOT_WS + "+)"))
+    d = mix(docs, id_col, text_col=text_col, carry=True, **options)
+    d = d.select("_x_row", "passes", "cut", "size", "shard_order", F.posexplode("shards").alias("_x_copy", "_x_shard"))
+    field = {c: F.col("_x_row").getField(c) for c in names}
     is_cut = (F.col("_x_copy") >= F.col("passes")) & (F.col("cut") < F.col("size"))
-    text = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("cut").cast("int")), "")).otherwise(F.col(text_col))
+    words = F.regexp_extract_all(field[text_col], F.lit("(" + WS + "*" + NOT_WS + "+)"))
+    text = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("cut").cast("int")), "")).otherwise(field[text_col])
     order = F.xxhash64("shard_order", "_x_copy")
-    d = d.withColumn(text_col, text)
+    d = d.withColumn("_x_text", text).sortWithinPartitions("_x_shard", order)
+    out = dict(field)
+    out[text_col] = F.col("_x_text")
     if "n_chars" in names:
-        d = d.withColumn("n_chars", F.when(is_cut, F.length(F.col(text_col)).cast("long")).otherwise(F.col("n_chars")))
-    return d.sortWithinPartitions("_x_shard", order).select(*names)
+        out["n_chars"] = F.when(is_cut, F.length("_x_text").cast(docs.schema["n_chars"].dataType)).otherwise(field["n_chars"])
+    return d.select(*[out[c].alias(c) for c in names])

@@ -136,7 +136,8 @@ def test_mix(spark):
 
 def test_mixed_documents(spark):
     rows = mix_rows()
-    docs = spark.createDataFrame([(i, s, t, len(t or "")) for i, s, t, _ in rows], "doc_id long, source string, text string, n_chars long")
+    docs = spark.createDataFrame([(i, s, t, len(t or ""), 0, 0) for i, s, t, _ in rows],
+                                 "doc_id long, source string, text string, n_chars long, size int, target int")
     out = mixing.mixed_documents(docs, shards=4)
     assert out.columns == docs.columns
     want = {(r.doc_id, r.taken) for r in mixing.mix(docs, shards=4).collect()}

@@ -77,9 +77,9 @@ def test_exact_empty_table(spark):
     assert exact_dedup.groups(docs).count() == 0 and exact_dedup.drop_copies(docs).count() == 0
 
 
-def shingles(text):
+def shingles(text, n=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i:i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)} - {()}
+    return {tuple(w[i:i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
 
 
 def near_rows():
@@ -110,8 +110,8 @@ def near_rows():
     return rows
 
 
-def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
+def brute_components(rows, n=4):
+    sets = [shingles(t, n) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -147,9 +147,9 @@ def test_near_components(spark, block, monkeypatch):
 
 def test_drop_near_copies(spark):
     rows = near_rows()
-    sets, want = brute_components(rows)
+    sets, want = brute_components(rows, 5)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, n_shingles int")
-    out = minhash.drop_near_copies(docs)
+    out = minhash.drop_near_copies(docs, shingle=5)
     assert out.columns == docs.columns
     kept = sorted(r.doc_id for r in out.collect())
     assert kept == sorted([c for c in {c for c, s in zip(want, sets) if s}] + [d for (d, _), s in zip(rows, sets) if not s])
