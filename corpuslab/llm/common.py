@@ -44,7 +44,7 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` text bytes (at least one row each), to bound a task's memory."""
     for batch in batches:
         if not batch.num_rows:

@@ -217,7 +217,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True,
-        most: int = 4 << 20) -> DataFrame:
+        most: int = 2 << 20) -> DataFrame:
     """Per row: id, lang_pred, score and, if asked for, spans: runs of words of one language (lang, first word, words)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     slim = docs.select(F.col(id_col), F.col(text_col).alias("_x_text"))
