@@ -41,7 +41,7 @@ from ..session import materialize
 from .common import by_bytes, is_held_out, texts_of
 from .words import BASE, U, Words, mix
 
-VOCABULARY, HOT, CUTOFF, CHUNK = 1 << 19, 256, 5, 3_000_000
+VOCABULARY, HOT, CUTOFF, CHUNK = 1 << 19, 256, 5, 1_000_000
 END = mix(np.array([3], np.uint64) * BASE).view(np.int64)[0]
 #: Counts are grouped exactly up to this and by sixteenths of a power of 2 above, to place the vocabulary's limit.
 _EXACT = 1000
@@ -202,7 +202,7 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
             hot = _is_hot(pair)
             word, c = np.unique(pair[hot & train[doc]], return_counts=True)
             rows = [(-1 - int(mix(key[:1].view(np.uint64))[0] % U(buckets)), _planes(word), b"", _planes(c.astype(np.int64)), b"", b"")]
-            pair, doc = pair[~hot], doc[~hot].astype(np.uint16)
+            pair, doc = pair[~hot], doc[~hot].astype(np.int32)
             # the bigrams of a rare history share a bucket; those of a frequent one are dealt by both words
             place = np.where(pair >> 20 < 4 * HOT, pair, (pair >> 20) + (np.int64(1) << 50))
             bucket = (mix(place.view(np.uint64)) % U(buckets)).astype(np.int64)
@@ -210,7 +210,8 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
             pair, doc, bucket = pair[order], doc[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), pair.size]):
-                rows.append((int(bucket[a]), _planes(pair[a:b]), _planes(doc[a:b]), b"", key.tobytes(), train.tobytes()))
+                own, place = np.unique(doc[a:b], return_inverse=True)  # only the texts that occur in this bucket
+                rows.append((int(bucket[a]), _planes(pair[a:b]), _planes(place.astype(np.uint16)), b"", key[own].tobytes(), train[own].tobytes()))
             for at in range(0, len(rows), 16):
                 cols = list(zip(*rows[at:at + 16]))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
@@ -229,7 +230,7 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
             for a in range(0, b.num_rows, 60_000):  # a chunk numbers its texts by 16 bits
                 z = min(a + 60_000, b.num_rows)
                 mine = ok & (doc >= a) & (doc < z)
-                held.append((key[a:z], train[a:z], pair[mine], doc[mine] - a + texts))
+                held.append((key[a:z], train[a:z], pair[mine], (doc[mine] - a + texts).astype(np.int32)))
                 size, texts = size + int(mine.sum()), texts + z - a
                 if size >= CHUNK or z < b.num_rows:
                     yield from out()
