@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, html_extract, katz, langid, minhash, mixing, quality, sharding, toxicity
 from .common import is_held_out, table
+from .oracle import ORACLE  # noqa: F401  (the entry module reads both from here)
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,11 +34,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    scored = katz.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +60,3 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_html, op2_toxicity, op3_langid, op4_exact_dedup, op5_katz, op6_mixing, op7_quality, op8_bpe, op9_minhash, op10_sharding)}
-
-ORACLE = {
-    "op4_exact_dedup": r"""
-        WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
-             r AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM r""",
-}
