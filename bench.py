@@ -37,7 +37,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cpus, shuffle_partitions=max(2 * cpus, 8))
 
-    from corpuslab.operators import annotate, evaluation, models, stylistics
+    from corpuslab.operators import evaluation, models, stylistics
     from corpuslab.plans import classification, clustering, features
     from corpuslab.plans.descriptives import class_comparison_report
     from corpuslab.sources import bindings
@@ -47,6 +47,7 @@ def main() -> None:
 
     # warm-up: JVM start, parquet footers, Python workers
     force(docs.select("doc_id").limit(10))
+    force(stylistics.stylistics_of(docs.select("doc_id", "lang", "text").limit(50), num_partitions=cpus))
 
     def bow_tables():
         # one count table (written once), then MFW-100, MFW-500 and TF-IDF-5000 from it
@@ -55,16 +56,16 @@ def main() -> None:
             force(tables[name])
 
     def styl():
-        force(stylistics.stylistics_table(annotate.token_table(docs.select("doc_id", "lang", "text"))))
+        force(stylistics.stylistics_of(docs.select("doc_id", "lang", "text"), num_partitions=2 * cpus))
 
     timed(res, "bow_mfw100_mfw500_tfidf5000", bow_tables)
     timed(res, "stylistics_table", styl)
-    timed(res, "descriptives_report", lambda: force(class_comparison_report(spark, sf_dir)))
+    timed(res, "descriptives_report", lambda: force(class_comparison_report(spark, sf_dir, num_partitions=2 * cpus)))
 
     for fs in ("stylistics", "mfw_100", "tfidf_5000", "embeddings"):
         holder = {}
         timed(res, f"prep_{fs}", lambda fs=fs: holder.update(
-            inp=classification.classification_input(spark, sf_dir, fs)))
+            inp=classification.classification_input(spark, sf_dir, fs, num_partitions=2 * cpus)))
         data, featurizer, _names, classes = holder["inp"]
 
         def cv(data=data, featurizer=featurizer, classes=classes):

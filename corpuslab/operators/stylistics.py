@@ -3,8 +3,9 @@
 Input is a token table in the T2 layout (``annotate.TOKEN_SCHEMA``). All measures
 are grouped aggregates keyed by ``doc_id`` (or ``doc_id, sent_id`` first); when
 the token table is hash-partitioned by ``doc_id`` (the annotator's default) none
-of them adds an exchange, and they are combined by joins on ``doc_id`` that reuse
-the same partitioning. Only the compression ratio calls Python (bz2, Arrow-batched).
+of them adds an exchange. The whole table (F23) is computed from one array of
+sentences per document, made from a token table or straight from the text. Only the
+compression ratio calls Python (bz2, Arrow-batched).
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import types as T
 
 from ..functions.lexicon import (FUNCTION_WORD_POS, NOMINAL_POS, NON_WORD_POS, OF_WORDS,
                                  THAT_WORDS)
+from ..functions.tagger import tagged_sentences_sql
+from ..functions.text import TOKEN_RE
+from .annotate import _sentences_sql
 
 MEASURES = [
     "nominal_verb_ratio", "msttr", "noun_ttr", "verb_ttr", "personal_pronoun_ratio",
@@ -234,7 +238,8 @@ def compression_ratio(sentences: DataFrame, **kw) -> DataFrame:
     return sel.select("doc_id", bz2_ratio("selected_text").alias("compression_ratio"))
 
 
-# --- F23: the stylistics table (one pass over the token table) ----------------------
+# --- F23: the stylistics table, from an array of sentences (arrays of tokens) per document
+# A token is (i: place, text, lemma, pos, morph, is_punct, d: distance to its head, is_root).
 
 def _signed_chunk_scores_sql(sentence: str, max_len: int, cost: str) -> str:
     """Signed lexicon scores of the chunks of one sentence (array<double>), as SQL.
@@ -274,57 +279,33 @@ def _sql_in(items) -> str:
     return sql_list(items)
 
 
-def sentence_summary(tokens: DataFrame, of_words=OF_WORDS, that_words=THAT_WORDS,
-                     sentiment: bool = True, max_len: int = 512, cost: str = "subword") -> DataFrame:
-    """Per-sentence counts, dependency sums, ordered word list, lemma sets, text and chunk scores.
+def documents_from_tokens(tokens: DataFrame) -> DataFrame:
+    """(doc_id, sents): the token table as one array of sentences per document.
 
-    One aggregate keyed (doc_id, sent_id): no exchange when tokens are partitioned by doc_id.
-    Written as SQL expressions (one Py4J call each) — the Column-builder form of
-    these ~25 aggregates costs seconds of plan construction per query.
+    Two aggregates by ``doc_id``; no exchange if the tokens are partitioned by it.
     """
-    word = f"pos NOT IN {_sql_in(NON_WORD_POS)}"
-    m = "coalesce(morph, '')"
-    kept = "(NOT is_punct AND pos <> 'SPACE')"
-    verb = "pos = 'VERB'"
-    aggs = [
-        "count(1) AS n_tokens",
-        f"count_if({word}) AS n_words",
-        "count_if(pos = 'NOUN') AS n_noun",
-        f"count_if({verb}) AS n_verb",
-        "count_if(pos = 'ADJ') AS n_adj",
-        "count_if(pos = 'ADV') AS n_adv",
-        f"count_if(pos IN {_sql_in(NOMINAL_POS)}) AS n_nominal",
-        f"count_if({verb} AND (contains({m}, 'Voice=Act') OR contains({m}, 'Voice=Pass'))) AS n_voiced",
-        f"count_if({verb} AND contains({m}, 'Voice=Pass')) AS n_passive",
-        f"count_if({verb} AND contains({m}, 'Voice=Act')) AS n_active",
-        f"count_if({verb} AND contains({m}, 'Tense=Past')) AS n_past",
-        f"count_if({verb} AND contains({m}, 'Tense=Pres')) AS n_present",
-        f"count_if(pos = 'PRON' AND contains({m}, 'PronType=Prs')) AS n_prs",
-        f"count_if(pos IN {_sql_in(FUNCTION_WORD_POS)}) AS n_function",
-        f"count_if(pos = 'ADP' AND lower(token_text) IN {_sql_in(of_words)}) AS n_of",
-        f"count_if(pos = 'SCONJ' AND lower(token_text) IN {_sql_in(that_words)}) AS n_that",
-        f"sum(CASE WHEN {word} THEN length(token_text) END) AS word_chars",
-        f"count_if({kept}) AS n_kept",
-        f"sum(CASE WHEN {kept} THEN abs(token_i - head_i) END) AS dd_sum",
-        f"min(CASE WHEN {kept} AND dep = 'ROOT' THEN token_i END) AS root_i",
-        f"min(CASE WHEN {kept} THEN token_i END) AS start_i",
-        f"array_sort(collect_list(named_struct('token_i', token_i, 'token_text', token_text, 'w', {word}, "
-        "'pos', pos, 'lemma', lemma))) AS toks",
-    ]
-    ss = tokens.groupBy("doc_id", "sent_id").agg(*[F.expr(a) for a in aggs])
-    counts = [a.rsplit(" AS ", 1)[1] for a in aggs if a.rsplit(" AS ", 1)[1].startswith("n_")] + ["word_chars"]
-    mdd = "CASE WHEN n_kept > 0 AND root_i IS NOT NULL THEN dd_sum / n_kept END"
-    proj = ["doc_id", "sent_id", *counts, f"{mdd} AS mdd",
-            f"CASE WHEN ({mdd}) > 0 AND root_i - start_i >= 0 "
-            f"THEN abs(ln(({mdd}) / sqrt((root_i - start_i + 1) * n_kept))) END AS ndd",
-            "array_join(transform(toks, x -> x.token_text), ' ') AS sentence",
-            "transform(filter(toks, x -> x.w), x -> x.token_text) AS words",
-            "array_distinct(transform(filter(toks, x -> x.pos = 'NOUN'), x -> x.lemma)) AS noun_lemmas",
-            "array_distinct(transform(filter(toks, x -> x.pos = 'VERB'), x -> x.lemma)) AS verb_lemmas"]
-    out = ss.selectExpr(*proj)
-    if sentiment:
-        out = out.withColumn("signed", F.expr(_signed_chunk_scores_sql("sentence", max_len, cost)))
-    return out
+    token = ("named_struct('i', token_i, 'text', token_text, 'lemma', lemma, 'pos', pos, 'morph', morph, 'is_punct', is_punct, "
+             "'d', CAST(abs(token_i - head_i) AS BIGINT), 'is_root', dep = 'ROOT')")
+    per_sent = tokens.groupBy("doc_id", "sent_id").agg(F.expr(f"array_sort(collect_list({token})) AS toks"))
+    per_doc = per_sent.groupBy("doc_id").agg(F.expr("array_sort(collect_list(named_struct('sent_id', sent_id, 'toks', toks))) AS sents"))
+    return per_doc.selectExpr("doc_id", "transform(sents, s -> s.toks) AS sents")
+
+
+def documents_from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
+                         num_partitions: int | None = None) -> DataFrame:
+    """(doc_id, sents): the baseline annotator's tokens, made in one projection of the text.
+
+    A document never leaves its row, so there is no exchange. ``num_partitions``
+    deals the rows out first, for a table whose files give too few tasks.
+    """
+    lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
+    base = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).alias("text"))
+    if num_partitions:
+        base = base.repartition(num_partitions)
+    tagged = tagged_sentences_sql("lang", f"coalesce({_sentences_sql()}, array())", TOKEN_RE)
+    token = ("named_struct('i', w.j, 'text', w.text, 'lemma', w.lemma, 'pos', w.pos, 'morph', w.morph, 'is_punct', w.is_punct, "
+             "'d', CAST(abs(w.j - s.r) AS BIGINT), 'is_root', w.j = s.r)")
+    return base.selectExpr("doc_id", f"transform({tagged}, s -> transform(s.toks, w -> {token})) AS sents")
 
 
 def _msttr_sql(words: str, window: int = 100) -> str:
@@ -340,78 +321,113 @@ def _ratio_sql(num: str, den: str) -> str:
     return f"CAST({num} AS DOUBLE) / CAST(nullif({den}, 0) AS DOUBLE)"
 
 
-def document_measures(sent: DataFrame, legacy_swap: bool = False, sentiment: bool = True,
-                      skip: int = 10, take: int = 40, long_doc: int = 50) -> DataFrame:
-    """All per-document measures from ``sentence_summary`` (one aggregate keyed doc_id)."""
-    counts = [f for f in sent.columns if f.startswith("n_") or f == "word_chars"]
-    fields = ["sent_id", "sentence", "words", "noun_lemmas", "verb_lemmas"] + (["signed"] if sentiment else [])
-    aggs = [f"sum({c}) AS {c}" for c in counts] + [
-        "avg(CAST(n_tokens AS DOUBLE)) AS avg_sentlen", "count(1) AS num_sents",
-        "avg(ndd) AS avg_ndd", "stddev_pop(ndd) AS std_ndd", "avg(mdd) AS avg_mdd", "stddev_pop(mdd) AS std_mdd",
-        "array_sort(collect_list(named_struct(" + ", ".join(f"'{f}', {f}" for f in fields) + "))) AS sents"]
-    d = sent.groupBy("doc_id").agg(*[F.expr(a) for a in aggs])
-    # the word list is bound once: pasted into the segment lambda it would be rebuilt for each segment
-    d = d.withColumn("doc_words", F.expr("flatten(transform(sents, x -> x.words))"))
-    words = "doc_words"
-    texts = "transform(sents, x -> x.sentence)"
-    act, pas = ("n_passive", "n_active") if legacy_swap else ("n_active", "n_passive")
-    proj = [
-        "doc_id",
-        f"{_ratio_sql('n_nominal + n_noun', 'n_verb')} AS nominal_verb_ratio",
-        f"{_msttr_sql(words)} AS msttr",
-        f"{_ratio_sql('size(array_distinct(flatten(transform(sents, x -> x.noun_lemmas))))', 'n_noun')} AS noun_ttr",
-        f"{_ratio_sql('size(array_distinct(flatten(transform(sents, x -> x.verb_lemmas))))', 'n_verb')} AS verb_ttr",
-        f"{_ratio_sql('n_prs', 'n_tokens')} AS personal_pronoun_ratio",
-        f"{_ratio_sql('n_function', 'n_tokens')} AS function_word_ratio",
-        f"{_ratio_sql('n_of', 'n_tokens')} AS of_ratio",
-        f"{_ratio_sql('n_that', 'n_tokens')} AS that_ratio",
-        f"CASE WHEN n_past > 0 THEN {_ratio_sql('n_past', 'n_verb')} END AS past_tense_ratio",
-        f"CASE WHEN n_present > 0 THEN {_ratio_sql('n_present', 'n_verb')} END AS present_tense_ratio",
-        f"{_ratio_sql(pas, 'n_voiced')} AS passive_ratio",
-        f"{_ratio_sql(act, 'n_voiced')} AS active_ratio",
-        f"{_ratio_sql('n_adj + n_adv', 'n_words')} AS adjective_adverb_ratio",
-        f"{_ratio_sql('word_chars', 'n_words')} AS avg_wordlen",
-        "avg_sentlen", "num_sents", "avg_ndd", "std_ndd", "avg_mdd", "std_mdd",
-        f"array_join(CASE WHEN size({texts}) > {long_doc} THEN slice({texts}, {skip + 1}, {take}) "
-        f"ELSE slice({texts}, 1, {take}) END, ' ') AS selected_text",
-    ]
-    if sentiment:
-        proj.append("flatten(transform(sents, x -> x.signed)) AS sentiment")
-    out = d.selectExpr(*proj)
-    if sentiment:
-        n = "size(sentiment)"
-        mean = f"aggregate(sentiment, CAST(0.0 AS DOUBLE), (a, x) -> a + x) / {n}"
-        out = out.selectExpr("*", f"CASE WHEN {n} > 1 THEN {mean} END AS sentiment_mean").selectExpr(
-            "*",
-            f"CASE WHEN {n} > 1 THEN sqrt(aggregate(sentiment, CAST(0.0 AS DOUBLE), "
-            f"(a, x) -> a + (x - sentiment_mean) * (x - sentiment_mean)) / {n}) END AS sentiment_std",
-            f"CASE WHEN {n} > 1 THEN aggregate(sentiment, CAST(0.0 AS DOUBLE), (a, x) -> a + abs(x)) / {n} END "
-            "AS sentiment_abs")
-    return out
+def _mean_sql(xs: str) -> str:
+    return f"aggregate({xs}, CAST(0.0 AS DOUBLE), (a, x) -> a + x) / nullif(size({xs}), 0)"
 
 
-def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None, sentiment: bool = True,
-                     legacy_swap: bool = False, with_compression: bool = True,
-                     max_len: int = 512, cost: str = "subword") -> DataFrame:
-    """all measures per document, plus the sentiment series/summary and corpus metadata.
+def _std_sql(xs: str, mean: str) -> str:
+    return f"sqrt(aggregate({xs}, CAST(0.0 AS DOUBLE), (a, x) -> a + (x - {mean}) * (x - {mean})) / nullif(size({xs}), 0))"
+
 
-    The token table is read once: one sentence-level and one document-level
-    aggregate (both without exchange on a doc_id-partitioned token table), then
-    the Arrow bz2 UDF on the selected text and a join from the corpus metadata: with
-    ``corpus`` each of its documents has a row, also one without tokens.
+def document_measures(docs: DataFrame, legacy_swap: bool = False, sentiment: bool = True, of_words=OF_WORDS,
+                      that_words=THAT_WORDS, skip: int = 10, take: int = 40, long_doc: int = 50,
+                      max_len: int = 512, cost: str = "subword") -> DataFrame:
+    """All per-document measures from (doc_id, sents), projections only; null for a document without tokens.
+
+    Each step binds the arrays that the next one reads more than once.
     """
-    sent = sentence_summary(tokens, sentiment=sentiment, max_len=max_len, cost=cost)
-    out = document_measures(sent, legacy_swap=legacy_swap, sentiment=sentiment)
-    if with_compression:
-        out = out.withColumn("compression_ratio", bz2_ratio("selected_text"))
-    else:
-        out = out.withColumn("compression_ratio", F.lit(None).cast("double"))
+    word, m = f"t.pos NOT IN {_sql_in(NON_WORD_POS)}", "coalesce(t.morph, '')"
+
+    def n(cond: str) -> str:
+        return f"CAST(size(filter(toks, t -> {cond})) AS BIGINT)"
+
+    verb = "t.pos = 'VERB'"
+    kept = "filter(s, t -> NOT t.is_punct AND t.pos <> 'SPACE')"
+    per_sentence = (f"transform(sents, s -> element_at(transform(array({kept}), k -> named_struct('n', size(s), 'nk', size(k), "
+                    "'dd', aggregate(k, CAST(0 AS BIGINT), (a, t) -> a + t.d), "
+                    "'root', array_min(transform(filter(k, t -> t.is_root), t -> t.i)), "
+                    "'start', array_min(transform(k, t -> t.i)))), 1))")
+    d = docs.selectExpr("doc_id", "flatten(sents) AS toks", f"{per_sentence} AS per",
+                        "transform(sents, s -> array_join(transform(s, t -> t.text), ' ')) AS texts")
+    counts = {
+        "n_words": n(word), "n_noun": n("t.pos = 'NOUN'"), "n_verb": n(verb), "n_adj": n("t.pos = 'ADJ'"), "n_adv": n("t.pos = 'ADV'"),
+        "n_nominal": n(f"t.pos IN {_sql_in(NOMINAL_POS)}"),
+        "n_voiced": n(f"{verb} AND (contains({m}, 'Voice=Act') OR contains({m}, 'Voice=Pass'))"),
+        "n_passive": n(f"{verb} AND contains({m}, 'Voice=Pass')"), "n_active": n(f"{verb} AND contains({m}, 'Voice=Act')"),
+        "n_past": n(f"{verb} AND contains({m}, 'Tense=Past')"), "n_present": n(f"{verb} AND contains({m}, 'Tense=Pres')"),
+        "n_prs": n(f"t.pos = 'PRON' AND contains({m}, 'PronType=Prs')"), "n_function": n(f"t.pos IN {_sql_in(FUNCTION_WORD_POS)}"),
+        "n_of": n(f"t.pos = 'ADP' AND lower(t.text) IN {_sql_in(of_words)}"),
+        "n_that": n(f"t.pos = 'SCONJ' AND lower(t.text) IN {_sql_in(that_words)}"),
+        "noun_lemmas": "size(array_distinct(transform(filter(toks, t -> t.pos = 'NOUN'), t -> t.lemma)))",
+        "verb_lemmas": f"size(array_distinct(transform(filter(toks, t -> {verb}), t -> t.lemma)))",
+        "word_chars": f"aggregate(filter(toks, t -> {word}), CAST(0 AS BIGINT), (a, t) -> a + length(t.text))",
+    }
+    valid = "filter(per, p -> p.nk > 0 AND p.root IS NOT NULL)"
+    d = d.selectExpr("doc_id", "per", "texts", "CAST(size(toks) AS BIGINT) AS n_tokens", *[f"{v} AS {k}" for k, v in counts.items()],
+                     f"transform(filter(toks, t -> {word}), t -> t.text) AS words",
+                     f"transform({valid}, p -> named_struct('m', p.dd / p.nk, 'far', p.root - p.start, 'nk', p.nk)) AS dist",
+                     *(["flatten(transform(texts, x -> " + _signed_chunk_scores_sql("x", max_len, cost) + ")) AS sentiment"] if sentiment else []))
+    own = [c for c in d.columns if c not in ("per", "dist")]
+    d = d.selectExpr(*own, "size(texts) AS n_sents", "transform(per, p -> CAST(p.n AS DOUBLE)) AS lens", "transform(dist, x -> x.m) AS mdds",
+                     "transform(filter(dist, x -> x.m > 0 AND x.far >= 0), x -> abs(ln(x.m / sqrt((x.far + 1) * x.nk)))) AS ndds")
+    d = d.selectExpr("*", f"{_mean_sql('mdds')} AS avg_mdd", f"{_mean_sql('ndds')} AS avg_ndd",
+                     *([f"CASE WHEN size(sentiment) > 1 THEN {_mean_sql('sentiment')} END AS sentiment_mean"] if sentiment else []))
+    act, pas = ("n_passive", "n_active") if legacy_swap else ("n_active", "n_passive")
+    measures = {
+        "nominal_verb_ratio": _ratio_sql("n_nominal + n_noun", "n_verb"), "msttr": _msttr_sql("words"),
+        "noun_ttr": _ratio_sql("noun_lemmas", "n_noun"), "verb_ttr": _ratio_sql("verb_lemmas", "n_verb"),
+        "personal_pronoun_ratio": _ratio_sql("n_prs", "n_tokens"), "function_word_ratio": _ratio_sql("n_function", "n_tokens"),
+        "of_ratio": _ratio_sql("n_of", "n_tokens"), "that_ratio": _ratio_sql("n_that", "n_tokens"),
+        "past_tense_ratio": f"CASE WHEN n_past > 0 THEN {_ratio_sql('n_past', 'n_verb')} END",
+        "present_tense_ratio": f"CASE WHEN n_present > 0 THEN {_ratio_sql('n_present', 'n_verb')} END",
+        "passive_ratio": _ratio_sql(pas, "n_voiced"), "active_ratio": _ratio_sql(act, "n_voiced"),
+        "adjective_adverb_ratio": _ratio_sql("n_adj + n_adv", "n_words"), "avg_wordlen": _ratio_sql("word_chars", "n_words"),
+        "avg_sentlen": _mean_sql("lens"), "num_sents": "CAST(n_sents AS BIGINT)", "avg_ndd": "avg_ndd", "std_ndd": _std_sql("ndds", "avg_ndd"),
+        "avg_mdd": "avg_mdd", "std_mdd": _std_sql("mdds", "avg_mdd"),
+        "selected_text": (f"array_join(CASE WHEN n_sents > {long_doc} THEN slice(texts, {skip + 1}, {take}) "
+                          f"ELSE slice(texts, 1, {take}) END, ' ')"),
+    }
+    if sentiment:
+        many = "CASE WHEN size(sentiment) > 1 THEN {} END"
+        measures |= {"sentiment": "sentiment", "sentiment_mean": "sentiment_mean",
+                     "sentiment_std": many.format(_std_sql("sentiment", "sentiment_mean")),
+                     "sentiment_abs": many.format("aggregate(sentiment, CAST(0.0 AS DOUBLE), (a, x) -> a + abs(x)) / size(sentiment)")}
+    # one struct through a generator: a filter on a measure stays above it, where it would else be pushed
+    # down as the whole expression, annotator included, once for each condition
+    row = ", ".join(f"'{k}', CASE WHEN n_sents > 0 THEN {v} END" for k, v in measures.items())
+    return d.selectExpr("doc_id", f"explode_outer(array(named_struct({row}))) AS m").selectExpr("doc_id", "m.*")
+
+
+def _table(docs: DataFrame, corpus: DataFrame | None, sentiment: bool, with_compression: bool, **options) -> DataFrame:
+    out = document_measures(docs, sentiment=sentiment, **options)
+    ratio = bz2_ratio("selected_text") if with_compression else F.lit(None).cast("double")
     cols = ["doc_id"] + MEASURES
     if sentiment:
         cols += ["sentiment", "sentiment_mean", "sentiment_std", "sentiment_abs"]
-    out = out.select(*cols)
+    out = out.withColumn("compression_ratio", ratio).select(*cols)
     if corpus is not None:
-        # from the corpus, so that a document without tokens keeps its row (measures null)
+        # from the corpus, so that each of its documents keeps its row (measures null without tokens)
         meta = corpus.select("doc_id", "group_id", "label")
         out = meta.join(out, "doc_id", "left").select(*cols, "group_id", "label")
     return out
+
+
+def stylistics_table(tokens: DataFrame, corpus: DataFrame | None = None, sentiment: bool = True,
+                     legacy_swap: bool = False, with_compression: bool = True,
+                     max_len: int = 512, cost: str = "subword") -> DataFrame:
+    """F23 from a token table: all measures per document, the sentiment series/summary and corpus metadata.
+
+    With ``corpus`` each of its documents has a row, also one without tokens.
+    """
+    return _table(documents_from_tokens(tokens), corpus, sentiment, with_compression, legacy_swap=legacy_swap, max_len=max_len, cost=cost)
+
+
+def stylistics_of(docs: DataFrame, corpus: DataFrame | None = None, sentiment: bool = True, legacy_swap: bool = False,
+                  with_compression: bool = True, max_len: int = 512, cost: str = "subword",
+                  num_partitions: int | None = None) -> DataFrame:
+    """F23 from (doc_id, lang, text) with the baseline annotator: one projection of the text, no exchange.
+
+    One row per document (measures null without tokens). ``num_partitions``: see ``documents_from_texts``.
+    """
+    return _table(documents_from_texts(docs, num_partitions=num_partitions), corpus, sentiment, with_compression,
+                  legacy_swap=legacy_swap, max_len=max_len, cost=cost)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, bow, cleaning, evaluation, models, splits, stylistics
+from ..operators import bow, cleaning, evaluation, models, splits, stylistics
 from ..session import materialize
 from ..sources import bindings
 
@@ -30,7 +30,8 @@ def _docs(spark, sf):
     return bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
 
 
-def feature_table(spark: SparkSession, sf: str, feature_set: str, ids: DataFrame, vocab_from: str = "all"):
+def feature_table(spark: SparkSession, sf: str, feature_set: str, ids: DataFrame, vocab_from: str = "all",
+                  num_partitions: int | None = None):
     """(doc_id, feature columns or vector) of the documents in ``ids`` + (featurizer, feature names).
 
     ``vocab_from="train"`` (MFW / TF-IDF only): the table holds the term arrays
@@ -42,8 +43,7 @@ def feature_table(spark: SparkSession, sf: str, feature_set: str, ids: DataFrame
     if vocab_from == "train" and kind in ("mfw", "tfidf"):
         return bow.doc_terms(own.select("doc_id", "text")), models.BowFeaturizer(kind, int(size)), None
     if feature_set == "stylistics":
-        t = stylistics.stylistics_table(annotate.token_table(own), corpus=own.select(
-            "doc_id", F.lit(None).cast("string").alias("group_id"), F.lit(None).cast("string").alias("label")))
+        t = stylistics.stylistics_of(own, num_partitions=num_partitions)
         names = list(models.CLASSIFY_STYLISTICS)
         return t.select("doc_id", *names), models.ColumnsFeaturizer(names), names
     if kind in ("mfw", "tfidf"):
@@ -74,7 +74,8 @@ def labelled_folds(corpus: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
 
 
 def classification_input(spark: SparkSession, sf: str, feature_set: str, min_words: int | None = None,
-                         k: int = 5, seed: int = 42, vocab_from: str = "all") -> tuple[DataFrame, object, list | None, list]:
+                         k: int = 5, seed: int = 42, vocab_from: str = "all",
+                         num_partitions: int | None = None) -> tuple[DataFrame, object, list | None, list]:
     corpus = bindings.corpus(spark, sf, with_text=min_words is not None)
     if min_words is not None:
         corpus = cleaning.filter_min_words(corpus, min_words, strict=False)
@@ -82,17 +83,17 @@ def classification_input(spark: SparkSession, sf: str, feature_set: str, min_wor
         valid = cleaning.valid_vectors(bindings.embeddings(spark, sf)).select("doc_id")
         corpus = corpus.join(valid, "doc_id", "left_semi")
     folded = materialize(labelled_folds(corpus, k, seed), f"folds-{feature_set}")
-    feats, featurizer, names = feature_table(spark, sf, feature_set, folded, vocab_from)
+    feats, featurizer, names = feature_table(spark, sf, feature_set, folded, vocab_from, num_partitions)
     data = materialize(feats.join(folded, "doc_id"), f"features-{feature_set}")
     classes = sorted(r[0] for r in folded.select("label").distinct().collect())  # bounded: classes
     return data, featurizer, names, classes
 
 
 def run_classification(spark: SparkSession, sf: str, feature_set: str, min_words: int | None = None,
-                       k: int = 5, vocab_from: str = "all", **forest_kw):
+                       k: int = 5, vocab_from: str = "all", num_partitions: int | None = None, **forest_kw):
     """Returns (predictions, cv summary, mean importances or None)."""
     data, featurizer, names, classes = classification_input(spark, sf, feature_set, min_words, k,
-                                                            vocab_from=vocab_from)
+                                                            vocab_from=vocab_from, num_partitions=num_partitions)
     preds, fitted = models.cross_validate(data, featurizer, classes, k=k, **forest_kw)
     summary = evaluation.cv_summary(preds)
     imp = models.mean_importances(spark, fitted, names) if names is not None and feature_set != "embeddings" else None

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, cleaning, stats, stylistics
+from ..operators import cleaning, stats, stylistics
 from ..sources import bindings
 
 # Features compared between classes (tense ratios, sentence count and MDD are left out).
@@ -25,26 +25,25 @@ ROW_OUTLIER_LIMITS = {"avg_sentlen": 100, "noun_ttr": 6}
 FEATURE_OUTLIER_LIMITS = {"nominal_verb_ratio": 12}
 
 
-def distribution_frame(spark: SparkSession, sf_dir: str, with_compression: bool = False) -> DataFrame:
+def distribution_frame(spark: SparkSession, sf_dir: str, with_compression: bool = False, num_partitions: int | None = None) -> DataFrame:
     """Labelled rows of the descriptive frame after the row-level outlier limits."""
-    df = descriptive_frame(spark, sf_dir, with_compression=with_compression)
+    df = descriptive_frame(spark, sf_dir, with_compression=with_compression, num_partitions=num_partitions)
     return cleaning.filter_outliers(df.where(F.col("label").isNotNull()), ROW_OUTLIER_LIMITS)
 
 
 def descriptive_frame(spark: SparkSession, sf_dir: str, with_compression: bool = True,
-                      min_words: int = 100) -> DataFrame:
+                      min_words: int = 100, num_partitions: int | None = None) -> DataFrame:
     """Stylistics joined with label and word count, restricted to texts with > ``min_words`` words."""
     docs = bindings.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     corpus = bindings.corpus(spark, sf_dir, with_text=False)
-    styl = stylistics.stylistics_table(annotate.token_table(docs), corpus=corpus,
-                                       with_compression=with_compression)
+    styl = stylistics.stylistics_of(docs, corpus=corpus, with_compression=with_compression, num_partitions=num_partitions)
     lengths = cleaning.with_word_count(docs.select("doc_id", "text"), null_as_text=True).select("doc_id", "n_words")
     return styl.join(lengths, "doc_id").where(F.col("n_words") > min_words)
 
 
-def class_comparison_report(spark: SparkSession, sf_dir: str, classes=("a", "b")) -> DataFrame:
+def class_comparison_report(spark: SparkSession, sf_dir: str, classes=("a", "b"), num_partitions: int | None = None) -> DataFrame:
     """(feature, n_a, mean_a, std_a, n_b, mean_b, std_b, t_stat, df, p_value)."""
-    df = descriptive_frame(spark, sf_dir)
+    df = descriptive_frame(spark, sf_dir, num_partitions=num_partitions)
     feats = DESC_FEATURES + ["compression_ratio"]
     tt = stats.t_test_p_values(stats.pooled_t_test(stats.feature_stats_by_class(df, feats, classes=classes)))
     return tt.select("feature", "n_a", "mean_a", "std_a", "n_b", "mean_b", "std_b", "t_stat", "df", "p_value")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import annotate, bow, cleaning, joins, stats, stylistics
+from ..operators import bow, cleaning, joins, stats, stylistics
 from ..session import materialize
 from ..sources import bindings, io
 
@@ -25,11 +25,11 @@ def bow_features(docs: DataFrame, mfw_sizes=(100, 500), tfidf_n: int = 5000) ->
     return out
 
 
-def stylistics_features(spark: SparkSession, sf: str, with_compression: bool = True) -> DataFrame:
+def stylistics_features(spark: SparkSession, sf: str, with_compression: bool = True, num_partitions: int | None = None) -> DataFrame:
     """The stylistics table of all documents, with label and group."""
     docs = bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
-    return stylistics.stylistics_table(annotate.token_table(docs), corpus=bindings.corpus(spark, sf, with_text=False),
-                                       with_compression=with_compression)
+    return stylistics.stylistics_of(docs, corpus=bindings.corpus(spark, sf, with_text=False),
+                                    with_compression=with_compression, num_partitions=num_partitions)
 
 
 def feature_profile(table: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def feature_profile(table: DataFrame) -> DataFrame:
     return stats.describe_numeric(t, cols).join(missing, "feature")
 
 
-def build_feature_tables(spark: SparkSession, sf: str, out_dir: str) -> dict[str, str]:
+def build_feature_tables(spark: SparkSession, sf: str, out_dir: str, num_partitions: int | None = None) -> dict[str, str]:
     """Write every feature table as parquet under ``out_dir``; returns {name: path}."""
     docs = bindings.table(spark, sf, "documents")
     corpus = bindings.corpus(spark, sf, with_text=False)
@@ -51,7 +51,7 @@ def build_feature_tables(spark: SparkSession, sf: str, out_dir: str) -> dict[str
         joins.attach_metadata(df, corpus).write.mode("overwrite").parquet(p)
         paths[name] = p
     paths["stylistics"] = f"{out_dir.rstrip('/')}/stylistics"
-    stylistics_features(spark, sf).write.mode("overwrite").parquet(paths["stylistics"])
+    stylistics_features(spark, sf, num_partitions=num_partitions).write.mode("overwrite").parquet(paths["stylistics"])
     paths["profile"] = f"{out_dir.rstrip('/')}/profile"
     feature_profile(spark.read.parquet(paths["stylistics"])).write.mode("overwrite").parquet(paths["profile"])
     embs = joins.label_embeddings_left(cleaning.valid_vectors(bindings.embeddings(spark, sf)), corpus)

@@ -389,7 +389,7 @@ STYLISTICS_TABLE_SQL = f"""{_S}, {CORPUS_CTE}
 SELECT c.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents, c.group_id, c.label
 FROM corpus c LEFT JOIN styl s ON s.doc_id = c.doc_id LEFT JOIN summ ON summ.doc_id = c.doc_id
 """
-ORACLE["stylistics_table"] = STYLISTICS_TABLE_SQL
+ORACLE["stylistics_table"] = ORACLE["stylistics_table_from_tokens"] = STYLISTICS_TABLE_SQL
 
 
 # --------------------------------------------------------------------------

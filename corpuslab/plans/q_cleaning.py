@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import annotate, bow, cleaning as cl, joins as jn, stylistics as st
+from ..operators import bow, cleaning as cl, joins as jn, stylistics as st
 from ..sources import bindings
-from .registry import finish, register
+from .registry import finish, parallelism, register
 
 
 def _corpus(spark, sf, with_text=True):
@@ -104,8 +104,8 @@ def q_fill_surrogate_group(spark, sf):
 @register("filter_outliers")
 def q_filter_outliers(spark, sf):
     """Sentence length < 100, noun TTR < 6, nominal/verb ratio < 12 on the stylistics table."""
-    tok = annotate.token_table(bindings.table(spark, sf, "documents").select("doc_id", "lang", "text"))
-    styl = st.stylistics_table(tok, sentiment=False, with_compression=False)
+    styl = st.stylistics_of(bindings.table(spark, sf, "documents"), sentiment=False, with_compression=False,
+                            num_partitions=parallelism(spark))
     return finish(cl.filter_outliers(styl, {"avg_sentlen": 100, "noun_ttr": 6, "nominal_verb_ratio": 12})
                   .select("doc_id"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import models
 from .classification import classification_input, run_classification
 from .clustering import run_clustering, run_projection
-from .registry import finish, register
+from .registry import finish, parallelism, register
 
 
 @register("feature_vector")
@@ -21,7 +21,7 @@ def q_feature_vector(spark, sf):
 
     (The compression ratio has no SQL form and is left out of the list.)
     """
-    data, featurizer, names, _ = classification_input(spark, sf, "stylistics")
+    data, featurizer, names, _ = classification_input(spark, sf, "stylistics", num_partitions=parallelism(spark))
     v = featurizer.fit(data)(data)
     cells = v.select("doc_id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
     feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("pos"))
@@ -31,7 +31,7 @@ def q_feature_vector(spark, sf):
 @register("train_forest")
 def q_train_forest(spark, sf):
     """M2: one forest on all balanced stylistic rows; for each row, whether it predicts one of the classes."""
-    data, featurizer, _names, classes = classification_input(spark, sf, "stylistics")
+    data, featurizer, _names, classes = classification_input(spark, sf, "stylistics", num_partitions=parallelism(spark))
     d = data.withColumn("_y", models.label_index("label", classes))
     v = featurizer.fit(d)(d)
     m = models.train_forest(v)
@@ -42,14 +42,14 @@ def q_train_forest(spark, sf):
 @register("cross_validate")
 def q_cross_validate(spark, sf):
     """M3: five-fold predictions on the stylistic features: fold and label of each document, and a known class."""
-    preds, _summary, _imp = run_classification(spark, sf, "stylistics")
+    preds, _summary, _imp = run_classification(spark, sf, "stylistics", num_partitions=parallelism(spark))
     return finish(preds.select("fold", "doc_id", "label", F.col("prediction").isin("a", "b").alias("known_class")))
 
 
 @register("mean_importances")
 def q_mean_importances(spark, sf):
     """M4: mean importances over folds (stylistic features): how many, their sum, none negative."""
-    _p, _s, imp = run_classification(spark, sf, "stylistics")
+    _p, _s, imp = run_classification(spark, sf, "stylistics", num_partitions=parallelism(spark))
     return finish(imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"),
                           (F.min("importance") >= 0).alias("none_negative")))
 
@@ -83,7 +83,7 @@ def q_cluster_scores(spark, sf):
 
 def _classify(feature_set, min_words=None, vocab_from="all"):
     def fn(spark, sf):
-        s = run_classification(spark, sf, feature_set, min_words, vocab_from=vocab_from)[1]
+        s = run_classification(spark, sf, feature_set, min_words, vocab_from=vocab_from, num_partitions=parallelism(spark))[1]
         return finish(s.select("metric", "class", "n_folds",
                                (F.col("mean").between(0, 1) & F.col("std").between(0, 0.5)).alias("in_bounds")))
     fn.__doc__ = (f"E-2 job: CV summary for {feature_set}" + (f", >= {min_words} words" if min_words else "")
@@ -106,7 +106,7 @@ def q_feature_tables(spark, sf):
     from ..session import scratch_path
     from .features import build_feature_tables
 
-    paths = build_feature_tables(spark, sf, scratch_path(spark, "features"))
+    paths = build_feature_tables(spark, sf, scratch_path(spark, "features"), num_partitions=parallelism(spark))
     value = {"mfw_100": "rel_freq", "mfw_500": "rel_freq", "tfidf_5000": "weight", "stylistics": "msttr", "embeddings": "embedding[0]"}
     out = None
     for name, v in sorted(value.items()):
@@ -121,7 +121,7 @@ def q_feature_profile(spark, sf):
     """E-1 job: the profile of the stylistics table (D8 and P17 per column)."""
     from .features import feature_profile, stylistics_features
 
-    return finish(feature_profile(stylistics_features(spark, sf, with_compression=False)))
+    return finish(feature_profile(stylistics_features(spark, sf, with_compression=False, num_partitions=parallelism(spark))))
 
 
 @register("class_comparison")
@@ -132,4 +132,4 @@ def q_class_comparison(spark, sf):
     """
     from .descriptives import class_comparison_report
 
-    return finish(class_comparison_report(spark, sf).where("feature <> 'compression_ratio'"))
+    return finish(class_comparison_report(spark, sf, num_partitions=parallelism(spark)).where("feature <> 'compression_ratio'"))

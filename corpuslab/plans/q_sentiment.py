@@ -8,7 +8,7 @@ from ..functions.text import normalize_sentiment_label
 from ..operators import sentiment as sn, stylistics as st
 from ..sources import bindings
 from .q_stylistics import tokens
-from .registry import finish, register
+from .registry import finish, parallelism, register
 
 
 def _sentences(spark, sf):
@@ -71,6 +71,13 @@ def q_sentiment_summary(spark, sf):
     return finish(s.select("doc_id", "n_scores", "sentiment_mean", "sentiment_std", "sentiment_abs"))
 
 
+@register("stylistics_table_from_tokens")
+def q_stylistics_table_from_tokens(spark, sf):
+    """F23 from a token table (as an external annotator gives it)."""
+    t = st.stylistics_table(tokens(spark, sf), corpus=bindings.corpus(spark, sf, with_text=False), with_compression=False)
+    return finish(t.drop("sentiment", "compression_ratio"))
+
+
 @register("stylistics_table")
 def q_stylistics_table(spark, sf):
     """all SQL-checkable measures + sentiment summary + corpus group and label.
@@ -78,5 +85,6 @@ def q_stylistics_table(spark, sf):
     (The compression ratio is checked by its own query; the series by N6.)
     """
     corpus = bindings.corpus(spark, sf, with_text=False)
-    t = st.stylistics_table(tokens(spark, sf), corpus=corpus, with_compression=False)
+    docs = bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
+    t = st.stylistics_of(docs, corpus=corpus, with_compression=False, num_partitions=parallelism(spark))
     return finish(t.drop("sentiment", "compression_ratio"))

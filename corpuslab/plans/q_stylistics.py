@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, stylistics as st
 from ..sources.bindings import table
-from .registry import finish, register
+from .registry import finish, parallelism, register
 
 
 def tokens(spark, sf):
@@ -70,5 +70,5 @@ def q_compression_ratio(spark, sf):
 @register("compression_ratio_fused")
 def q_compression_ratio_fused(spark, sf):
     """F21 through the one-pass stylistics table (its value must equal ``compression_ratio``: pytest)."""
-    t = st.stylistics_table(tokens(spark, sf), sentiment=False)
+    t = st.stylistics_of(table(spark, sf, "documents"), sentiment=False, num_partitions=parallelism(spark))
     return finish(t.select("doc_id", (F.col("compression_ratio") > 0).alias("has_ratio")))

@@ -41,6 +41,11 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Tasks to deal a test table out to: its one row group would else be annotated by one task."""
+    return spark.sparkContext.defaultParallelism
+
+
 def load_all() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Import every query module (registration happens at import)."""
     from . import (q_annotation, q_bow, q_cleaning, q_evaluation, q_models,  # noqa: F401

@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..operators import annotate, stylistics
+from ..operators import stylistics
 
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()),
@@ -43,8 +43,7 @@ def document_stream(spark: SparkSession, source_dir: str, glob: str | None = Non
 
 def featurize_batch(batch: DataFrame, with_compression: bool = True) -> DataFrame:
     """The batch operators applied to one micro-batch of documents."""
-    tokens = annotate.token_table(batch.select("doc_id", "lang", "text"))
-    return stylistics.stylistics_table(tokens, with_compression=with_compression)
+    return stylistics.stylistics_of(batch.select("doc_id", "lang", "text"), with_compression=with_compression)
 
 
 def stream_checkpoint(spark: SparkSession, source_dir: str, sink_dir: str, glob: str | None = None) -> str:

@@ -83,6 +83,27 @@ def test_stylistics_plan_has_single_exchange(spark, sf):
     assert plan.count("Exchange") == 1, plan  # only the doc_id repartition before annotation
 
 
+def test_stylistics_of_texts_has_no_exchange_and_equals_the_token_path(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    direct = st.stylistics_of(docs, with_compression=False)
+    assert "Exchange" not in direct._jdf.queryExecution().executedPlan().toString()
+    cols = [c for c in direct.columns if c != "sentiment"]
+    a = {r["doc_id"]: r for r in direct.select(cols).collect()}
+    b = {r["doc_id"]: r for r in st.stylistics_table(annotate.token_table(docs), with_compression=False).select(cols).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert [x is None for x in a[k]] == [x is None for x in b[k]]
+        assert [x for x in a[k] if x is not None] == pytest.approx([x for x in b[k] if x is not None], rel=1e-9, abs=1e-12)
+
+
+def test_filters_on_measures_do_not_repeat_the_annotator(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text")
+    plain = st.stylistics_of(docs, with_compression=False)
+    some = plain.where("avg_sentlen < 100 AND noun_ttr < 6 AND msttr > 0")
+    size = [d._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all(text") for d in (plain, some)]
+    assert size[0] == size[1] == 1
+
+
 def test_annotate_hook_keeps_the_id_type(spark):
     from corpuslab.plans.q_annotation import whitespace_annotator
 
