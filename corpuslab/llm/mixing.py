@@ -32,6 +32,8 @@ from .common import NOT_WS, WS, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SHARDS, SEED = 1.5, 2.0, 16, 7
+#: Per-source tables of up to so many numbers are broadcast (8 MB).
+BROADCAST_VALUES = 1_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -120,7 +122,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rest = [q - p * r["s"] for q, p, r in zip(quota, passes, rows)]
 
     # the number of blocks that the last, partial pass draws from each source
-    left = spark.createDataFrame([(r["_x_src"], int(x)) for r, x in zip(rows, rest)], "_x_src string, _x_rest long")
+    small = len(rows) * (shards + 8) <= BROADCAST_VALUES  # else a join that Spark may split
+    sent = F.broadcast if small else (lambda d: d)
+    left = sent(spark.createDataFrame([(r["_x_src"], int(x)) for r, x in zip(rows, rest)], "_x_src string, _x_rest long"))
     drawn = _running(slim, prefix).join(left, "_x_src").where(F.col("_x_before") < F.col("_x_rest"))
     partial = {r["_x_src"]: r["k"] for r in drawn.groupBy("_x_src").agg(F.count(F.lit(1)).alias("k")).collect()}
 
@@ -132,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         "_x_src string, source_size long, target double, passes long, _x_rest long, _x_n long, _x_ends array<long>")
     kept = ["_x_row"] if carry else []
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_x_row")
-    d = _running(docs.select(F.col(id_col), row, *own) if carry else slim, prefix).join(per_source, "_x_src")
+    d = _running(docs.select(F.col(id_col), row, *own) if carry else slim, prefix).join(sent(per_source), "_x_src")
     d = d.withColumns({
         "cut": F.greatest(F.lit(0), F.least(F.col("size"), F.col("_x_rest") - F.col("_x_before"))),
         "_x_copies": F.col("passes") + (F.col("_x_before") < F.col("_x_rest")).cast("long")})
