@@ -19,7 +19,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from corpuslab.session import local_session  # noqa: E402
+from corpuslab.session import drop_stage_tables, local_session  # noqa: E402
 
 
 def force(df) -> None:
@@ -84,6 +84,7 @@ def main() -> None:
     sf = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "total_time", "value": total, "unit": "sec", "queries": res,
                       "sf": float(sf.group(1)) if sf else sf_dir, "cpus": cpus}))
+    drop_stage_tables(spark)
     spark.stop()
 
 

@@ -71,7 +71,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written stage tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    _STAGE_TABLES.append(path)
+    return path
+
+
+#: Folders of the stage tables that this driver has written, until ``drop_stage_tables``.
+_STAGE_TABLES: list[str] = []
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete the stage tables written so far (through the file system that holds them); how many went.
+
+    For the end of a job: DataFrames that still read them can't be used any more.
+    """
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _STAGE_TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGE_TABLES.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def sf_path(sf_dir: str, table: str) -> str:

@@ -137,3 +137,13 @@ def test_stream_checkpoints_differ_by_source_and_sink():
     Session.conf = {}
     with pytest.raises(ValueError):
         incremental.stream_checkpoint(Session(), "s", "t")
+
+
+def test_stage_tables_can_be_dropped(spark):
+    from corpuslab import session
+
+    t = session.materialize(spark.range(5), "stage")
+    path = session._STAGE_TABLES[-1].replace("file:", "")
+    assert t.count() == 5 and os.path.isdir(path)
+    assert session.drop_stage_tables(spark) >= 1
+    assert not os.path.exists(path) and session._STAGE_TABLES == []
