@@ -37,11 +37,6 @@ ANNOTATION_RECODE = {
 # Codes removed before recoding (not available / mixed / unsure).
 UNUSABLE_CODES = ("NA", "mixed", "usikker")
 
-# Reference-language word tests: ADP "af" counts as of-like, SCONJ "at" as that-like.
-# We extend both per language of the test corpus (en, fr, de, es); see below.
-REFERENCE_OF_WORDS = ("af",)
-REFERENCE_THAT_WORDS = ("at",)
-
 # Universal POS groups used by the stylistic measures.
 NON_WORD_POS = ("PUNCT", "SPACE", "NUM")
 NOMINAL_POS = ("PROPN", "ADJ")
@@ -51,7 +46,8 @@ FUNCTION_WORD_POS = ("ADP", "CCONJ", "SCONJ", "AUX", "PART")
 # Our own baseline annotator tables.
 # ---------------------------------------------------------------------------
 
-# "of"-like and "that"-like surface forms per language (reference language first).
+# "of"-like and "that"-like surface forms: Danish, English, French/Spanish, German (
+# the Danish ones, ADP "af" and SCONJ "at", are those of the reference). The part of speech is tested too.
 OF_WORDS = ("af", "of", "de", "von")
 THAT_WORDS = ("at", "that", "que", "dass")
 
