@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,20 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
+    """Arrow batches of at most so many rows and bytes for the jobs run inside, to bound buffers outside the heap."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` text bytes (at least one row each), to bound a task's memory."""
     for batch in batches:
@@ -54,3 +69,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20)
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()

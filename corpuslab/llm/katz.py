@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import by_bytes, is_held_out, texts_of
+from .common import by_bytes, is_held_out, small_batches, texts_of
 from .words import BASE, U, Words, mix
 
-VOCABULARY, HOT, CUTOFF, CHUNK = 1 << 19, 256, 5, 1_000_000
+VOCABULARY, HOT, CUTOFF, CHUNK, ROW = 1 << 19, 256, 5, 1_000_000, 250_000
 END = mix(np.array([3], np.uint64) * BASE).view(np.int64)[0]
 #: Counts are grouped exactly up to this and by sixteenths of a power of 2 above, to place the vocabulary's limit.
 _EXACT = 1000
@@ -242,7 +242,10 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """All chunks of a bucket merged: distinct pairs, their training counts, occurrences, and the texts of these."""
+    """All chunks of a bucket merged: distinct pairs, their training counts, occurrences, and the texts of these.
+
+    A row holds about ``ROW`` occurrences, and all those of a pair.
+    """
     bucket = t.column("bucket")[0].as_py()
     rows = t.to_pylist()
     pair = np.concatenate([_unplanes(r["pairs"], np.int64) for r in rows])
@@ -250,7 +253,7 @@ def _counted(t: pa.Table) -> pa.Table:
         c = np.concatenate([_unplanes(r["counts"], np.int64) for r in rows])
         word, place = np.unique(pair, return_inverse=True)
         total = np.bincount(place, c, word.size).astype(np.int64)
-        cols = [_planes(word), _planes(total), b"", b"", b""]
+        out = [(_planes(word), _planes(total), b"", b"", b"")]
     else:
         doc, at = [], 0
         for r in rows:
@@ -262,9 +265,14 @@ def _counted(t: pa.Table) -> pa.Table:
         pair, doc = pair[order], doc[order]
         cut = np.flatnonzero(np.diff(pair, prepend=-1))
         c = np.add.reduceat(train[doc].astype(np.int64), cut) if cut.size else np.empty(0, np.int64)
-        times = np.diff(np.append(cut, pair.size)).astype(np.int32)
-        cols = [_planes(pair[cut]), _planes(c), _planes(times), _planes(doc), keys]
-    return pa.table({k: pa.array([x], pa.binary()) for k, x in zip(["pairs", "counts", "times", "docs", "keys"], cols)})
+        end = np.append(cut, pair.size)
+        key, out = np.frombuffer(keys, np.int64), []
+        edges = np.unique(np.searchsorted(end, np.arange(0, pair.size, ROW)))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), cut.size]):
+            own, place = np.unique(doc[end[a]:end[b]], return_inverse=True)
+            out.append((_planes(pair[cut[a:b]]), _planes(c[a:b]), _planes(np.diff(end[a:b + 1]).astype(np.int32)),
+                        _planes(place.astype(np.uint32)), key[own].tobytes()))
+    return pa.table({k: pa.array([r[i] for r in out], pa.binary()) for i, k in enumerate(["pairs", "counts", "times", "docs", "keys"])})
 
 
 def _by_history(u: Unigrams, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -396,25 +404,32 @@ def _gains(bigrams: DataFrame, model) -> DataFrame:
     return bigrams.where(F.length("docs") > 0).mapInArrow(run, "_x_key long, gain double")
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
-          vocabulary: int = VOCABULARY) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows not held out are learned from."""
-    held = is_held_out(id_col, 1) if held_out is None else F.coalesce(held_out, F.lit(False))
-    # texts are told apart by a hash of id and text; sums of rows that share it are divided by their number
-    d = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("_x_text"),
-                    F.xxhash64(F.col(id_col), F.col(text_col)).alias("_x_key"))
-    spark = docs.sparkSession
+def _tables(d: DataFrame, id_col: str, vocabulary: int) -> tuple[DataFrame, Unigrams, DataFrame, DataFrame]:
+    """The written tables: unigrams, sums per text, gains per text of the bigrams that aren't counted ahead."""
+    spark = d.sparkSession
     words = materialize(_count_words(d), "katz-unigrams")
     u = unigrams(words, min(vocabulary, (1 << 20) - 2))
     shared = spark.sparkContext.broadcast(u)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(width, -(-u.n // CHUNK))
-    entries = _entries(d, shared, buckets)
+    entries = _entries(d, shared, max(width, -(-u.n // CHUNK)))
     bigrams = entries.groupBy("bucket").applyInArrow(_counted, "pairs binary, counts binary, times binary, docs binary, keys binary")
     bigrams = materialize(bigrams, "katz-bigrams")
     model = spark.sparkContext.broadcast((u, backoff(bigrams, u, shared)))
     texts = materialize(_text_sums(d, id_col, model), "katz-texts")
+    gains = materialize(_gains(bigrams, model).groupBy("_x_key").agg(F.sum("gain").alias("gain")), "katz-gains")
+    return words, u, texts, gains
 
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
+          vocabulary: int = VOCABULARY) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows not held out are learned from."""
+    held = is_held_out(id_col, 1) if held_out is None else F.coalesce(held_out, F.lit(False))
+    # texts are told apart by a hash of id and text; sums of rows that share it are divided by their number
+    d = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("_x_text"),
+                    F.xxhash64(F.col(id_col), F.col(text_col)).alias("_x_key"))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        words, u, texts, gains = _tables(d, id_col, vocabulary)
     rest = texts.select("_x_key", F.explode("rest").alias("word")).groupBy("_x_key", "word").agg(F.count(F.lit(1)).alias("k"))
     c = F.coalesce("c", F.lit(0))
     low = F.element_at(F.array(*[F.lit(float(x)) for x in u.discounts.values[1:]]), F.least(F.greatest(c, F.lit(1)), F.lit(CUTOFF)).cast("int"))
@@ -424,7 +439,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
         "_x_key", F.lit(0).cast("long").alias("m"), F.when(c > 0, F.col("k")).otherwise(0).cast("long").alias("known2"),
         (F.col("k") * log_base).alias("base2"), (F.col("k") * log_p1).alias("value2"))
     one = texts.select("_x_key", F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), F.lit(0.0).alias("value2"))
-    gains = _gains(bigrams, model).select("_x_key", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), F.col("gain").alias("value2"))
+    gains = gains.select("_x_key", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), F.col("gain").alias("value2"))
     sums = one.unionByName(rest).unionByName(gains).groupBy("_x_key").agg(*[F.sum(k).alias(k) for k in ("m", "known2", "base2", "value2")])
     return texts.drop("rest").join(sums, "_x_key").select(
         F.col(id_col), "held_out", "n_tokens", (F.col("known") + (F.col("known2") / F.col("m")).cast("long")).alias("n_known"),
