@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -45,6 +46,14 @@ def texts_of(column: pa.Array) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker stays for later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m"):
     """Arrow batches of at most so many rows and bytes for the jobs run inside, to bound buffers outside the heap."""
@@ -69,4 +78,4 @@ def by_bytes(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20)
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()
+    release()

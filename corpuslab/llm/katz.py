@@ -38,10 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import by_bytes, is_held_out, small_batches, texts_of
+from .common import by_bytes, is_held_out, release, small_batches, texts_of
 from .words import BASE, U, Words, mix
 
-VOCABULARY, HOT, CUTOFF, CHUNK, ROW = 1 << 19, 256, 5, 1_000_000, 250_000
+VOCABULARY, HOT, CUTOFF, CHUNK, ROW = 1 << 19, 256, 5, 500_000, 250_000
 END = mix(np.array([3], np.uint64) * BASE).view(np.int64)[0]
 #: Counts are grouped exactly up to this and by sixteenths of a power of 2 above, to place the vocabulary's limit.
 _EXACT = 1000
@@ -237,6 +237,7 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
                     held, size, texts = [], 0, 0
         if held:
             yield from out()
+        release()
 
     return docs.select("_x_key", "held_out", "_x_text").mapInArrow(run, _ENTRIES)
 
@@ -393,12 +394,13 @@ def _gains(bigrams: DataFrame, model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, m = model.value
         for b in batches:
-            for r in b.to_pylist():
+            for r in b.to_pylist():  # a row at a time: its arrays go before the next one's come
                 pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
                 gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
                 keys = np.frombuffer(r["keys"], np.int64)
                 total = np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)
                 key, place = np.unique(keys, return_inverse=True)
+                del pair, c, gain
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, total, key.size))], names=["_x_key", "gain"])
 
     return bigrams.where(F.length("docs") > 0).mapInArrow(run, "_x_key long, gain double")
