@@ -388,22 +388,50 @@ def _text_sums(docs: DataFrame, id_col: str, model) -> DataFrame:
     return docs.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, _x_key long, n_tokens long, known long, base double, value double, rest array<long>")
 
 
-def _gains(bigrams: DataFrame, model) -> DataFrame:
-    """(_x_key, gain): sums over the seen bigrams of texts, of those that aren't counted ahead."""
+def _gains(bigrams: DataFrame, model, parts: int) -> DataFrame:
+    """(_x_key, gain): sums over the seen bigrams of texts, of those that aren't counted ahead.
+
+    A task adds up what its rows give to each text, and sends the sums as arrays, one for each of ``parts``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, m = model.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([g for _, g in held]), key.size)
+            part = (mix(key.view(np.uint64)) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            key, total, part = key[order], total[order], part[order]
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            spans = list(zip(cut.tolist(), [*cut[1:].tolist(), key.size]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[cut], pa.int64()), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()),
+                 pa.array([total[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "gains"])
+
         for b in batches:
             for r in b.to_pylist():  # a row at a time: its arrays go before the next one's come
                 pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
                 gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
                 keys = np.frombuffer(r["keys"], np.int64)
-                total = np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)
-                key, place = np.unique(keys, return_inverse=True)
-                del pair, c, gain
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, total, key.size))], names=["_x_key", "gain"])
+                held.append((keys, np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)))
+                size += keys.size
+                if size >= 2 * CHUNK:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+        release()
+
+    def add(t: pa.Table) -> pa.Table:
+        key, gain = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", np.int64), ("gains", np.float64)))
+        own, place = np.unique(key, return_inverse=True)
+        return pa.table({"_x_key": pa.array(own), "gain": pa.array(np.bincount(place, gain, own.size))})
 
-    return bigrams.where(F.length("docs") > 0).mapInArrow(run, "_x_key long, gain double")
+    sums = bigrams.where(F.length("docs") > 0).mapInArrow(run, "part long, keys binary, gains binary")
+    return sums.groupBy("part").applyInArrow(add, "_x_key long, gain double")
 
 
 def _tables(d: DataFrame, id_col: str, vocabulary: int) -> tuple[DataFrame, Unigrams, DataFrame, DataFrame]:
@@ -413,12 +441,12 @@ def _tables(d: DataFrame, id_col: str, vocabulary: int) -> tuple[DataFrame, Unig
     u = unigrams(words, min(vocabulary, (1 << 20) - 2))
     shared = spark.sparkContext.broadcast(u)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = _entries(d, shared, max(width, -(-u.n // CHUNK)))
+    entries = _entries(d, shared, width)  # buckets: as many as the session's shuffle partitions
     bigrams = entries.groupBy("bucket").applyInArrow(_counted, "pairs binary, counts binary, times binary, docs binary, keys binary")
     bigrams = materialize(bigrams, "katz-bigrams")
     model = spark.sparkContext.broadcast((u, backoff(bigrams, u, shared)))
     texts = materialize(_text_sums(d, id_col, model), "katz-texts")
-    gains = materialize(_gains(bigrams, model).groupBy("_x_key").agg(F.sum("gain").alias("gain")), "katz-gains")
+    gains = materialize(_gains(bigrams, model, width), "katz-gains")
     return words, u, texts, gains
 
 
