@@ -84,7 +84,8 @@ def classification_input(spark: SparkSession, sf: str, feature_set: str, min_wor
         corpus = corpus.join(valid, "doc_id", "left_semi")
     folded = materialize(labelled_folds(corpus, k, seed), f"folds-{feature_set}")
     feats, featurizer, names = feature_table(spark, sf, feature_set, folded, vocab_from, num_partitions)
-    data = materialize(feats.join(folded, "doc_id"), f"features-{feature_set}")
+    # the adaptive planner sizes the partitions that the fits then read again and again
+    data = materialize(feats.join(folded, "doc_id").hint("rebalance"), f"features-{feature_set}")
     classes = sorted(r[0] for r in folded.select("label").distinct().collect())  # bounded: classes
     return data, featurizer, names, classes
 
