@@ -441,7 +441,7 @@ def _tables(d: DataFrame, id_col: str, vocabulary: int) -> tuple[DataFrame, Unig
     u = unigrams(words, min(vocabulary, (1 << 20) - 2))
     shared = spark.sparkContext.broadcast(u)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = _entries(d, shared, width)  # buckets: as many as the session's shuffle partitions
+    entries = _entries(d, shared, max(width, -(-u.n // CHUNK)))  # a bucket holds about CHUNK tokens
     bigrams = entries.groupBy("bucket").applyInArrow(_counted, "pairs binary, counts binary, times binary, docs binary, keys binary")
     bigrams = materialize(bigrams, "katz-bigrams")
     model = spark.sparkContext.broadcast((u, backoff(bigrams, u, shared)))
