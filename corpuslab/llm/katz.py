@@ -5,22 +5,25 @@ before, or the start. Counts come from all training texts.
 
 * Unigrams: counts c of V types, N tokens. P1(w) = d(c) c / N; what discounting leaves goes to
   one further type, the unknown word. These V + 1 types sum to 1.
-* Bigrams of words among the ``VOCABULARY`` most frequent ones (about: those above a count that
-  at most so many words reach; the bound of what is broadcast): P(w | h) = d(c) c / c(h). All else
+* Bigrams of all words: P(w | h) = d(c) c / c(h). All else
   backs off: P(w | h) = a(h) P1(w), where a(h) is what the seen words leave of 1, over what they leave of P1, so that
   each history sums to 1 exactly. A history whose counts are all undiscounted gets 1 added to
-  its total, to leave something. A history outside the vocabulary, or one never seen, has a = 1.
+  its total, to leave something. A history never seen has a = 1. (``vocabulary``, if given, keeps
+  the bigrams to the words above a count that at most so many words reach; others have a = 1.)
 * d(r) for r <= ``CUTOFF`` is the Good-Turing discount in Katz's form from the counts of counts; where these
   give no value between 0 and 1, r - 1/2 over r is taken.
 
 Evaluation is recursive: every token first gets log a(h) + log P1(w); those whose bigram
 was seen gain the difference to log P(w | h).
 
-Work is laid out for shuffles: words are 64-bit hashes; frequent words (the vocabulary) are looked up in a
-broadcast table, the rest join the unigram table; pairs of two of the ``HOT`` most frequent words are counted
-ahead of the shuffle and broadcast. All other bigrams move once, as sorted arrays of
+Work is laid out for shuffles: words are 64-bit hashes; about the ``HEAD`` most frequent words are looked up in a
+broadcast table; pairs of two of the ``HOT`` most frequent words are counted
+ahead of the shuffle and broadcast. All other bigrams of two words of the table move once, as sorted arrays of
 pairs and texts per bucket (one row for each bucket and about ``CHUNK`` tokens), and are
 written with their counts to the shared folder, which the discount, backoff and scoring jobs read.
+Occurrences of all other words move once too, by a hash of the word and with their neighbours: a
+bucket then holds all of a rare word's counts, the bigrams it begins and those it ends after a word of the table. Where
+the next word is rare as well, its count comes by a join with the unigram table.
 
 Defined cases: null text is empty: its one token is the end; without training texts N = V = 0,
 base and score give the unknown type probability 1; repeated rows count and score each on its own; a null id is not held
@@ -41,9 +44,9 @@ from ..session import materialize
 from .common import by_bytes, is_held_out, release, small_batches, texts_of
 from .words import BASE, U, Words, mix
 
-VOCABULARY, HOT, CUTOFF, CHUNK, ROW = 1 << 19, 256, 5, 500_000, 250_000
+HEAD, HOT, CUTOFF, CHUNK, ROW = 1 << 19, 256, 5, 500_000, 250_000
 END = mix(np.array([3], np.uint64) * BASE).view(np.int64)[0]
-#: Counts are grouped exactly up to this and by sixteenths of a power of 2 above, to place the vocabulary's limit.
+#: Counts are grouped exactly up to this and by sixteenths of a power of 2 above, to place the table's limit.
 _EXACT = 1000
 
 
@@ -68,10 +71,11 @@ class Discounts:
 
 @dataclass
 class Unigrams:
-    """What every task needs to know: totals, and the vocabulary by falling count (code 0 is the most frequent)."""
+    """What every task needs to know: totals, and the frequent words by falling count (code 0 is the most frequent)."""
 
     n: int
     v: int
+    texts: int  # training texts
     total: float  # what discounted counts are divided by: n, or more if no count is discounted
     discounts: Discounts
     unknown: float  # log10 P1 of the unknown word
@@ -131,8 +135,8 @@ def _count_words(docs: DataFrame) -> DataFrame:
     return docs.where("not held_out").select("_x_text").mapInArrow(run, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def unigrams(table: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
-    """Totals, discounts and the broadcast vocabulary of a unigram table."""
+def unigrams(table: DataFrame, head: int = HEAD) -> Unigrams:
+    """Totals, discounts and the broadcast frequent words of a unigram table."""
     bucket = F.when(F.col("c") <= _EXACT, F.col("c")).otherwise(_EXACT + F.floor(F.log2(F.col("c") / _EXACT) * 16) + 1)
     rows = table.groupBy(bucket.cast("long").alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("c").alias("s"), F.min("c").alias("least")).orderBy(F.desc("b")).collect()
@@ -143,7 +147,7 @@ def unigrams(table: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
     unknown = float(np.log10((left if left > 0 else 0.5) / total))
     limit, have = None, 0
     for r in rows:
-        if have + r["n"] > vocabulary:
+        if have + r["n"] > head:
             break
         limit, have = r["least"], have + r["n"]
     if limit is None:
@@ -155,7 +159,8 @@ def unigrams(table: DataFrame, vocabulary: int = VOCABULARY) -> Unigrams:
     code = np.empty(rank.size, np.int64)
     code[rank] = np.arange(rank.size)
     by_key = np.argsort(word)
-    return Unigrams(n, v, total, d, unknown, word[by_key], code[by_key], c[rank])
+    ends = table.where(F.col("word") == int(END)).first()
+    return Unigrams(n, v, ends["c"] if ends else 0, total, d, unknown, word[by_key], code[by_key], c[rank])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -276,9 +281,88 @@ def _counted(t: pa.Table) -> pa.Table:
     return pa.table({k: pa.array([r[i] for r in out], pa.binary()) for i, k in enumerate(["pairs", "counts", "times", "docs", "keys"])})
 
 
-def _by_history(u: Unigrams, pair: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    history, place = np.unique(pair >> 20, return_inverse=True)
-    p1 = 10.0 ** u.log_p1(u.counts[pair & 0xFFFFF])
+_TAIL = "word long, key long, train boolean, prev int, next int, after long"
+_RARE = ["keys", "place", "prev", "c_prev", "c_next", "c_after", "counts", "own", "own_c", "own_w", "head", "head_c", "head_w"]
+
+
+def _tail(docs: DataFrame, shared) -> DataFrame:
+    """Occurrences of words outside the table: the codes before (or the start's) and after them, -1 for a word
+    outside the table, whose hash is ``after``, and -2 after an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = shared.value
+        for b in by_bytes(batches, "_x_text"):
+            token, first = _tokens(b)
+            code = u.lookup(token)
+            history, _ = _pairs(code, first, u.counts.size)
+            following = np.append(code[1:], -2)
+            following[first[1:] - 1] = -2
+            at = np.flatnonzero(code < 0)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(first))[at]
+            train = ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[at]), pa.array(b.column("_x_key").to_numpy()[doc]), pa.array(train[doc]), pa.array(history[at].astype(np.int32)),
+                 pa.array(following[at].astype(np.int32)), pa.array(np.append(token[1:], 0)[at], mask=following[at] != -1)],
+                names=["word", "key", "train", "prev", "next", "after"])
+
+    return docs.select("_x_key", "held_out", "_x_text").mapInArrow(run, _TAIL)
+
+
+def _rare(docs: DataFrame, words: DataFrame, shared, buckets: int, pairs: bool) -> DataFrame:
+    """One row for each bucket of rare words: their occurrences with the counts of both bigrams, and the distinct bigrams.
+
+    ``own`` are bigrams that begin with the word of this place, ``head`` those that a word of the table begins, by
+    its code; with the counts of the bigram and of its second word. n1 .. n6 are counts of counts of the former.
+    """
+    rows = materialize(_tail(docs, shared), "katz-tail")
+    counts = words.select(F.col("word").alias("after"), F.col("c").alias("c_after"))
+    rows = rows.where("after is null").withColumn("c_after", F.lit(None).cast("long")).unionByName(
+        rows.where("after is not null").join(counts, "after", "left"))
+
+    def count(t: pa.Table) -> pa.Table:
+        u = shared.value
+        t = t.sort_by("key")
+        word, key, prev, following = (t.column(k).to_numpy() for k in ("word", "key", "prev", "next"))
+        train = t.column("train").to_numpy().astype(bool)
+        after, c_after = (t.column(k).fill_null(0).to_numpy().copy() for k in ("after", "c_after"))
+        known = following >= 0
+        c_after[known] = u.counts[following[known]]
+        own, place = np.unique(word, return_inverse=True)
+        c = np.bincount(place, train, own.size).astype(np.int64)
+        nxt = following.astype(np.int64)
+        nxt[following == -1] = (1 << 20) + np.unique(after[following == -1], return_inverse=True)[1]
+
+        def counted(other: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, ...]:
+            """The count of each occurrence's pair; of the seen pairs the place, the other word, the count and an occurrence."""
+            ok = np.flatnonzero(ok & pairs)
+            pair, one, at = np.unique(place[ok] << 32 | other[ok], return_index=True, return_inverse=True)
+            n = np.bincount(at, train[ok], pair.size).astype(np.int64)
+            each = np.zeros(word.size, np.int64)
+            each[ok] = n[at]
+            seen = n > 0
+            return each, pair[seen] >> 32, pair[seen] & 0xFFFFFFFF, n[seen], ok[one[seen]]
+
+        c_prev, of, head, head_c, _ = counted(prev.astype(np.int64), prev >= 0)
+        head_w = c[of]
+        c_next, of, _, own_c, one = counted(nxt, following != -2)
+        cols = dict(zip(_RARE, (key, place.astype(np.int32), prev, c_prev, c_next, c_after, c, of.astype(np.int32), own_c, c_after[one],
+                                head.astype(np.int32), head_c, head_w)))
+        out = {k: pa.array([_planes(x)], pa.binary()) for k, x in cols.items()}
+        return pa.table(out | {f"n{r}": pa.array([int((own_c == r).sum())], pa.int64()) for r in range(1, CUTOFF + 2)})
+
+    schema = ", ".join([*(f"{k} binary" for k in _RARE), *(f"n{r} long" for r in range(1, CUTOFF + 2))])
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(lambda t: count(t), schema)
+
+
+def _arrays(r: dict, *names: str) -> list[np.ndarray]:
+    return [_unplanes(r[k], np.int32 if k in ("place", "prev", "own", "head") else np.int64) for k in names]
+
+
+def _by_history(u: Unigrams, history: np.ndarray, c: np.ndarray, c_word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Histories, and for each the sums of its bigrams' counts by count, and of P1 of their words."""
+    history, place = np.unique(history, return_inverse=True)
+    p1 = 10.0 ** u.log_p1(c_word)
     sums = [np.bincount(place, c * (c == r), history.size) for r in range(1, CUTOFF + 2)]
     return history, [*sums, np.bincount(place, c * (c > CUTOFF + 1), history.size), np.bincount(place, p1, history.size)]
 
@@ -297,8 +381,8 @@ def _hot_counts(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return t.column("pair").to_numpy(), t.column("c").to_numpy()
 
 
-def _history_sums(bigrams: DataFrame, shared) -> DataFrame:
-    """(history, s1 .. s6, more, p1): counts of its seen bigrams by count, and the sum of P1 of their words."""
+def _history_sums(bigrams: DataFrame, rare: DataFrame, shared) -> DataFrame:
+    """For histories of the table: (history, s1 .. s6, more, p1): counts of its seen bigrams by count, and the sum of P1 of their words."""
     names = [*(f"s{r}" for r in range(1, CUTOFF + 2)), "more", "p1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,13 +390,32 @@ def _history_sums(bigrams: DataFrame, shared) -> DataFrame:
         for b in batches:
             for raw, counts in zip(b.column("pairs"), b.column("counts")):
                 pair, c = _unplanes(raw.as_py(), np.int64), _unplanes(counts.as_py(), np.int64)
-                history, sums = _by_history(u, pair[c > 0], c[c > 0])
+                pair, c = pair[c > 0], c[c > 0]
+                history, sums = _by_history(u, pair >> 20, c, u.counts[pair & 0xFFFFF])
                 yield pa.RecordBatch.from_arrays([pa.array(history), *map(pa.array, sums)], names=["history", *names])
 
-    rows = bigrams.where(F.length("docs") > 0).select("pairs", "counts").mapInArrow(run, "history long, " + ", ".join(f"{c} double" for c in names))
+    def run_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = shared.value
+        for b in batches:
+            for r in b.to_pylist():
+                history, sums = _by_history(u, *_arrays(r, "head", "head_c", "head_w"))
+                yield pa.RecordBatch.from_arrays([pa.array(history.astype(np.int64)), *map(pa.array, sums)], names=["history", *names])
+
+    schema = "history long, " + ", ".join(f"{c} double" for c in names)
+    rows = bigrams.where(F.length("docs") > 0).select("pairs", "counts").mapInArrow(run, schema)
+    rows = rows.unionByName(rare.select("head", "head_c", "head_w").mapInArrow(run_rare, schema))
     return rows.groupBy("history").agg(*[F.sum(c).alias(c) for c in names])
 
 
+def _weights(d: Discounts, of: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of the total and log10 a of histories with these counts and sums (rows s1 .. s6, more, p1)."""
+    s, more, p1 = s[:CUTOFF + 1], s[-2], s[-1]
+    of = np.maximum(of, s.sum(axis=0) + more)
+    kept = (d.values[1:, None] * s[:CUTOFF]).sum(axis=0) + s[CUTOFF] + more
+    of = of + (of - kept < 1e-6)
+    return np.log10(of), np.log10((of - kept) / of) - np.log10(np.maximum(1 - p1, 1e-12))
+
+
 @dataclass
 class Backoff:
     """By history code (the last one is the start): log10 of the total that counts are divided by, and log10 a."""
@@ -326,39 +429,33 @@ class Backoff:
     def gain(self, u: Unigrams, pair: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log P(w | h) of seen bigrams over the log a(h) + log P1(w) that every token has already."""
         h, w = pair >> 20, pair & 0xFFFFF
-        seen = np.log10(np.maximum(self.discounts.of(c) * c, 1e-300)) - self.total[h]
-        return np.where(c > 0, seen - self.weight[h] - u.log_p1(u.counts[w]), 0.0)
+        return self.gain_of(c, self.total[h] + self.weight[h] + u.log_p1(u.counts[w]))
+
+    def gain_of(self, c: np.ndarray, less: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, np.log10(np.maximum(self.discounts.of(c) * c, 1e-300)) - less, 0.0)
 
 
-def backoff(bigrams: DataFrame, u: Unigrams, shared) -> Backoff:
-    """Discounts and exactly normalised backoff weights; the driver gets one row per history of the vocabulary."""
-    t = _history_sums(bigrams, shared).toArrow()
+def backoff(bigrams: DataFrame, rare: DataFrame, u: Unigrams, shared) -> Backoff:
+    """Discounts and exactly normalised backoff weights; the driver gets one row per history of the table."""
+    t = _history_sums(bigrams, rare, shared).toArrow()
+    own = rare.agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, CUTOFF + 2)]).first()
     hot_pairs, hot_counts = _hot_counts(bigrams)
-    history, sums = _by_history(u, hot_pairs, hot_counts)
+    history, sums = _by_history(u, hot_pairs >> 20, hot_counts, u.counts[hot_pairs & 0xFFFFF])
     names = [c for c in t.schema.names if c != "history"]
     h = np.concatenate([t.column("history").to_numpy(), history])
     h, place = np.unique(h, return_inverse=True)
     s = np.stack([np.bincount(place, np.concatenate([t.column(k).to_numpy(), x]), h.size) for k, x in zip(names, sums)])
-    s, more, p1 = s[:CUTOFF + 1], s[-2], s[-1]
-    d = Discounts.from_counts({r: int(round(s[r - 1].sum() / r)) for r in range(1, CUTOFF + 2)})
+    d = Discounts.from_counts({r: int(round(s[r - 1].sum() / r)) + own[r - 1] for r in range(1, CUTOFF + 2)})
     size = u.counts.size + 1
     total, weight = np.zeros(size), np.zeros(size)
     if h.size:
-        # every training token but an end is followed by one; the start by as many as there are ends
-        end = u.lookup(np.array([END]))[0]
-        starts = u.counts[end] if end >= 0 else 0
-        of = np.append(u.counts, starts)[h].astype(float)
-        seen = s.sum(axis=0) + more
-        of = np.maximum(of, seen)
-        kept = (d.values[1:, None] * s[:CUTOFF]).sum(axis=0) + s[CUTOFF] + more
-        of = of + (of - kept < 1e-6)
-        total[h] = np.log10(of)
-        weight[h] = np.log10((of - kept) / of) - np.log10(np.maximum(1 - p1, 1e-12))
+        # every training token but an end is followed by one; the start by as many as there are texts
+        total[h], weight[h] = _weights(d, np.append(u.counts, u.texts)[h].astype(float), s)
     return Backoff(d, total, weight, hot_pairs, hot_counts)
 
 
 def _text_sums(docs: DataFrame, id_col: str, model) -> DataFrame:
-    """Per text what the broadcast tables know: tokens, known ones, base and score; and the words they don't hold."""
+    """Per text what the broadcast tables know: tokens, known ones, base and score."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,46 +475,62 @@ def _text_sums(docs: DataFrame, id_col: str, model) -> DataFrame:
                 hit = np.flatnonzero(m.hot_pairs[i] == pair)
                 value[hit] += m.gain(u, pair[hit], m.hot_counts[i[hit]])
             sums = [np.add.reduceat(x, first[:-1]) for x in (known.astype(np.int64), base, value)]
-            tail = np.flatnonzero(~known)
-            cut = np.searchsorted(tail, first).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), b.column("held_out"), b.column("_x_key"), pa.array(np.diff(first)), *map(pa.array, sums),
-                 pa.ListArray.from_arrays(pa.array(cut), pa.array(token[tail]))],
-                names=[id_col, "held_out", "_x_key", "n_tokens", "known", "base", "value", "rest"])
+                [b.column(id_col), b.column("held_out"), b.column("_x_key"), pa.array(np.diff(first)), *map(pa.array, sums)],
+                names=[id_col, "held_out", "_x_key", "n_tokens", "known", "base", "value"])
+
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, _x_key long, n_tokens long, known long, base double, value double")
+
+
+def _of_bigrams(u: Unigrams, m: Backoff, r: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Texts of a row of the bigrams that aren't counted ahead, and what these add to their scores."""
+    pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
+    gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
+    keys = np.frombuffer(r["keys"], np.int64)
+    return keys, [np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)]
 
-    return docs.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, _x_key long, n_tokens long, known long, base double, value double, rest array<long>")
 
+def _of_rare(u: Unigrams, m: Backoff, r: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Texts of a row of rare words, and what these add to their scores, bases and numbers of known tokens."""
+    key, place, prev, c_prev, c_next, c_after, counts, own, own_c, own_w = _arrays(r, *_RARE[:10])
+    h, sums = _by_history(u, own, own_c, own_w)
+    total, weight = np.zeros(counts.size), np.zeros(counts.size)
+    total[h], weight[h] = _weights(m.discounts, counts[h].astype(float), np.stack(sums))
+    c = counts[place]
+    log_p1 = u.log_p1(c)
+    value = log_p1 + weight[place]  # of the word, and of the backoff of the one after it
+    value += m.gain_of(c_prev, m.total[prev] + m.weight[prev] + log_p1)
+    value += m.gain_of(c_next, total[place] + weight[place] + u.log_p1(c_after))
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, [np.bincount(at, x, keys.size) for x in (value, u.log_base(c), (c > 0).astype(float))]
 
-def _gains(bigrams: DataFrame, model, parts: int) -> DataFrame:
-    """(_x_key, gain): sums over the seen bigrams of texts, of those that aren't counted ahead.
+
+def _gains(rows: DataFrame, of, names: list[str], model, parts: int) -> DataFrame:
+    """(_x_key, *names): sums over texts of what ``of`` gives for each row.
 
     A task adds up what its rows give to each text, and sends the sums as arrays, one for each of ``parts``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, m = model.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            total = np.bincount(place, np.concatenate([g for _, g in held]), key.size)
+            total = [np.bincount(place, np.concatenate([g[i] for _, g in held]), key.size) for i in range(len(names))]
             part = (mix(key.view(np.uint64)) % U(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            key, total, part = key[order], total[order], part[order]
+            part = part[order]
             cut = np.flatnonzero(np.diff(part, prepend=-1))
             spans = list(zip(cut.tolist(), [*cut[1:].tolist(), key.size]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[cut], pa.int64()), pa.array([key[a:b].tobytes() for a, b in spans], pa.binary()),
-                 pa.array([total[a:b].tobytes() for a, b in spans], pa.binary())], names=["part", "keys", "gains"])
+            cols = [pa.array([x[order][a:b].tobytes() for a, b in spans], pa.binary()) for x in (key, *total)]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut], pa.int64()), *cols], names=["part", "keys", *names])
 
         for b in batches:
             for r in b.to_pylist():  # a row at a time: its arrays go before the next one's come
-                pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
-                gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
-                keys = np.frombuffer(r["keys"], np.int64)
-                held.append((keys, np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)))
-                size += keys.size
+                held.append(of(u, m, r))
+                size += held[-1][0].size
                 if size >= 2 * CHUNK:
                     yield out()
                     held, size = [], 0
@@ -426,52 +539,54 @@ def _gains(bigrams: DataFrame, model, parts: int) -> DataFrame:
         release()
 
     def add(t: pa.Table) -> pa.Table:
-        key, gain = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", np.int64), ("gains", np.float64)))
+        key, *sums = (np.frombuffer(b"".join(t.column(c).to_pylist()), k) for c, k in (("keys", np.int64), *((n, np.float64) for n in names)))
         own, place = np.unique(key, return_inverse=True)
-        return pa.table({"_x_key": pa.array(own), "gain": pa.array(np.bincount(place, gain, own.size))})
+        return pa.table({"_x_key": pa.array(own)} | {n: pa.array(np.bincount(place, x, own.size)) for n, x in zip(names, sums)})
 
-    sums = bigrams.where(F.length("docs") > 0).mapInArrow(run, "part long, keys binary, gains binary")
-    return sums.groupBy("part").applyInArrow(add, "_x_key long, gain double")
+    sums = rows.mapInArrow(run, "part long, keys binary, " + ", ".join(f"{n} binary" for n in names))
+    return sums.groupBy("part").applyInArrow(add, "_x_key long, " + ", ".join(f"{n} double" for n in names))
 
 
-def _tables(d: DataFrame, id_col: str, vocabulary: int) -> tuple[DataFrame, Unigrams, DataFrame, DataFrame]:
-    """The written tables: unigrams, sums per text, gains per text of the bigrams that aren't counted ahead."""
+def _tables(d: DataFrame, id_col: str, vocabulary: int | None, head: int) -> tuple[Unigrams, DataFrame, DataFrame, DataFrame]:
+    """The written tables: sums per text, gains per text of the bigrams that aren't counted ahead, sums of rare words."""
     spark = d.sparkSession
     words = materialize(_count_words(d), "katz-unigrams")
-    u = unigrams(words, min(vocabulary, (1 << 20) - 2))
+    u = unigrams(words, head if vocabulary is None else vocabulary)
     shared = spark.sparkContext.broadcast(u)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = _entries(d, shared, max(width, -(-u.n // CHUNK)))  # a bucket holds about CHUNK tokens
     bigrams = entries.groupBy("bucket").applyInArrow(_counted, "pairs binary, counts binary, times binary, docs binary, keys binary")
     bigrams = materialize(bigrams, "katz-bigrams")
-    model = spark.sparkContext.broadcast((u, backoff(bigrams, u, shared)))
+    rare = _rare(d, words, shared, max(width, -(-(u.n - int(u.counts.sum())) // ROW)), vocabulary is None)
+    rare = materialize(rare, "katz-rare")
+    model = spark.sparkContext.broadcast((u, backoff(bigrams, rare, u, shared)))
     texts = materialize(_text_sums(d, id_col, model), "katz-texts")
-    gains = materialize(_gains(bigrams, model, width), "katz-gains")
-    return words, u, texts, gains
+    gains = materialize(_gains(bigrams.where(F.length("docs") > 0), _of_bigrams, ["value2"], model, width), "katz-gains")
+    tail = materialize(_gains(rare, _of_rare, ["value2", "base2", "known2"], model, width), "katz-tail-gains")
+    return u, texts, gains, tail
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None,
-          vocabulary: int = VOCABULARY) -> DataFrame:
-    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows not held out are learned from."""
+          vocabulary: int | None = None, head: int = HEAD) -> DataFrame:
+    """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows not held out are learned from.
+
+    Every bigram counts, unless ``vocabulary`` is given. ``head`` bounds the broadcast table and changes no result.
+    """
+    if max(vocabulary or 0, head) > (1 << 20) - 2:
+        raise ValueError("codes of words have 20 bits")
     held = is_held_out(id_col, 1) if held_out is None else F.coalesce(held_out, F.lit(False))
     # texts are told apart by a hash of id and text; sums of rows that share it are divided by their number
     d = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col).alias("_x_text"),
                     F.xxhash64(F.col(id_col), F.col(text_col)).alias("_x_key"))
     spark = docs.sparkSession
     with small_batches(spark):
-        words, u, texts, gains = _tables(d, id_col, vocabulary)
-    rest = texts.select("_x_key", F.explode("rest").alias("word")).groupBy("_x_key", "word").agg(F.count(F.lit(1)).alias("k"))
-    c = F.coalesce("c", F.lit(0))
-    low = F.element_at(F.array(*[F.lit(float(x)) for x in u.discounts.values[1:]]), F.least(F.greatest(c, F.lit(1)), F.lit(CUTOFF)).cast("int"))
-    log_p1 = F.when(c == 0, u.unknown).otherwise(F.log10(F.when(c <= CUTOFF, low).otherwise(1.0) * c / u.total))
-    log_base = F.log10((c + 0.5) / (u.n + 0.5 * (u.v + 1)))
-    rest = rest.join(words, "word", "left").select(
-        "_x_key", F.lit(0).cast("long").alias("m"), F.when(c > 0, F.col("k")).otherwise(0).cast("long").alias("known2"),
-        (F.col("k") * log_base).alias("base2"), (F.col("k") * log_p1).alias("value2"))
-    one = texts.select("_x_key", F.lit(1).cast("long").alias("m"), F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), F.lit(0.0).alias("value2"))
-    gains = gains.select("_x_key", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("known2"), F.lit(0.0).alias("base2"), F.col("gain").alias("value2"))
-    sums = one.unionByName(rest).unionByName(gains).groupBy("_x_key").agg(*[F.sum(k).alias(k) for k in ("m", "known2", "base2", "value2")])
-    return texts.drop("rest").join(sums, "_x_key").select(
-        F.col(id_col), "held_out", "n_tokens", (F.col("known") + (F.col("known2") / F.col("m")).cast("long")).alias("n_known"),
+        u, texts, gains, tail = _tables(d, id_col, vocabulary, head)
+    none = F.lit(0.0)
+    one = texts.select("_x_key", F.lit(1).cast("long").alias("m"), none.alias("value2"), none.alias("base2"), none.alias("known2"))
+    gains = gains.select("_x_key", F.lit(0).cast("long").alias("m"), "value2", none.alias("base2"), none.alias("known2"))
+    tail = tail.select("_x_key", F.lit(0).cast("long").alias("m"), "value2", "base2", "known2")
+    sums = one.unionByName(gains).unionByName(tail).groupBy("_x_key").agg(*[F.sum(k).alias(k) for k in ("m", "value2", "base2", "known2")])
+    return texts.join(sums, "_x_key").select(
+        F.col(id_col), "held_out", "n_tokens", (F.col("known") + F.round(F.col("known2") / F.col("m")).cast("long")).alias("n_known"),
         F.lit(u.n).cast("long").alias("train_tokens"), (F.col("base") + F.col("base2") / F.col("m")).alias("base_score"),
         (F.col("value") + F.col("value2") / F.col("m")).alias("score"))

@@ -80,6 +80,22 @@ def test_katz_against_dictionaries(spark, vocabulary):
         assert r.score == pytest.approx(sum(math.log10(model.p(h, w)) for h, w in zip(["<s>", *t], t)))
 
 
+@pytest.mark.parametrize("head", [0, 1, 40, 200])
+def test_katz_counts_bigrams_of_rare_words(spark, head):
+    rows = zipf_rows()
+    model = Model(rows, len(rows) * 1000)
+    assert len(model.vocabulary) == len(model.c) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = katz.score(docs, head=head).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
+    text = dict(rows)
+    for r in out:
+        t = tokens(text[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (len(t), sum(w in model.c for w in t))
+        assert r.base_score == pytest.approx(sum(math.log10((model.c[w] + 0.5) / (model.n + 0.5 * (model.v + 1))) for w in t))
+        assert r.score == pytest.approx(sum(math.log10(model.p(h, w)) for h, w in zip(["<s>", *t], t)))
+
+
 def test_katz_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = katz.score(docs, held_out=F.lit(True)).first()
