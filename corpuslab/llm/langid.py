@@ -14,8 +14,7 @@ language is the one with the largest sum over words that hold a letter; the scor
 a batch take each step of the chain together.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0; null lang isn't
-learned from; without any language all predictions are ``und``; more than ``LANGS`` languages: the
-most frequent ones are learned; ties go to the first language in code point order; repeated rows
+learned from; without any language all predictions are ``und``; every language that occurs is learned; ties go to the first language in code point order; repeated rows
 get the same answer; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -27,14 +26,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import by_bytes, is_held_out, texts_of
 from .words import BASE, IS_WS, LOWER, U, Words
 
-BITS, DOCS, WINDOWS, RUN, LANGS = 18, 400, 3, 40, 64
+BITS, DOCS, WINDOWS, RUN = 18, 400, 3, 40
 SEQUENCE, STEPS, RATE, RIDGE = 96, 30, 0.25, 1e-6
 _LETTER = re.compile(r"[^\W\d_]")
 _SHIFT = U(64 - BITS)
@@ -88,6 +87,7 @@ class Features:
     def emissions(self, weights: np.ndarray, most: int = 1 << 19) -> np.ndarray:
         """Sums of weights per word, a slice of words at a time."""
         out = np.empty((self.start.size, weights.shape[1]), np.float32)
+        most = most * 4 // max(weights.shape[1], 4)
         a = 0
         while a < self.start.size:
             b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + most)))
@@ -140,8 +140,8 @@ def marginals(emissions: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs
         m = int(alive[t + 1])  # texts that go on after t
         nxt = e[at[:m] + t + 1] * backward[at[:m] + t + 1]
         if pairs is not None:
-            both = forward[at[:m] + t][:, :, None] * a_mat[None] * nxt[:, None, :]
-            pairs += (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            left = forward[at[:m] + t]
+            pairs += a_mat * ((left / ((left @ a_mat) * nxt).sum(axis=1, keepdims=True)).T @ nxt)
         now = nxt @ a_mat.T
         backward[at[:m] + t] = now / now.sum(axis=1, keepdims=True)
     out = forward * backward
@@ -149,35 +149,45 @@ def marginals(emissions: np.ndarray, first: np.ndarray, moves: np.ndarray, pairs
 
 
 def fit(runs: list[tuple[str, list[str]]], seed: int = 3) -> Model:
-    """Learn from (language, runs of words); runs are strung together in a seeded order."""
+    """Learn from (language, runs of words); runs are strung together in a seeded order.
+
+    Steps go over the sequences in parts, smaller ones with more languages, so that only the weights grow with these.
+    """
     langs = sorted({lang for lang, _ in runs})
-    k = len(langs)
+    k, place = len(langs), {lang: j for j, lang in enumerate(langs)}
     rng = np.random.default_rng(seed)
     words, gold = [], []
     for i in rng.permutation(len(runs)).tolist():
         lang, run = runs[i]
         words += run
-        gold += [langs.index(lang)] * len(run)
-    rows, cut = len(words), list(range(0, len(words), SEQUENCE))
-    texts = pa.array([" ".join(words[c:c + SEQUENCE]) for c in cut], pa.string())
-    features = Features(texts)
-    y = np.zeros((rows, k), np.float32)
-    y[np.arange(rows), gold] = 1
-    word, row = features.pairs()
+        gold += [place[lang]] * len(run)
+    rows, size = len(words), SEQUENCE * max(1, 8192 // max(k, 4))
+
+    def part(a: int) -> tuple[Features, np.ndarray, np.ndarray]:
+        features = Features(pa.array([" ".join(words[c:min(c + SEQUENCE, a + size)]) for c in range(a, min(a + size, rows), SEQUENCE)], pa.string()))
+        return features, *features.pairs()
+
+    first = part(0)
     weights, moves = np.zeros(((1 << BITS) + 1, k), np.float32), np.zeros((k, k))
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
     gold = np.array(gold)
     real = np.zeros((k, k))
-    for c in cut:
+    for c in range(0, rows, SEQUENCE):
         g = gold[c:c + SEQUENCE]
         np.add.at(real, (g[:-1], g[1:]), 1)
     for _ in range(STEPS):
-        expected = np.zeros((k, k))
-        p = marginals(features.emissions(weights), features.words.first, moves, expected)
-        off = (p - y) / rows
-        grad = np.stack([np.bincount(row, off[word, j], (1 << BITS) + 1) for j in range(k)], axis=1) + RIDGE * weights
-        seen_w += grad * grad
-        weights -= (RATE * grad / np.sqrt(seen_w)).astype(np.float32)
+        expected, grads = np.zeros((k, k)), np.zeros((k, (1 << BITS) + 1))
+        for a in range(0, rows, size):
+            features, word, row = part(a) if a else first
+            off = marginals(features.emissions(weights), features.words.first, moves, expected)
+            off[np.arange(len(off)), gold[a:a + size]] -= 1
+            off /= rows
+            for j in range(k):
+                grads[j] += np.bincount(row, off[word, j], (1 << BITS) + 1)
+        for j in range(k):
+            grad = grads[j] + RIDGE * weights[:, j]
+            seen_w[:, j] += grad * grad
+            weights[:, j] -= (RATE * grad / np.sqrt(seen_w[:, j])).astype(np.float32)
         grad = (expected - real) / rows
         seen_m += grad * grad
         moves -= RATE * grad / np.sqrt(seen_m)
@@ -190,15 +200,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from documents with a language; ``usable`` says which rows may be learned from (default: those not held out)."""
     usable = ~is_held_out(id_col, 0) if usable is None else usable
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & usable)
-    langs = [r[0] for r in known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGS).collect()]
-    if not langs:
-        return Model([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 0)))
-    rank = F.xxhash64(id_col)
-    picked = None
-    for lang in langs:
-        some = known.where(F.col(lang_col) == lang).select(F.col(id_col), F.col(lang_col)).orderBy(rank, id_col).limit(DOCS)
-        picked = some if picked is None else picked.unionByName(some)
-    # at most DOCS * LANGS ids: small enough to broadcast at any size of the corpus
+    # each task sends on no more than DOCS ids of a language
+    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
+    picked = known.select(F.col(id_col), F.col(lang_col)).withColumn("_x_n", F.row_number().over(order)).where(F.col("_x_n") <= DOCS).drop("_x_n")
+    # at most DOCS ids a language: small enough to broadcast at any size of the corpus
     sample = docs.join(F.broadcast(picked.distinct()), [id_col, lang_col]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +235,7 @@ def tag(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in by_bytes(batches, "_x_text", most):
+        for b in by_bytes(batches, "_x_text", most * 4 // max(len(m.langs), 4)):
             texts = texts_of(b.column("_x_text"))
             has_letter = np.array([bool(_LETTER.search(t)) for t in texts.to_pylist()], bool) & bool(m.langs)
             if m.langs:

@@ -151,6 +151,23 @@ def test_langid(spark):
     assert langid.tag(docs.where("false"), model).count() == 0
 
 
+def test_langid_learns_every_language(spark):
+    rng = random.Random(4)
+    alphabet = "bcdfghjklmnpqrstvwxz"
+    rows, n = [], 70
+    for k in range(n):  # a language's words have a pair of consonants of its own
+        pair = alphabet[k // 20] + alphabet[k % 20]
+        words = [pair + rng.choice("aeiou") + pair + rng.choice("aeiou") for _ in range(5)]
+        for _ in range(12 if k else 60):
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(8)), f"l{k:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, usable=F.lit(True))
+    assert len(model.langs) == n
+    out = {r.doc_id: r.lang_pred for r in langid.tag(docs, model, spans=False).collect()}
+    right = [out[i] == k for i, _, k in rows]
+    assert sum(right) >= 0.98 * len(rows) and {out[i] for i, _, _ in rows} == {f"l{k:02d}" for k in range(n)}
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     k, first = 3, np.array([0, 4, 4, 5, 8])
