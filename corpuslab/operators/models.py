@@ -49,9 +49,9 @@ class ColumnsFeaturizer:
     """M1 (tables of columns): median imputation fitted on the training rows + VectorAssembler.
 
     ``fit(train)`` returns a function that transforms any frame with the training
-    medians (exact; 0 for a column without any training value), so test folds never
-    leak into imputation. Only columns with missing values are looked at: the driver
-    gets one number each.
+    medians of all columns (exact; 0 for a column without any training value), so test
+    folds never leak into imputation and may have holes where the training rows have
+    none. The driver gets one number a column.
     """
 
     def __init__(self, cols: Sequence[str], out: str = "features"):
@@ -61,13 +61,9 @@ class ColumnsFeaturizer:
         tmp = [f"_imp_{i}" for i in range(len(self.cols))]
         exprs = [f"CAST(`{c}` AS DOUBLE) AS {t}" for c, t in zip(self.cols, tmp)]
         cast = lambda d: d.selectExpr("*", *exprs)
-        missing = cast(train).selectExpr(*[f"count_if({t} IS NULL OR isnan({t})) AS {t}" for t in tmp]).first()
-        holes = [t for t in tmp if missing[t]]
-        fill = dict.fromkeys(holes, 0.0)
-        if holes:
-            long = cast(train).select(*holes).unpivot([], holes, "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
-            fill |= {r["feature"]: r["q"] for r in exact_quantiles(long, (0.5,)).collect()}
-        filled = [f"coalesce(nanvl({t}, NULL), {float(fill[t])!r}D) AS {t}" if t in fill else t for t in tmp]
+        long = cast(train).select(*tmp).unpivot([], tmp, "feature", "value").where("value IS NOT NULL AND NOT isnan(value)")
+        fill = dict.fromkeys(tmp, 0.0) | {r["feature"]: r["q"] for r in exact_quantiles(long, (0.5,)).collect()}
+        filled = [f"coalesce(nanvl({t}, NULL), {float(fill[t])!r}D) AS {t}" for t in tmp]
         va = VectorAssembler(inputCols=tmp, outputCol=self.out)
 
         def transform(d: DataFrame) -> DataFrame:

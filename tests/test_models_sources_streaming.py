@@ -121,6 +121,14 @@ def test_imputation_by_exact_median_and_empty_column(spark):
     assert out == {1: [1.0, 0.0], 2: [4.0, 0.0], 3: [4.0, 0.0], 4: [4.0, 0.0], 5: [10.0, 0.0]}
 
 
+def test_holes_that_only_a_test_fold_has(spark):
+    rows = [(i, "a" if i % 2 else "b", i % 5, float(i % 2), None if i % 5 == 4 else float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, label string, fold long, x double, y double")
+    preds, fitted = models.cross_validate(df, models.ColumnsFeaturizer(["x", "y"]), ["a", "b"], num_trees=5, max_depth=4)
+    got = {r["doc_id"]: r["prediction"] for r in preds.collect()}
+    assert len(fitted) == 5 and got == {i: lab for i, lab, *_ in rows}  # x gives the class away
+
+
 def test_repeated_ids_count_once_in_classification(spark):
     rows = [(i, "a" if i % 2 else "b", f"s{i % 5}") for i in range(40)] + [(1, "a", "s1")] * 30
     c = spark.createDataFrame(rows, "doc_id long, label string, group_id string")
