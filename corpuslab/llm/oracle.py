@@ -110,4 +110,59 @@ SELECT doc_id, held_out, count(*) AS n_tokens, count_if(c > 0) AS n_known, CAST(
 FROM sc CROSS JOIN tot GROUP BY doc_id, held_out
 """
 
-ORACLE = {"op4_exact_dedup": _EXACT, "op5_katz": _KATZ, "op6_mixing": _MIXING, "op7_quality": _QUALITY, "op9_minhash": _NEAR}
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Assignments and means written out round by round, each over all parts and entries."""
+    near = """
+a{k} AS (SELECT vec_id, part, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+    SELECT x.vec_id, x.part, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d
+    FROM x JOIN b{k} b ON b.part = x.part) GROUP BY vec_id, part)"""
+    mean = """
+m{k} AS (SELECT part, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS v FROM (
+    SELECT x.part, a.e, i, sum(x.v[i])::DOUBLE AS s, count(*) AS n FROM x JOIN a{k} a USING (vec_id, part), range(1, (SELECT max(len(v)) + 1 FROM x)) AS r(i)
+    GROUP BY ALL) GROUP BY part, e),
+b{n} AS (SELECT b.part, b.e, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m USING (part, e))"""
+    steps = ",".join(near.format(k=k) + "," + mean.format(k=k, n=k + 1) for k in range(rounds))
+    return f"""
+WITH w AS (SELECT vec_id, label, list_transform(embedding, lambda z: CAST(floor(4096 * CAST(z AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS (SELECT vec_id, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS v FROM w, range({parts}) AS r(part)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM w ORDER BY vec_id LIMIT {entries}),
+b0 AS (SELECT part, e, v FROM x JOIN f USING (vec_id)),{steps},{near.format(k=rounds)},
+c AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT c.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN w USING (vec_id) CROSS JOIN s
+"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _merkle(levels: int = 11, top: int = 5) -> str:
+    """Trees of up to 3 ** levels leaves a source and 3 ** top sources, level by level."""
+    leaf = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+    other = "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", "replace(text, chr(10), '')")) + ")"
+    out = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '-') AS t, {leaf} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {other} ELSE {leaf} END AS f FROM documents),
+p0 AS (SELECT doc_id, t, leaf, f, '' AS proof, row_number() OVER (PARTITION BY t ORDER BY doc_id, leaf) - 1 AS i FROM d),
+n0 AS (SELECT t, i, leaf AS h FROM p0)"""
+    step = """,
+r{k} AS (SELECT t, i // 3 AS i, list(h ORDER BY i) AS hs, sum(count(*)) OVER (PARTITION BY t) AS c FROM n{k} GROUP BY t, i // 3),
+n{n} AS (SELECT t, i, CASE WHEN c > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM r{k}),
+p{n} AS (SELECT p.* REPLACE (p.i // 3 AS i,
+             CASE WHEN c > 1 THEN sha256(array_to_string(hs[1:p.i % 3], '') || f || array_to_string(hs[p.i % 3 + 2:], '')) ELSE f END AS f,
+             CASE WHEN c > 1 THEN proof || array_to_string(hs[1:p.i % 3], '') || array_to_string(hs[p.i % 3 + 2:], '') ELSE proof END AS proof)
+         FROM p{k} p JOIN r{k} r ON r.t = p.t AND r.i = p.i // 3)"""
+    out += "".join(step.format(k=k, n=k + 1) for k in range(levels))
+    a = levels + 1
+    out += f""",
+g AS (SELECT t, h AS subroot, row_number() OVER (ORDER BY t) - 1 AS i FROM n{levels}),
+n{a} AS (SELECT '' AS t, i, subroot AS h FROM g),
+p{a} AS (SELECT doc_id, '' AS t, leaf, f, proof, g.i, subroot FROM p{levels} JOIN g USING (t))"""
+    out += "".join(step.format(k=k, n=k + 1) for k in range(a, a + top))
+    return out + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM p{a + top} JOIN n{a + top} USING (t)
+"""
+
+
+ORACLE = {"op11_vector_codes": _codes(), "op13_merkle": _merkle(), "op4_exact_dedup": _EXACT, "op5_katz": _KATZ, "op6_mixing": _MIXING, "op7_quality": _QUALITY, "op9_minhash": _NEAR}
