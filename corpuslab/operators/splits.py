@@ -1,4 +1,4 @@
-"""Exact balancing, seeded shuffling, stratified group folds, group sampling.
+"""Exact balancing, seeded shuffling, snake-dealt group folds (the solver: ``folds``), group sampling.
 
 Randomness is a seeded md5 of the row id, so results do not depend on
 partitioning or executor loss (a recomputed task gives the same rows).
@@ -66,9 +66,9 @@ def shuffle(df: DataFrame, id_col: str = "doc_id", seed: int = 42, out: str = "s
     return df.withColumn(out, seeded_key(id_col, seed, salt="shuffle-"))
 
 
-def stratified_group_folds(df: DataFrame, label_col: str = "label", group_col: str = "group_id", k: int = 5,
-                           seed: int = 42, out: str = "fold") -> DataFrame:
-    """K folds with whole groups per fold and a similar class mix in each.
+def snake_group_folds(df: DataFrame, label_col: str = "label", group_col: str = "group_id", k: int = 5,
+                      seed: int = 42, out: str = "fold") -> DataFrame:
+    """B3 without a solver: k folds with whole groups per fold and a similar class mix in each.
 
     Groups are stratified by their majority label (ties: smallest label), ordered
     by size (desc) then seeded md5, and dealt to folds in snake order

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bow, cleaning, evaluation, models, splits, stylistics
+from ..operators import bow, cleaning, evaluation, folds, models, splits, stylistics
 from ..session import materialize
 from ..sources import bindings
 
@@ -70,7 +70,7 @@ def labelled_folds(corpus: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """(doc_id, label, group_id, fold) of the labelled documents: repeated ids dropped, classes balanced, folds dealt."""
     rows = cleaning.strip_part_suffix(corpus.where(F.col("label").isNotNull())).select("doc_id", "label", "group_id")
     rows = cleaning.dedupe(rows, "doc_id", ["label", "group_id"])
-    return splits.stratified_group_folds(cleaning.fill_surrogate_group(splits.balance_classes(rows, seed=seed)), k=k, seed=seed)
+    return folds.stratified_group_folds(cleaning.fill_surrogate_group(splits.balance_classes(rows, seed=seed)), k=k, seed=seed)
 
 
 def classification_input(spark: SparkSession, sf: str, feature_set: str, min_words: int | None = None,

@@ -494,24 +494,60 @@ FROM vc GROUP BY "column"
 # Splits (B1–B7) and evaluation
 # --------------------------------------------------------------------------
 
+#: The balancing solver over distinct class counts (classes a and b, five folds): batches of equal groups, each to the best fold.
+_BATCH = "CASE WHEN {0} < 20 THEN 1 ELSE CAST(1 << CAST(floor(log2({0} // 10)) AS BIGINT) AS BIGINT) END"
+
+
+def _solver(rows: str) -> str:
+    """CTEs from ``rows`` (group_id, label) to gf (group_id, fold)."""
+    def spread(f, v, t):
+        return (f"list_aggregate(list_transform(range(1, 6), lambda j: (st.{f}[j] + CASE WHEN i = j THEN s.{v} ELSE 0 END) / s.{t}::DOUBLE), 'stddev_pop')")
+
+    def joined(f, v):
+        return f"list_transform(range(1, 6), lambda j: st.{f}[j] + CASE WHEN j = best THEN st.{v} ELSE 0 END)"
+
+    return f"""
+gv AS (SELECT group_id, count_if(label = 'a') AS va, count_if(label = 'b') AS vb FROM {rows} GROUP BY group_id),
+tot AS (SELECT CAST(greatest(sum(va), 1) AS BIGINT) AS ta, CAST(greatest(sum(vb), 1) AS BIGINT) AS tb FROM gv),
+vec AS (SELECT va, vb, count(*) AS m, row_number() OVER (ORDER BY 2 * (va * va + vb * vb) - (va + vb) * (va + vb) DESC, va + vb DESC, va, vb) AS vid FROM gv GROUP BY va, vb),
+bt AS (SELECT vid, m AS rem, 1 AS o FROM vec UNION ALL SELECT vid, rem - {_BATCH.format('rem')}, o + 1 FROM bt WHERE rem > {_BATCH.format('rem')}),
+steps AS (SELECT row_number() OVER (ORDER BY vid, o) AS n, vid, va * b AS va, vb * b AS vb, b, ta, tb
+          FROM (SELECT vid, o, {_BATCH.format('rem')} AS b FROM bt) JOIN vec USING (vid) CROSS JOIN tot),
+sol AS (SELECT CAST(0 AS BIGINT) AS n, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS fa, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS fb, CAST(0 AS BIGINT) AS best
+        UNION ALL
+        SELECT n, {joined('fa', 'va')}, {joined('fb', 'vb')}, best FROM (
+            SELECT s.n, st.fa, st.fb, s.va, s.vb, list_min(list_transform(range(1, 6), lambda i: (
+                       round(({spread('fa', 'va', 'ta')} + {spread('fb', 'vb', 'tb')}) / 2, 12), st.fa[i] + st.fb[i], i)))[3] AS best
+            FROM sol st JOIN steps s ON s.n = st.n + 1) st),
+given AS (SELECT vid, best - 1 AS fold, sum(b) AS c FROM sol JOIN steps USING (n) GROUP BY vid, best),
+upto AS (SELECT vid, fold, sum(c) OVER (PARTITION BY vid ORDER BY fold) AS last, sum(c) OVER (PARTITION BY vid ORDER BY fold) - c AS first FROM given),
+rk AS (SELECT group_id, vid, row_number() OVER (PARTITION BY vid ORDER BY md5(group_id || '-group-42')) AS r FROM gv JOIN vec USING (va, vb)),
+gf AS (SELECT group_id, fold FROM rk JOIN upto ON upto.vid = rk.vid AND r > first AND r <= last),
+"""
+
+
 SPLITS_CTE = f"""{CORPUS_CTE},
 c0 AS (SELECT doc_id, regexp_replace(group_id, '_[a-z]$', '') AS group_id, label FROM corpus WHERE label IS NOT NULL),
 bal AS (SELECT * FROM c0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR) || '-42'))
         <= (SELECT min(n) FROM (SELECT count(*) AS n FROM c0 GROUP BY label))),
-sgr AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal),
-per AS (SELECT group_id, label, count(*) AS n FROM sgr GROUP BY ALL),
-grp AS (SELECT group_id, sum(n) AS size, arg_min(label, (-n, label)) AS stratum FROM per GROUP BY group_id),
-rk AS (SELECT group_id, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5(group_id || '-group-42')) - 1 AS r
-       FROM grp),
-gf AS (SELECT group_id, CAST(CASE WHEN floor(r / 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold FROM rk),
-folds AS (SELECT sgr.doc_id, sgr.group_id, sgr.label, gf.fold FROM sgr JOIN gf USING (group_id)),
+sgr AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal),{_solver("sgr")}folds AS (SELECT sgr.doc_id, sgr.group_id, sgr.label, gf.fold FROM sgr JOIN gf USING (group_id)),
 preds AS (SELECT f.fold, f.doc_id, f.label, CASE WHEN l.toxic = 1 THEN 'b' ELSE 'a' END AS prediction
           FROM folds f JOIN labels l USING (doc_id))
 """
-ORACLE["balance_classes"] = f"WITH {SPLITS_CTE} SELECT doc_id, label FROM bal"
-ORACLE["shuffle"] = f"WITH {SPLITS_CTE} SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '-shuffle-42') AS shuffle_key FROM c0"
-ORACLE["stratified_group_folds"] = f"WITH {SPLITS_CTE} SELECT doc_id, group_id, label, fold FROM folds"
-ORACLE["fold_balance"] = f"""WITH {SPLITS_CTE}, t AS (SELECT fold, label, count(*) AS n_test FROM folds GROUP BY ALL)
+ORACLE["balance_classes"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, label FROM bal"
+ORACLE["shuffle"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '-shuffle-42') AS shuffle_key FROM c0"
+ORACLE["stratified_group_folds"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, group_id, label, fold FROM folds"
+ORACLE["snake_group_folds"] = f"""WITH RECURSIVE {SPLITS_CTE},
+per AS (SELECT group_id, label, count(*) AS n FROM sgr GROUP BY ALL),
+grp AS (SELECT group_id, sum(n) AS size, arg_min(label, (-n, label)) AS stratum FROM per GROUP BY group_id),
+sr AS (SELECT group_id, row_number() OVER (PARTITION BY stratum ORDER BY size DESC, md5(group_id || '-group-42')) - 1 AS r FROM grp)
+SELECT doc_id, group_id, label, CAST(CASE WHEN floor(r / 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS BIGINT) AS fold FROM sgr JOIN sr USING (group_id)
+"""
+ORACLE["fold_balance_skewed"] = f"""WITH RECURSIVE {SPLITS_CTE.replace("sgr AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM bal)", "sgr AS (SELECT doc_id, coalesce(group_id, 'noid_' || doc_id) AS group_id, label FROM c0)")},
+t AS (SELECT fold, label, count(*) AS n_test FROM folds GROUP BY ALL)
+SELECT fold, label, n_test, CAST(sum(n_test) OVER (PARTITION BY label) - n_test AS BIGINT) AS n_train FROM t
+"""
+ORACLE["fold_balance"] = f"""WITH RECURSIVE {SPLITS_CTE}, t AS (SELECT fold, label, count(*) AS n_test FROM folds GROUP BY ALL)
 SELECT fold, label, n_test, CAST(sum(n_test) OVER (PARTITION BY label) - n_test AS BIGINT) AS n_train FROM t
 """
 ORACLE["sample_groups"] = f"""WITH {CORPUS_CTE},
@@ -520,9 +556,9 @@ ids AS (SELECT group_id FROM (SELECT DISTINCT group_id FROM c WHERE group_id IS
         ORDER BY md5(group_id || '-sample-42') LIMIT 5)
 SELECT doc_id, group_id FROM c WHERE group_id IN (SELECT group_id FROM ids)
 """
-ORACLE["concat_classes"] = f"WITH {SPLITS_CTE} SELECT doc_id, label FROM c0 WHERE label IN ('a', 'b')"
+ORACLE["concat_classes"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, label FROM c0 WHERE label IN ('a', 'b')"
 ORACLE["distinct_groups"] = f"WITH {CORPUS_CTE} SELECT count(DISTINCT group_id) AS n_groups FROM corpus"
-ORACLE["accuracy"] = f"""WITH {SPLITS_CTE}
+ORACLE["accuracy"] = f"""WITH RECURSIVE {SPLITS_CTE}
 SELECT fold, round(avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS accuracy FROM preds GROUP BY fold
 """
 CLASS_REPORT_CTE = f"""{SPLITS_CTE},
@@ -534,10 +570,10 @@ rep AS (SELECT fold, cls AS class, coalesce(tp / nullif(n_pred, 0), 0.0) AS prec
                coalesce(tp / nullif(support, 0), 0.0) AS recall, CAST(support AS BIGINT) AS support FROM perc),
 rep2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM rep)
 """
-ORACLE["class_report"] = f"""WITH {CLASS_REPORT_CTE}
+ORACLE["class_report"] = f"""WITH RECURSIVE {CLASS_REPORT_CTE}
 SELECT fold, class, round(precision, 6) AS precision, round(recall, 6) AS recall, support, round(f1, 6) AS f1 FROM rep2
 """
-ORACLE["cv_summary"] = f"""WITH {CLASS_REPORT_CTE},
+ORACLE["cv_summary"] = f"""WITH RECURSIVE {CLASS_REPORT_CTE},
 acc AS (SELECT fold, 'accuracy' AS metric, CAST(NULL AS VARCHAR) AS class,
                avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM preds GROUP BY fold),
 lg AS (SELECT fold, 'precision' AS metric, class, precision AS value FROM rep2
@@ -648,14 +684,14 @@ SELECT r.run_id, lang, count(*) AS n_docs FROM documents, (VALUES ('run-1'), ('r
 
 _M1 = [c for c in _F23 if c in CLASSIFY_STYLISTICS]
 _M1_LONG = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM rowsm" for f in _M1)
-ORACLE["feature_vector"] = f"""WITH {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {SPLITS_CTE},
+ORACLE["feature_vector"] = f"""WITH RECURSIVE {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {SPLITS_CTE},
 rowsm AS (SELECT bal.doc_id, {", ".join(_M1)} FROM bal LEFT JOIN styl USING (doc_id) LEFT JOIN summ USING (doc_id)),
 lgm AS ({_M1_LONG}),
 med AS (SELECT feature, coalesce(quantile_cont(value, 0.5), 0) AS m FROM lgm GROUP BY feature)
 SELECT doc_id, feature, round(coalesce(value, m), 6) AS value FROM lgm JOIN med USING (feature)
 """
-ORACLE["train_forest"] = f"WITH {SPLITS_CTE} SELECT doc_id, label, CAST(100 AS BIGINT) AS n_trees, true AS known_class FROM bal"
-ORACLE["cross_validate"] = f"WITH {SPLITS_CTE} SELECT fold, doc_id, label, true AS known_class FROM folds"
+ORACLE["train_forest"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, label, CAST(100 AS BIGINT) AS n_trees, true AS known_class FROM bal"
+ORACLE["cross_validate"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT fold, doc_id, label, true AS known_class FROM folds"
 ORACLE["mean_importances"] = f"SELECT CAST({len(CLASSIFY_STYLISTICS)} AS BIGINT) AS n_features, 1.0::DOUBLE AS total, true AS none_negative"
 ORACLE["kmeans_by_truth"] = f"WITH {_MODELS} SELECT model, doc_id, emb_label, true AS nearest, true AS within_k FROM asg"
 ORACLE["cluster_scores"] = f"""WITH {_MODELS}
@@ -669,7 +705,7 @@ SELECT vec_id AS doc_id, label AS emb_label, true AS ordered, true AS placed FRO
 
 def _cv_rows(condition: str = "") -> str:
     cte = SPLITS_CTE.replace("FROM corpus WHERE label IS NOT NULL)", f"FROM corpus WHERE label IS NOT NULL{condition})")
-    return f"""WITH {cte}
+    return f"""WITH RECURSIVE {cte}
 SELECT 'accuracy' AS metric, CAST(NULL AS VARCHAR) AS class, count(DISTINCT fold) AS n_folds, true AS in_bounds FROM folds
 UNION ALL SELECT m.metric, label, count(DISTINCT fold), true FROM folds, (VALUES ('precision'), ('recall'), ('f1')) AS m(metric)
 GROUP BY m.metric, label

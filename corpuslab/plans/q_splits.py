@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, splits
+from ..operators import cleaning, folds as group_folds, splits
 from ..sources import bindings
 from .registry import finish, register
 
@@ -18,7 +18,7 @@ def labelled(spark, sf):
 def folds(spark, sf):
     """balance -> surrogate groups -> five stratified group folds."""
     bal = splits.balance_classes(labelled(spark, sf))
-    return splits.stratified_group_folds(cleaning.fill_surrogate_group(bal), k=5)
+    return group_folds.stratified_group_folds(cleaning.fill_surrogate_group(bal), k=5)
 
 
 @register("balance_classes")
@@ -35,10 +35,24 @@ def q_shuffle(spark, sf):
 
 @register("stratified_group_folds")
 def q_stratified_group_folds(spark, sf):
-    """Group-disjoint, class-stratified fold per document."""
+    """Group-disjoint fold per document by the balancing solver."""
     return finish(folds(spark, sf).select("doc_id", "group_id", "label", "fold"))
 
 
+@register("snake_group_folds")
+def q_snake_group_folds(spark, sf):
+    """B3 without a solver: group-disjoint, class-stratified fold per document by snake dealing."""
+    rows = cleaning.fill_surrogate_group(splits.balance_classes(labelled(spark, sf)))
+    return finish(splits.snake_group_folds(rows, k=5).select("doc_id", "group_id", "label", "fold"))
+
+
+@register("fold_balance_skewed")
+def q_fold_balance_skewed(spark, sf):
+    """B3 + B4 without balancing first: counts per fold and class where the classes and groups differ in size."""
+    rows = cleaning.fill_surrogate_group(labelled(spark, sf))
+    return finish(splits.fold_balance(group_folds.stratified_group_folds(rows, k=5)))
+
+
 @register("fold_balance")
 def q_fold_balance(spark, sf):
     """train/test counts per fold and class."""

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators import evaluation as ev, sentiment as sn, splits, stats
+from corpuslab.operators import evaluation as ev, folds as group_folds, sentiment as sn, splits, stats
 
 
 def test_chunker(spark):
@@ -103,7 +103,7 @@ def test_balance_and_folds(spark, sf):
     bal = splits.balance_classes(c)
     counts = {r["label"]: r["count"] for r in bal.groupBy("label").count().collect()}
     assert len(set(counts.values())) == 1
-    folds = splits.stratified_group_folds(cleaning.fill_surrogate_group(bal), k=5)
+    folds = group_folds.stratified_group_folds(cleaning.fill_surrogate_group(bal), k=5)
     assert folds.groupBy("group_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
     assert folds.select("fold").distinct().count() == 5
     assert folds.count() == bal.count()
