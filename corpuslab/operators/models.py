@@ -169,10 +169,10 @@ def kmeans_by_truth(df: DataFrame, truth: str, vec_col: str = "embedding", by: s
     return out
 
 
-def project_2d(df: DataFrame, vec_col: str = "embedding", seed: int = 42) -> DataFrame:
-    """M6: 2-D map of embeddings — L2 normalisation (cosine geometry) then PCA(k=2).
+def project_pca(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
+    """M6 without neighbours: L2 normalisation (cosine geometry) then PCA(k=2), as a table (doc_id, x, y, + input columns).
 
-    Re-aims the reference's UMAP plot as a table (doc_id, x, y, + input columns).
+    The map from the neighbour graph is ``layout.neighbour_map``.
     """
     v = vector_from_array(df, vec_col, "_v")
     n = Normalizer(p=2.0, inputCol="_v", outputCol="_n").transform(v)

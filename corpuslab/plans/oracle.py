@@ -697,9 +697,21 @@ ORACLE["kmeans_by_truth"] = f"WITH {_MODELS} SELECT model, doc_id, emb_label, tr
 ORACLE["cluster_scores"] = f"""WITH {_MODELS}
 SELECT model, count(DISTINCT emb_label) AS n_groups, true AS within_k, true AS in_bounds FROM asg GROUP BY model
 """
-ORACLE["project_2d"] = """
-WITH g AS (SELECT label FROM (SELECT DISTINCT label FROM embeddings) ORDER BY md5(CAST(label AS VARCHAR) || '-sample-42') LIMIT 100)
-SELECT vec_id AS doc_id, label AS emb_label, true AS ordered, true AS placed FROM embeddings WHERE label IN (SELECT label FROM g)
+_SAMPLE = "g AS (SELECT label FROM (SELECT DISTINCT label FROM embeddings) ORDER BY md5(CAST(label AS VARCHAR) || '-sample-42') LIMIT 100)"
+ORACLE["project_2d"] = f"""
+WITH {_SAMPLE} SELECT vec_id AS doc_id, label AS emb_label, true AS more_near_than_pca, true AS placed FROM embeddings WHERE label IN (SELECT label FROM g)
+"""
+ORACLE["project_pca"] = f"""
+WITH {_SAMPLE} SELECT vec_id AS doc_id, label AS emb_label, true AS ordered, true AS placed FROM embeddings WHERE label IN (SELECT label FROM g)
+"""
+#: All pairs: the graph finds every neighbour as long as one block holds all points.
+ORACLE["neighbour_graph"] = f"""
+WITH {_SAMPLE},
+v AS (SELECT vec_id AS doc_id, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings WHERE label IN (SELECT label FROM g)),
+u AS (SELECT doc_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v),
+d AS (SELECT a.doc_id, greatest(1 - list_dot_product(a.u, b.u), 0) AS d FROM u a JOIN u b ON a.doc_id <> b.doc_id),
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY d) AS rank, d FROM d)
+SELECT doc_id, rank, round(d, 6) AS distance FROM r WHERE rank <= 15
 """
 
 

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import models
+from ..operators import layout, models, neighbours
+from ..session import materialize
 from .classification import classification_input, run_classification
-from .clustering import run_clustering, run_projection
+from .clustering import projection_sample, run_clustering, run_projection
 from .registry import finish, parallelism, register
 
 
@@ -65,8 +66,39 @@ def q_kmeans_by_truth(spark, sf):
 
 @register("project_2d")
 def q_project_2d(spark, sf):
-    """M6: 2-D map of a seeded sample of groups; the first axis has no less variance than the second."""
-    p = run_projection(spark, sf)
+    """M6: map of a seeded sample of groups from its neighbour graph: every row is placed, and linked points lie near one another.
+
+    (``more_near_than_pca``: of the graph's edges, more are shorter than a quarter of the points' root mean square
+    distance than between the same points' principal components.)
+    """
+    graph = {}
+    p = materialize(run_projection(spark, sf, graph_out=graph), "map")
+    pts = graph["points"].select("idx", F.col("id").alias("doc_id"), "v")
+
+    def near(places):
+        x = places.select(F.col("idx").alias("i"), "x", "y"), places.select(F.col("idx").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+        length = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)
+        usual = places.agg(2 * (F.var_samp("x") + F.var_samp("y"))).scalar()
+        return graph["edges"].join(x[0], "i").join(x[1], "j").agg(F.avg((length < usual / 16).cast("int"))).scalar()
+
+    more = near(pts.join(p, "doc_id")) > near(materialize(layout.principal(pts), "map-principal"))
+    return finish(p.select("doc_id", "emb_label", more.alias("more_near_than_pca"),
+                           (F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y")).alias("placed")))
+
+
+@register("neighbour_graph")
+def q_neighbour_graph(spark, sf):
+    """M6: distances of each sampled embedding to its nearest neighbours, as the graph of the map has them."""
+    pts = neighbours.points(projection_sample(spark, sf), "doc_id", "embedding")
+    g = neighbours.neighbour_graph(pts).join(pts.select(F.col("idx").alias("i"), F.col("id").alias("doc_id")), "i")
+    g = g.select("doc_id", F.posexplode("near").alias("pos", "x"))
+    return finish(g.select("doc_id", (F.col("pos") + 1).alias("rank"), F.col("x.d").alias("distance")))
+
+
+@register("project_pca")
+def q_project_pca(spark, sf):
+    """M6 by principal components: the first axis has no less variance than the second."""
+    p = run_projection(spark, sf, method="pca")
     spread = p.agg(F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     ordered = p.withColumns({"vx": spread.select("vx").scalar(), "vy": spread.select("vy").scalar()})
     return finish(ordered.select("doc_id", "emb_label", (F.col("vx") >= F.col("vy")).alias("ordered"),
