@@ -38,9 +38,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import HOT, positions
 from . import bpe
 from .common import by_bytes, release
-from .ordered import HOT, positions
 
 BUDGET, HISTORY, SEGMENT, CHUNKS = 4096, 1024, 1 << 20, 4096
 HISTORY_BYTES = 8  # for each token of ``history``

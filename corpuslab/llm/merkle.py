@@ -29,8 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import positions
 from ..session import materialize
-from .ordered import positions
 
 ARITY = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

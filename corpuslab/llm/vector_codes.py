@@ -37,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import attach
 from ..session import materialize
 from .common import release
-from .ordered import attach
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 #: Integers below this have exact squared distances in a long.
