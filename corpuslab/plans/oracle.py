@@ -367,6 +367,41 @@ _S = f"WITH {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}"
 ORACLE["chunk_words"] = f"{_S} SELECT doc_id, sent_id, chunk_id, chunk FROM chunks"
 ORACLE["cap_max_len"] = "SELECT doc_id, n_chars, CASE WHEN n_chars > 2000 THEN 512 ELSE n_chars END AS max_len FROM documents"
 ORACLE["score_chunks"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label, round(score, 6) AS score FROM scored"
+
+
+def _walks(steps: int = 6, restart: float = 0.3, window: int = 4, least: int = 5, seeds: int = 40) -> str:
+    """CTEs up to lex (word, score): co-occurrence graph, seeds, ``steps`` steps of both walks."""
+    word = q(r"[\p{L}\p{N}_]+")
+    step = """,
+r{n} AS (SELECT word, sum(p) AS p, sum(n) AS n FROM (
+    SELECT e.b AS word, {keep} * e.p * r.p AS p, {keep} * e.p * r.n AS n FROM e JOIN r{k} r ON r.word = e.a
+    UNION ALL SELECT word, {restart} * p, {restart} * n FROM r0) GROUP BY word)"""
+    return f"""
+pw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {word}) AS w FROM documents),
+pt AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM pw),
+kn AS (SELECT w FROM pt GROUP BY w HAVING count(*) >= {least}),
+pr AS (SELECT least(x.w, y.w) AS a, greatest(x.w, y.w) AS b, count(*) AS n FROM pt x JOIN pt y ON y.doc_id = x.doc_id AND y.i > x.i AND y.i <= x.i + {window}
+       WHERE x.w <> y.w AND x.w IN (SELECT w FROM kn) AND y.w IN (SELECT w FROM kn) GROUP BY ALL),
+bp AS (SELECT a, b, n FROM pr UNION ALL SELECT b, a, n FROM pr),
+dg AS (SELECT a, sum(n) AS d FROM bp GROUP BY a),
+mi AS (SELECT bp.a, bp.b, ln(bp.n * (SELECT sum(d) FROM dg)::DOUBLE / (x.d::DOUBLE * y.d)) AS w FROM bp JOIN dg x ON x.a = bp.a JOIN dg y ON y.a = bp.b),
+e AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM mi WHERE w > 1e-12),
+lc AS (SELECT CASE quality WHEN 1 THEN 'a' WHEN 0 THEN 'b' END AS label, list_distinct(w) AS ws FROM pw JOIN labels USING (doc_id) WHERE quality IN (0, 1)),
+nc AS (SELECT count_if(label = 'a') AS na, count_if(label = 'b') AS nb FROM lc),
+gp AS (SELECT word, count_if(label = 'a') * any_value(nb) - count_if(label = 'b') * any_value(na) AS gap FROM (SELECT label, unnest(ws) AS word FROM lc) CROSS JOIN nc GROUP BY word),
+sd AS (SELECT * FROM (SELECT word, 1 AS sign FROM gp ORDER BY gap DESC, word LIMIT {seeds}) UNION ALL SELECT * FROM (SELECT word, -1 FROM gp ORDER BY gap, word LIMIT {seeds})),
+si AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY sign) AS s FROM (SELECT DISTINCT word, sign FROM sd) WHERE word IN (SELECT a FROM e)),
+r0 AS (SELECT word, max(CASE WHEN sign > 0 THEN s ELSE 0 END) AS p, max(CASE WHEN sign < 0 THEN s ELSE 0 END) AS n FROM si GROUP BY word){"".join(step.format(k=k, n=k + 1, keep=1 - restart, restart=restart) for k in range(steps))},
+plx AS (SELECT word, (p - n) / (p + n) AS score FROM r{steps} WHERE p + n > 0)"""
+
+
+ORACLE["induced_lexicon"] = f"WITH {_walks().strip()} SELECT word, round(score, 6) AS score FROM plx"
+ORACLE["score_chunks_induced"] = f"""{_S}, {_walks().strip()},
+pcw AS (SELECT doc_id, sent_id, chunk_id, unnest(toks) AS word FROM sc),
+pch AS (SELECT doc_id, sent_id, chunk_id, avg(score) AS m FROM pcw JOIN plx USING (word) GROUP BY ALL)
+SELECT sc.doc_id, sc.sent_id, sc.chunk_id, CASE WHEN m > 1e-9 THEN 'positive' WHEN m < -1e-9 THEN 'negative' ELSE 'neutral' END AS label,
+       round(abs(coalesce(m, 0)), 6) AS score FROM sc LEFT JOIN pch USING (doc_id, sent_id, chunk_id)
+"""
 ORACLE["normalize_sentiment_label"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label_norm FROM signed"
 ORACLE["normalize_sentiment_synonyms"] = """
 SELECT doc_id, CASE WHEN doc_id % 12 < 3 THEN 'positive' WHEN doc_id % 12 < 6 THEN 'neutral'

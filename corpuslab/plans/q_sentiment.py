@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_sentiment_label
-from ..operators import sentiment as sn, stylistics as st
+from ..operators import polarity, sentiment as sn, stylistics as st
+from ..session import materialize
 from ..sources import bindings
 from .q_stylistics import tokens
 from .registry import finish, parallelism, register
@@ -38,6 +39,23 @@ def q_score_chunks(spark, sf):
     return finish(sn.score_chunks(sn.chunk_table(_sentences(spark, sf))))
 
 
+def _lexicon(spark, sf):
+    graph = polarity.word_graph(bindings.table(spark, sf, "documents").select("doc_id", "text"))
+    return polarity.induce(materialize(graph, "polarity-graph"), bindings.seed_words(spark, sf))
+
+
+@register("induced_lexicon")
+def q_induced_lexicon(spark, sf):
+    """Polarity of words by random walks from seed words over the corpus's word graph."""
+    return finish(_lexicon(spark, sf))
+
+
+@register("score_chunks_induced")
+def q_score_chunks_induced(spark, sf):
+    """Chunks scored by the induced lexicon."""
+    return finish(polarity.score_chunks(sn.chunk_table(_sentences(spark, sf)), materialize(_lexicon(spark, sf), "polarity-lexicon")))
+
+
 @register("normalize_sentiment_label")
 def q_normalize_sentiment_label(spark, sf):
     """Normalised chunk labels."""

@@ -65,6 +65,18 @@ def raw_sentiment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.get(labels, (F.col("doc_id") % len(RAW_SENTIMENT_LABELS)).cast("int")).alias("label"))
 
 
+def seed_words(spark: SparkSession, sf_dir: str, n: int = 40) -> DataFrame:
+    """(word, sign): the ``n`` words with the largest difference between the shares of labelled a and b documents that hold them, and the n with the smallest."""
+    c = corpus(spark, sf_dir).where(F.col("label").isNotNull())
+    total = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    of = {x: F.coalesce(total.where(F.col("label") == x).agg(F.sum("n")).scalar(), F.lit(0)) for x in "ab"}
+    words = c.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), 0))).alias("word"))
+    per = words.groupBy("word").agg(F.count_if(F.col("label") == "a").alias("a"), F.count_if(F.col("label") == "b").alias("b"))
+    gap = per.select("word", (F.col("a") * of["b"] - F.col("b") * of["a"]).alias("gap"))
+    top = gap.orderBy(F.desc("gap"), "word").limit(n).select("word", F.lit(1).alias("sign"))
+    return top.unionByName(gap.orderBy("gap", "word").limit(n).select("word", F.lit(-1).alias("sign")))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, embedding array<float>, emb_label int)."""
     e = table(spark, sf_dir, "embeddings")
