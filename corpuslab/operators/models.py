@@ -7,15 +7,18 @@ size is bounded by the number of features (importances) — never rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stats import exact_quantiles
 
@@ -135,6 +138,27 @@ def mean_importances(spark: SparkSession, models, names: Sequence[str], top: int
             .orderBy(F.desc("importance"), F.asc("feature")).limit(top))
 
 
+def with_nearest(assigned: DataFrame, centres: np.ndarray, vec_col: str) -> DataFrame:
+    """``assigned`` (..., cluster, vector) with ``nearest``: whether no centre is closer than that of ``cluster``.
+
+    The centres, which the fit holds on the driver, go to each worker once; distances are a matrix product a batch.
+    """
+    shared = assigned.sparkSession.sparkContext.broadcast(centres)
+    schema = T.StructType([*assigned.schema.fields, T.StructField("nearest", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, max(1, (1 << 22) // len(c))):
+                b = whole.slice(at, max(1, (1 << 22) // len(c)))
+                x = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+                gaps = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)
+                own = gaps[np.arange(len(x)), b.column("cluster").to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own <= gaps.min(1) + 1e-9)], names=schema.names)
+
+    return assigned.mapInArrow(run, schema)
+
+
 def kmeans_by_truth(df: DataFrame, truth: str, vec_col: str = "embedding", by: str = "model",
                     seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 4) -> DataFrame:
     """M5: per ``by`` value, KMeans with k = number of distinct ``truth`` values.
@@ -154,12 +178,8 @@ def kmeans_by_truth(df: DataFrame, truth: str, vec_col: str = "embedding", by: s
         if k < 2:
             return part.select(F.lit(m).alias(by), "doc_id", truth, F.lit(0).cast("bigint").alias("cluster"), F.lit(True).alias("nearest"))
         km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster").fit(part)
-        centers = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in km.clusterCenters()])
-        gaps = F.transform(centers, lambda c: F.aggregate(F.zip_with(vector_to_array("features"), c, lambda a, b: (a - b) * (a - b)),
-                                                          F.lit(0.0), lambda s, x: s + x))
-        found = km.transform(part).withColumn("_gaps", gaps)
-        nearest = F.element_at("_gaps", F.col("cluster") + 1) <= F.array_min("_gaps") + 1e-9
-        return found.select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"), nearest.alias("nearest"))
+        found = with_nearest(km.transform(part).select("doc_id", truth, "cluster", vec_col), np.array(km.clusterCenters()), vec_col)
+        return found.select(F.lit(m).alias(by), "doc_id", truth, F.col("cluster").cast("bigint"), "nearest")
 
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(names)))) as pool:
         parts = list(pool.map(one, names))

@@ -131,11 +131,11 @@ def _values(df: DataFrame, features, label_col: str, per_feature_max: dict | Non
     return materialize(long.select("feature", label_col, "value"), "feature-values")
 
 
-def _auto_bins(long: DataFrame, label_col: str, most: int = 1000) -> DataFrame:
+def _auto_bins(long: DataFrame, label_col: str) -> DataFrame:
     """(feature, label, lo_all, width, bins): per class, the finer of two width rules.
 
     Sturges: range / (log2(n) + 1); Freedman-Diaconis: 2 IQR / n^(1/3), left out
-    where the IQR is 0. At most ``most`` bins.
+    where the IQR is 0. (Only bins that hold values become rows.)
     """
     key = F.concat_ws("\u0001", "feature", label_col).alias("k")
     q = exact_quantiles(long.select(key, "value"), (0.25, 0.75), group_col="k")
@@ -144,7 +144,7 @@ def _auto_bins(long: DataFrame, label_col: str, most: int = 1000) -> DataFrame:
     s = s.withColumn("k", key).join(iqr, "k")
     n, span = F.col("n").cast("double"), F.col("hi_all") - F.col("lo_all")
     rule = F.least(F.nullif(2.0 * F.col("iqr") / F.cbrt(n), F.lit(0.0)), span / (F.log2(n) + 1.0))
-    bins = F.when(span > 0, F.least(F.ceil(F.round(span / rule, 9)), F.lit(most))).otherwise(F.lit(1)).cast("bigint")
+    bins = F.when(span > 0, F.ceil(F.round(span / rule, 9))).otherwise(F.lit(1)).cast("bigint")
     return s.select("feature", label_col, "lo_all", (span / bins).alias("width"), bins.alias("bins"))
 
 

@@ -36,7 +36,6 @@ def feature_profile(table: DataFrame) -> DataFrame:
     """Per numeric column: missing values (P17) and count, mean, std, quartiles, extremes."""
     cols = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.DoubleType, T.LongType)) and f.name != "doc_id"]
     t = materialize(table.select("doc_id", *cols), "profile-values")
-    cols = [c for c in cols if c != "compression_ratio" or t.where(F.col(c).isNotNull()).take(1)]
     missing = cleaning.missing_profile(t.select(*cols)).withColumnRenamed("column", "feature")
     return stats.describe_numeric(t, cols).join(missing, "feature")
 

@@ -366,6 +366,10 @@ summ AS (SELECT doc_id, count(signed) AS n_scores,
 _S = f"WITH {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}"
 ORACLE["chunk_words"] = f"{_S} SELECT doc_id, sent_id, chunk_id, chunk FROM chunks"
 ORACLE["cap_max_len"] = "SELECT doc_id, n_chars, CASE WHEN n_chars > 2000 THEN 512 ELSE n_chars END AS max_len FROM documents"
+ORACLE["subword_words"] = f"""
+SELECT word, count(*) AS n, word AS joined FROM (SELECT unnest(regexp_extract_all(text, {q(r'\S+')})) AS word FROM documents) GROUP BY word
+"""
+ORACLE["chunk_words_subword"] = f"{_S} SELECT doc_id, sent_id, CAST(len(ws) AS BIGINT) AS n_words, true AS within FROM ch WHERE len(ws) > 0"
 ORACLE["score_chunks"] = f"{_S} SELECT doc_id, sent_id, chunk_id, label, round(score, 6) AS score FROM scored"
 
 
@@ -424,7 +428,7 @@ STYLISTICS_TABLE_SQL = f"""{_S}, {CORPUS_CTE}
 SELECT c.doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in _F23)}, s.num_sents, c.group_id, c.label
 FROM corpus c LEFT JOIN styl s ON s.doc_id = c.doc_id LEFT JOIN summ ON summ.doc_id = c.doc_id
 """
-ORACLE["stylistics_table"] = ORACLE["stylistics_table_from_tokens"] = STYLISTICS_TABLE_SQL
+ORACLE["stylistics_measures"] = ORACLE["stylistics_measures_from_tokens"] = STYLISTICS_TABLE_SQL
 
 
 # --------------------------------------------------------------------------
@@ -484,7 +488,7 @@ ORACLE["histogram_auto"] = f"""WITH {DESC_CTE},
 s AS (SELECT feature, label, min(value) AS lo_all, max(value) - min(value) AS span, count(*) AS n,
              quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM l2 GROUP BY feature, label),
 r AS (SELECT *, least(CASE WHEN iqr > 0 THEN 2 * iqr / cbrt(n) END, span / (log2(n) + 1)) AS rule FROM s),
-e AS (SELECT *, CASE WHEN span > 0 THEN least(ceil(round(span / rule, 9)), 1000) ELSE 1 END AS bins FROM r),
+e AS (SELECT *, CASE WHEN span > 0 THEN ceil(round(span / rule, 9)) ELSE 1 END AS bins FROM r),
 j AS (SELECT l2.feature, l2.label, e.lo_all, e.span / e.bins AS width,
              CAST(CASE WHEN span > 0 THEN least(floor((value - lo_all) / (span / bins)), bins - 1) ELSE 0 END AS BIGINT) AS bin
       FROM l2 JOIN e USING (feature, label)),
@@ -719,15 +723,12 @@ SELECT r.run_id, lang, count(*) AS n_docs FROM documents, (VALUES ('run-1'), ('r
 
 _M1 = [c for c in _F23 if c in CLASSIFY_STYLISTICS]
 _M1_LONG = " UNION ALL ".join(f"SELECT doc_id, '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM rowsm" for f in _M1)
-ORACLE["feature_vector"] = f"""WITH RECURSIVE {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {SPLITS_CTE},
+ORACLE["feature_vector_measures"] = f"""WITH RECURSIVE {TOKENS_CTE}, {STYL_CTE}, {SENTI_CTE}, {SPLITS_CTE},
 rowsm AS (SELECT bal.doc_id, {", ".join(_M1)} FROM bal LEFT JOIN styl USING (doc_id) LEFT JOIN summ USING (doc_id)),
 lgm AS ({_M1_LONG}),
 med AS (SELECT feature, coalesce(quantile_cont(value, 0.5), 0) AS m FROM lgm GROUP BY feature)
 SELECT doc_id, feature, round(coalesce(value, m), 6) AS value FROM lgm JOIN med USING (feature)
 """
-ORACLE["train_forest"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT doc_id, label, CAST(100 AS BIGINT) AS n_trees, true AS known_class FROM bal"
-ORACLE["cross_validate"] = f"WITH RECURSIVE {SPLITS_CTE} SELECT fold, doc_id, label, true AS known_class FROM folds"
-ORACLE["mean_importances"] = f"SELECT CAST({len(CLASSIFY_STYLISTICS)} AS BIGINT) AS n_features, 1.0::DOUBLE AS total, true AS none_negative"
 ORACLE["kmeans_by_truth"] = f"WITH {_MODELS} SELECT model, doc_id, emb_label, true AS nearest, true AS within_k FROM asg"
 ORACLE["cluster_scores"] = f"""WITH {_MODELS}
 SELECT model, count(DISTINCT emb_label) AS n_groups, true AS within_k, true AS in_bounds FROM asg GROUP BY model
@@ -781,7 +782,7 @@ UNION ALL SELECT 'embeddings', count(*), round(sum(CAST(e.embedding[1] AS DOUBLE
 """
 _PROFILE = [*[c for c in _F23], "num_sents"]
 _PROFILE_LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value FROM allrows" for f in _PROFILE)
-ORACLE["feature_profile"] = f"""{_S}, {CORPUS_CTE},
+ORACLE["feature_profile_measures"] = f"""{_S}, {CORPUS_CTE},
 allrows AS (SELECT s.*, summ.sentiment_mean, summ.sentiment_std, summ.sentiment_abs FROM corpus c
             LEFT JOIN styl s ON s.doc_id = c.doc_id LEFT JOIN summ ON summ.doc_id = c.doc_id),
 lgp AS ({_PROFILE_LONG})
@@ -790,14 +791,13 @@ SELECT feature, count(value) AS count, round(avg(value), 6) AS mean, round(stdde
        round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max, count(*) - count(value) AS n_null
 FROM lgp GROUP BY feature
 """
-ORACLE["compression_ratio"] = f"""
+ORACLE["compression_bytes"] = f"""
 WITH {TOKENS_CTE}, {STYL_CTE},
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) AS rn,
               count(*) OVER (PARTITION BY doc_id) AS n FROM st)
 SELECT doc_id, CAST(strlen(string_agg(sentence, ' ' ORDER BY sent_id)) AS BIGINT) AS n_bytes, true AS has_ratio FROM rk
 WHERE CASE WHEN n > 50 THEN rn > 10 AND rn <= 50 ELSE rn <= 40 END GROUP BY doc_id
 """
-ORACLE["compression_ratio_fused"] = f"WITH {TOKENS_CTE}, {STYL_CTE} SELECT doc_id, true AS has_ratio FROM styl"
 
 # two-sided p: the tail of cos(x) ** (df - 1) above atan(t / sqrt(df)) over its whole, by Simpson's rule on
 # 2000 steps each (the tail is cut where it has vanished)
@@ -814,7 +814,7 @@ pv AS (SELECT feature, max(CASE WHEN part = 'tail' THEN a END) / max(CASE WHEN p
 ORACLE["t_test_p_values"] = f"""WITH {_TT}
 SELECT tt.feature, round(t_stat, 6) AS t_stat, df, round(p, 6) AS p_value FROM tt LEFT JOIN pv USING (feature)
 """
-ORACLE["class_comparison"] = f"""WITH {_TT}
+ORACLE["class_comparison_measures"] = f"""WITH {_TT}
 SELECT tt.feature, n_a, round(mean_a, 6) AS mean_a, round(std_a, 6) AS std_a, n_b, round(mean_b, 6) AS mean_b,
        round(std_b, 6) AS std_b, round(t_stat, 6) AS t_stat, df, round(p, 6) AS p_value FROM tt LEFT JOIN pv USING (feature)
 """

@@ -16,43 +16,49 @@ from .clustering import projection_sample, run_clustering, run_projection
 from .registry import finish, parallelism, register
 
 
-@register("feature_vector")
-def q_feature_vector(spark, sf):
-    """M1: the assembled stylistic vectors of the balanced rows after median imputation, listed by feature.
-
-    (The compression ratio has no SQL form and is left out of the list.)
-    """
+def _vector_cells(spark, sf):
     data, featurizer, names, _ = classification_input(spark, sf, "stylistics", num_partitions=parallelism(spark))
     v = featurizer.fit(data)(data)
     cells = v.select("doc_id", F.posexplode(vector_to_array("features")).alias("pos", "value"))
     feature = F.get(F.array(*[F.lit(n) for n in names]), F.col("pos"))
-    return finish(cells.select("doc_id", feature.alias("feature"), "value").where("feature <> 'compression_ratio'"))
+    return cells.select("doc_id", feature.alias("feature"), "value")
+
+
+@register("feature_vector", oracle=False)
+def q_feature_vector(spark, sf):
+    """M1: the assembled stylistic vectors of the balanced rows after median imputation, listed by feature."""
+    return finish(_vector_cells(spark, sf))
+
+
+@register("feature_vector_measures")
+def q_feature_vector_measures(spark, sf):
+    """M1: the same list without the compression ratio, which SQL can't express."""
+    return finish(_vector_cells(spark, sf).where("feature <> 'compression_ratio'"))
 
 
-@register("train_forest")
+@register("train_forest", oracle=False)
 def q_train_forest(spark, sf):
-    """M2: one forest on all balanced stylistic rows; for each row, whether it predicts one of the classes."""
+    """M2: one forest on all balanced stylistic rows: each row's prediction and the probability of its own class."""
     data, featurizer, _names, classes = classification_input(spark, sf, "stylistics", num_partitions=parallelism(spark))
     d = data.withColumn("_y", models.label_index("label", classes))
     v = featurizer.fit(d)(d)
     m = models.train_forest(v)
-    known = models.index_label("prediction", classes).isin(*classes)
-    return finish(m.transform(v).select("doc_id", "label", F.lit(len(m.trees)).alias("n_trees"), known.alias("known_class")))
+    own = F.get(vector_to_array("probability"), F.col("_y").cast("int"))
+    return finish(m.transform(v).select("doc_id", "label", models.index_label("prediction", classes).alias("prediction"), own.alias("own_probability")))
 
 
-@register("cross_validate")
+@register("cross_validate", oracle=False)
 def q_cross_validate(spark, sf):
-    """M3: five-fold predictions on the stylistic features: fold and label of each document, and a known class."""
+    """M3: five-fold predictions on the stylistic features."""
     preds, _summary, _imp = run_classification(spark, sf, "stylistics", num_partitions=parallelism(spark))
-    return finish(preds.select("fold", "doc_id", "label", F.col("prediction").isin("a", "b").alias("known_class")))
+    return finish(preds.select("fold", "doc_id", "label", "prediction"))
 
 
-@register("mean_importances")
+@register("mean_importances", oracle=False)
 def q_mean_importances(spark, sf):
-    """M4: mean importances over folds (stylistic features): how many, their sum, none negative."""
+    """M4: mean importances over folds (stylistic features)."""
     _p, _s, imp = run_classification(spark, sf, "stylistics", num_partitions=parallelism(spark))
-    return finish(imp.agg(F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"),
-                          (F.min("importance") >= 0).alias("none_negative")))
+    return finish(imp.select("feature", "importance"))
 
 
 @register("kmeans_by_truth")
@@ -148,20 +154,32 @@ def q_feature_tables(spark, sf):
     return finish(out, 4)
 
 
-@register("feature_profile")
+@register("feature_profile", oracle=False)
 def q_feature_profile(spark, sf):
     """E-1 job: the profile of the stylistics table (D8 and P17 per column)."""
     from .features import feature_profile, stylistics_features
 
-    return finish(feature_profile(stylistics_features(spark, sf, with_compression=False, num_partitions=parallelism(spark))))
+    return finish(feature_profile(stylistics_features(spark, sf, num_partitions=parallelism(spark))))
 
 
-@register("class_comparison")
-def q_class_comparison(spark, sf):
-    """E-4 job (flagship): per-feature class statistics, pooled t, df and two-sided p.
+@register("feature_profile_measures")
+def q_feature_profile_measures(spark, sf):
+    """E-1 job: the same profile without the compression ratio, which SQL can't express."""
+    from .features import feature_profile, stylistics_features
 
-    (The row of the compression ratio has no SQL form and is left out.)
-    """
+    t = stylistics_features(spark, sf, with_compression=False, num_partitions=parallelism(spark))
+    return finish(feature_profile(t.drop("compression_ratio")))
+
+
+@register("class_comparison", oracle=False)
+def q_class_comparison(spark, sf):
+    """E-4 job (flagship): per-feature class statistics, pooled t, df and two-sided p."""
     from .descriptives import class_comparison_report
 
-    return finish(class_comparison_report(spark, sf, num_partitions=parallelism(spark)).where("feature <> 'compression_ratio'"))
+    return finish(class_comparison_report(spark, sf, num_partitions=parallelism(spark)))
+
+
+@register("class_comparison_measures")
+def q_class_comparison_measures(spark, sf):
+    """E-4 job: the same report without the compression ratio, which SQL can't express."""
+    return finish(q_class_comparison(spark, sf).where("feature <> 'compression_ratio'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_sentiment_label
-from ..operators import polarity, sentiment as sn, stylistics as st
+from ..operators import polarity, sentiment as sn, stylistics as st, subwords
 from ..session import materialize
 from ..sources import bindings
 from .q_stylistics import tokens
@@ -26,6 +26,27 @@ def q_chunk_words(spark, sf):
     return finish(sn.chunk_table(_sentences(spark, sf)))
 
 
+@register("subword_words")
+def q_subword_words(spark, sf):
+    """Every distinct word of the documents, how often it occurs, and its pieces under the learned subword model put together again."""
+    words = materialize(subwords.word_table(bindings.table(spark, sf, "documents")), "subword-counts")
+    found = subwords.segment(words, subwords.learn(words))
+    return finish(found.select("word", "n", F.array_join("pieces", "").alias("joined")))
+
+
+@register("chunk_words_subword")
+def q_chunk_words_subword(spark, sf):
+    """N1 with learned costs, at most 64 tokens a chunk: words per sentence over its chunks, and whether each chunk of several words keeps the limit."""
+    sentences = materialize(_sentences(spark, sf), "subword-sentences")
+    words = materialize(subwords.word_table(sentences, "sentence"), "subword-counts")
+    pieces = materialize(subwords.segment(words, subwords.learn(words)), "subword-pieces")
+    chunks = materialize(subwords.chunk_table(sentences, pieces, 64), "subword-chunks")
+    cost = pieces.select("word", (F.size("pieces") + subwords.SPECIAL).alias("c"))
+    w = chunks.select("doc_id", "sent_id", "chunk_id", F.explode(F.regexp_extract_all("chunk", F.lit(r"\S+"), F.lit(0))).alias("word")).join(cost, "word")
+    per = w.groupBy("doc_id", "sent_id", "chunk_id").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"))
+    return finish(per.groupBy("doc_id", "sent_id").agg(F.sum("n").alias("n_words"), F.bool_and((F.col("c") <= 64) | (F.col("n") == 1)).alias("within")))
+
+
 @register("cap_max_len")
 def q_cap_max_len(spark, sf):
     """The model-limit cap applied to a length column."""
@@ -89,20 +110,31 @@ def q_sentiment_summary(spark, sf):
     return finish(s.select("doc_id", "n_scores", "sentiment_mean", "sentiment_std", "sentiment_abs"))
 
 
-@register("stylistics_table_from_tokens")
-def q_stylistics_table_from_tokens(spark, sf):
-    """F23 from a token table (as an external annotator gives it)."""
+@register("stylistics_measures_from_tokens")
+def q_stylistics_measures_from_tokens(spark, sf):
+    """F23 from a token table (as an external annotator gives it), without compression, which SQL can't express, and the series."""
     t = st.stylistics_table(tokens(spark, sf), corpus=bindings.corpus(spark, sf, with_text=False), with_compression=False)
     return finish(t.drop("sentiment", "compression_ratio"))
 
 
-@register("stylistics_table")
+@register("stylistics_measures")
+def q_stylistics_measures(spark, sf):
+    """F23 without compression, which SQL can't express, and the series."""
+    t = st.stylistics_of(_docs(spark, sf), corpus=bindings.corpus(spark, sf, with_text=False), with_compression=False, num_partitions=parallelism(spark))
+    return finish(t.drop("sentiment", "compression_ratio"))
+
+
+@register("stylistics_table_from_tokens", oracle=False)
+def q_stylistics_table_from_tokens(spark, sf):
+    """F23 from a token table: all measures and the sentiment series."""
+    return finish(st.stylistics_table(tokens(spark, sf), corpus=bindings.corpus(spark, sf, with_text=False)))
+
+
+@register("stylistics_table", oracle=False)
 def q_stylistics_table(spark, sf):
-    """all SQL-checkable measures + sentiment summary + corpus group and label.
+    """all measures, the sentiment series and summary, corpus group and label."""
+    return finish(st.stylistics_of(_docs(spark, sf), corpus=bindings.corpus(spark, sf, with_text=False), num_partitions=parallelism(spark)))
 
-    (The compression ratio is checked by its own query; the series by N6.)
-    """
-    corpus = bindings.corpus(spark, sf, with_text=False)
-    docs = bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
-    t = st.stylistics_of(docs, corpus=corpus, with_compression=False, num_partitions=parallelism(spark))
-    return finish(t.drop("sentiment", "compression_ratio"))
+
+def _docs(spark, sf):
+    return bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")
