@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from ..session import materialize
 from .common import by_bytes, is_held_out, n_words, texts_of
 
-MAX_TOXIC, MAX_CLEAN, MAX_ENTRIES = 4000, 12000, 5000
+MAX_TOXIC, MAX_CLEAN = 4000, 12000
 PREFIXES = (4, 5, 6, 7)
 LIMITS = (8.0, 12.0, 16.0, 24.0, 40.0)
 CONTEXTS, EXCEPTION_DOCS = 2, 2
@@ -290,7 +290,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n1, n0 = F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10")
     total1, total0 = max(1, size.get((0, 1), 0) + size.get((1, 1), 0)), max(1, size.get((0, 0), 0) + size.get((1, 0), 0))
     lean = (n1 + 0.5) / (n0 + 0.5) * (total0 / total1)
-    rows = counts.where((F.col("c") >= CONTEXTS) & (lean > 2)).orderBy(F.desc(n1 * F.log(lean)), "feature").limit(4 * MAX_ENTRIES).collect()
+    rows = counts.where((F.col("c") >= CONTEXTS) & (lean > 2)).collect()  # bounded by the sampled texts
 
     def lexicon(limit: float, halves: tuple[int, ...]) -> Lexicon:
         """Words first, then beginnings, longest first, by what is left of them without the entries below."""
@@ -311,7 +311,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             if contexts < CONTEXTS or float(_ratio(np.array([n1]), np.array([n0]), t, c)[0]) < limit:
                 continue
             odds = np.log((o1 + 0.5) / w1) - np.log((o0 + 0.5) / w0)
-            if odds > 2 and len(weights) < MAX_ENTRIES:
+            if odds > 2:
                 weights[f] = round(float(odds), 6)
                 for k in range(2, len(f)):
                     taken[f[:k]] += have
