@@ -5,11 +5,13 @@
    ``most`` times its source, and the excess is shared again by weight.
 2. A source's documents stand in a seeded random order (md5 of the id). A document is a block;
    the mix takes whole passes over the source and then blocks in that order until the
-   target, rounded to a word, is met exactly: only the last block of a source is cut.
+   target, rounded to a word, is met. The last of them is counted in part, so that the words taken meet the target exactly, or,
+   with ``whole``, taken as it is if that comes nearer to the target than leaving it out.
 3. The exact number of blocks per source is split among the output shards by a binary tree:
    at each node a multivariate-hypergeometric draw says how many blocks of each source go to
-   the left half. Leaves get disjoint intervals of each source's order.
-4. Within a shard rows are shuffled locally by a second seeded key (``shard_order``).
+   the left half. Leaves get disjoint intervals of each source's order, and what the mix takes of a document is what
+   the leaves draw of it. From ``DRAWN`` blocks on, the tree draws runs of several consecutive blocks, so that every draw stays exact.
+4. The mix gathers each shard (spread over partitions where it is large) and shuffles it locally by a second seeded key (``shard_order``).
 
 Ranks and running sums within a source use two steps: totals per (source, first hex digits of
 the key), their offsets, and a window inside each such bucket. A source with a third of all
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import NOT_WS, WS, n_words
+from .common import n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SHARDS, SEED = 1.5, 2.0, 16, 7
+#: The most blocks (or runs of blocks) that one draw is made from: numpy's exact generator takes fewer than 10**9.
+DRAWN = 500_000_000
 #: Per-source tables of up to so many numbers are broadcast (8 MB).
 BROADCAST_VALUES = 1_000_000
 
@@ -58,18 +62,17 @@ def _draw(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
     out, left, total = np.zeros_like(counts), n, int(counts.sum())
     for k, c in enumerate(counts.tolist()):
         rest = total - c
-        if total < 10**9:
-            got = int(rng.hypergeometric(c, rest, left)) if left and c else 0
-        else:  # beyond the generator's range: normal approximation within the exact bounds
-            p = left / total
-            sd = np.sqrt(max(0.0, c * p * (1 - p) * rest / max(total - 1, 1)))
-            got = int(np.clip(round(rng.normal(c * p, sd)), max(0, left - rest), min(c, left)))
+        got = int(rng.hypergeometric(c, rest, left)) if left and c else 0
         out[k], left, total = got, left - got, rest
     return out
 
 
-def split_quotas(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Blocks of each source (columns) in each shard (rows); column sums are ``counts``."""
+def split_quotas(counts: list[int], shards: int, seed: int = SEED, drawn: int = DRAWN) -> np.ndarray:
+    """Blocks of each source (columns) in each shard (rows); column sums are ``counts``.
+
+    With more than ``drawn`` blocks in all, runs of so many blocks are drawn that there are no more runs than that (a source's last run may be shorter).
+    """
+    run = max(1, -(-sum(counts) // drawn))
     out = np.zeros((shards, len(counts)), np.int64)
 
     def node(lo: int, hi: int, have: np.ndarray) -> None:
@@ -82,8 +85,9 @@ def split_quotas(counts: list[int], shards: int, seed: int = SEED) -> np.ndarray
         node(lo, mid, left)
         node(mid, hi, have - left)
 
-    node(0, shards, np.array(counts, np.int64))
-    return out
+    node(0, shards, np.array([-(-c // run) for c in counts], np.int64))
+    ends = np.minimum(np.cumsum(out, axis=0) * run, np.array(counts, np.int64))
+    return np.diff(ends, axis=0, prepend=0)
 
 
 def _running(d: DataFrame, prefix: int) -> DataFrame:
@@ -102,11 +106,11 @@ def _running(d: DataFrame, prefix: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
         weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS,
-        seed: int = SEED, prefix: int = 3, carry: bool = False) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, passes, cut, shards, shard_order.
+        seed: int = SEED, prefix: int = 3, whole: bool = False, carry: bool = False) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, shards, shard_order.
 
-    ``passes`` copies are whole; ``cut`` words (0: none) are taken from one more. ``shards`` has
-    the output shard of each drawn copy. With ``carry`` the whole row comes along as the struct ``_x_row``.
+    ``shards`` has the output shard of each drawn copy; ``taken`` counts their words, without those that the last block of a
+    source has beyond the target (none with ``whole``). With ``carry`` the whole row comes along as the struct ``_x_row``.
     """
     spark = docs.sparkSession
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
@@ -125,7 +129,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     small = len(rows) * (shards + 8) <= BROADCAST_VALUES  # else a join that Spark may split
     sent = F.broadcast if small else (lambda d: d)
     left = sent(spark.createDataFrame([(r["_x_src"], int(x)) for r, x in zip(rows, rest)], "_x_src string, _x_rest long"))
-    drawn = _running(slim, prefix).join(left, "_x_src").where(F.col("_x_before") < F.col("_x_rest"))
+    middle = (F.col("_x_rest") > 0) & (2 * F.col("_x_before") + F.col("size") <= 2 * F.col("_x_rest"))
+    inside = middle if whole else F.col("_x_before") < F.col("_x_rest")  # the documents of the partial pass
+    drawn = _running(slim, prefix).join(left, "_x_src").where(inside)
     partial = {r["_x_src"]: r["k"] for r in drawn.groupBy("_x_src").agg(F.count(F.lit(1)).alias("k")).collect()}
 
     blocks = [int(p) * r["n"] + partial.get(r["_x_src"], 0) for p, r in zip(passes, rows)]
@@ -137,32 +143,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     kept = ["_x_row"] if carry else []
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_x_row")
     d = _running(docs.select(F.col(id_col), row, *own) if carry else slim, prefix).join(sent(per_source), "_x_src")
-    d = d.withColumns({
-        "cut": F.greatest(F.lit(0), F.least(F.col("size"), F.col("_x_rest") - F.col("_x_before"))),
-        "_x_copies": F.col("passes") + (F.col("_x_before") < F.col("_x_rest")).cast("long")})
+    over = F.greatest(F.lit(0), F.col("_x_before") + F.col("size") - F.col("_x_rest"))  # words of the last block beyond the target
+    d = d.withColumns({"_x_in": inside, "_x_copies": F.col("passes") + inside.cast("long")})
     at = "transform(sequence(0L, _x_copies - 1), j -> cast(size(filter(_x_ends, e -> e <= j * _x_n + _x_rank)) as int))"
-    return d.select(F.col(id_col), *kept, "size", "source_size", "target",
-                    (F.col("passes") * F.col("size") + F.col("cut")).alias("taken"), "passes", "cut",
-                    F.expr(f"case when _x_copies > 0 then {at} else cast(array() as array<int>) end").alias("shards"),
-                    F.col("_x_key").alias("shard_order"))
+    d = d.withColumn("shards", F.expr(f"case when _x_copies > 0 then {at} else cast(array() as array<int>) end"))
+    taken = F.size("shards") * F.col("size") - (F.lit(0) if whole else F.when(F.col("_x_in"), over).otherwise(0))
+    return d.select(F.col(id_col), *kept, "size", "source_size", "target", taken.cast("long").alias("taken"), "shards", F.col("_x_key").alias("shard_order"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each drawn copy, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each drawn copy, whole, with the columns of ``docs``.
 
-    The one cut block of a source keeps its first ``cut`` words; rows lie by shard, locally shuffled.
+    Rows are gathered by shard, a large shard in several neighbouring partitions, and shuffled locally by ``shard_order``.
     """
-    names = docs.columns
-    d = mix(docs, id_col, text_col=text_col, carry=True, **options)
-    d = d.select("_x_row", "passes", "cut", "size", "shard_order", F.posexplode("shards").alias("_x_copy", "_x_shard"))
-    field = {c: F.col("_x_row").getField(c) for c in names}
-    is_cut = (F.col("_x_copy") >= F.col("passes")) & (F.col("cut") < F.col("size"))
-    words = F.regexp_extract_all(field[text_col], F.lit("(" + WS + "*" + NOT_WS + "+)"))
-    text = F.when(is_cut, F.array_join(F.slice(words, 1, F.col("cut").cast("int")), "")).otherwise(field[text_col])
-    order = F.xxhash64("shard_order", "_x_copy")
-    d = d.withColumn("_x_text", text).sortWithinPartitions("_x_shard", order)
-    out = dict(field)
-    out[text_col] = F.col("_x_text")
-    if "n_chars" in names:
-        out["n_chars"] = F.when(is_cut, F.length("_x_text").cast(docs.schema["n_chars"].dataType)).otherwise(field["n_chars"])
-    return d.select(*[out[c].alias(c) for c in names])
+    d = mix(docs, carry=True, whole=True, **options)
+    d = d.select("_x_row", "shard_order", F.posexplode("shards").alias("_x_copy", "_x_shard"))
+    d = d.withColumn("_x_order", F.xxhash64("shard_order", "_x_copy"))
+    d = d.repartitionByRange("_x_shard", "_x_order").sortWithinPartitions("_x_shard", "_x_order")
+    return d.select(*[F.col("_x_row").getField(c).alias(c) for c in docs.columns])

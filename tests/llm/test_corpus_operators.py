@@ -1,5 +1,6 @@
 """Katz scores, source mixing and sharding against brute force; the pipeline."""
 
+import hashlib
 import math
 import random
 import re
@@ -122,8 +123,55 @@ def test_splitting_tree():
     sizes = q.sum(axis=1)
     assert sizes.max() - sizes.min() <= 3
     assert (q == mixing.split_quotas(counts, 7)).all()
-    big = mixing.split_quotas([3 * 10**9, 2 * 10**9], 4)
-    assert big.sum(axis=0).tolist() == [3 * 10**9, 2 * 10**9]
+    big = mixing.split_quotas([3 * 10**9, 2 * 10**9, 5], 4)
+    assert big.sum(axis=0).tolist() == [3 * 10**9, 2 * 10**9, 5] and (big >= 0).all() and np.ptp(big.sum(axis=1)) <= 33
+    runs = mixing.split_quotas([1000, 7, 0, 333], 5, drawn=100)  # runs of 14 blocks
+    assert runs.sum(axis=0).tolist() == [1000, 7, 0, 333] and (runs >= 0).all() and np.ptp(runs.sum(axis=1)) <= 3 * 14
+
+
+def test_draws_are_hypergeometric():
+    """Means and variances of a node's draw over many seeds, against the distribution's."""
+    counts = np.array([40, 25, 35])
+    left = np.array([mixing._draw(np.random.default_rng(k), counts, 30) for k in range(4000)])
+    p = counts / 100
+    assert (left.sum(axis=1) == 30).all()
+    assert left.mean(axis=0) == pytest.approx(30 * p, rel=0.02)
+    assert left.var(axis=0) == pytest.approx(30 * p * (1 - p) * 70 / 99, rel=0.1)
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_shards_hold_disjoint_blocks_by_the_leaves_quotas(spark, whole):
+    """Brute force: the seeded order per source, its blocks up to the target, and the leaves' intervals of them."""
+    rows = [r for r in mix_rows() if r[0] is not None and r[0] != 5]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    got = {r.doc_id: r for r in mixing.mix(docs.repartition(4), shards=5, whole=whole).collect()}
+    by = defaultdict(list)
+    for i, s, t, _ in rows:
+        by[s].append((hashlib.md5(f"7-{i}".encode()).hexdigest(), i, len((t or "").split())))
+    order = sorted((s for s in by if s is not None)) + [None]
+    want = mixing.targets([sum(x[2] for x in by[s]) for s in order])
+    blocks = {}
+    for s, w in zip(order, want):
+        own, size = sorted(by[s]), sum(x[2] for x in by[s])
+        quota = min(round(w), 2 * size)
+        blocks[s], taken = [], 0
+        while size and taken + size <= quota:
+            blocks[s] += [(i, n) for _, i, n in own]
+            taken += size
+        for _, i, n in own if size else []:
+            if taken >= quota or whole and 2 * (quota - taken) < n:
+                break
+            blocks[s].append((i, n if whole else min(n, quota - taken)))
+            taken += n
+    quotas = mixing.split_quotas([len(blocks[s]) for s in order], 5)
+    shards, words = defaultdict(list), Counter()
+    for k, s in enumerate(order):
+        ends = np.cumsum(quotas[:, k])
+        for b, (i, n) in enumerate(blocks[s]):
+            shards[i].append(int(np.searchsorted(ends, b, "right")))
+            words[i] += n
+    for i, r in got.items():
+        assert (r.shards, r.taken) == (shards[i], words[i])
 
 
 def test_mix(spark):
@@ -156,14 +204,21 @@ def test_mixed_documents(spark):
                                  "doc_id long, source string, text string, n_chars long, size int, target int")
     out = mixing.mixed_documents(docs, shards=4)
     assert out.columns == docs.columns
-    want = {(r.doc_id, r.taken) for r in mixing.mix(docs, shards=4).collect()}
-    got = defaultdict(list)
+    mixed = mixing.mix(docs, shards=4, whole=True).collect()
+    text, got, lies = {i: t for i, _, t, _ in rows}, Counter(), []
+    shard_of = {r.doc_id: set(r.shards) for r in mixed}
     for r in out.collect():
-        got[r.doc_id].append(len((r.text or "").split()))
-        assert r.text is None or r.n_chars == len(r.text)
-    for i, taken in want:
-        if i != 5:
-            assert sum(got[i]) == taken
+        got[r.doc_id] += 1
+        lies.append(shard_of[r.doc_id])
+        assert r.text == text[r.doc_id] and r.n_chars == len(r.text or "")  # whole documents
+    copies = Counter()
+    for r in mixed:
+        copies[r.doc_id] += len(r.shards)
+        assert r.taken == r.size * len(r.shards)
+    assert +got == +copies
+    at = 0  # the rows can be read shard by shard
+    for s in lies:
+        at = min(x for x in s if x >= at)
     assert mixing.mix(docs.where("false")).count() == 0 and mixing.mixed_documents(docs.where("false")).count() == 0
 
 
