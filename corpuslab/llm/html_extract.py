@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +47,10 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
                   "form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search "
                   "section summary table tbody tfoot thead tr ul caption colgroup noscript".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noembed noframes xmp svg math object canvas audio video".split())
-GAP = frozenset("br td th img".split())
+#: Elements whose content is text up to their end tag (or the page's end), and elements whose content stands in for what is shown.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+INSTEAD = frozenset("svg object canvas audio video template".split())
+GAP = frozenset("br td th img svg math object canvas audio video".split())
 #: Elements that never hold main text, and words in class, id and role that say so.
 OFF_TAGS = frozenset("nav footer aside form menu dialog button select fieldset noscript search".split())
 OFF_WORDS = frozenset(
@@ -58,22 +60,29 @@ OFF_WORDS = frozenset(
     "comments commentlist respond replies disqus widget widgets pagination pager toolbar copyright disclaimer "
     "alert complementary contentinfo search form paywall teaser outbrain taboola".split())
 ON_WORDS = frozenset("article content post entry story main body text".split())
+#: A paragraph that is open outside of these stays open.
+P_SCOPE = frozenset("td th li div article section body button".split())
+LISTS = frozenset("ul ol dl table select menu".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SURE, MOST_SHARE = 50.0, 0.6
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "off_tag", "off_word", "on", "article", "chars")
+    __slots__ = ("tag", "parent", "depth", "off", "off_word", "on", "article", "chars", "ended", "open_p", "scope", "foreign", "mark", "flushed")
 
     def __init__(self, tag: str, parent: "Element | None", attributes: str):
-        self.tag, self.parent, self.chars = tag, parent, 0
+        self.tag, self.parent, self.chars, self.ended = tag, parent, 0, False
         self.depth = parent.depth + 1 if parent else 0
         words, hidden = _attributes(attributes) if attributes and tag not in ("html", "body") else ((), False)
         article = tag in ("article", "main") or "main" in words and tag in ("div", "section")
         self.article = article or bool(parent and parent.article)
-        self.off_tag = bool(parent and parent.off_tag) or hidden or tag in OFF_TAGS or tag == "header" and not self.article
-        self.off_word = self if not OFF_WORDS.isdisjoint(words) else None
+        self.off = bool(parent and parent.off) or hidden or tag in OFF_TAGS or tag == "header" and not self.article
+        self.off_word = any(w in OFF_WORDS for w in words if not (self.article and w == "header"))
         self.on = bool(parent and parent.on) or not ON_WORDS.isdisjoint(words)
+        # the nearest open paragraph, the nearest list, table or item, and the svg or math that this is in
+        self.open_p = self if tag == "p" else None if tag in P_SCOPE or not parent else parent.open_p
+        self.scope = self if tag in CLOSES or tag in LISTS else parent.scope if parent else None
+        self.foreign = self if tag in ("svg", "math") else parent.foreign if parent else None
 
 
 def _attributes(text: str) -> tuple[set[str], bool]:
@@ -104,9 +113,9 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page, in order."""
     out: list[Block] = []
     root = here = Element("#page", None, "")
+    elements, opened = [root], Counter()
     parts: list[str] = []
     links = linked = 0
-    raw_until = ""
 
     def flush() -> None:
         nonlocal linked
@@ -114,12 +123,16 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         if text:
             out.append(Block(text, here, min(linked, len(text))))
-            e = here
-            while e is not None:
-                e.chars += len(text)
-                e = e.parent
+            here.chars += len(text)
         linked = 0
 
+    def back_to(e: Element) -> None:
+        """Closes all elements inside ``e``."""
+        nonlocal here
+        while here is not e:
+            opened[here.tag] -= 1
+            here = here.parent
+
     def add(text: str) -> None:
         nonlocal linked
         if "&" in text:
@@ -129,18 +142,20 @@ def blocks(page: str) -> list[Block]:
             linked += len(text.strip())
 
     at, n = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
     while at < n:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at, last) if at < last else None
         if m is None:
-            rest = page[at:]
-            cut = _UNFINISHED.search(rest)
-            add(rest[:cut.start()] if cut else rest)
+            cut = _UNFINISHED.search(page, max(at, last))
+            add(page[at:cut.start()] if cut else page[at:])
             break
         if m.start() > at:
             add(page[at:m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:  # a comment, a declaration
+            if m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"):
+                break
             continue
         tag = tag.lower()
         if m[1]:  # an end tag
@@ -150,57 +165,64 @@ def blocks(page: str) -> list[Block]:
                 flush()
             elif tag in GAP:
                 parts.append(" ")
-            e = here
-            while e is not root and e.tag != tag:
-                e = e.parent
-            if e is not root:
-                here = e.parent
+            if opened[tag]:
+                e = here
+                while e.tag != tag:
+                    e = e.parent
+                e.ended = True
+                if tag in INSTEAD:  # drop its text, without what went to blocks inside, which are off
+                    del parts[e.mark if e.flushed == len(out) else 0:]
+                    parts.append(" ")
+                back_to(e.parent)
                 if tag in BLOCK:
                     links = 0
             continue
         if tag in RAW:
             if not m[3].endswith("/"):
-                close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+                close = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
                 at = close.end() if close else n
-            if tag in ("object", "svg", "math", "iframe", "video", "audio", "canvas"):
+            if tag == "iframe":
                 parts.append(" ")
             continue
         if tag in BLOCK:
             flush()
             links = 0 if tag not in ("li", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6") else links
-            e = here  # a paragraph that is still open ends here
-            while e is not root and e.tag not in ("td", "th", "li", "div", "article", "section", "body", "button"):
-                if e.tag == "p":
-                    here = e.parent
-                    break
-                e = e.parent
+            if here.foreign:  # a block ends an svg or math that was left open
+                e = here.foreign
+                while e.parent.foreign:
+                    e = e.parent.foreign
+                back_to(e.parent)
+            if here.open_p:  # a paragraph that is still open ends here
+                back_to(here.open_p.parent)
         elif tag in GAP:
             parts.append(" ")
         if tag in CLOSES:
-            e = here
-            while e is not root and e.tag not in ("ul", "ol", "dl", "table", "select", "menu"):
+            e = here.scope
+            while e and e.tag not in LISTS:
                 if e.tag in CLOSES[tag]:
-                    here = e.parent
+                    back_to(e.parent)
                     break
-                e = e.parent
+                e = e.parent.scope
         if tag == "a":
             links = 1
         if tag not in VOID and not m[3].endswith("/"):
             here = Element(tag, here, m[3])
+            here.mark, here.flushed = len(parts), len(out)
+            elements.append(here)
+            opened[tag] += 1
     flush()
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+    for e in elements[1:]:  # parents first
+        e.off = e.off or e.parent.off or e.tag in INSTEAD and e.ended or e.off_word and e.chars <= MOST_SHARE * root.chars
     return out
 
 
 def odds(block: Block, total: int) -> float:
     """Log odds of content for one block of a page with ``total`` characters of text."""
     e = block.element
-    if e.off_tag:
+    if e.off:
         return -SURE
-    up = e
-    while up is not None:
-        if up.off_word is not None and up.chars <= MOST_SHARE * total:
-            return -SURE
-        up = up.parent
     words = block.text.count(" ") + 1
     link = block.linked / len(block.text)
     heading = e.tag in ("h1", "h2", "h3", "h4", "h5", "h6")

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -45,6 +46,30 @@ def test_html_layout_class_does_not_hide_the_page():
     assert "main text" in html_extract.main_text(f"<div class='with-sidebar'>{body * 3}</div>")
 
 
+ARTICLE = "<p>" + "This is the article, with many words in it that tell a story. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize("inside", ["<video src=a>", "<object data=a>", "<audio>", "<canvas>", "<template>", "<svg><path>", "<svg><g><svg>", "<math><mi>",
+                                    "<svg><text>label</text></svg>", "<video>label</video>", "<object><p>label</p></object>", "<div class='entry-header'>"])
+def test_text_after_elements_that_stand_in_for_others_stays(inside):
+    got = html_extract.main_text(f"<html><body><article><h1>T</h1>{ARTICLE}{inside}{ARTICLE}</article></body></html>")
+    assert got.count("tell a story") == 18 and "label" not in got
+
+
+def test_icons_inside_a_paragraph_and_formulas():
+    got = html_extract.main_text(f"<article>{ARTICLE}<p>One <svg><title>icon</title></svg> long <math><mi>x</mi></math> paragraph.</p>{ARTICLE}</article>")
+    assert "One long x paragraph." in got
+
+
+@pytest.mark.parametrize("page", ["<a" * 500_000, "<" * 1_000_000, "<!--" * 250_000, '<a "' * 200_000 + ">", "<div>word here." * 50_000, "<ul>" * 50_000 + "x",
+                                  "<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "<li>x" * 20_000, "<span>" * 50_000 + "<table>x" * 5_000,
+                                  "<svg><path>" * 30_000 + "<p>x</p>"])
+def test_time_is_linear_in_the_page(page):
+    begun = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - begun < 4
+
+
 def test_min_cut_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
