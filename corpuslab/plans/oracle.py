@@ -145,6 +145,20 @@ ORACLE["segment_sentences"] = f"WITH {TOKENS_CTE} SELECT doc_id, sent_id, senten
 ORACLE["token_table"] = f"WITH {TOKENS_CTE} SELECT doc_id, sent_id, token_i, token_text, is_punct FROM tokens"
 ORACLE["tag_tokens"] = f"WITH {TOKENS_CTE} SELECT doc_id, token_i, pos, tag, lemma, morph, is_stop FROM tokens"
 ORACLE["attach_heads"] = f"WITH {TOKENS_CTE} SELECT doc_id, token_i, dep, head, head_i FROM tokens"
+ORACLE["attach_heads_parsed"] = f"""
+WITH {TOKENS_CTE} SELECT doc_id, sent_id, count(*) AS n_tokens, CAST(1 AS BIGINT) AS n_roots, true AS heads_inside FROM tokens GROUP BY doc_id, sent_id
+"""
+ORACLE["arc_counts"] = f"""WITH {TOKENS_CTE},
+a AS (SELECT d.pos AS dep, h.pos AS head, d.head_i = d.token_i AS root, d.head_i > d.token_i AS "right", abs(d.head_i - d.token_i) AS gap
+      FROM tokens d JOIN tokens h ON h.doc_id = d.doc_id AND h.token_i = d.head_i)
+SELECT dep, CASE WHEN root THEN 'ROOT' ELSE head END AS head, "right",
+       CAST(CASE WHEN root OR gap <= 1 THEN 0 WHEN gap <= 2 THEN 1 WHEN gap <= 3 THEN 2 WHEN gap <= 6 THEN 3 WHEN gap <= 10 THEN 4 ELSE 5 END AS BIGINT) AS far,
+       count(*) AS n FROM a GROUP BY ALL
+"""
+ORACLE["tag_transitions"] = f"""WITH {TOKENS_CTE},
+b AS (SELECT coalesce(lag(pos) OVER (PARTITION BY doc_id, sent_id ORDER BY token_i), '^') AS before, pos FROM tokens)
+SELECT before, pos, count(*) AS n FROM b GROUP BY ALL
+"""
 ORACLE["annotate"] = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, {q(r"\S+")}) AS ws FROM documents)
 SELECT doc_id, generate_subscripts(ws, 1) - 1 AS token_i, unnest(ws) AS token_text, lower(unnest(ws)) AS lemma FROM w
