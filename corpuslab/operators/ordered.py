@@ -31,6 +31,19 @@ def positions(rows: DataFrame, group: str, order: Sequence[Column], name: str, o
     return t.join(per, [group, "_x_part"]).withColumn(out, F.col("_x_id") + F.col("_x_0")).drop("_x_part", "_x_id", "_x_0")
 
 
+def running(rows: DataFrame, group: str, order: Sequence[Column], value: str, name: str, out: str = "before", block: int = 4096) -> DataFrame:
+    """``rows`` (written once) with ``out``: the sum of ``value`` over the group's rows before it.
+
+    Blocks of ``block`` positions are summed; a row adds what comes before it in its block to the blocks before.
+    """
+    t = positions(rows, group, order, name, "_x_at").withColumn("_x_block", F.floor(F.col("_x_at") / block)).drop("n")
+    t = t.withColumn("_x_sum", F.sum(value).over(Window.partitionBy(group, "_x_block").orderBy("_x_at")) - F.col(value))
+    per = t.groupBy(group, "_x_block").agg(F.sum(value).alias("_x_c"))
+    before = F.sum("_x_c").over(Window.partitionBy(group).orderBy("_x_block").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(group, "_x_block", F.coalesce(before, F.lit(0)).alias("_x_0"))
+    return t.join(per, [group, "_x_block"]).withColumn(out, F.col("_x_sum") + F.col("_x_0")).drop("_x_at", "_x_block", "_x_sum", "_x_0")
+
+
 def attach(rows: DataFrame, per_key: DataFrame, key: str, count: str = "_x_n") -> DataFrame:
     """``rows`` joined (null keys with null keys) to ``per_key``, which has one row a key and in ``count`` the key's rows.
 

@@ -426,6 +426,18 @@ SELECT doc_id, CASE WHEN doc_id % 12 < 3 THEN 'positive' WHEN doc_id % 12 < 6 TH
                     WHEN doc_id % 12 < 9 THEN 'negative' END AS label_norm FROM documents
 """
 ORACLE["signed_score"] = f"{_S} SELECT doc_id, sent_id, chunk_id, round(signed, 6) AS signed FROM signed"
+ORACLE["sentiment_entropy"] = f"""{_S},
+se AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, chunk_id) AS i, signed AS x, count(*) OVER (PARTITION BY doc_id) AS n,
+              0.2 * stddev_pop(signed) OVER (PARTITION BY doc_id) + 1e-9 AS near FROM signed WHERE signed IS NOT NULL),
+r1 AS (SELECT *, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM se WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r2 AS (SELECT doc_id, x, y, NULL AS z, any_value(near) AS near, count(*) AS c, 2 AS k FROM r1 WHERE y IS NOT NULL GROUP BY doc_id, x, y
+       UNION ALL SELECT doc_id, x, y, z, any_value(near), count(*), 3 FROM r1 WHERE z IS NOT NULL GROUP BY doc_id, x, y, z),
+rc AS (SELECT a.doc_id, a.k, a.c, sum(b.c) AS same FROM r2 a JOIN r2 b ON b.doc_id = a.doc_id AND b.k = a.k AND abs(a.x - b.x) <= a.near AND abs(a.y - b.y) <= a.near
+              AND (a.k = 2 OR abs(a.z - b.z) <= a.near) GROUP BY a.doc_id, a.k, a.c, a.x, a.y, a.z),
+rp AS (SELECT doc_id, k, sum(c * ln(same / total)) / any_value(total) AS phi FROM (SELECT *, sum(c) OVER (PARTITION BY doc_id, k)::DOUBLE AS total FROM rc) GROUP BY doc_id, k)
+SELECT d.doc_id, CASE WHEN any_value(n) >= 4 THEN round(sum(CASE k WHEN 2 THEN phi ELSE -phi END), 6) END AS sentiment_entropy
+FROM (SELECT DISTINCT doc_id FROM signed) d LEFT JOIN rp USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id, n FROM se) USING (doc_id) GROUP BY d.doc_id
+"""
 ORACLE["sentiment_series"] = f"""{_S}
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, chunk_id) - 1 AS pos, round(signed, 6) AS score
 FROM signed
@@ -464,6 +476,19 @@ cs AS (SELECT feature,
               stddev_samp(CASE WHEN label = 'b' THEN value END) AS std_b, var_samp(CASE WHEN label = 'b' THEN value END) AS var_b
        FROM lg WHERE label IN ('a', 'b') GROUP BY feature)
 """
+ORACLE["rank_correlation"] = f"""WITH {DESC_CTE},
+rv AS (SELECT feature, label, round(value, 9) AS v FROM lg WHERE label IN ('a', 'b') AND value IS NOT NULL),
+rr AS (SELECT feature, CASE WHEN label = 'a' THEN 1 ELSE 0 END AS y,
+              rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM rv)
+SELECT feature, count(*) AS n, CASE WHEN stddev_pop(r) > 0 AND stddev_pop(y) > 0 THEN round(corr(r, y), 6) END AS rho FROM rr GROUP BY feature
+"""
+ORACLE["mutual_information"] = f"""WITH {DESC_CTE},
+rv AS (SELECT feature, label, round(value, 9) AS v FROM lg WHERE label IN ('a', 'b') AND value IS NOT NULL),
+rs AS (SELECT *, min(v) OVER (PARTITION BY feature) AS lo, (max(v) OVER (PARTITION BY feature) - min(v) OVER (PARTITION BY feature)) / 10 AS w FROM rv),
+rb AS (SELECT feature, label, CASE WHEN w > 0 THEN least(floor((v - lo) / w), 9) ELSE 0 END AS bin, count(*)::DOUBLE AS n FROM rs GROUP BY ALL),
+rt AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS b, sum(n) OVER (PARTITION BY feature, label) AS c FROM rb)
+SELECT feature, round(greatest(sum(n / t * ln(n * t / (b * c))), 0), 6) AS mutual_information FROM rt GROUP BY feature
+"""
 ORACLE["class_counts"] = f"WITH {CORPUS_CTE} SELECT label, count(*) AS n FROM corpus GROUP BY label"
 ORACLE["text_length_by_class"] = f"""
 WITH {CORPUS_CTE}, c AS (SELECT label, CASE WHEN text IS NULL THEN 1 ELSE {WORDS} END AS n_words FROM corpus)

@@ -110,6 +110,12 @@ def q_sentiment_summary(spark, sf):
     return finish(s.select("doc_id", "n_scores", "sentiment_mean", "sentiment_std", "sentiment_abs"))
 
 
+@register("sentiment_entropy")
+def q_sentiment_entropy(spark, sf):
+    """Approximate entropy of each document's sentiment series."""
+    return finish(sn.sentiment_entropy(_signed(spark, sf)))
+
+
 @register("stylistics_measures_from_tokens")
 def q_stylistics_measures_from_tokens(spark, sf):
     """F23 from a token table (as an external annotator gives it), without compression, which SQL can't express, and the series."""
