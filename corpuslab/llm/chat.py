@@ -34,11 +34,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.ordered import HOT, positions
+from ..operators.ordered import HOT, running
 from . import bpe
 from .common import by_bytes, release
 
@@ -199,16 +199,6 @@ def _cuts(rows: DataFrame, segment: int, history: int) -> DataFrame:
     return cut.groupBy("conv").agg(F.min("id").alias("_x_id0"), cuts.alias("cuts")).drop("conv")
 
 
-def running(rows: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
-    """``rows`` with ``before``: the sum of ``value`` over the group's rows before it, in two steps like ``positions``."""
-    t = positions(rows, group, order, name).withColumn("_x_block", F.floor(F.col("idx") / 4096))
-    t = t.withColumn("_x_sum", F.sum(value).over(Window.partitionBy(group, "_x_block").orderBy("idx")) - F.col(value))
-    per = t.groupBy(group, "_x_block").agg(F.sum(value).alias("_x_c"))
-    before = F.sum("_x_c").over(Window.partitionBy(group).orderBy("_x_block").rowsBetween(Window.unboundedPreceding, -1))
-    per = per.select(group, "_x_block", F.coalesce(before, F.lit(0)).alias("_x_0"))
-    return t.join(per, [group, "_x_block"]).withColumn("before", F.col("_x_sum") + F.col("_x_0")).drop("_x_block", "_x_sum", "_x_0", "idx", "n")
-
-
 OWN, TAIL, FRONT = 2, 1, 0  # a chunk's turns, those before it, and the system turn
 
 
