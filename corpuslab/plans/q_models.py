@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import layout, models, neighbours
 from ..session import materialize
 from .classification import classification_input, run_classification
-from .clustering import projection_sample, run_clustering, run_projection
+from .clustering import cluster_documents, embed_documents, projection_sample, run_clustering, run_projection
 from .registry import finish, parallelism, register
 
 
@@ -119,6 +119,18 @@ def q_cluster_scores(spark, sf):
                            (F.col("ari").between(-1, 1) & F.col("v_measure").between(0, 1.000001)).alias("in_bounds")))
 
 
+@register("text_embeddings", oracle=False)
+def q_text_embeddings(spark, sf):
+    """32-dimensional embeddings of all documents by a truncated SVD of their TF-IDF weights."""
+    return embed_documents(spark, sf)
+
+
+@register("cluster_text_embeddings", oracle=False)
+def q_cluster_text_embeddings(spark, sf):
+    """E-3 job on embeddings made from the texts."""
+    return finish(cluster_documents(spark, sf))
+
+
 def _classify(feature_set, min_words=None, vocab_from="all"):
     def fn(spark, sf):
         s = run_classification(spark, sf, feature_set, min_words, vocab_from=vocab_from, num_partitions=parallelism(spark))[1]
