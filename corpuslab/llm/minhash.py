@@ -7,7 +7,7 @@ lower-cased words); two documents are linked if their sets' Jaccard similarity i
    ``PERMS`` MinHash coordinates. Sets aren't kept.
 2. Inverted join: a node is posted under each of its coordinate-value pairs. Linked nodes agree
    on at least ``MATCH`` coordinates (at similarity 0.8 fewer than that occur with probability
-   4e-8), so two of them share a pair even if only the ``PERMS - MATCH + 1`` first pairs of each
+   3.2e-7), so two of them share a pair even if only the ``PERMS - MATCH + 1`` first pairs of each
    (its prefix) are kept, in any order of pairs that is the same for all. The order is by the exact
    length of the posting lists, shortest first: a passage that many documents share
    stands last and makes no candidates.
