@@ -20,14 +20,16 @@ Work is laid out for shuffles: words are 64-bit hashes; about the ``HEAD`` most
 broadcast table; pairs of two of the ``HOT`` most frequent words are counted
 ahead of the shuffle and broadcast. All other bigrams of two words of the table move once, as sorted arrays of
 pairs and texts per bucket (one row for each bucket and about ``CHUNK`` tokens), and are
-written with their counts to the shared folder, which the discount, backoff and scoring jobs read.
+written with their counts to the shared folder, which the discount, backoff and scoring jobs read. Such a row names
+its chunk once and a text by its number in the chunk; the texts' keys move once a chunk, to where the gains are added up.
 Occurrences of all other words move once too, by a hash of the word and with their neighbours: a
 bucket then holds all of a rare word's counts, the bigrams it begins and those it ends after a word of the table. Where
 the next word is rare as well, its count comes by a join with the unigram table.
 
 Defined cases: null text is empty: its one token is the end; without training texts N = V = 0,
 base and score give the unknown type probability 1; repeated rows count and score each on its own; a null id is not held
-out; an empty table gives an empty table; extra columns are ignored.
+out; an empty table gives an empty table; extra columns are ignored. Rows that come in another order when a lost task is run
+again (documents straight from a shuffle; a scan keeps its order) stop the job with a message: write such documents first.
 """
 
 from __future__ import annotations
@@ -186,13 +188,22 @@ def _is_hot(pair: np.ndarray) -> np.ndarray:
     return (pair >> 20 < HOT) & ((pair & 0xFFFFF) < HOT)
 
 
-_ENTRIES = "bucket int, pairs binary, docs binary, counts binary, keys binary, train binary"
+#: Texts of a chunk at most (a number takes 15 bits, the one above tells whether the text is learned from).
+_TEXTS = 30_000
+_ENTRIES = "bucket int, chunk long, pairs binary, docs binary, counts binary, keys binary"
+_BIGRAMS = ["pairs", "counts", "times", "docs", "places", "chunks", "keys"]
+
+
+def _chunk_of(key: np.ndarray) -> int:
+    """What names a chunk: a hash of its texts' keys in order. Equal chunks hold equal texts."""
+    k = mix(key.view(np.uint64) + mix(np.arange(1, key.size + 1, dtype=np.uint64)))
+    return int(mix(np.bitwise_xor.reduce(k, keepdims=True) + U(key.size)).view(np.int64)[0])
 
 
 def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
-    """Rows of one bucket and chunk: sorted pairs, for each the number of its text, and the texts' keys and training flags.
+    """Rows of one bucket and chunk: sorted pairs, for each the number of its text and whether that is learned from.
 
-    Pairs of two frequent words come as counts over the chunk's training texts, in buckets below 0.
+    Pairs of two frequent words come as counts over the chunk's training texts, in buckets below 0, as do the keys of all its texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,23 +215,24 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             key, train = (np.concatenate([h[k] for h in held]) for k in (0, 1))
             pair, doc = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            chunk = _chunk_of(key)
             hot = _is_hot(pair)
             word, c = np.unique(pair[hot & train[doc]], return_counts=True)
-            rows = [(-1 - int(mix(key[:1].view(np.uint64))[0] % U(buckets)), _planes(word), b"", _planes(c.astype(np.int64)), b"", b"")]
-            pair, doc = pair[~hot], doc[~hot].astype(np.int32)
+            rows = [(-1 - chunk % buckets, chunk, _planes(word), b"", _planes(c.astype(np.int64)), key.tobytes())]
+            pair, doc = pair[~hot], doc[~hot]
+            number = (doc | train[doc].astype(np.int32) << 15).astype(np.uint16)
             # the bigrams of a rare history share a bucket; those of a frequent one are dealt by both words
             place = np.where(pair >> 20 < 4 * HOT, pair, (pair >> 20) + (np.int64(1) << 50))
             bucket = (mix(place.view(np.uint64)) % U(buckets)).astype(np.int64)
             order = np.argsort(bucket << 40 | pair)  # fewer than 2**23 buckets
-            pair, doc, bucket = pair[order], doc[order], bucket[order]
+            pair, number, bucket = pair[order], number[order], bucket[order]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cut.tolist(), [*cut[1:].tolist(), pair.size]):
-                own, place = np.unique(doc[a:b], return_inverse=True)  # only the texts that occur in this bucket
-                rows.append((int(bucket[a]), _planes(pair[a:b]), _planes(place.astype(np.uint16)), b"", key[own].tobytes(), train[own].tobytes()))
+                rows.append((int(bucket[a]), chunk, _planes(pair[a:b]), _planes(number[a:b]), b"", b""))
             for at in range(0, len(rows), 16):
                 cols = list(zip(*rows[at:at + 16]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
-                                                 names=["bucket", "pairs", "docs", "counts", "keys", "train"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[2:]]],
+                                                 names=["bucket", "chunk", "pairs", "docs", "counts", "keys"])
 
         for b in by_bytes(batches, "_x_text"):
             token, first = _tokens(b)
@@ -229,11 +241,11 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
             ok = pair >= 0
             key = b.column("_x_key").to_numpy()
             train = ~b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            if held and texts + b.num_rows > 60_000:
+            if held and texts + b.num_rows > _TEXTS:
                 yield from out()
                 held, size, texts = [], 0, 0
-            for a in range(0, b.num_rows, 60_000):  # a chunk numbers its texts by 16 bits
-                z = min(a + 60_000, b.num_rows)
+            for a in range(0, b.num_rows, _TEXTS):
+                z = min(a + _TEXTS, b.num_rows)
                 mine = ok & (doc >= a) & (doc < z)
                 held.append((key[a:z], train[a:z], pair[mine], (doc[mine] - a + texts).astype(np.int32)))
                 size, texts = size + int(mine.sum()), texts + z - a
@@ -248,37 +260,35 @@ def _entries(docs: DataFrame, shared, buckets: int) -> DataFrame:
 
 
 def _counted(t: pa.Table) -> pa.Table:
-    """All chunks of a bucket merged: distinct pairs, their training counts, occurrences, and the texts of these.
+    """All chunks of a bucket merged: distinct pairs, their training counts, occurrences, and the texts of these by place of the chunk and number.
 
-    A row holds about ``ROW`` occurrences, and all those of a pair.
+    A row holds about ``ROW`` occurrences, and all those of a pair. In buckets below 0: counts of pairs, and a row with its texts' keys for each chunk.
     """
-    bucket = t.column("bucket")[0].as_py()
     rows = t.to_pylist()
     pair = np.concatenate([_unplanes(r["pairs"], np.int64) for r in rows])
-    if bucket < 0:
+    none = dict.fromkeys(_BIGRAMS, b"")
+    if rows[0]["bucket"] < 0:
         c = np.concatenate([_unplanes(r["counts"], np.int64) for r in rows])
         word, place = np.unique(pair, return_inverse=True)
         total = np.bincount(place, c, word.size).astype(np.int64)
-        out = [(_planes(word), _planes(total), b"", b"", b"")]
+        out = [none | {"pairs": _planes(word), "counts": _planes(total)}]
+        out += [none | {"chunks": np.array([r["chunk"]]).tobytes(), "keys": r["keys"]} for r in rows]
     else:
-        doc, at = [], 0
-        for r in rows:
-            doc.append(_unplanes(r["docs"], np.uint16).astype(np.uint32) + np.uint32(at))
-            at += len(r["keys"]) // 8
-        doc = np.concatenate(doc)
-        keys, train = b"".join(r["keys"] for r in rows), np.frombuffer(b"".join(r["train"] for r in rows), bool)
+        number = np.concatenate([_unplanes(r["docs"], np.uint16) for r in rows])
+        chunk = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(r["docs"]) // 2 for r in rows])
+        chunks = np.array([r["chunk"] for r in rows], np.int64)
         order = np.argsort(pair, kind="stable")
-        pair, doc = pair[order], doc[order]
+        pair, number, chunk = pair[order], number[order], chunk[order]
         cut = np.flatnonzero(np.diff(pair, prepend=-1))
-        c = np.add.reduceat(train[doc].astype(np.int64), cut) if cut.size else np.empty(0, np.int64)
-        end = np.append(cut, pair.size)
-        key, out = np.frombuffer(keys, np.int64), []
+        c = np.add.reduceat((number >> 15).astype(np.int64), cut)
+        end, out = np.append(cut, pair.size), []
         edges = np.unique(np.searchsorted(end, np.arange(0, pair.size, ROW)))
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), cut.size]):
-            own, place = np.unique(doc[end[a]:end[b]], return_inverse=True)
-            out.append((_planes(pair[cut[a:b]]), _planes(c[a:b]), _planes(np.diff(end[a:b + 1]).astype(np.int32)),
-                        _planes(place.astype(np.uint32)), key[own].tobytes()))
-    return pa.table({k: pa.array([r[i] for r in out], pa.binary()) for i, k in enumerate(["pairs", "counts", "times", "docs", "keys"])})
+            own, place = np.unique(chunk[end[a]:end[b]], return_inverse=True)
+            cols = (_planes(pair[cut[a:b]]), _planes(c[a:b]), _planes(np.diff(end[a:b + 1]).astype(np.int32)),
+                    _planes(number[end[a]:end[b]] & np.uint16(0x7FFF)), _planes(place.astype(np.uint32)), chunks[own].tobytes(), b"")
+            out.append(dict(zip(_BIGRAMS, cols)))
+    return pa.table({k: pa.array([r[k] for r in out], pa.binary()) for k in _BIGRAMS})
 
 
 _TAIL = "word long, key long, train boolean, prev int, next int, after long"
@@ -376,7 +386,7 @@ def _hot_counts(bigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 cols = [pa.array(_unplanes(x.as_py(), np.int64)) for x in (raw, counts)]
                 yield pa.RecordBatch.from_arrays(cols, names=["pair", "c"])
 
-    rows = bigrams.where(F.length("docs") == 0).select("pairs", "counts").mapInArrow(run, "pair long, c long")
+    rows = bigrams.where((F.length("docs") == 0) & (F.length("keys") == 0)).select("pairs", "counts").mapInArrow(run, "pair long, c long")
     t = rows.groupBy("pair").agg(F.sum("c").alias("c")).toArrow().sort_by("pair")
     return t.column("pair").to_numpy(), t.column("c").to_numpy()
 
@@ -482,14 +492,6 @@ def _text_sums(docs: DataFrame, id_col: str, model) -> DataFrame:
     return docs.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, _x_key long, n_tokens long, known long, base double, value double")
 
 
-def _of_bigrams(u: Unigrams, m: Backoff, r: dict) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Texts of a row of the bigrams that aren't counted ahead, and what these add to their scores."""
-    pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
-    gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
-    keys = np.frombuffer(r["keys"], np.int64)
-    return keys, [np.bincount(_unplanes(r["docs"], np.uint32), gain, keys.size)]
-
-
 def _of_rare(u: Unigrams, m: Backoff, r: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     """Texts of a row of rare words, and what these add to their scores, bases and numbers of known tokens."""
     key, place, prev, c_prev, c_next, c_after, counts, own, own_c, own_w = _arrays(r, *_RARE[:10])
@@ -505,6 +507,87 @@ def _of_rare(u: Unigrams, m: Backoff, r: dict) -> tuple[np.ndarray, list[np.ndar
     return keys, [np.bincount(at, x, keys.size) for x in (value, u.log_base(c), (c > 0).astype(float))]
 
 
+def _bigram_gains(bigrams: DataFrame, model, parts: int) -> DataFrame:
+    """(_x_key, value2): what the bigrams that aren't counted ahead add to each text's score.
+
+    A task adds up what its rows give to each text of a chunk, and sends the sums as arrays, one for each of ``parts``
+    of the chunks, where the keys of the chunks' texts come too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, m = model.value
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # chunks, place and number of each text, its gain
+        size = 0
+
+        def row(part: int, chunks: np.ndarray, times: bytes, docs: bytes, value2: bytes, keys: bytes) -> tuple:
+            return part, chunks.tobytes(), times, docs, value2, keys
+
+        def out() -> Iterator[pa.RecordBatch]:
+            chunk, place = np.unique(np.concatenate([c for c, _, _ in held]), return_inverse=True)
+            part = (mix(chunk.view(np.uint64)) % U(parts)).astype(np.int64)
+            rank = np.argsort(part, kind="stable")
+            to = np.empty(chunk.size, np.int64)
+            to[rank] = np.arange(chunk.size)
+            place = np.split(to[place], np.cumsum([c.size for c, _, _ in held])[:-1])
+            text, at = np.unique(np.concatenate([p[t >> 15] << 15 | t & 0x7FFF for p, (_, t, _) in zip(place, held)]), return_inverse=True)
+            gain = np.bincount(at, np.concatenate([g for _, _, g in held]), text.size)
+            chunk, part = chunk[rank], part[rank]
+            cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), part.size)
+            span = np.searchsorted(text, cut << 15)
+            times = np.bincount(text >> 15, minlength=chunk.size).astype(np.int32)
+            yield from batch([row(int(part[a]), chunk[a:b], times[a:b].tobytes(), _planes((text[x:y] & 0x7FFF).astype(np.uint16)), gain[x:y].tobytes(), b"")
+                              for a, b, x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), span[:-1].tolist(), span[1:].tolist())])
+
+        def batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+                                                 names=["part", "chunks", "times", "docs", "value2", "keys"])
+
+        for b in batches:
+            for r in b.to_pylist():  # a row at a time: its arrays go before the next one's come
+                chunks = np.frombuffer(r["chunks"], np.int64)
+                if r["keys"]:
+                    part = int(mix(chunks.view(np.uint64))[0] % U(parts))
+                    yield from batch([row(part, chunks, b"", b"", b"", r["keys"])])
+                    continue
+                pair, c = _unplanes(r["pairs"], np.int64), _unplanes(r["counts"], np.int64)
+                gain = np.repeat(m.gain(u, pair, c), _unplanes(r["times"], np.int32))
+                text = _unplanes(r["places"], np.uint32).astype(np.int64) << 15 | _unplanes(r["docs"], np.uint16)
+                text, at = np.unique(text, return_inverse=True)
+                held.append((chunks, text, np.bincount(at, gain, text.size)))
+                size += text.size
+                if size >= 2 * CHUNK:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
+        release()
+
+    def add(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        texts = {r["chunks"]: np.frombuffer(r["keys"], np.int64) for r in rows if r["keys"]}
+        names = np.frombuffer(b"".join(texts), np.int64)
+        key = np.concatenate([np.empty(0, np.int64), *texts.values()])
+        begin = np.cumsum([0, *[k.size for k in texts.values()]])[:-1]
+        order = np.argsort(names)
+        text, gain = [np.empty(0, np.int64)], [np.empty(0)]
+        for r in rows:
+            if not r["keys"]:
+                chunk = np.frombuffer(r["chunks"], np.int64)
+                i = order[np.minimum(np.searchsorted(names, chunk, sorter=order), names.size - 1)] if names.size else order
+                if i.size != chunk.size or (names[i] != chunk).any():
+                    raise RuntimeError("a chunk's texts are missing: its rows came in another order when a lost task was run again")
+                text.append(np.repeat(begin[i], np.frombuffer(r["times"], np.int32)) + _unplanes(r["docs"], np.uint16))
+                gain.append(np.frombuffer(r["value2"], np.float64))
+        total = np.bincount(np.concatenate(text), np.concatenate(gain), key.size)
+        return pa.table({"_x_key": pa.array(key), "value2": pa.array(total)})
+
+    rows = bigrams.where((F.length("docs") > 0) | (F.length("keys") > 0))
+    sums = rows.mapInArrow(run, "part long, chunks binary, times binary, docs binary, value2 binary, keys binary")
+    return sums.groupBy("part").applyInArrow(add, "_x_key long, value2 double")
+
+
 def _gains(rows: DataFrame, of, names: list[str], model, parts: int) -> DataFrame:
     """(_x_key, *names): sums over texts of what ``of`` gives for each row.
 
@@ -555,13 +638,13 @@ def _tables(d: DataFrame, id_col: str, vocabulary: int | None, head: int) -> tup
     shared = spark.sparkContext.broadcast(u)
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = _entries(d, shared, max(width, -(-u.n // CHUNK)))  # a bucket holds about CHUNK tokens
-    bigrams = entries.groupBy("bucket").applyInArrow(_counted, "pairs binary, counts binary, times binary, docs binary, keys binary")
+    bigrams = entries.groupBy("bucket").applyInArrow(_counted, ", ".join(f"{k} binary" for k in _BIGRAMS))
     bigrams = materialize(bigrams, "katz-bigrams")
     rare = _rare(d, words, shared, max(width, -(-(u.n - int(u.counts.sum())) // ROW)), vocabulary is None)
     rare = materialize(rare, "katz-rare")
     model = spark.sparkContext.broadcast((u, backoff(bigrams, rare, u, shared)))
     texts = materialize(_text_sums(d, id_col, model), "katz-texts")
-    gains = materialize(_gains(bigrams.where(F.length("docs") > 0), _of_bigrams, ["value2"], model, width), "katz-gains")
+    gains = materialize(_bigram_gains(bigrams, model, max(width, u.n // (16 * CHUNK))), "katz-gains")
     tail = materialize(_gains(rare, _of_rare, ["value2", "base2", "known2"], model, width), "katz-tail-gains")
     return u, texts, gains, tail
 
