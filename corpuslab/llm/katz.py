@@ -580,7 +580,7 @@ def _bigram_gains(bigrams: DataFrame, model, parts: int) -> DataFrame:
                     raise RuntimeError("a chunk's texts are missing: its rows came in another order when a lost task was run again")
                 text.append(np.repeat(begin[i], np.frombuffer(r["times"], np.int32)) + _unplanes(r["docs"], np.uint16))
                 gain.append(np.frombuffer(r["value2"], np.float64))
-        total = np.bincount(np.concatenate(text), np.concatenate(gain), key.size)
+        total = np.bincount(np.concatenate(text), np.concatenate(gain), key.size).astype(float)  # integers where nothing was gained
         return pa.table({"_x_key": pa.array(key), "value2": pa.array(total)})
 
     rows = bigrams.where((F.length("docs") > 0) | (F.length("keys") > 0))
