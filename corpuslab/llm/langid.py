@@ -35,6 +35,8 @@ from .words import BASE, IS_WS, LOWER, U, Words
 
 BITS, DOCS, WINDOWS, RUN = 18, 400, 3, 40
 SEQUENCE, STEPS, RATE, RIDGE = 96, 30, 0.25, 1e-6
+#: Groups in which a language's candidates for the sample are ranked before all together.
+_DEALS = 1024
 _LETTER = re.compile(r"[^\W\d_]")
 _SHIFT = U(64 - BITS)
 _SPREAD = [U((2 * k + 1) * int(BASE) % 2**64) for k in range(4)]
@@ -195,14 +197,25 @@ def fit(runs: list[tuple[str, list[str]]], seed: int = 3) -> Model:
     return Model(langs, weights, moves)
 
 
+def _first_ids(known: DataFrame, id_col: str, lang_col: str, most: int = DOCS) -> DataFrame:
+    """Of each language the ``most`` rows whose ids have the smallest hashes.
+
+    A task sends on no more than ``most`` ids of a language; these are ranked in ``_DEALS`` groups first (by the task they come from,
+    which doesn't change the result), so that no task gets those of all tasks.
+    """
+    rows = known.withColumn("_x_deal", F.spark_partition_id() % _DEALS)
+    for keys in ([lang_col, "_x_deal"], [lang_col]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(id_col), id_col)
+        rows = rows.withColumn("_x_n", F.row_number().over(order)).where(F.col("_x_n") <= most).drop("_x_n")
+    return rows.drop("_x_deal")
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           usable: Column | None = None) -> Model:
     """A model from documents with a language; ``usable`` says which rows may be learned from (default: those not held out)."""
     usable = ~is_held_out(id_col, 0) if usable is None else usable
     known = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & usable)
-    # each task sends on no more than DOCS ids of a language
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    picked = known.select(F.col(id_col), F.col(lang_col)).withColumn("_x_n", F.row_number().over(order)).where(F.col("_x_n") <= DOCS).drop("_x_n")
+    picked = _first_ids(known.select(F.col(id_col), F.col(lang_col)), id_col, lang_col)
     # at most DOCS ids a language: small enough to broadcast at any size of the corpus
     sample = docs.join(F.broadcast(picked.distinct()), [id_col, lang_col]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 

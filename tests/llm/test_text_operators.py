@@ -176,6 +176,16 @@ def test_langid(spark):
     assert langid.tag(docs.where("false"), model).count() == 0
 
 
+def test_langid_sample_is_the_same_from_any_partitions(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "en").when(F.col("id") % 60 == 0, "fr").otherwise("de").alias("lang"))
+    ids = sorted(df.withColumn("h", F.xxhash64("doc_id")).collect(), key=lambda r: r.h)
+    want = {(r.doc_id, r.lang) for lang in ("en", "fr", "de") for r in [r for r in ids if r.lang == lang][:70]}
+    for parts in (1, 7):
+        got = langid._first_ids(df.repartition(parts), "doc_id", "lang", 70).collect()
+        assert len(got) == 190 and {(r.doc_id, r.lang) for r in got} == want
+    assert langid._first_ids(df.where("false"), "doc_id", "lang").count() == 0
+
+
 def test_langid_learns_every_language(spark):
     rng = random.Random(4)
     alphabet = "bcdfghjklmnpqrstvwxz"
