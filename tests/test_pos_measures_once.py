@@ -7,7 +7,7 @@ from corpuslab.plans import q_stylistics
 
 def test_pos_measures_read_the_tokens_once(spark, sf):
     plan = st.pos_measures(q_stylistics.tokens(spark, sf))
-    assert plan._jdf.queryExecution().executedPlan().toString().count("posexplode") == 1
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Generate posexplode") == 1
     rows = [(1, 0, 0, "a", "NOUN", None, False, "dep", 0, "x"), (1, 0, 1, "b", "NOUN", None, False, "dep", 0, "x"),
             (1, 0, 2, "c", "VERB", None, False, "dep", 0, "x"), (2, 0, 0, "d", "ADJ", None, False, "dep", 0, "x"),
             (3, 0, 0, "e", "VERB", None, False, "dep", 0, "y"), (None, 0, 0, "f", "NOUN", None, False, "dep", 0, "z")]
