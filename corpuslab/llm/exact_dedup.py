@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import texts_of
+from .common import release, small_batches, texts_of
 
 #: Runs of white space that aren't one space already.
 NOT_NORMAL = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -116,8 +116,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             held, text = [light.slice(int(at[-1]))], texts[int(at[-1])].as_py()
         if held:
             yield done(True)
+        release()
 
-    t = materialize(rows.mapInArrow(mark, schema), "exact-groups")
+    with small_batches(docs.sparkSession):
+        t = materialize(rows.mapInArrow(mark, schema), "exact-groups")
     # A group that is the first or last of a partition may have parts in others; two rows a partition.
     ends = t.where(F.col("_x_text").isNotNull())
     whole = ends.groupBy("_x_text").agg(
@@ -134,14 +136,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The original text moves beside its normal form only where the two differ.
+    The original text moves beside its normal form only where the two differ, and is put back for the rows that stay.
     """
     names = docs.columns
     same = F.col(text_col) == F.col("_x_norm")
     slim = docs.withColumn("_x_norm", normalized(F.col(text_col))).withColumn("_x_same", F.coalesce(same, F.lit(False)))
     slim = slim.withColumn(text_col, F.when(~F.col("_x_same"), F.col(text_col)))
-    rows = _by_content(slim, id_col).withColumn(
-        text_col, F.when(F.col("_x_same"), F.col("_x_norm")).otherwise(F.col(text_col))).drop("_x_same")
+    rows = _by_content(slim, id_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("_x_part", T.IntegerType()),
                            T.StructField("_x_text", T.StringType())])
 
@@ -165,14 +166,18 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield out(last, [text if number == 0 else None])
                 number += 1
             found = batch.take(pa.array(at))
+            whole = pc.if_else(found.column("_x_same"), found.column("_x_norm"), found.column(text_col))
+            found = found.set_column(names.index(text_col), text_col, whole)
             if at.size > 1:
                 yield out(found.slice(0, at.size - 1), [texts[int(at[0])].as_py() if number == 0 and k == 0 else None for k in range(at.size - 1)])
                 number += at.size - 1
             last, text = found.slice(at.size - 1, 1), texts[int(at[-1])].as_py()
         if last is not None:
             yield out(last, [text])
+        release()
 
-    t = materialize(rows.mapInArrow(firsts, schema), "exact-firsts")
+    with small_batches(docs.sparkSession):
+        t = materialize(rows.mapInArrow(firsts, schema), "exact-firsts")
     ends = t.where(F.col("_x_text").isNotNull())
     home = ends.groupBy("_x_text").agg(F.min("_x_part").alias("_x_home"))
     stay = ends.join(home, "_x_text").where(F.col("_x_part") == F.col("_x_home"))

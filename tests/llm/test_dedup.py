@@ -158,3 +158,23 @@ def test_drop_near_copies(spark):
 def test_near_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0 and minhash.drop_near_copies(docs).count() == 0
+
+
+def test_exact_dedup_moves_small_batches_and_each_text_once(spark, monkeypatch):
+    """Tasks of ``groups`` and ``drop_copies`` get at most 8 MB at a time; an unchanged text is not carried beside its normal form."""
+    seen = []
+    write = exact_dedup.materialize
+
+    def spy(df, name):
+        seen.append((spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(exact_dedup, "materialize", spy)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(3, "a b", 1, "x"), (2, "a  b", 2, "y"), (4, "a b", 3, "z"), (5, None, 4, "u"), (6, "", 5, "v"), (7, "c\n", 6, "w"), (8, "d", 7, "t")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(tuple(r) for r in exact_dedup.drop_copies(docs).collect())
+    assert got == [rows[k] for k in (1, 3, 5, 6)]
+    assert exact_dedup.groups(docs).count() == 7
+    assert [x for x, _ in seen] == ["8m", "8m"] and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert "CASE WHEN _x_same" not in seen[0][1]  # texts are put back for the rows that stay only
