@@ -6,7 +6,9 @@ backed off to those of its endings: P(t | ending of k letters) = (count + BACK *
 A sentence's tags are those of the best path (Viterbi) over log P(tag | tag before) + log P(tag | word) - log P(tag).
 
 Words stay in tables: endings are joined to distinct words (frequent endings by broadcast), which gives each word its row of
-scores, and these are joined to the tokens. Only tag by tag tables are sent to all tasks. A sentence is decoded in one task, token by token.
+scores. Those of the ``FREQUENT`` most frequent words are sent to all tasks, beside tag by tag tables, and their tokens move as
+one number (place and word); only tokens of other words carry their scores. The bound changes no result. A sentence is decoded in
+one task, token by token.
 
 Defined cases: a null word is the empty word; a null tag counts as X; ties go to the first tag in code point order;
 without training rows every tag is X.
@@ -28,6 +30,10 @@ from ..session import materialize
 from .ordered import attach
 
 ENDING, BACK, SMOOTH = 5, 2.0, 0.1
+#: Words whose scores all tasks hold (8 bytes a tag each).
+FREQUENT = 1 << 17
+#: The place of a token whose ``token_i`` is null: before all others.
+NOWHERE = -(1 << 31) - 1
 START = "^"
 
 
@@ -122,17 +128,31 @@ def tag(tokens: DataFrame, tagger: Tagger) -> DataFrame:
     """(doc_id, sent_id, token_i, pos) of a token table (doc_id, sent_id, token_i, token_text)."""
     t = materialize(tokens.select("doc_id", "sent_id", "token_i", word_form(F.col("token_text")).alias("word")), "hmm-tokens")
     scored = materialize(word_scores(t.groupBy("word").agg(F.count(F.lit(1)).alias("_x_n")), tagger), "hmm-scores")
-    grouped = attach(t, scored, "word").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("token_i", "s"))).alias("t"))
+    order, most = [F.desc("_x_n"), F.asc("word")], FREQUENT
+    top = scored.orderBy(*order).limit(most).withColumn("k", F.row_number().over(Window.orderBy(*order)) - 1)
+    top = materialize(top.select(F.col("word").alias("_x_key"), "k", "s"), "hmm-frequent")  # at most FREQUENT rows
     names, moves = tagger.tags, tagger.moves
+    table = top.orderBy("k").select("s").toArrow().column("s").combine_chunks()
+    shared = tokens.sparkSession.sparkContext.broadcast(table.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names)))
+    place, same = F.coalesce(F.col("token_i").cast("bigint"), F.lit(NOWHERE)), F.col("word") == F.col("_x_key")
+    by_number = t.join(F.broadcast(top.select("_x_key", "k")), same).select("doc_id", "sent_id", (place * most + F.col("k")).alias("at"))
+    # a word that isn't among them holds at most 1 / FREQUENT of all tokens
+    rest = t.join(F.broadcast(top.select("_x_key")), same, "left_anti").join(scored.select("word", "s"), "word")
+    both = by_number.unionByName(rest.select("doc_id", "sent_id", F.struct(place.alias("i"), "s").alias("own")), allowMissingColumns=True)
+    grouped = both.groupBy("doc_id", "sent_id").agg(F.collect_list("at").alias("at"), F.collect_list("own").alias("own"))
     schema = T.StructType([*grouped.schema.fields[:2], T.StructField("t", T.ArrayType(T.StructType.fromDDL("token_i int, pos string")))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in range(b.num_rows):
-                x = b.column("t").slice(r, 1).flatten()
-                s = x.field("s").flatten().to_numpy(zero_copy_only=False).reshape(len(x), len(names))
-                out.append([{"token_i": i, "pos": names[k]} for i, k in zip(x.field("token_i").to_pylist(), best_path(s, moves))])
+                i, k = np.divmod(b.column("at").slice(r, 1).flatten().to_numpy(zero_copy_only=False), most)
+                s, own = shared.value[k], b.column("own").slice(r, 1).flatten()
+                if len(own):
+                    i = np.concatenate([i, own.field("i").to_numpy(zero_copy_only=False)])
+                    s = np.concatenate([s, own.field("s").flatten().to_numpy(zero_copy_only=False).reshape(len(own), len(names))])
+                by = np.lexsort((*s.T[::-1], i)) if len(np.unique(i)) < len(i) else np.argsort(i)  # repeated places: by their scores
+                out.append([{"token_i": None if x == NOWHERE else x, "pos": names[y]} for x, y in zip(i[by].tolist(), best_path(s[by], moves))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.struct([("token_i", pa.int32()), ("pos", pa.string())])))],
                                              names=schema.names)
 

@@ -152,3 +152,24 @@ def test_tagging_the_baseline_back(spark, sf):
     gold = annotate.token_table(bindings.table(spark, sf, "documents").select("doc_id", "lang", "text")).cache()
     found = hmm.tag(gold.where("doc_id % 3 = 0"), hmm.learn(gold.where("doc_id % 3 <> 0")))
     assert hmm.accuracy(found, gold) > 0.8
+
+
+def test_tokens_of_frequent_words_move_as_numbers_and_rare_ones_with_scores(spark, monkeypatch):
+    gold = tokens_df(spark, grammar(1, True))
+    gold = gold.where("doc_id < 1012").unionByName(gold.where("doc_id = 1003"))  # repeated places
+    gold = gold.withColumn("token_i", F.expr("if(doc_id = 1005 and token_i = 4, null, token_i)")).cache()
+    tagger = hmm.learn(gold)
+    words = gold.select(F.lower("token_text").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("_x_n"))
+    s = {r["word"]: r["s"] for r in hmm.word_scores(words, tagger).collect()}
+    by_sentence = {}
+    for r in gold.collect():
+        place = -(1 << 40) if r["token_i"] is None else r["token_i"]
+        by_sentence.setdefault((r["doc_id"], r["sent_id"]), []).append((place, s[r["token_text"].lower()]))
+    want = Counter()
+    for key, rows in by_sentence.items():
+        rows.sort()
+        for (i, _), k in zip(rows, hmm.best_path(np.array([x for _, x in rows]), tagger.moves)):
+            want[*key, None if i < -(1 << 32) else i, tagger.tags[k]] += 1
+    for most in (3, 1 << 17):
+        monkeypatch.setattr(hmm, "FREQUENT", most)
+        assert Counter(map(tuple, hmm.tag(gold, tagger).collect())) == want
