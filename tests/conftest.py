@@ -25,6 +25,13 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def no_cached_tables(spark):
+    """What a module has cached is gone with it: Spark would read it in the next one's plans, whose shapes are held."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def sf():
     return SF_SMALL
